@@ -1,15 +1,16 @@
 """Substring dedup: words inside word windows that start more than once anywhere are removed.
 
-A window is represented by its anchor: the least hash of the short word runs inside it, the first of equal
-ones. Equal windows have equal anchors at different places, so the number of places of an anchor is never less than
-the number of places of a window. The pass of sketches counts anchor places, a small share of all windows;
-the exact pass then takes the windows whose anchor is estimated to have two places or more, none lost:
+Two merged sketches come first, both of them overestimates, so none is lost:
 
-1. runs of neighbouring windows with one anchor place are grouped whole (128-bit hashes), copies pre-aggregated;
-2. the windows of distinct runs are grouped singly, to find those that two different runs share.
+1. A window's anchor is the least hash of the short word runs inside it, the first of equal ones. Equal windows have
+   equal anchors at different places. Anchor places are a small share of all windows; a window whose anchor has one
+   place occurs once.
+2. The windows left are counted themselves; a window whose cells hold one count occurs once.
 
-Verdicts go back to the texts by a key of the text's content, so equal texts get equal verdicts and rows need
-no identity. Hot windows only ever meet in counts.
+The second pass groups exactly the windows that both sketches let through (96 bits of hashes), pre-aggregated by task.
+Groups of one are the sketches' false positives: they come with their text and start, and are few, so only they
+go back to the texts. Hot windows only ever meet in counts, and texts are shuffled only if the false positives are
+too many to send to all tasks.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.llm import sketch, store
-from meshframe.llm.words import NOT_SPACE, binaries, chunks, grams, mix
+from meshframe.llm.words import NOT_SPACE, chunks, grams
 
 WINDOW = 35
 ANCHOR = 8
+#: Single windows that the sketches let through are sent to all tasks up to this number (16 MB), else joined.
+MOST_BROADCAST = 1_000_000
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -69,77 +72,63 @@ def _anchor_hashes(batches: Iterator[pa.RecordBatch], window: int, anchor: int)
                 yield g[place[_runs(place)[:-1]]]
 
 
-RUNS = "text_key binary, run_start long, run_a long, run_b long, windows binary"
+def _left(h: np.ndarray, at: np.ndarray, window: int, anchor: int, places) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows whose anchor may have two places."""
+    starts, place, g = _anchors(h, at, window, anchor)
+    cuts = _runs(place)
+    if len(cuts) < 2:
+        return starts, np.zeros(0, np.uint64)
+    starts = starts[np.repeat(places.value.may_repeat(g[place[cuts[:-1]]]), np.diff(cuts))]
+    return starts, grams(h, window)[starts] if len(starts) else np.zeros(0, np.uint64)
 
 
-def _emit_runs(batches: Iterator[pa.RecordBatch], seen, window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    for part, h, at in chunks(batches, "text", NOT_SPACE, False):
-        starts, place, g = _anchors(h, at, window, anchor)
-        cuts = _runs(place)
-        if len(cuts) < 2:
-            continue
-        keep = seen.value.may_repeat(g[place[cuts[:-1]]])
-        if not keep.any():
-            continue
-        first, sizes = cuts[:-1][keep], np.diff(cuts)[keep]
-        rows = np.repeat(first - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
-        where = starts[rows]
-        both = np.empty((len(where), 2), np.uint64)
-        both[:, 0], both[:, 1] = grams(h, window)[where], grams(h, window, 7)[where]
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        inside = (np.arange(len(where)) - np.repeat(begin[:-1], sizes)).astype(np.uint64)
-        a = np.add.reduceat(mix(both[:, 0] + inside * np.uint64(0x9E3779B97F4A7C15), 3), begin[:-1]) + sizes.astype(np.uint64)
-        b = np.add.reduceat(mix(both[:, 1] + inside * np.uint64(0xC2B2AE3D27D4EB4F), 4), begin[:-1])
-        doc = np.searchsorted(at, starts[first], side="right") - 1
-        yield pa.record_batch({
-            "text_key": part.column(part.schema.get_field_index("text_key")).take(pa.array(doc)),
-            "run_start": pa.array(starts[first] - at[doc]), "run_a": pa.array(a.view(np.int64)), "run_b": pa.array(b.view(np.int64)),
-            "windows": binaries(both, begin),
-        })
-
-
-def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the windows of distinct runs."""
+def _window_hashes(batches: Iterator[pa.RecordBatch], window: int, anchor: int, places) -> Iterator[np.ndarray]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2048):
-            part = batch.slice(lo, 2048)
-            blobs = part.column(3).to_pylist()
-            sizes = np.array([len(x) // 16 for x in blobs])
-            w = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
-            row = pa.array(np.repeat(np.arange(len(blobs)), sizes))
-            inside = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.record_batch({"window_a": pa.array(w[:, 0]), "window_b": pa.array(w[:, 1]), "run_a": part.column(0).take(row), "run_b": part.column(1).take(row), "once": part.column(2).take(row), "inside": pa.array(inside.astype(np.int32))})
+        for _, h, at in chunks(iter([batch]), batch.schema.names[0], NOT_SPACE, False):
+            yield _left(h, at, window, anchor, places)[1]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], window: int, anchor: int, places, counts) -> Iterator[pa.RecordBatch]:
+    for part, h, at in chunks(batches, "text", NOT_SPACE, False):
+        starts, a = _left(h, at, window, anchor, places)
+        keep = counts.value.may_repeat(a)
+        if keep.any():
+            starts = starts[keep]
+            doc = np.searchsorted(at, starts, side="right") - 1
+            b = (grams(h, window, 7)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.record_batch({"text_key": part.column(0).take(pa.array(doc)), "start": pa.array(starts - at[doc]), "window_a": pa.array(a[keep].view(np.int64)), "window_b": pa.array(b)})
 
 
 KEPT = "n_words long, n_removed long, kept string"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], window: int, names: list[str], digest: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = {"n_words": [], "n_removed": [], "kept": []}
-        spans = batch.column(batch.schema.get_field_index("repeated")).to_pylist()
-        for text, repeated in zip(batch.column(batch.schema.get_field_index("text")), spans, strict=True):
+def _cut(batches: Iterator[pa.RecordBatch], window: int, anchor: int, places, counts, names: list[str], digest: bool) -> Iterator[pa.RecordBatch]:
+    for part, h, at in chunks(batches, "text", NOT_SPACE, False):
+        starts, a = _left(h, at, window, anchor, places)
+        starts = starts[counts.value.may_repeat(a)] if len(starts) else starts
+        first = np.searchsorted(starts, at)
+        n_words, n_removed, kept = np.diff(at), [], []
+        columns = part.column(part.schema.get_field_index("text")), part.column(part.schema.get_field_index("once"))
+        for i, (text, once) in enumerate(zip(*columns, strict=True)):
             raw = (text.as_py() or "").encode()
-            words = raw.split()
-            out["n_words"].append(len(words))
-            if repeated:
+            own = starts[first[i] : first[i + 1]] - at[i]
+            if once.is_valid:
+                own = own[~np.isin(own, once.values.to_numpy())]
+            words = raw.split() if digest or len(own) else []
+            if len(own):
                 mark = np.zeros(len(words) + 1, np.int64)
-                for x in repeated:
-                    own = np.arange(x["n"]) if x["inside"] is None else np.asarray(x["inside"])
-                    np.add.at(mark, x["run_start"] + own, 1)
-                    np.add.at(mark, x["run_start"] + own + window, -1)
-                left = np.flatnonzero(np.cumsum(mark)[:-1] == 0)
-                words = [words[i] for i in left]
-            out["n_removed"].append(out["n_words"][-1] - len(words))
-            joined = b" ".join(words)
+                mark[own] += 1
+                mark[own + window] -= 1
+                words = [words[j] for j in np.flatnonzero(np.cumsum(mark)[:-1] == 0)]
+            n_removed.append(int(n_words[i]) - len(words) if len(own) else 0)
             if digest:
-                out["kept"].append(hashlib.sha256(joined).hexdigest())
+                kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
             else:  # untouched texts stay as they are; null stays null
-                out["kept"].append((joined if out["n_removed"][-1] else raw).decode() if text.is_valid else None)
-        yield pa.RecordBatch.from_pydict({**{c: batch.column(batch.schema.get_field_index(c)) for c in names}, "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept": pa.array(out["kept"], pa.string())})
+                kept.append((b" ".join(words) if len(own) else raw).decode() if text.is_valid else None)
+        yield pa.RecordBatch.from_pydict({**{c: part.column(part.schema.get_field_index(c)) for c in names}, "n_words": pa.array(n_words), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, digest: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The columns of docs (with a string column text), then n_words, n_removed and kept.
 
     kept is the text without the words that a repeated window covers: words joined by one space if any was
@@ -148,21 +137,17 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     nothing. Repeated rows are copies of each other: with a window or more of words, they go whole. Columns of
     docs that clash with the new ones are replaced. An empty table gives an empty table.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "text_key", "repeated")]
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "text_key", "once")]
     docs = docs.select(*names)
-    expected = sketch.text_bytes(docs, "text") // (6 * (window - anchor + 2) // 2)
-    seen = sketch.repeats(docs, "text", partial(_anchor_hashes, window=window, anchor=anchor), expected)
-    keyed = docs.withColumn("text_key", F.unhex(F.md5("text")))
-    runs = keyed.select("text_key", "text").mapInArrow(partial(_emit_runs, seen=seen, window=window, anchor=anchor), RUNS)
-    runs = store.stored(runs, "runs")
-    distinct = runs.groupBy("run_a", "run_b", "windows").agg(F.count("*").alias("places"))
-    distinct = store.stored(distinct.select("run_a", "run_b", (F.col("places") == 1).alias("once"), "windows"), "distinct-runs")
-    single = distinct.mapInArrow(_single, "window_a long, window_b long, run_a long, run_b long, once boolean, inside int")
-    shared = single.groupBy("window_a", "window_b").agg(F.count("*").alias("places")).filter("places > 1").drop("places")
-    inside = single.filter("once").join(shared, ["window_a", "window_b"], "left_semi").groupBy("run_a", "run_b").agg(F.collect_list("inside").alias("inside"))
-    verdict = distinct.filter("not once").select("run_a", "run_b", F.lit(None).cast("array<int>").alias("inside")).unionByName(inside)
-    found = runs.select("text_key", "run_start", "run_a", "run_b", (F.octet_length("windows") / 16).cast("int").alias("n")).distinct()
-    found = found.join(verdict, ["run_a", "run_b"]).groupBy("text_key").agg(F.collect_list(F.struct("run_start", "n", "inside")).alias("repeated"))
-    marked = keyed.join(found.hint("shuffle_hash"), "text_key", "left").select(*names, "repeated")
+    size = sketch.text_bytes(docs, "text")
+    places = sketch.repeats(docs, "text", partial(_anchor_hashes, window=window, anchor=anchor), size // (3 * (window - anchor + 2)))
+    counts = sketch.repeats(docs, "text", partial(_window_hashes, window=window, anchor=anchor, places=places), size // 24)
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    found = keyed.select("text_key", "text").mapInArrow(partial(_candidates, window=window, anchor=anchor, places=places, counts=counts), "text_key long, start long, window_a long, window_b int")
+    grouped = found.groupBy("window_a", "window_b").agg(F.count("*").alias("n"), F.min("text_key").alias("text_key"), F.min("start").alias("start"))
+    once = store.stored(grouped.filter("n = 1").groupBy("text_key").agg(F.collect_list("start").alias("once")), "once")
+    small = (once.agg(F.sum(F.size("once"))).first()[0] or 0) <= most_broadcast
+    marked = keyed.join(F.broadcast(once) if small else once.hint("shuffle_hash"), "text_key", "left").select(*names, "once")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return marked.mapInArrow(partial(_cut, window=window, names=names, digest=digest), f"{schema}, {KEPT}")
+    cut = partial(_cut, window=window, anchor=anchor, places=places, counts=counts, names=names, digest=digest)
+    return marked.mapInArrow(cut, f"{schema}, {KEPT}")
