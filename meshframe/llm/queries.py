@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meshframe.llm import bpe
 from meshframe.llm.substrings import remove_repeats
 
 
@@ -16,6 +17,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept").withColumnRenamed("kept", "kept_sha256")
 
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup}
+def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, public_tokenizers.path(vocabulary), public_tokenizers.PATTERN).drop("text")
+
+
+QUERIES = {
+    "op5_byte_bpe": op5_byte_bpe,
+    "op8_substring_dedup": op8_substring_dedup,
+}
 
 ORACLE: dict[str, str] = {}
