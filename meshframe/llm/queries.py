@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meshframe.llm import bpe
+from meshframe.llm.decontaminate import find_leaks
 from meshframe.llm.substrings import remove_repeats
 
 
@@ -17,6 +19,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept").withColumnRenamed("kept", "kept_sha256")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    names = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -25,8 +34,37 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_m
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+#: Words of a text with A-Z lower-cased, in SQL.
+_ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op2_decontaminate": rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w FROM documents),
+b AS (SELECT item_id, coalesce(regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w FROM benchmark),
+k AS (SELECT DISTINCT item_id, least(len(w), 10) n, array_to_string(w[i:i + 9], ' ') s
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM k),
+p AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') s
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) i FROM d, sizes WHERE len(w) >= n)),
+h AS (SELECT p.doc_id, p.i, p.n, k.item_id FROM p JOIN k ON p.n = k.n AND p.s = k.s),
+hits AS (SELECT doc_id, count(DISTINCT j) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) j FROM (SELECT DISTINCT doc_id, i, n FROM h)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) n_items, string_agg(x, ',' ORDER BY x) ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) x FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+       sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) i FROM d WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM p WHERE s IN (SELECT s FROM p GROUP BY s HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) j FROM r),
+x AS (SELECT doc_id, list(j) js, count(*) n FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n, 0) n_removed,
+       sha256(coalesce(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
+              ELSE (SELECT string_agg(w[j], ' ' ORDER BY j) FROM (SELECT unnest(range(1, len(w) + 1)) j) WHERE NOT list_contains(js, j)) END, '')) kept_sha256
+FROM d LEFT JOIN x ON d.doc_id = x.doc_id""",
+}
