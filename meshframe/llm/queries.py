@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshframe.llm import bpe
 from meshframe.llm.decontaminate import find_leaks
+from meshframe.llm.jaccard import similar_components
 from meshframe.llm.substrings import remove_repeats
 
 
@@ -26,6 +27,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +40,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_m
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_substring_dedup": op8_substring_dedup,
 }
@@ -57,6 +63,15 @@ named AS (SELECT doc_id, count(*) n_items, string_agg(x, ',' ORDER BY x) ids FRO
 SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
        sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op3_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_ASCII_LOWER}, '[^\x20\x09-\x0D]+'), []) w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.s = b.s AND a.doc_id != b.doc_id GROUP BY x, y),
+e AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r AS (SELECT doc_id x, doc_id y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT doc_id, coalesce(any_value(n.n), 0) n_shingles, min(r.y) component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON d.doc_id = r.x GROUP BY doc_id""",
     "op8_substring_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w FROM documents),
 p AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) i FROM d WHERE len(w) >= 35)),
