@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.llm import bpe
+from meshframe.llm import bpe, toxicity
 from meshframe.llm.decontaminate import find_leaks
 from meshframe.llm.jaccard import similar_components
+from meshframe.llm.sampling import remainder
 from meshframe.llm.substrings import remove_repeats
 
 
@@ -20,6 +21,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept").withColumnRenamed("kept", "kept_sha256")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (remainder("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "offending")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -39,6 +46,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_m
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_byte_bpe": op5_byte_bpe,
