@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.llm import bpe, toxicity
+from meshframe.llm.ann import nearest
 from meshframe.llm.decontaminate import find_leaks
+from meshframe.llm.html import extract
 from meshframe.llm.jaccard import similar_components
 from meshframe.llm.sampling import remainder
 from meshframe.llm.substrings import remove_repeats
@@ -45,12 +47,23 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_m
     return bpe.round_trip(docs, public_tokenizers.path(vocabulary), public_tokenizers.PATTERN).drop("text")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_balanced_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.filter("vec_id % 20 = 0"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_html_text": op9_html_text,
+    "op10_balanced_lists": op10_balanced_lists,
 }
 
 #: Words of a text with A-Z lower-cased, in SQL.
