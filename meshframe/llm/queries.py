@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.llm import bpe, toxicity
+from meshframe.llm import bpe, toxicity, warc
 from meshframe.llm.ann import nearest
 from meshframe.llm.decontaminate import find_leaks
 from meshframe.llm.html import extract
@@ -47,6 +47,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_m
     return bpe.round_trip(docs, public_tokenizers.path(vocabulary), public_tokenizers.PATTERN).drop("text")
 
 
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("record_id", "target_uri")
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_arc_to_warc": op6_arc_to_warc,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_text": op9_html_text,
     "op10_balanced_lists": op10_balanced_lists,
@@ -93,6 +98,11 @@ p AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.s = b.s A
 e AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= 75 * (a.n + b.n - c)),
 r AS (SELECT doc_id x, doc_id y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT doc_id, coalesce(any_value(n.n), 0) n_shingles, min(r.y) component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON d.doc_id = r.x GROUP BY doc_id""",
+    "op6_arc_to_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) n, sha256(coalesce(html, '')) d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) f FROM p)
+SELECT page_id, n payload_bytes, d payload_digest, CASE WHEN n >= 100 AND page_id != f THEN 'revisit' ELSE 'response' END record_type,
+       CASE WHEN n >= 100 AND page_id != f THEN f END refers_to FROM f""",
     "op8_substring_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w FROM documents),
 p AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) i FROM d WHERE len(w) >= 35)),
