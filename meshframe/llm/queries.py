@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.llm import bpe, toxicity, warc
+from meshframe.llm import bpe, chat, quality, toxicity, warc
 from meshframe.llm.ann import nearest
 from meshframe.llm.decontaminate import find_leaks
 from meshframe.llm.html import extract
@@ -40,6 +40,15 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 for poor quality, 1 for good quality that is toxic, 2 for good quality."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grades = table(spark, sf_dir, "labels").selectExpr("doc_id", "case when quality = 0 then 0 when quality = 1 then if(toxic = 1, 1, 2) end grade")
+    scored = quality.score(docs, grades)
+    tail = F.col("tails")[0]
+    return scored.select("doc_id", (remainder("doc_id") == 2).alias("held_out"), "expected_grade", tail.alias("score"), (tail >= quality.THRESHOLD).cast("int").alias("predicted"), F.col("tails")[1].alias("top_probability"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +60,12 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("record_id", "target_uri")
 
 
+def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.preference_pairs(chat.stale_answers(table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["stop"].cast("string"))), ",")
+    return found.select("conv_id", "prompt_turns", "prompt", "chosen", "rejected", spans("chosen_spans").alias("chosen_spans"), spans("rejected_spans").alias("rejected_spans"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -64,8 +79,10 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_ordinal_quality": op4_ordinal_quality,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_arc_to_warc": op6_arc_to_warc,
+    "op7_preference_pairs": op7_preference_pairs,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_text": op9_html_text,
     "op10_balanced_lists": op10_balanced_lists,
@@ -103,6 +120,19 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) n, sha256(coalesce(html, '
 f AS (SELECT *, min(page_id) OVER (PARTITION BY d) f FROM p)
 SELECT page_id, n payload_bytes, d payload_digest, CASE WHEN n >= 100 AND page_id != f THEN 'revisit' ELSE 'response' END record_type,
        CASE WHEN n >= 100 AND page_id != f THEN f END refers_to FROM f""",
+    "op7_preference_pairs": """
+WITH t AS (SELECT conv_id, role, text, CASE WHEN role = 'assistant' AND lead_in > 1 THEN before ELSE text END stale,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) i
+           FROM (SELECT *, lag(text) OVER w before, row_number() OVER w lead_in FROM conversations
+                 WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn NULLS FIRST, text NULLS FIRST))),
+m AS (SELECT conv_id, coalesce(min(i) FILTER (text IS DISTINCT FROM stale), max(i) + 1) m FROM t GROUP BY conv_id),
+s AS (SELECT t.*, m, 5 + length(coalesce(role, 'unknown')) h, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) head, coalesce(text, '') || '<|end|>' || chr(10) a, coalesce(stale, '') || '<|end|>' || chr(10) b FROM t JOIN m USING (conv_id)),
+p AS (SELECT *, sum(h + length(a)) FILTER (i >= m) OVER (PARTITION BY conv_id ORDER BY i) za, sum(h + length(b)) FILTER (i >= m) OVER (PARTITION BY conv_id ORDER BY i) zb FROM s)
+SELECT conv_id, CAST(any_value(m) - 1 AS INTEGER) prompt_turns, coalesce(string_agg(head || a, '' ORDER BY i) FILTER (i < m), '') prompt,
+  coalesce(string_agg(head || a, '' ORDER BY i) FILTER (i >= m), '') chosen, coalesce(string_agg(head || b, '' ORDER BY i) FILTER (i >= m), '') rejected,
+  coalesce(string_agg((za - length(a)) || '-' || za, ',' ORDER BY i) FILTER (i >= m AND role = 'assistant'), '') chosen_spans,
+  coalesce(string_agg((zb - length(b)) || '-' || zb, ',' ORDER BY i) FILTER (i >= m AND role = 'assistant'), '') rejected_spans
+FROM p GROUP BY conv_id""",
     "op8_substring_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w FROM documents),
 p AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) i FROM d WHERE len(w) >= 35)),
