@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import partial
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -35,21 +36,31 @@ def features(token: str) -> list[int]:
     return [crc32(x.encode("utf-8", "surrogatepass")) >> (32 - BITS) for x in (token.lower(), f"{shape}\t", f"{tail}\n")]
 
 
+#: The feature of a token that is the same as the one before it.
+_AGAIN = crc32(b"\r") >> (32 - BITS)
+
+
+def _again(tokens: list[str]) -> int:
+    return sum(map(eq, tokens, tokens[1:]))
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "grade"))
-        out: dict = {"grade": [], "bags": []}
+        out: dict = {"grade": [], "bags": [], "tokens": []}
         for text, grade in zip(*columns, strict=True):
             out["grade"].append(grade)
-            out["bags"].append(np.array([f for t in (text or "").split() for f in features(t)], np.int32).tobytes())
-        yield pa.record_batch({"grade": pa.array(out["grade"], pa.int32()), "weight": batch.column(batch.schema.get_field_index("weight")), "bags": pa.array(out["bags"], pa.binary())})
+            tokens = (text or "").split()
+            out["bags"].append(np.array([f for t in tokens for f in features(t)] + [_AGAIN] * _again(tokens), np.int32).tobytes())
+            out["tokens"].append(len(tokens))
+        yield pa.record_batch({"grade": pa.array(out["grade"], pa.int32()), "weight": batch.column(batch.schema.get_field_index("weight")), "bags": pa.array(out["bags"], pa.binary()), "tokens": pa.array(out["tokens"], pa.int64())})
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_cumulative(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, grades: int, *, steps: int = 150, rate: float = 0.5, shrink: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative(bags: list[np.ndarray], tokens: np.ndarray, y: np.ndarray, weight: np.ndarray, grades: int, *, steps: int = 150, rate: float = 0.5, shrink: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Ordered thresholds (grades - 1 of them) and weights, by proximal AdaGrad; features of one document stay 0."""
     theta = np.zeros(1 << BITS)
     start = np.linspace(-1, 1, grades - 1) if grades > 2 else np.zeros(1)
@@ -60,10 +71,9 @@ def fit_cumulative(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, gr
     pair, count = np.unique(doc.astype(np.int64) << BITS | feature, return_counts=True)
     doc, feature = (pair >> BITS).astype(np.int32), pair & ((1 << BITS) - 1)
     keep = (np.bincount(feature, minlength=1 << BITS) >= 2)[feature]
-    tokens = np.maximum(1, np.bincount(doc, count, len(y)) / 3)
     doc, count = doc[keep], count[keep]
     used, feature = np.unique(feature[keep], return_inverse=True)
-    x = count / tokens[doc]
+    x = count / np.maximum(1, tokens)[doc]
     w, gw = np.zeros(len(used)), np.full(len(used), 1e-10)
     first, gaps = start[0], np.log(np.diff(start)) if grades > 2 else np.zeros(0)
     gt = np.full(grades - 1, 1e-8)
@@ -116,7 +126,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model, names: list[str]) -> Itera
             s = []
             for t in part.column(part.schema.get_field_index("text")):
                 tokens = (t.as_py() or "").split()
-                s.append(sum(map(known, tokens)) / max(1, len(tokens)))
+                s.append((sum(map(known, tokens)) + theta[_AGAIN] * _again(tokens)) / max(1, len(tokens)))
             tails = 1 - _logistic(thresholds[None, :] - np.array(s)[:, None])
             yield pa.RecordBatch.from_pydict({**{c: part.column(part.schema.get_field_index(c)) for c in names}, "expected_grade": pa.array(tails.sum(1)), "tails": pa.array(tails.tolist(), pa.list_(pa.float64()))})
 
@@ -132,9 +142,9 @@ def score(docs: DataFrame, grades: DataFrame, *, levels: int = 3, each: int = EA
     docs = docs.select(*names)
     known = grades.select("doc_id", F.col("grade").cast("int").alias("grade")).filter((F.col("grade") >= 0) & (F.col("grade") < levels))
     sample = labelled_sample(docs.select("doc_id", "text"), known, each=each, most_bytes=most_bytes)
-    got = sample.mapInArrow(_featured, "grade int, weight double, bags binary").toArrow()
+    got = sample.mapInArrow(_featured, "grade int, weight double, bags binary, tokens long").toArrow()
     bags = [np.frombuffer(x, np.int32) for x in got.column("bags").to_pylist()]
-    thresholds, theta = fit_cumulative(bags, np.array(got.column("grade").to_pylist(), int), np.array(got.column("weight").to_pylist(), float), levels)
+    thresholds, theta = fit_cumulative(bags, np.array(got.column("tokens").to_pylist(), int), np.array(got.column("grade").to_pylist(), int), np.array(got.column("weight").to_pylist(), float), levels)
     used = np.flatnonzero(theta)
     model = docs.sparkSession.sparkContext.broadcast((thresholds, used, theta[used]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
