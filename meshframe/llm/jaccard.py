@@ -1,17 +1,17 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the components of its links.
 
-A document is its set of distinct word shingles in the order of their hashes. Two sets whose Jaccard similarity is at
-least the threshold share at least l of the first |x| - t + l shingles of each, t = ceil(threshold * |x|),
-for every l. So a longer prefix may demand more matches:
-
-1. A sketch of the longest prefixes of all documents tells which shingles can occur twice. A document in whose l-prefix
-   fewer than l can is linked with nothing: it goes no further.
-2. Equal sets are one class. Each class picks the l of least estimated cost: the classes that its prefix's
-   shingles lead to, weighed up by 1 / l for those left to verify.
-3. Star rounds: each class is verified against one pivot that it shares most prefix shingles with. Buckets of copies
-   shrink to components without their pairs.
-4. What is left are shingles whose classes lie in different components. A class is verified against the members
-   of a larger component with which it shares l prefix shingles or more, in blocks of bounded size, by exact
+A document is its set of distinct word shingles. In any one order of shingles, two sets whose Jaccard similarity is at
+least the threshold share at least l of the first |x| - t + l shingles of each, t = ceil(threshold * |x|), for every l.
+So a longer prefix may demand more matches:
+
+1. In the order of hashes, a sketch of the longest prefixes of all documents tells which shingles can occur twice. A
+   document in whose l-prefix fewer than l can is linked with nothing: it goes no further. Equal sets are one class.
+2. The classes left order their shingles by rarity, by estimates over all of them. Each picks the l of least
+   cost: the classes that its prefix's shingles lead to, weighed up by 1 / l for those left to verify.
+3. Star rounds: each class is verified against pivots of the shingles it shares. Buckets of copies shrink to components
+   without their pairs.
+4. What is left are shingles whose classes lie in different components. A class is verified against the members of
+   a larger component with which it shares l prefix shingles or more, in blocks of bounded size, by exact
    intersection sizes. No pair of different components that can link is left out, so no link between components is lost.
 
 Pairs inside one component need no check: the result is the components. Hashes have 64 bits.
@@ -19,13 +19,14 @@ Pairs inside one component need no check: the result is the components. Hashes h
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshframe.llm import sketch, store
@@ -39,7 +40,10 @@ NUMERATOR, DENOMINATOR = 75, 100
 DEEPEST = 8
 #: Sets in a block that one task verifies against, and the longest run of its probes.
 BLOCK = 256
-STARS = 3
+#: Pivots of a shingle, and the most that a class is verified against, in each star round.
+STARS = ((2, 2), (8, 8))
+#: Cells of a row of the shingles' frequency estimates.
+RARITY_BITS = 18
 
 
 def shingle_sets(h: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +85,7 @@ def _prefix_hashes(batches: Iterator[pa.RecordBatch], words: int, num: int, den:
             yield values[_deep(np.diff(begin), begin, num, den)[1]]
 
 
-_SETS = "n_shingles long, class_key long, tokens binary, levels binary, shingles binary"
+_SETS = "n_shingles long, class_key long, shingles binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, seen) -> Iterator[pa.RecordBatch]:
@@ -91,35 +95,104 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, see
         n = np.diff(begin)
         size, rows = _deep(n, begin, num, den)
         cut = np.concatenate(([0], np.cumsum(size)))
-        may = seen.value.may_repeat(values[rows])
-        place = np.arange(len(rows)) - np.repeat(cut[:-1], size)
-        level = np.maximum(1, place - np.repeat(n - _least(n, num, den), size) + 1)
-        total = np.concatenate(([0], np.cumsum(may)))
+        total = np.concatenate(([0], np.cumsum(seen.value.may_repeat(values[rows]))))
         enough = n > 0
-        for depth in (np.ones(len(n), np.int64), np.maximum(1, n // DEEPEST // 2), np.maximum(1, n // DEEPEST)):
+        for depth in depths(n):
             end = cut[:-1] + np.minimum(n, n - _least(n, num, den) + depth)
             enough &= total[np.minimum(end, cut[1:])] - total[cut[:-1]] >= depth
-        keys = mix(np.add.reduceat(np.append(mix(values, 5), np.uint64(0)), np.minimum(begin[:-1], len(values))) + n.astype(np.uint64), 6) if len(n) else np.zeros(0, np.uint64)
+        keys = mix(np.add.reduceat(np.append(mix(values, 5), np.uint64(0)), np.minimum(begin[:-1], len(values))) + n.astype(np.uint64), 6)
         keys = np.where(n > 0, keys, np.uint64(0))
-        mine = np.flatnonzero(may & np.repeat(enough, size))
-        held = np.searchsorted(mine, cut)
-        whole = np.repeat(enough, n)
-        stop = np.concatenate(([0], np.cumsum(np.where(enough, n, 0))))
-        none = pa.array(~enough)
-        blank = lambda x: pa.compute.if_else(none, pa.scalar(None, pa.binary()), x)  # noqa: E731, B023
+        blobs = binaries(values[np.repeat(enough, n)], np.concatenate(([0], np.cumsum(np.where(enough, n, 0)))))
         yield pa.RecordBatch.from_pydict({
             "doc_id": part.column(part.schema.get_field_index("doc_id")), "n_shingles": pa.array(n.astype(np.int64)), "class_key": pa.array(keys.view(np.int64)),
-            "tokens": blank(binaries(values[rows][mine], held)), "levels": blank(binaries(level[mine].astype(np.int32), held)), "shingles": blank(binaries(values[whole], stop)),
+            "shingles": pa.compute.if_else(pa.array(enough), blobs, pa.scalar(None, pa.binary())),
         })
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def depths(n: np.ndarray) -> list[np.ndarray]:
+    """The values of l that a set of n shingles chooses from."""
+    return [np.maximum(1, n // (DEEPEST * f)) if f else np.ones_like(n) for f in (0, 4, 2, 1)]
+
+
+def _cells(values: np.ndarray, row: int) -> np.ndarray:
+    return (mix(values, 301 + row) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = np.zeros((2, 1 << RARITY_BITS), np.int64)
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            tokens, levels = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("tokens", "levels"))
-            row = pa.array(np.repeat(np.arange(part.num_rows), [len(x) // 8 for x in tokens]))
-            yield pa.record_batch({"token": pa.array(np.frombuffer(b"".join(tokens), np.int64)), "level": pa.array(np.frombuffer(b"".join(levels), np.int32)), "class_key": part.column(part.schema.get_field_index("class_key")).take(row), "n": part.column(part.schema.get_field_index("n")).take(row)})
+        for blob in batch.column(0):
+            values = np.frombuffer(blob.as_buffer(), np.uint64)
+            for row in range(2):
+                sums[row] += np.bincount(_cells(values, row), minlength=1 << RARITY_BITS) if len(values) > 1 << 12 else 0
+                if len(values) <= 1 << 12:
+                    np.add.at(sums[row], _cells(values, row), 1)
+    yield pa.record_batch({"cell_row": pa.array([0, 1], pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in sums], pa.binary())})
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for row, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            sums[row] = sums.get(row, 0) + np.frombuffer(zlib.decompress(blob.as_buffer()), np.int64)
+    if sums:
+        yield pa.record_batch({"cell_row": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+
+def _rarity(sets: DataFrame):
+    """Broadcast count-min rows of all shingles of the classes: 4 MB, whatever the input."""
+    kind = "cell_row int, counts binary"
+    got = sets.select("shingles").mapInArrow(_frequencies, kind).repartition("cell_row").mapInArrow(_summed, kind).toArrow()
+    rows = [np.zeros(1 << RARITY_BITS, np.int64) for _ in range(2)]
+    for row, blob in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+        rows[row] = np.frombuffer(blob, np.int64)
+    return sets.sparkSession.sparkContext.broadcast(rows)
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], rarity, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The prefix of each class, in the order of rarity, as deep as costs least."""
+    counts = rarity.value
+    mean = counts[0].mean()
+    for batch in batches:
+        sizes = batch.column(batch.schema.get_field_index("n")).to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        lo = 0
+        while lo < len(sizes):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + (1 << 18), side="right")))
+            part, n = batch.slice(lo, hi - lo), sizes[lo:hi]
+            lo = hi
+            values = np.frombuffer(b"".join(part.column(part.schema.get_field_index("shingles")).to_pylist()), np.uint64)
+            row = np.repeat(np.arange(len(n)), n)
+            often = np.minimum(*(c[_cells(values, i)] for i, c in enumerate(counts)))
+            rank = np.maximum(0, np.log2(np.maximum(often, 1) / (2 * mean + 8)).astype(np.int64))
+            order = np.lexsort((values, rank, row))
+            values, often = values[order], np.maximum(often[order] - mean, 1)
+            begin = np.concatenate(([0], np.cumsum(n)))
+            sums = np.concatenate(([0], np.cumsum(often)))
+            least = _least(n, num, den)
+            options = np.array(depths(n))
+            stops = begin[:-1] + np.minimum(n, n - least + options)
+            cost = (sums[stops] - sums[begin[:-1]]) * (1 + 8 / options)
+            best = cost.argmin(0)
+            depth, stop = options[best, np.arange(len(n))], stops[best, np.arange(len(n))]
+            size = stop - begin[:-1]
+            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            level = np.maximum(1, place - np.repeat(n - least, size) + 1).astype(np.int32)
+            take = pa.array(np.repeat(np.arange(len(n)), size))
+            yield pa.record_batch({
+                "token": pa.array(values[np.repeat(begin[:-1], size) + place].view(np.int64)), "class_key": part.column(part.schema.get_field_index("class_key")).take(take),
+                "n": pa.array(np.repeat(n, size).astype(np.int32)), "level": pa.array(level), "depth": pa.array(np.repeat(depth, size).astype(np.int32)),
+            })
+
+
+def _pairs_linked(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a_set", "b_set")]
+        keep = []
+        for x, y in zip(*sets, strict=True):
+            common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+            keep.append(den * common >= num * ((len(x) + len(y)) // 8 - common))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verified(probes: pd.DataFrame, block: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
@@ -162,7 +235,7 @@ def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, num: int, den:
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(check, "a long, b long")
 
 
-def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, stars: int = STARS) -> DataFrame:
+def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, stars: tuple = STARS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
     component_id is the least doc_id that links reach. Links are pairs of shingle sets with
@@ -175,36 +248,34 @@ def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERA
     expected = sketch.text_bytes(docs, "text") // 12
     seen = sketch.repeats(docs, "text", partial(_prefix_hashes, words=words, num=num, den=den), expected)
     rows = store.stored(docs.mapInArrow(partial(_sets, words=words, num=num, den=den, seen=seen), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SETS}"), "sets")
-    sets = store.stored(rows.filter("shingles is not null").groupBy("class_key").agg(F.max("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("tokens", "levels", "shingles"))), "classes")
-
-    tokens = sets.mapInArrow(_tokens, "token long, level int, class_key long, n long")
-    counts = tokens.groupBy("token").agg(F.count("*").alias("leads")).filter("leads > 1")
-    led = store.stored(tokens.join(counts, "token"), "tokens")
-    depths = ["1l", f"greatest(1l, n div {4 * DEEPEST})", f"greatest(1l, n div {2 * DEEPEST})", f"greatest(1l, n div {DEEPEST})"]
-    costs = led.groupBy("class_key").agg(F.max("n").alias("n"), *(F.sum(F.expr(f"if(level <= {d}, leads, 0)")).alias(f"leads_{i}") for i, d in enumerate(depths)), *(F.sum(F.expr(f"if(level <= {d}, 1, 0)")).alias(f"found_{i}") for i, d in enumerate(depths)))
-    options = F.array(*(F.struct((F.col(f"leads_{i}") * (1 + 8 / F.expr(d))).alias("cost"), F.expr(d).alias("depth")) for i, d in enumerate(depths)))
-    able = F.expr(" and ".join(f"found_{i} >= {d}" for i, d in enumerate(depths)))
-    chosen = costs.filter(able).select("class_key", F.array_min(options)["depth"].alias("depth"))
-    led = store.stored(led.join(chosen, "class_key").filter("level <= depth").select("token", "class_key", "n", "level", "depth"), "prefixes")
-
-    roots = sets.select("class_key", F.col("class_key").alias("root"))
-    edges = None
-    for star in range(stars):
-        mine = led.join(roots, "class_key")
-        pivot = F.min_by(F.struct(F.col("class_key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("root").alias("pivot_root")), F.xxhash64("class_key", F.lit(star)))
-        hubs = mine.groupBy("token").agg(pivot.alias("p"), (F.min("root") < F.max("root")).alias("open")).filter("open").select("token", "p.*")
-        near = mine.join(hubs, "token").filter(f"root != pivot_root and {den} * least(n, pivot_n) >= {num} * greatest(n, pivot_n)")
-        near = near.groupBy("class_key", "pivot").agg(F.count("*").alias("shared")).groupBy("class_key").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("target"))
-        pairs = store.stored(near.select(F.col("class_key").alias("a"), "target"), "star")
-        members = pairs.select("target").distinct().select("target", F.col("target").alias("b"), F.col("target").alias("b_root"))
-        new = _links(pairs, members, sets, num, den)
+    sets = rows.filter("shingles is not null").groupBy("class_key", "shingles").agg(F.max("n_shingles").cast("int").alias("n"))
+    sets = store.stored(sets, "classes")
+    tokens = sets.mapInArrow(partial(_tokens, rarity=_rarity(sets), num=num, den=den), "token long, class_key long, n int, level int, depth int")
+
+    # Star rounds. roots is where each class stands: itself at first.
+    led, roots, edges = tokens.withColumn("root", F.col("class_key")), None, None
+    for star, (pivots, most) in enumerate(stars):
+        if roots is not None:
+            led = led.drop("root").join(roots, "class_key")
+        pick = [F.min_by(F.struct(F.col("class_key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("root").alias("pivot_root")), F.xxhash64("class_key", F.lit(star), F.lit(i))).alias(f"p{i}") for i in range(pivots)]
+        hubs = led.groupBy("token").agg(*pick, (F.min("root") < F.max("root")).alias("open")).filter("open")
+        led = store.stored(led.join(hubs.select("token", F.array_distinct(F.array(*(f"p{i}" for i in range(pivots)))).alias("hubs")), "token"), "prefixes")
+        near = led.select("class_key", "n", "root", F.inline("hubs")).filter(f"root != pivot_root and {den} * least(n, pivot_n) >= {num} * greatest(n, pivot_n)")
+        near = near.groupBy("class_key", "pivot").agg(F.count("*").alias("shared"))
+        best = F.row_number().over(Window.partitionBy("class_key").orderBy(F.desc("shared"), "pivot"))
+        pairs = near.withColumn("best", best).filter(F.col("best") <= most).select(F.least("class_key", "pivot").alias("a"), F.greatest("class_key", "pivot").alias("b")).distinct()
+        pairs = pairs.join(sets.select(F.col("class_key").alias("a"), F.col("shingles").alias("a_set")).hint("shuffle_hash"), "a").join(sets.select(F.col("class_key").alias("b"), F.col("shingles").alias("b_set")).hint("shuffle_hash"), "b")
+        new = pairs.mapInArrow(partial(_pairs_linked, num=num, den=den), "a long, b long")
         edges = store.stored(new if edges is None else new.unionByName(edges), "links")
         roots = _relabelled(sets, edges)
+        led = led.drop("hubs")
 
-    mine = store.stored(led.join(roots, "class_key"), "open")
-    sized = roots.groupBy("root").agg(F.count("*").alias("members"))
+    # The exact rest: shingles whose classes lie in different components.
+    mine = led.drop("root").join(roots, "class_key")
     apart = mine.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    mine = mine.join(apart, "token").join(sized, "root")
+    mine = store.stored(mine.join(apart, "token"), "open")
+    sized = roots.groupBy("root").agg(F.count("*").alias("members"))
+    mine = mine.join(sized, "root")
     there = mine.groupBy("token", "root", "members").agg(F.min("depth").alias("t_depth"), F.min("n").alias("t_least"), F.max("n").alias("t_most"))
     there = there.withColumnsRenamed({"root": "target", "members": "t_members"})
     met = mine.join(there, "token").filter(f"(members, root) < (t_members, target) and {num} * n <= {den} * t_most and {num} * t_least <= {den} * n")
