@@ -24,11 +24,11 @@ def _with_prefix(df: DataFrame, keys: list[str], order: str, value: Column, comb
     sums = df.groupBy(*keys, "__bucket").agg(combine(value).alias("__own"))
     earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.withColumn("__before", combine(F.col("__own")).over(earlier)).drop("__own")
-    same = [df[k].eqNullSafe(before[k]) for k in keys] + [df["__bucket"].eqNullSafe(before["__bucket"])]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    return df.join(before, on, "left").select(*[df[c] for c in df.columns], before["__before"])
+    named = before.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate([*keys, "__bucket"])), "__before")
+    on = F.lit(True)
+    for i, c in enumerate([*keys, "__bucket"]):
+        on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(named, on, "left").drop(*(f"__k{i}" for i in range(len(keys) + 1)))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "row", buckets: int = BUCKETS) -> DataFrame:

@@ -8,8 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import GroupState
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_steps(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int = 16) -> DataFrame:
