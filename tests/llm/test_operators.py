@@ -1,0 +1,363 @@
+"""Small cases and brute-force versions for the operators of the subpackage."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from meshframe.llm import ann, bpe, chat, html, quality, sampling, toxicity, warc  # noqa: E402
+from meshframe.llm.components import components  # noqa: E402
+from meshframe.llm.decontaminate import find_leaks  # noqa: E402
+from meshframe.llm.jaccard import similar_components  # noqa: E402
+from meshframe.llm.substrings import remove_repeats  # noqa: E402
+
+ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def prose(rng, n, words=400):
+    return " ".join(f"w{rng.randrange(words)}é" if rng.random() < 0.1 else f"W{rng.randrange(words)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Documents with copies, near copies, shared passages, repeats in themselves, nulls, blanks and a very long one."""
+    rng = random.Random(3)
+    base = prose(rng, 300)
+    docs = [prose(rng, rng.randrange(1, 200)) for _ in range(60)] + [base] * 4
+    for k in range(40):
+        words = base.split()
+        for _ in range(k // 3):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        docs.append(" ".join(words))
+    passage = prose(rng, 60)
+    docs += [f"{prose(rng, 40)}\n{passage}\t{prose(rng, rng.randrange(30))}" for _ in range(10)]
+    docs += [f"{passage} {passage}", "same " * 90, "one two", "one two", "", "  \t\n ", None, None, "a b c d e", "A B c d E", prose(rng, 60000, 10**6)]
+    return [(i, t, "extra", i) for i, t in enumerate(docs)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, kept string, n long").repartition(5)
+
+
+# Substring dedup ----------------------------------------------------------------------------------
+
+
+def brute_removed(texts, window):
+    words = [(t or "").encode().split() for t in texts]
+    seen = collections.Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    for w in words:
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = [True] * window
+        yield [x for x, g in zip(w, gone, strict=True) if not g], len(w), sum(gone)
+
+
+@pytest.mark.parametrize(("window", "anchor"), [(35, 8), (12, 5), (3, 3)])
+def test_substrings_equal_brute_force(spark, corpus, window, anchor):
+    df = frame(spark, corpus)
+    got = {r["doc_id"]: r for r in remove_repeats(df, window=window, anchor=anchor, digest=True).collect()}
+    for (i, *_), (kept, n, removed) in zip(corpus, brute_removed([r[1] for r in corpus], window), strict=True):
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept"]) == (n, removed, hashlib.sha256(b" ".join(kept)).hexdigest()), i
+
+
+def test_substrings_joined_back_and_texts(spark, corpus):
+    rows = {r["doc_id"]: r for r in remove_repeats(frame(spark, corpus), most_broadcast=-1).collect()}
+    for (i, text, *_), (kept, _, removed) in zip(corpus, brute_removed([r[1] for r in corpus], 35), strict=True):
+        assert rows[i]["kept"] == (b" ".join(kept).decode() if removed else text) and rows[i]["n"] == i
+    assert remove_repeats(frame(spark, []), digest=True).count() == 0
+
+
+# Near duplicates ----------------------------------------------------------------------------------
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = [i for i in sets if sets[i]]
+    for a in ids:
+        for b in ids:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_near_duplicates_equal_brute_force(spark, corpus):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_components(frame(spark, corpus)).collect()}
+    assert got == brute_components([r[:2] for r in corpus])
+
+
+def test_near_duplicates_without_stars(spark, corpus):
+    """The exact last step alone finds all links."""
+    some = corpus[50:]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_components(frame(spark, some), stars=((1, 1),)).collect()}
+    assert got == brute_components([r[:2] for r in some])
+
+
+def test_near_duplicates_of_short_texts_and_nulls(spark):
+    rows = [(3, "a b"), (1, "A B"), (2, "a  b "), (None, "q r s"), (7, None), (8, ""), (5, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_components(df).collect()}
+    assert got == {3: (1, 1), 1: (1, 1), 2: (1, 1), None: (1, None), 7: (0, 7), 8: (0, 8), 5: (1, 5)}
+    assert similar_components(df.limit(0)).count() == 0
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(501, 520)] + [(7, 7), (502, 500)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(100, 141)} | {i: 500 for i in range(500, 520)}
+
+
+# Decontamination ----------------------------------------------------------------------------------
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(4)
+    items = [(k, prose(rng, rng.randrange(12, 40), 30)) for k in range(8)] + [(20, "Lone-word"), (21, "two Words!"), (22, "..."), (23, None), (None, prose(rng, 12)), (1, "again under one id " * 4)]
+    docs = [prose(rng, 80, 30) for _ in range(15)] + [f"{prose(rng, 5)}. {t}?! {prose(rng, 9)}".upper() for _, t in items if t] + [items[0][1], "", None, "LONE word", "one two words three lone", " ".join(items[1][1].split()[:9])]
+    words = lambda t: ALNUM.findall((t or "").translate(LOWER))
+    df = spark.createDataFrame([(i, t, -1) for i, t in enumerate(docs)], "doc_id long, text string, n_hit int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (2_000_000, 300):
+        got = {r["doc_id"]: r for r in find_leaks(df, bench, block_bytes=block_bytes).collect()}
+        for i, t in enumerate(docs):
+            w, hit, named = words(t), set(), set()
+            for k, body in items:
+                own = words(body)
+                n = min(10, len(own))
+                windows = {tuple(own[s : s + n]) for s in range(len(own) - n + 1)} if n else set()
+                for s in range(len(w) - n + 1 if n else 0):
+                    if tuple(w[s : s + n]) in windows:
+                        hit.update(range(s, s + n))
+                        named.add("" if k is None else str(k))
+            assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (len(w), len(hit), sorted(named)), (i, block_bytes)
+    assert find_leaks(df, bench.limit(0)).filter("n_hit > 0").count() == 0 and find_leaks(df.limit(0), bench).count() == 0
+
+
+# Byte-level BPE -----------------------------------------------------------------------------------
+
+
+def test_bpe_equals_tiktoken(spark, corpus):
+    tiktoken = pytest.importorskip("tiktoken")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [r[1] for r in corpus[-30:]] + ["<unk> <s> ▁▁ \x00 don't 日本語 😀\r\n\n  x", "a" * 5000, "é" * 300]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    rows = bpe.decode(bpe.encode(df, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect()
+    trips = {r["doc_id"]: r for r in bpe.round_trip(df, path, public_tokenizers.PATTERN).collect()}
+    for r in rows:
+        ids = own.encode_ordinary(texts[r["doc_id"]] or "")
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert r["ids"] == ids and bytes(r["decoded"]) == raw and r["n_tokens"] == len(ids)
+        assert trips[r["doc_id"]]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and trips[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(raw).hexdigest()
+    assert bpe.round_trip(df.limit(0), path, public_tokenizers.PATTERN).count() == 0
+    with pytest.raises(ValueError):
+        bpe.model_proto({b"a": 0})
+
+
+# Archives -----------------------------------------------------------------------------------------
+
+
+def test_arc_versions_and_lengths():
+    body = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nline\n\nhttp://x 1 2 3 4\n"
+    for version in (1, 2):
+        rows = [("http://a b/c", "1.2.3.4", "20200102030405", "text/html", body), ("dns:x", "1.2.3.4", "20200102", "text/dns", b""), ("http://z", "0.0.0.0", "20200102030405", "text/html", b"plain")]
+        info, a, b, c = warc.read_arc(warc.arc_file(version, rows))
+        assert info.kind == "warcinfo" and a.url == "http://a b/c" and a.date == "2020-01-02T03:04:05Z" and a.payload == body[body.index(b"\r\n\r\n") + 4 :] and a.kind == "response"
+        assert b.kind == "resource" and b.payload == b"" and b.content_type == "text/dns" and c.payload == b"plain"
+        text = b"".join(warc.warc_record(r, hashlib.sha256(r.payload).hexdigest(), str(i)) + b"\r\n" for i, r in enumerate((a, b, c)))
+        assert [block for _, block in warc.read_warc(text)] == [body, b"", b"plain"]
+    for broken in (b"http://x 1.1.1.1 2020 t 10\nshort", b"no line end", b"filedesc://x 0 2020 text/plain 9\n9 0 crawl"):
+        with pytest.raises(ValueError):
+            list(warc.read_arc(broken))
+    with pytest.raises(ValueError):
+        list(warc.read_warc(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n"))
+
+
+def test_archives_round_trip(spark):
+    long = "<p>é</p>" * 30
+    rows = [(5, "http://a/5", long), (2, "http://a b/2", long), (9, None, long), (None, "http://n", long), (3, "u", "short"), (4, "u", "short"), (6, "u", None), (7, "u", ""), (8, "u", "x" * 100000 + "\r\n\r\nWARC/1.1\r\n"), (2, "http://a b/2", long)]
+    df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
+    got = warc.archived(df, records=2).collect()
+    assert len(got) == len(rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["page_id"]].append(r)
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        r = by[i][0]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+        again = h == long and i != 2
+        assert (r["record_type"], r["refers_to"]) == (("revisit", 2) if again else ("response", None))
+    assert len(by[2]) == 2 and warc.archived(df.limit(0)).count() == 0
+
+
+# Pages --------------------------------------------------------------------------------------------
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
+<header>Site</header><nav><ul><li><a href="/a">Home page</a></li></ul></nav><!-- ad --><div class="ad">Buy, now. And more!</div>
+<div class="cookie-notice"><p>We use cookies, as others do.</p></div>
+<article><h1>The &amp; title</h1><p><b>First para&shy;graph,\n with   some text.<br><p>Sec&#111;nd one &lt;b&gt;, longer than the first, with marks; and so on.<p>Short.</p>
+<ul><li>An item, yes.</li></ul><aside>Aside, not here.</aside></article>
+<section id="comments"><h2>Comments</h2><p>I disagree, very much so, and at some length.</p></section><form>Name <input><button>Go</button></form><footer>&copy; all</footer></body></html>"""
+
+
+def test_page_text(spark):
+    want = "The & title\nFirst para\xadgraph, with some text.\nSecond one <b>, longer than the first, with marks; and so on.\nShort.\nAn item, yes."
+    assert html.main_text(PAGE) == want
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>cut off, here is text <a hre"), (5, "u", "plain & simple"), (6, "u", "<nav>only</nav>"), (7, "u", "<p>" * 3000 + "deep, text")]
+    got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old"))).collect()}
+    assert [got[i]["text"] for i in range(1, 8)] == [want, "", "", "cut off, here is text", "plain & simple", "", "deep, text"]
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+# Nearest neighbours -------------------------------------------------------------------------------
+
+
+def test_nearest_equal_brute_force_on_few_lists(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    x[100:180] = x[100]
+    rows = [(int(i), v.tolist(), 0) for i, v in enumerate(x)]
+    bad = [(1000, None, 0), (1001, [0.0] * 8, 0), (1002, [float("nan")] * 8, 0), (1003, [1.0, None] * 4, 0), (1004, [1.0], 0), (None, [1.0] * 8, 0), (3, x[3].tolist(), 0)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, rank int")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), k=20, aim=50).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 400, 20))
+    for q, found in got.items():
+        s = (x.astype(float) * x[q].astype(float)).cumsum(1)[:, -1]
+        s[q] = -np.inf
+        order = np.lexsort((np.arange(400), -s))[:20]
+        assert [v for _, v, _ in sorted(found)] == order.tolist() and [r for r, _, _ in sorted(found)] == list(range(1, 21))
+        assert np.allclose([c for _, _, c in sorted(found)], s[order], rtol=0, atol=1e-12)
+
+
+def test_nearest_of_few_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in ann.nearest(df, df.filter("vec_id = 0")).collect()) == [(0, 1, 1, 0.5), (0, 2, 2, -1.0)]
+    assert ann.nearest(df.limit(0), df).count() == 0 and ann.nearest(df.limit(1), df.limit(1)).count() == 0
+
+
+def test_recall_and_balance():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 16)) + 3 * rng.normal(size=(10, 16))[rng.integers(0, 10, 3000)]
+    c = ann.balanced_cells(x, 60)
+    sizes = np.bincount(((x[:, None] - c[None]) ** 2).sum(2).argmin(1), minlength=60)
+    assert len(c) == 60 and sizes.max() < 6 * sizes.mean()
+    ids, d = ann.graph_search(x[:100], c, ann.neighbour_graph(c))
+    true = ((x[:100, None] - c[None]) ** 2).sum(2)
+    assert np.mean(ids[:, 0] == true.argmin(1)) > 0.95 and np.allclose(d, np.take_along_axis(true, ids, 1))
+    assert len(ann.balanced_cells(np.ones((50, 4)), 8)) <= 8
+
+
+# Conversations ------------------------------------------------------------------------------------
+
+
+def test_preference_pairs(spark):
+    t = lambda *x: [(r, s) for r, s in x]
+    rows = [
+        (1, t(("user", "q"), ("assistant", "good"), ("user", "é")), t(("user", "q"), ("assistant", "bad"))),
+        (2, t(("user", "q"), ("assistant", None)), t(("user", "q"), ("assistant", None))),
+        (3, t(("system", "s")), t(("user", "s"))),
+        (4, None, t((None, "x"))),
+        (5, [], []),
+    ]
+    df = spark.createDataFrame([(*r, "old") for r in rows], "pair_id int, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt string")
+    got = {r["pair_id"]: r for r in chat.preference_pairs(df).collect()}
+    one = got[1]
+    assert one["prompt_turns"] == 1 and one["prompt"] == "<|user|>\nq<|end|>\n" and one["chosen"] == "<|assistant|>\ngood<|end|>\n<|user|>\né<|end|>\n"
+    assert [one["chosen"][s["start"] : s["stop"]] for s in one["chosen_spans"]] == ["good<|end|>\n"] and [one["rejected"][s["start"] : s["stop"]] for s in one["rejected_spans"]] == ["bad<|end|>\n"]
+    assert got[2]["prompt_turns"] == 2 and got[2]["chosen"] == got[2]["rejected"] == "" and got[3]["prompt"] == "" and got[3]["chosen_spans"] == []
+    assert got[4]["chosen"] == "" and got[4]["rejected"] == "<|unknown|>\nx<|end|>\n" and got[5]["prompt_turns"] == 0
+    assert chat.preference_pairs(df.limit(0)).count() == 0
+
+
+def test_stale_answers(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (2, 0, "user", "x"), (None, 0, None, None)]
+    got = {r["conv_id"]: r for r in chat.stale_answers(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [x["text"] for x in got[1]["chosen"]] == ["a", "b", "c", "d"] and [x["text"] for x in got[1]["rejected"]] == ["a", "b", "c", "b"] and len(got) == 3
+
+
+# Classifiers --------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def labelled():
+    rng = random.Random(8)
+    bad = ["dreck", "pestilent", "vilewort"]
+    docs, labels = [], []
+    for i in range(900):
+        lines = [prose(rng, rng.randrange(3, 12), 200) for _ in range(rng.randrange(1, 8))]
+        toxic = rng.random() < 0.3
+        if toxic:
+            k = rng.randrange(len(lines))
+            lines[k] += f" {rng.choice(bad)} you"
+        poor = rng.random() < 0.4
+        if poor:
+            lines = [x.upper().replace(" ", "!! ") for x in lines]
+        docs.append((i, ". ".join(lines), "z"))
+        labels.append((i, 0 if poor else 1 if toxic else 2, int(toxic)))
+    return docs + [(10_000, None, "z"), (10_001, "", "z"), (10_002, "...", "z"), (0, docs[0][1], "z")], labels + [(1, None, None), (77_777, 0, 1)]
+
+
+def auc(rows):
+    pos, neg = (np.array([s for s, y in rows if y == v]) for v in (1, 0))
+    return np.mean(pos[:, None] > neg[None, :]) + np.mean(pos[:, None] == neg[None, :]) / 2
+
+
+def test_toxicity_held_out(spark, labelled):
+    docs = spark.createDataFrame(labelled[0], "doc_id long, text string, score string")
+    labels = spark.createDataFrame(labelled[1], "doc_id long, grade int, toxic int")
+    rows = toxicity.score(docs, labels).withColumn("held", sampling.remainder("doc_id") == 2).collect()
+    truth = {i: t for i, _, t in labelled[1] if t is not None}
+    assert auc([(r["score"], truth[r["doc_id"]]) for r in rows if r["held"] and r["doc_id"] in truth]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows) and all(r["score"] == 0 for r in rows if r["doc_id"] >= 10_000)
+    found = [r["text"][s["start"] : s["stop"]].lower() for r in rows if truth.get(r["doc_id"]) for s in r["offending"]]
+    assert np.mean([any(b in x for b in ("dreck", "pestilent", "vilewort")) for x in found]) > 0.9
+    assert {r["score"] for r in toxicity.score(docs, labels.limit(0)).collect() if r["doc_id"] < 900} and toxicity.score(docs.limit(0), labels).count() == 0
+
+
+def test_quality_held_out(spark, labelled):
+    docs = spark.createDataFrame(labelled[0], "doc_id long, text string, tails string")
+    grades = spark.createDataFrame(labelled[1], "doc_id long, grade int, toxic int").select("doc_id", "grade")
+    rows = quality.score(docs, grades).withColumn("held", sampling.remainder("doc_id") == 2).collect()
+    truth = {i: g for i, g, _ in labelled[1] if g is not None}
+    assert auc([(r["tails"][0], int(truth[r["doc_id"]] > 0)) for r in rows if r["held"] and r["doc_id"] in truth]) > 0.97
+    assert all(r["tails"][0] >= r["tails"][1] and abs(sum(r["tails"]) - r["expected_grade"]) < 1e-9 for r in rows)
+    assert quality.score(docs, grades.limit(0)).count() == len(labelled[0])
+
+
+def test_ordered_thresholds():
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 4, 400)
+    bags = [np.repeat([g * 7 + 1, 99], 3).astype(np.int32) for g in y]
+    t, theta = quality.fit_cumulative(bags, np.full(400, 2), y, np.ones(400), 4)
+    assert (np.diff(t) > 0).all() and (np.diff([theta[g * 7 + 1] for g in range(4)]) > 0).all()
+
+
+def test_sample_is_bounded_and_not_held_out(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), "id").alias("text"))
+    got = sampling.labelled_sample(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("grade")), each=100, most_bytes=100)
+    assert got.groupBy("grade").count().collect().__len__() == 2 and got.count() == 200 and all(r["weight"] > 10 for r in got.collect())
+    assert got.select(F.split("text", " ")[1].cast("long").alias("i")).filter(sampling.remainder("i") == 2).count() == 0
