@@ -66,20 +66,24 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"grade": pa.array(out["grade"], pa.int32()), "weight": pa.array(out["weight"], pa.float64()), "bags": pa.array(out["bags"], pa.binary()), "sizes": pa.array(out["sizes"], pa.binary())})
 
 
-def fit_noisy_or(bags: list[np.ndarray], sizes: list[np.ndarray], y: np.ndarray, weight: np.ndarray, *, steps: int = 120, rate: float = 0.4, shrink: float = 2e-4) -> tuple[float, np.ndarray]:
-    """Bias and weights by proximal AdaGrad on the noisy-or likelihood; features of fewer than 3 sentences stay 0."""
+def fit_noisy_or(feature: np.ndarray, size: np.ndarray, sentences_of: np.ndarray, y: np.ndarray, weight: np.ndarray, *, steps: int = 120, rate: float = 0.4, shrink: float = 2e-4) -> tuple[float, np.ndarray]:
+    """Bias and weights by proximal AdaGrad on the noisy-or likelihood; features that occur fewer than 3 times stay 0.
+
+    feature has the hashes of all sentences in turn, size their number by sentence, sentences_of that of sentences by document.
+    """
     theta = np.zeros(1 << BITS)
     if not len(y) or y.min() == y.max():
         return (-20.0 if not len(y) or not y.max() else 2.0), theta
-    size = np.concatenate(sizes).astype(np.int64)
-    feature = np.concatenate(bags).astype(np.int64)
-    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    doc = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
-    often = np.bincount(feature, minlength=1 << BITS) >= 3
-    keep = often[feature]
-    feature, row = feature[keep], row[keep]
-    used, feature = np.unique(feature, return_inverse=True)
-    feature = feature.astype(np.int32)
+    size = size.astype(np.int64)
+    doc = np.repeat(np.arange(len(y)), sentences_of)
+    keep = (np.bincount(feature, minlength=1 << BITS) >= 3)[feature]
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)[keep]
+    feature = feature[keep]
+    used = np.flatnonzero(np.bincount(feature, minlength=1 << BITS))
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    feature = place[feature]
+    del keep
     w, b, gw, gb = np.zeros(len(used)), -4.0, np.full(len(used), 1e-8), 1e-8
     total = weight.sum()
     for _ in range(steps):
@@ -155,8 +159,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, each: int = EACH, most_bytes: int
     grades = labels.select("doc_id", F.col("toxic").cast("int").alias("grade")).filter("grade in (0, 1)")
     sample = labelled_sample(docs.select("doc_id", "text"), grades, each=each, most_bytes=most_bytes)
     got = sample.mapInArrow(_featured, "grade int, weight double, bags binary, sizes binary").toArrow()
-    arrays = lambda c: [np.frombuffer(x, np.int32) for x in got.column(c).to_pylist()]
-    return fit_noisy_or(arrays("bags"), arrays("sizes"), np.array(got.column("grade").to_pylist(), int), np.array(got.column("weight").to_pylist(), float))
+    y, weight = np.array(got.column("grade").to_pylist(), int), np.array(got.column("weight").to_pylist(), float)
+    joined = lambda c: np.frombuffer(b"".join(got.column(c).to_pylist()), np.int32)
+    sentences_of = np.array([len(x) // 4 for x in got.column("sizes").to_pylist()], int)
+    feature, size = joined("bags"), joined("sizes")
+    del got
+    return fit_noisy_or(feature, size, sentences_of, y, weight)
 
 
 def score(docs: DataFrame, labels: DataFrame, *, each: int = EACH, most_bytes: int = MOST_BYTES, threshold: float = THRESHOLD) -> DataFrame:
