@@ -29,7 +29,7 @@ SAMPLE, MOST_LISTS, LIST = 20_000, 8192, 500
 COPIES, NEAR = 4, 1.15
 #: Beam of the graph search and neighbours of a centroid; lists read at least and most, and their ratio of distances.
 BEAM, DEGREE = 64, 24
-LEAST_READ, MOST_READ, RATIO = 24, 96, 1.3
+LEAST_READ, MOST_READ, RATIO = 32, 96, 1.3
 BLOCK, RUN = 4096, 512
 
 
