@@ -42,6 +42,10 @@ DEEPEST = 8
 BLOCK = 256
 #: Pivots of a shingle, and the most that a class is verified against, in each star round.
 STARS = ((2, 2), (8, 8))
+#: The cost of a verification in units of a shingle looked up.
+VERIFY = 2
+#: Orders of the classes by which pivots are the first ones: keys are hashes, so flipping bits of them is an order of its own.
+_ORDERS = [0, *(int(x) for x in mix(np.arange(1, 64, dtype=np.uint64), 9).view(np.int64))]
 #: Cells of a row of the shingles' frequency estimates.
 RARITY_BITS = 18
 
@@ -172,7 +176,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], rarity, num: int, den: int) -> It
             least = _least(n, num, den)
             options = np.array(depths(n))
             stops = begin[:-1] + np.minimum(n, n - least + options)
-            cost = (sums[stops] - sums[begin[:-1]]) * (1 + 8 / options)
+            cost = (sums[stops] - sums[begin[:-1]]) * (1 + VERIFY / options)
             best = cost.argmin(0)
             depth, stop = options[best, np.arange(len(n))], stops[best, np.arange(len(n))]
             size = stop - begin[:-1]
@@ -247,35 +251,43 @@ def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERA
     docs = docs.select("doc_id", "text")
     expected = sketch.text_bytes(docs, "text") // 12
     seen = sketch.repeats(docs, "text", partial(_prefix_hashes, words=words, num=num, den=den), expected)
-    rows = store.stored(docs.mapInArrow(partial(_sets, words=words, num=num, den=den, seen=seen), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SETS}"), "sets")
-    sets = rows.filter("shingles is not null").groupBy("class_key", "shingles").agg(F.max("n_shingles").cast("int").alias("n"))
-    sets = store.stored(sets, "classes")
+    rows = docs.mapInArrow(partial(_sets, words=words, num=num, den=den, seen=seen), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SETS}")
+    rows = store.stored(rows.withColumn("row_no", F.monotonically_increasing_id()), "sets")
+    first = store.stored(rows.filter("shingles is not null").groupBy("class_key").agg(F.min("row_no").alias("row_no")).select("row_no"), "classes")
+    sets = rows.join(store.side(first), "row_no", "left_semi").select("class_key", F.col("n_shingles").cast("int").alias("n"), "shingles")
     tokens = sets.mapInArrow(partial(_tokens, rarity=_rarity(sets), num=num, den=den), "token long, class_key long, n int, level int, depth int")
 
     # Star rounds. roots is where each class stands: itself at first.
     led, roots, edges = tokens.withColumn("root", F.col("class_key")), None, None
     for star, (pivots, most) in enumerate(stars):
-        if roots is not None:
-            led = led.drop("root").join(roots, "class_key")
-        pick = [F.min_by(F.struct(F.col("class_key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("root").alias("pivot_root")), F.xxhash64("class_key", F.lit(star), F.lit(i))).alias(f"p{i}") for i in range(pivots)]
-        hubs = led.groupBy("token").agg(*pick, (F.min("root") < F.max("root")).alias("open")).filter("open")
-        led = store.stored(led.join(hubs.select("token", F.array_distinct(F.array(*(f"p{i}" for i in range(pivots)))).alias("hubs")), "token"), "prefixes")
-        near = led.select("class_key", "n", "root", F.inline("hubs")).filter(f"root != pivot_root and {den} * least(n, pivot_n) >= {num} * greatest(n, pivot_n)")
+        order = [F.lit(_ORDERS[star * 16 + i]).cast("long") for i in range(pivots)]
+        if roots is not None:  # pivots only of shingles that are still in several components
+            led = led.drop("root").join(store.side(roots), "class_key")
+            apart = led.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+            led = store.stored(led.join(apart, "token"), "open")
+        pick = [F.min(F.col("class_key").bitwiseXOR(o)).bitwiseXOR(o).alias(f"p{i}") for i, o in enumerate(order)]
+        hubs = led.groupBy("token").agg(*pick, F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").drop("lo", "hi")
+        led = store.stored(led.join(hubs, "token"), "prefixes")
+        near = led.select("class_key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(pivots))))).alias("pivot")).filter("class_key != pivot")
+        led = led.drop(*(f"p{i}" for i in range(pivots)))
         near = near.groupBy("class_key", "pivot").agg(F.count("*").alias("shared"))
+        if roots is not None:
+            near = near.join(store.side(roots), "class_key").join(store.side(roots.select(F.col("class_key").alias("pivot"), F.col("root").alias("pivot_root"))), "pivot").filter("root != pivot_root")
         best = F.row_number().over(Window.partitionBy("class_key").orderBy(F.desc("shared"), "pivot"))
-        pairs = near.withColumn("best", best).filter(F.col("best") <= most).select(F.least("class_key", "pivot").alias("a"), F.greatest("class_key", "pivot").alias("b")).distinct()
-        pairs = pairs.join(sets.select(F.col("class_key").alias("a"), F.col("shingles").alias("a_set")).hint("shuffle_hash"), "a").join(sets.select(F.col("class_key").alias("b"), F.col("shingles").alias("b_set")).hint("shuffle_hash"), "b")
-        new = pairs.mapInArrow(partial(_pairs_linked, num=num, den=den), "a long, b long")
+        pairs = store.stored(near.withColumn("best", best).filter(F.col("best") <= most).select(F.col("class_key").alias("a"), F.col("pivot").alias("b")), "pairs")
+        hub = store.stored(pairs.select("b").distinct(), "pivots")
+        ours = sets.select(F.col("class_key").alias("a"), F.col("shingles").alias("a_set")).join(store.side(pairs), "a")
+        theirs = sets.select(F.col("class_key").alias("b"), F.col("shingles").alias("b_set")).join(store.side(hub), "b", "left_semi")
+        new = ours.join(theirs.hint("shuffle_hash"), "b").mapInArrow(partial(_pairs_linked, num=num, den=den), "a long, b long")
         edges = store.stored(new if edges is None else new.unionByName(edges), "links")
         roots = _relabelled(sets, edges)
-        led = led.drop("hubs")
 
     # The exact rest: shingles whose classes lie in different components.
-    mine = led.drop("root").join(roots, "class_key")
+    mine = led.drop("root").join(store.side(roots), "class_key")
     apart = mine.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     mine = store.stored(mine.join(apart, "token"), "open")
     sized = roots.groupBy("root").agg(F.count("*").alias("members"))
-    mine = mine.join(sized, "root")
+    mine = mine.join(store.side(store.stored(sized, "sizes")), "root")
     there = mine.groupBy("token", "root", "members").agg(F.min("depth").alias("t_depth"), F.min("n").alias("t_least"), F.max("n").alias("t_most"))
     there = there.withColumnsRenamed({"root": "target", "members": "t_members"})
     met = mine.join(there, "token").filter(f"(members, root) < (t_members, target) and {num} * n <= {den} * t_most and {num} * t_least <= {den} * n")

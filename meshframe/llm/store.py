@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fixed_columns(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns only, so that extra columns cannot clash with the ones an operator makes."""
-    return df.select(*[df[c] for c in names])
+#: Rows of a few numbers that are sent to all tasks, up to 32 MB; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def side(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, a stored table of a few numbers a row, as the smaller side of a join: broadcast if its rows are few enough, else shuffled."""
+    return F.broadcast(df) if df.count() <= most else df.hint("shuffle_hash")
