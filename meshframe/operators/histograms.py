@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshframe.functions.arrays import ravel, unravel
+
 
 def bin_index(value: Column, lo: Column | float, hi: Column | float, bins: int) -> Column:
     """The bin of a value on [lo, hi]: half-open bins, the last one closed; null outside and for NaN.
@@ -22,11 +26,17 @@ def bin_index(value: Column, lo: Column | float, hi: Column | float, bins: int)
 
 
 def _filled(found: DataFrame, keys: list[str], axes: dict[str, int]) -> DataFrame:
-    """All bins of every key, with 0 where nothing fell; keys times bins rows, bounded by the number of keys."""
-    full = found.select(*keys).distinct() if keys else found.sparkSession.range(1).select()
-    for name, n in axes.items():
-        full = full.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return full.join(found, [*keys, *axes], "left").fillna(0.0, ["weight"])
+    """All bins of every key, with 0 where nothing fell: the missing ones are added to the list of those found.
+
+    The list of a key has as many entries as there are bins, whatever the input; the data is scanned once.
+    """
+    n = prod(axes.values())
+    entry = F.struct(ravel(list(axes), list(axes.values())).alias("bin"), "weight")
+    some = found.groupBy(*keys).agg(F.collect_list(entry).alias("__found"))
+    absent = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), F.col("__found.bin"))
+    full = some.select(*keys, F.inline(F.concat("__found", F.transform(absent, lambda k: F.struct(k.alias("bin"), F.lit(0.0).alias("weight"))))).alias("__bin", "weight"))
+    index = unravel("__bin", list(axes.values()))
+    return full.select(*keys, *(i.cast("int").alias(name) for name, i in zip(axes, index, strict=True)), "weight")
 
 
 def histogram(df: DataFrame, column: str, bins: int, lo: float, hi: float, weight: Column | None = None, keys: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
