@@ -3,7 +3,7 @@
 A bounded sample is split into balanced cells, whose centroids stay in memory. Every vector is indexed: in the list of its
 nearest centroid, and, if it lies near a boundary, in further lists whose centroids are almost as near and in other
 directions. A query searches the centroids by best-first search on a graph of their neighbours, and reads the lists whose
-distance is within a ratio of the nearest one's.
+distance is within a ratio of the nearest one's. The first few set a least score, which the vectors of the others must reach.
 
 Largest inner products become least distances by one more coordinate, sqrt(longest**2 - |x|**2), which is 0 for queries.
 Lists are cut into blocks of bounded size and queries of a list into runs, so that a list which holds a large
@@ -30,6 +30,8 @@ COPIES, NEAR = 4, 1.15
 #: Beam of the graph search and neighbours of a centroid; lists read at least and most, and their ratio of distances.
 BEAM, DEGREE = 64, 24
 LEAST_READ, MOST_READ, RATIO = 32, 96, 1.3
+#: Lists that set a query's least score before the others are read.
+FIRST_READ = 8
 BLOCK, RUN = 4096, 512
 
 
@@ -147,11 +149,11 @@ def _routed(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch
             read[:, :LEAST_READ] = True
             read[:, MOST_READ:] = False
             row, col = np.nonzero(read)
-            yield pa.record_batch({"list": pa.array(ids[row, col].astype(np.int32)), "query_id": part.column(0).take(pa.array(row)), "query": part.column(1).take(pa.array(row))})
+            yield pa.record_batch({"list": pa.array(ids[row, col].astype(np.int32)), "place": pa.array(col.astype(np.int32)), "query_id": part.column(0).take(pa.array(row)), "query": part.column(1).take(pa.array(row))})
 
 
 def _best(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best vectors of the block for each query of the run."""
+    """The k best vectors of the block for each query of the run, of those that score the query's least score or more."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(queries) and len(block):
         block = block.sort_values("vec_id", kind="stable")
@@ -163,7 +165,7 @@ def _best(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
             s = q[:, 0, None] * x[0]
             for j in range(1, len(x)):
                 s += q[:, j, None] * x[j]
-            for key, own in zip(part["query_id"].to_numpy(), s, strict=True):
+            for key, least, own in zip(part["query_id"].to_numpy(), part["least"].to_numpy(), s, strict=True):
                 own = np.where(ids == key, -np.inf, own)
                 if len(own) > 2 * k:
                     edge = np.partition(own, len(own) - k)[len(own) - k]
@@ -171,21 +173,25 @@ def _best(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
                 else:
                     some = np.arange(len(own))
                 some = some[np.argsort(-own[some], kind="stable")][:k]
-                some = some[own[some] > -np.inf]
+                some = some[(own[some] > -np.inf) & (own[some] >= least)]
                 out.append((np.full(len(some), key), ids[some], own[some]))
     columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
     return pd.DataFrame({"query_id": np.array(columns[0], np.int64), "vec_id": np.array(columns[1], np.int64), "score": np.array(columns[2], float)})
 
 
 def _searched(routes: DataFrame, lists: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best of each query's lists."""
+    """(query_id, vec_id, score) of the k best of each block of each query's lists; routes has list, query_id, query, least."""
     shape = sizes.join(routes.groupBy("list").agg(F.ceil(F.count("*") / RUN).alias("runs")), "list")
     right = lists.join(F.broadcast(shape), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks")).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)))
     left = routes.join(F.broadcast(shape), "list").withColumn("run", F.pmod(F.xxhash64("query_id"), "runs")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.selectExpr("list as list", "block as block", "run as run", "query_id", "query")
+    left = left.selectExpr("list as list", "block as block", "run as run", "query_id", "query", "least")
     right = right.selectExpr("list as list", "block as block", "run as run", "vec_id", "vector")
     by = ("list", "block", "run")
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda a, b: _best(a, b, k), "query_id long, vec_id long, score double")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda a, b: _best(a, b, k), "query_id long, vec_id long, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of each query, replicas once."""
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -217,13 +223,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, sample: int
     index = spark.sparkContext.broadcast((c, neighbour_graph(c), longest))
     kind = vectors.schema["embedding"].dataType.simpleString()
     lists = store.stored(rows.mapInArrow(partial(_posted, index=index), f"list int, vec_id long, vector {kind}"), "lists")
-    routes = store.stored(asked.mapInArrow(partial(_routed, index=index), f"list int, query_id long, query {queries.schema['embedding'].dataType.simpleString()}"), "routes")
+    routes = store.stored(asked.mapInArrow(partial(_routed, index=index), f"list int, place int, query_id long, query {queries.schema['embedding'].dataType.simpleString()}"), "routes")
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    found = store.stored(_searched(routes, lists, sizes, k), "found")
+    # The nearest lists give each query a least score; from the others only vectors that reach it come.
+    near = store.stored(_searched(routes.filter(F.col("place") < FIRST_READ).withColumn("least", F.lit(float("-inf"))), lists, sizes, k), "near")
+    least = _ranked(near, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    far = routes.filter(F.col("place") >= FIRST_READ).join(least, "query_id", "left").fillna({"least": float("-inf")})
+    found = store.stored(_ranked(near.unionByName(_searched(far, lists, sizes, k)), k), "found")
     full = found.filter(F.col("rank") == min(k, max(n - 1, 1))).select("query_id")
     short = store.stored(asked.join(full, "query_id", "left_anti"), "short")
     if not short.limit(1).count():
         return found
     every = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1))))
-    rest = _searched(every.select("list", "query_id", "query"), lists, sizes, k)
+    rest = _ranked(_searched(every.withColumn("least", F.lit(float("-inf"))), lists, sizes, k), k)
     return found.join(full, "query_id", "left_semi").unionByName(rest)
