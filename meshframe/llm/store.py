@@ -39,3 +39,9 @@ MOST_BROADCAST = 1_000_000
 def side(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """df, a stored table of a few numbers a row, as the smaller side of a join: broadcast if its rows are few enough, else shuffled."""
     return F.broadcast(df) if df.count() <= most else df.hint("shuffle_hash")
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this application has stored; call it when their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

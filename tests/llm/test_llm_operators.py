@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -361,3 +362,14 @@ def test_sample_is_bounded_and_not_held_out(spark):
     got = sampling.labelled_sample(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("grade")), each=100, most_bytes=100)
     assert got.groupBy("grade").count().collect().__len__() == 2 and got.count() == 200 and all(r["weight"] > 10 for r in got.collect())
     assert got.select(F.split("text", " ")[1].cast("long").alias("i")).filter(sampling.remainder("i") == 2).count() == 0
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from meshframe.llm import store
+
+    df = store.stored(spark.range(3).toDF("x"), "some")
+    assert df.count() == 3 and store.side(df).count() == 3
+    path = df.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.exists(path)
+    store.clear(spark)
+    assert not os.path.exists(path)
