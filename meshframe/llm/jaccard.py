@@ -10,9 +10,10 @@ So a longer prefix may demand more matches:
    cost: the classes that its prefix's shingles lead to, weighed up by 1 / l for those left to verify.
 3. Star rounds: each class is verified against pivots of the shingles it shares. Buckets of copies shrink to components
    without their pairs.
-4. What is left are shingles whose classes lie in different components. A class is verified against the members of
-   a larger component with which it shares l prefix shingles or more, in blocks of bounded size, by exact
-   intersection sizes. No pair of different components that can link is left out, so no link between components is lost.
+4. What is left are shingles whose classes lie in different components. They are grouped by the least component of
+   each shingle; the classes outside the largest component of a group are verified against all others of the group, in
+   blocks of bounded size, by exact intersection sizes. Rows grow with the classes and not with their pairs, and no
+   two classes of different components that can link are left out, so no link between components is lost.
 
 Pairs inside one component need no check: the result is the components. Hashes have 64 bits.
 """
@@ -39,7 +40,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: The longest prefix has this share of the set's size as its l.
 DEEPEST = 8
 #: Sets in a block that one task verifies against, and the longest run of its probes.
-BLOCK = 256
+BLOCK = 1024
 #: Pivots of a shingle, and the most that a class is verified against, in each star round.
 STARS = ((2, 2), (8, 8))
 #: The cost of a verification in units of a shingle looked up.
@@ -209,13 +210,13 @@ def _verified(probes: pd.DataFrame, block: pd.DataFrame, num: int, den: int) ->
         values = np.concatenate(sets)
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
-        for key, raw in zip(probes["a"], probes["a_set"], strict=True):
+        for key, root, raw in zip(probes["a"], probes["a_root"], probes["a_set"], strict=True):
             own = np.frombuffer(raw, np.uint64)
             lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
             n = hi - lo
             at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
             common = np.bincount(owner[at], minlength=len(sets))
-            hit = np.flatnonzero((den * common >= num * (sizes + len(own) - common)) & (keys != key))
+            hit = np.flatnonzero((den * common >= num * (sizes + len(own) - common)) & (roots != root))
             hit = hit[np.unique(roots[hit], return_index=True)[1]]
             a.extend([key] * len(hit))
             b.extend(keys[hit].tolist())
@@ -223,7 +224,7 @@ def _verified(probes: pd.DataFrame, block: pd.DataFrame, num: int, den: int) ->
 
 
 def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of the classes a of pairs (a, target) with the members (target, b, b_root) of their targets.
+    """Links (a, b) of the classes of pairs (target, a, a_root) with the members (target, b, b_root) of their targets that have another root.
 
     Members are dealt into blocks of about BLOCK sets, probes to every block of their target in runs of as many.
     """
@@ -233,7 +234,7 @@ def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, num: int, den:
     dealt = members.join(shape, "target").withColumn("block", F.pmod(F.xxhash64("b"), "blocks")).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)))
     right = dealt.join(sets.select(F.col("class_key").alias("b"), F.col("shingles").alias("b_set")), "b").selectExpr("target as target", "block as block", "run as run", "b", "b_root", "b_set")
     probes = pairs.join(shape, "target").withColumn("run", F.pmod(F.xxhash64("a"), "runs")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = probes.join(sets.select(F.col("class_key").alias("a"), F.col("shingles").alias("a_set")), "a").selectExpr("target as target", "block as block", "run as run", "a", "a_set")
+    left = probes.join(sets.select(F.col("class_key").alias("a"), F.col("shingles").alias("a_set")), "a").selectExpr("target as target", "block as block", "run as run", "a", "a_root", "a_set")
     by = ("target", "block", "run")
     check = lambda l, r: _verified(l, r, num, den)  # noqa: E731, E741
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(check, "a long, b long")
@@ -282,18 +283,20 @@ def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERA
         edges = store.stored(new if edges is None else new.unionByName(edges), "links")
         roots = _relabelled(sets, edges)
 
-    # The exact rest: shingles whose classes lie in different components.
+    # The exact rest: shingles whose classes lie in different components. A shingle's least root is its key; two classes
+    # that share shingles share their keys, and some key has at least its part of the matches that they need.
     mine = led.drop("root").join(store.side(roots), "class_key")
-    apart = mine.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    mine = store.stored(mine.join(apart, "token"), "open")
-    sized = roots.groupBy("root").agg(F.count("*").alias("members"))
-    mine = mine.join(store.side(store.stored(sized, "sizes")), "root")
-    there = mine.groupBy("token", "root", "members").agg(F.min("depth").alias("t_depth"), F.min("n").alias("t_least"), F.max("n").alias("t_most"))
-    there = there.withColumnsRenamed({"root": "target", "members": "t_members"})
-    met = mine.join(there, "token").filter(f"(members, root) < (t_members, target) and {num} * n <= {den} * t_most and {num} * t_least <= {den} * n")
-    shared = met.groupBy("class_key", "target", "depth").agg(F.count("*").alias("shared"), F.min("t_depth").alias("t_depth")).filter("shared >= least(depth, t_depth)")
-    pairs = store.stored(shared.select(F.col("class_key").alias("a"), "target"), "last")
-    members = roots.join(pairs.select(F.col("target").alias("root")).distinct(), "root", "left_semi").select(F.col("root").alias("target"), F.col("class_key").alias("b"), F.col("root").alias("b_root"))
+    apart = mine.groupBy("token").agg(F.min("root").alias("target"), F.max("root").alias("hi"), F.min("depth").alias("least")).filter("target < hi").drop("hi")
+    keyed = mine.join(apart, "token").groupBy("class_key", "root", "target").agg(F.count("*").alias("found"), F.min(F.least("depth", "least")).alias("need"))
+    keyed = store.stored(keyed, "keyed")
+    needs = store.stored(keyed.groupBy("class_key").agg(F.count("*").alias("keys"), F.min("need").alias("need")), "needs")
+    keyed = store.stored(keyed.drop("need").join(store.side(needs), "class_key").filter("found * keys >= need").select("target", "class_key", "root"), "groups")
+    sizes = keyed.groupBy("target", "root").agg(F.count("*").alias("members"))
+    main = sizes.groupBy("target").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    main = store.stored(main, "groups-main")
+    keyed = keyed.join(store.side(main), "target")
+    pairs = store.stored(keyed.filter("root != main").select("target", F.col("class_key").alias("a"), F.col("root").alias("a_root")), "probes")
+    members = keyed.select("target", F.col("class_key").alias("b"), F.col("root").alias("b_root"))
     edges = _links(pairs, members, sets, num, den).unionByName(edges)
     roots = components(edges)
 
