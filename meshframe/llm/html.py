@@ -9,6 +9,7 @@ content: all their blocks, short ones too. Page furniture that names itself (by
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from html import unescape
@@ -43,8 +44,10 @@ class _Reader:
     """Collects blocks: path, text, characters in links."""
 
     def __init__(self) -> None:
-        self.blocks: list[tuple[str, str, int]] = []
-        self.stack: list[tuple[str, bool]] = []
+        self.blocks: list[tuple[int, str, int]] = []
+        self.stack: list[tuple[str, bool, int]] = []  # tag, furniture or hidden, path
+        self.paths: dict[tuple[int, str], int] = {}  # a path's number by its parent's and its last tag; 0 is the root
+        self.open: Counter[str] = Counter()
         self.out = 0  # open elements that are furniture or hidden
         self.parts: list[str] = []
         self.linked, self.in_link = 0, 0
@@ -60,12 +63,22 @@ class _Reader:
             text = _SPACE.sub(" ", unescape("".join(self.parts))).replace("\xa0", " ")
             text = " ".join(text.split())
             if text:
-                self.blocks.append(("/".join(t for t, _ in self.stack if t in BLOCKS), text, self.linked))
+                self.blocks.append((self.stack[-1][2] if self.stack else 0, text, self.linked))
             self.parts, self.linked = [], 0
 
+    def push(self, tag: str, bad: bool) -> None:
+        path = self.stack[-1][2] if self.stack else 0
+        if tag in BLOCKS:
+            path = self.paths.setdefault((path, tag), len(self.paths) + 1)
+        self.stack.append((tag, bad, path))
+        self.open[tag] += 1
+        self.out += bad
+
     def pop_to(self, at: int) -> None:
         while len(self.stack) > at:
-            self.out -= self.stack.pop()[1]
+            tag, bad, _ = self.stack.pop()
+            self.open[tag] -= 1
+            self.out -= bad
 
     def start(self, tag: str, attributes: str, closed: bool) -> None:
         if tag == "a":
@@ -84,15 +97,12 @@ class _Reader:
         if tag in VOID or closed and tag not in BLOCKS:
             return
         if tag in BLOCKS or tag in HIDDEN:
-            bad = tag in HIDDEN or tag in FURNITURE or self.named(tag, attributes)
-            self.stack.append((tag, bad))
-            self.out += bad
+            self.push(tag, tag in HIDDEN or tag in FURNITURE or self.named(tag, attributes))
         elif attributes and self.named(tag, attributes):
-            self.stack.append((tag, True))
-            self.out += 1
+            self.push(tag, True)
 
     def named(self, tag: str, attributes: str) -> bool:
-        inside = any(t in ("article", "main") for t, _ in self.stack)
+        inside = self.open["article"] + self.open["main"] > 0
         if tag == "header" and not inside:
             return True
         if "=" not in attributes or tag in ("html", "body", "article", "main"):
@@ -109,7 +119,7 @@ class _Reader:
             self.in_link = 0
         if tag in BLOCKS:
             self.flush()
-        for at in range(len(self.stack) - 1, -1, -1):
+        for at in range(len(self.stack) - 1 if self.open[tag] else -1, -1, -1):
             if self.stack[at][0] == tag:
                 self.pop_to(at)
                 break
@@ -117,8 +127,8 @@ class _Reader:
                 break
 
 
-def read_blocks(html: str) -> list[tuple[str, str, int]]:
-    """(path, text, characters in links) of the blocks with text in page order, without furniture, scripts and markup."""
+def read_blocks(html: str) -> list[tuple[int, str, int]]:
+    """(number of the path, text, characters in links) of the blocks with text in page order, without furniture, scripts and markup."""
     reader, at = _Reader(), 0
     low = None
     while True:
@@ -144,9 +154,9 @@ def read_blocks(html: str) -> list[tuple[str, str, int]]:
     return reader.blocks
 
 
-def content_paths(blocks: list[tuple[str, str, int]]) -> set[str]:
+def content_paths(blocks: list[tuple[int, str, int]]) -> set[int]:
     """The paths whose smoothed, fused ratio is a share of the page's mean at least."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for path, text, linked in blocks:
         own = sums.setdefault(path, [0.0, 0.0, 0.0, 0.0])
         own[0] += 1
@@ -157,7 +167,7 @@ def content_paths(blocks: list[tuple[str, str, int]]) -> set[str]:
     row = [fused[p] for p, _, _ in blocks]
     smooth = [(row[max(i - 1, 0)] + 2 * row[i] + row[min(i + 1, len(row) - 1)]) / 4 for i in range(len(row))]
     mean = sum(s * len(b[1]) for s, b in zip(smooth, blocks, strict=True)) / max(1, sum(len(b[1]) for b in blocks))
-    by: dict[str, list[float]] = {}
+    by: dict[int, list[float]] = {}
     for s, (path, _, _) in zip(smooth, blocks, strict=True):
         by.setdefault(path, []).append(s)
     return {p for p, s in by.items() if sum(s) / len(s) >= LEAST * mean and sums[p][3] <= MOST_LINKED * sums[p][1]}
