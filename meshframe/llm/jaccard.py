@@ -264,14 +264,16 @@ def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERA
         order = [F.lit(_ORDERS[star * 16 + i]).cast("long") for i in range(pivots)]
         if roots is not None:  # pivots only of shingles that are still in several components
             led = led.drop("root").join(store.side(roots), "class_key")
-            apart = led.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+            apart = led.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("depth").alias("least")).filter("lo < hi").drop("lo", "hi")
             led = store.stored(led.join(apart, "token"), "open")
+            able = led.groupBy("class_key").agg(F.count("*").alias("found"), F.min(F.least("depth", "least")).alias("need")).filter("found >= need").select("class_key")
+            led = led.drop("least").join(store.side(store.stored(able, "able")), "class_key", "left_semi")
         pick = [F.min(F.col("class_key").bitwiseXOR(o)).bitwiseXOR(o).alias(f"p{i}") for i, o in enumerate(order)]
         hubs = led.groupBy("token").agg(*pick, F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").drop("lo", "hi")
         led = store.stored(led.join(hubs, "token"), "prefixes")
-        near = led.select("class_key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(pivots))))).alias("pivot")).filter("class_key != pivot")
+        near = led.select("class_key", "depth", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(pivots))))).alias("pivot")).filter("class_key != pivot")
         led = led.drop(*(f"p{i}" for i in range(pivots)))
-        near = near.groupBy("class_key", "pivot").agg(F.count("*").alias("shared"))
+        near = near.groupBy("class_key", "pivot").agg(F.count("*").alias("shared"), F.min("depth").alias("depth")).filter("2 * shared >= depth").drop("depth")
         if roots is not None:
             near = near.join(store.side(roots), "class_key").join(store.side(roots.select(F.col("class_key").alias("pivot"), F.col("root").alias("pivot_root"))), "pivot").filter("root != pivot_root")
         best = F.row_number().over(Window.partitionBy("class_key").orderBy(F.desc("shared"), "pivot"))
