@@ -503,3 +503,20 @@ def i1_i3_i8_stream(spark, sf_dir):
     good, _ = steps.split_defective(steps.read_steps(spark, source, log.schema), F.col("iteration").isNotNull())
     steps.capture(good, {"first": lambda b: replay.replay(b, "first", ["series"]).drop("position_key")}, path, check, "write_seq").awaitTermination()
     return replay.replay(spark.read.parquet(f"{path}/first").select("series", "iteration", "write_seq"), "first", ["series"]).select("series", "iteration", "write_seq")
+
+
+@query(f"WITH {V.LOG} SELECT series, write_seq, iteration FROM (SELECT *, max(iteration) OVER (PARTITION BY series ORDER BY write_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) m FROM g) WHERE m IS NULL OR iteration > m")
+def i4_i5_stream_running_max(spark, sf_dir):
+    """The log as a stream whose state is each series' greatest iteration so far; steps in the order of writing."""
+    source, out, state = (scratch(spark, n) for n in ("late-steps", "late", "late-state"))
+    V.log(spark, sf_dir).select("series", "write_seq", "iteration").repartitionByRange(4, "write_seq").write.parquet(source)
+    stream = steps.running_max_steps(steps.read_steps(spark, source, "series string, write_seq long, iteration long", 1000))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("series string, write_seq long, iteration long").parquet(out)
+
+
+@query("SELECT user_id iteration, event_type path FROM (SELECT DISTINCT user_id, event_type FROM events) e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = e.event_type AND x.value > 50)")
+def d7_uncovered(spark, sf_dir):
+    """Components of which no chunk was written: types of a user without a value over 50."""
+    e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("iteration"), F.col("event_type").alias("path"), "value")
+    return summary.uncovered(e.filter("value > 50"), e.select("iteration", "path").distinct())
