@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 GEOMETRIES = ("cartesian", "thetaMode", "cylindrical", "spherical", "other")
 POWERS = ("L", "M", "T", "I", "theta", "N", "J")
 DEFAULTS = {"geometry": '"cartesian"', "dataOrder": '"C"', "axisLabels": '["x"]', "gridSpacing": "[1.0]", "gridGlobalOffset": "[0.0]", "gridUnitSI": "1.0", "unitSI": "1.0", "position": "[0.0]", "time": "0.0", "dt": "1.0", "timeUnitSI": "1.0"}
-WRITTEN = {"series": ("basePath", "iterationEncoding", "iterationFormat", "openPMD"), "iteration": ("snapshot",), "constant": ("value", "shape")}
+WRITTEN = {"series": ("basePath", "iterationEncoding", "iterationFormat"), "iteration": ("snapshot",), "constant": ("value", "shape")}
 
 
 def wide(attributes: DataFrame, names: list[str]) -> DataFrame:
@@ -55,9 +55,10 @@ def deleted(attributes: DataFrame, gone: DataFrame) -> DataFrame:
     return attributes.join(gone.select("iteration", "path", "name"), ["iteration", "path", "name"], "left_anti")
 
 
-def copied(attributes: DataFrame, node_type: str = "node_type") -> DataFrame:
-    """What a copy takes over: all but the attributes that the writer makes by itself."""
+def copied(attributes: DataFrame, node_type: str = "node_type", version_attribute: str = "version") -> DataFrame:
+    """What a copy takes over: all but the attributes that the writer makes by itself, and the one that names the format's version."""
     own = reduce(lambda a, b: a | b, ((F.col(node_type) == t) & F.col("name").isin(*names) for t, names in WRITTEN.items()))
+    own = own | (F.col(node_type) == "series") & (F.col("name") == version_attribute)
     return attributes.filter(~F.coalesce(own, F.lit(False)))
 
 

@@ -133,7 +133,7 @@ def test_upsert_and_dynamic_overwrite(spark, tmp_path):
 
 
 def test_json_documents(spark, tmp_path):
-    tree = {"attributes": {"openPMD": {"datatype": "STRING", "value": "1.1.0"}}, "data": {"1": {"attributes": {"dt": {"datatype": "DOUBLE", "value": 1}}, "meshes": {"rho": {"attributes": {}, "datatype": "DOUBLE", "data": [[0, 1, None], [3, 4, 5]]}, "bad": {"datatype": "INT", "data": [None]}, "z": {"datatype": "CDOUBLE", "data": [[1, 2], [-3, 4]]}}}}}
+    tree = {"attributes": {"standard": {"datatype": "STRING", "value": "1.1.0"}}, "data": {"1": {"attributes": {"dt": {"datatype": "DOUBLE", "value": 1}}, "meshes": {"rho": {"attributes": {}, "datatype": "DOUBLE", "data": [[0, 1, None], [3, 4, 5]]}, "bad": {"datatype": "INT", "data": [None]}, "z": {"datatype": "CDOUBLE", "data": [[1, 2], [-3, 4]]}}}}}
     (tmp_path / "a.json").write_text(json.dumps(tree))
     (tmp_path / "b.json").write_text("{")
     files = spark.read.format("binaryFile").load(str(tmp_path))
