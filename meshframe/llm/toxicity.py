@@ -31,6 +31,8 @@ LONGEST = 32
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 CACHE = 400_000
+#: Features of the fit that are looked at together.
+PART = 1 << 20
 
 
 def features(word: str) -> list[int]:
@@ -76,23 +78,29 @@ def fit_noisy_or(feature: np.ndarray, size: np.ndarray, sentences_of: np.ndarray
         return (-20.0 if not len(y) or not y.max() else 2.0), theta
     size = size.astype(np.int64)
     doc = np.repeat(np.arange(len(y)), sentences_of)
-    keep = (np.bincount(feature, minlength=1 << BITS) >= 3)[feature]
+    seen = sum(np.bincount(feature[lo : lo + PART], minlength=1 << BITS) for lo in range(0, len(feature), PART))
+    keep = (seen >= 3)[feature]
     row = np.repeat(np.arange(len(size), dtype=np.int32), size)[keep]
     feature = feature[keep]
-    used = np.flatnonzero(np.bincount(feature, minlength=1 << BITS))
+    used = np.flatnonzero(seen >= 3)
     place = np.zeros(1 << BITS, np.int32)
     place[used] = np.arange(len(used))
     feature = place[feature]
     del keep
     w, b, gw, gb = np.zeros(len(used)), -4.0, np.full(len(used), 1e-8), 1e-8
     total = weight.sum()
+    parts = [slice(lo, lo + PART) for lo in range(0, len(feature), PART)]  # temporary arrays stay small
     for _ in range(steps):
-        s = b + np.bincount(row, w[feature], len(size))
+        s = np.full(len(size), b)
+        for i in parts:
+            s += np.bincount(row[i], w[feature[i]], len(size))
         p = np.clip(1 / (1 + np.exp(-s)), 1e-9, 1 - 1e-9)
         clean = np.exp(np.bincount(doc, np.log1p(-p), len(y)))
         toxic = np.maximum(1 - clean, 1e-9)
         g = weight[doc] / total * np.where(y[doc] > 0, p * (clean / toxic)[doc], -p)
-        step = np.bincount(feature, g[row], len(used))
+        step = np.zeros(len(used))
+        for i in parts:
+            step += np.bincount(feature[i], g[row[i]], len(used))
         gw += step * step
         gb += g.sum() ** 2
         scale = rate / np.sqrt(gw)
@@ -160,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, each: int = EACH, most_bytes: int
     sample = labelled_sample(docs.select("doc_id", "text"), grades, each=each, most_bytes=most_bytes)
     got = sample.mapInArrow(_featured, "grade int, weight double, bags binary, sizes binary").toArrow()
     y, weight = np.array(got.column("grade").to_pylist(), int), np.array(got.column("weight").to_pylist(), float)
-    joined = lambda c: np.frombuffer(b"".join(got.column(c).to_pylist()), np.int32)
+    joined = lambda c: np.frombuffer(got.column(c).combine_chunks().cast(pa.large_binary()).buffers()[2] or b"", np.int32)
     sentences_of = np.array([len(x) // 4 for x in got.column("sizes").to_pylist()], int)
     feature, size = joined("bags"), joined("sizes")
     del got
