@@ -3,7 +3,9 @@
 A bounded sample is split into balanced cells, whose centroids stay in memory. Every vector is indexed: in the list of its
 nearest centroid, and, if it lies near a boundary, in further lists whose centroids are almost as near and in other
 directions. A query searches the centroids by best-first search on a graph of their neighbours, and reads the lists whose
-distance is within a ratio of the nearest one's. The first few set a least score, which the vectors of the others must reach.
+distance is within a ratio of the nearest one's, up to a number. Both are fixed by the table itself: the exact neighbours of some
+queries tell how far their lists are, so that what is read grows with the number of lists, and with how evenly the vectors are
+spread. The first few lists set a least score, which the vectors of the others must reach.
 
 Largest inner products become least distances by one more coordinate, sqrt(longest**2 - |x|**2), which is 0 for queries.
 Lists are cut into blocks of bounded size and queries of a list into runs, so that a list which holds a large
@@ -27,9 +29,11 @@ from meshframe.llm import store
 SAMPLE, MOST_LISTS, LIST = 20_000, 8192, 500
 #: Lists of a vector at most, and the ratio of distances within which a boundary vector is replicated.
 COPIES, NEAR = 4, 1.15
-#: Beam of the graph search and neighbours of a centroid; lists read at least and most, and their ratio of distances.
+#: Least beam of the graph search (it's as wide as the lists read) and neighbours of a centroid; lists read at least.
 BEAM, DEGREE = 64, 24
-LEAST_READ, MOST_READ, RATIO = 32, 96, 1.3
+LEAST_READ = 32
+#: Queries whose exact neighbours fix the lists read; shares of these neighbours within the ratio, and within the number too.
+PROBES, WITHIN, AIM = 256, 0.98, 0.95
 #: Lists that set a query's least score before the others are read.
 FIRST_READ = 8
 BLOCK, RUN = 4096, 512
@@ -77,7 +81,7 @@ def neighbour_graph(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
 
 
 def graph_search(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and squared distances of the centroids that best-first search finds for each query, nearest first."""
+    """Ids and squared distances of the centroids that best-first search finds for each query, nearest first; -1 and infinity fill short rows."""
     norm = (c * c).sum(1)
     ids_of, d_of = [], []
     entry = np.unique(np.linspace(0, len(c) - 1, min(len(c), 16)).astype(int))
@@ -89,7 +93,7 @@ def graph_search(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int = BE
         while True:
             order = np.argsort(d, kind="stable")[:beam]
             ids, d, opened = ids[order], d[order], opened[order]
-            new = np.flatnonzero(~opened)[:8]
+            new = np.flatnonzero(~opened)[: max(8, beam // 8)]
             if not len(new):
                 break
             opened[new] = True
@@ -99,8 +103,9 @@ def graph_search(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int = BE
             ids, d, opened = np.concatenate((ids, near)), np.concatenate((d, norm[near] - 2 * c[near] @ one)), np.concatenate((opened, np.zeros(len(near), bool)))
         ids_of.append(ids)
         d_of.append(np.maximum(d + one @ one, 0))
-    width = min(map(len, ids_of))
-    return np.array([i[:width] for i in ids_of]), np.array([d[:width] for d in d_of])
+    width = max(map(len, ids_of))
+    fill = lambda rows, empty: np.array([np.concatenate((r, np.full(width - len(r), empty, r.dtype))) for r in rows])
+    return fill(ids_of, -1), fill(d_of, np.inf)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -112,42 +117,108 @@ def _lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack((x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))))
 
 
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((c * c).sum(1)[None, :] + (x * x).sum(1)[:, None] - 2 * x @ c.T, 0)
+
+
+def lists_of(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Near lists of each vector, nearest first, and which of them hold it: the nearest one and near ones in other directions."""
+    d = _distances(x, c)
+    few = min(2 * COPIES, len(c))
+    near = np.argpartition(d, few - 1, 1)[:, :few]
+    dist = np.take_along_axis(d, near, 1)
+    order = np.argsort(dist, 1, kind="stable")
+    near, dist = np.take_along_axis(near, order, 1), np.take_along_axis(dist, order, 1)
+    taken = np.zeros(near.shape, bool)
+    taken[:, 0] = True
+    for j in range(1, few):
+        ok = (dist[:, j] <= NEAR**2 * dist[:, 0]) & (taken.sum(1) < COPIES)
+        for i in range(j):  # not if a list already taken is nearer to this centroid than the vector is
+            ok &= ~taken[:, i] | (((c[near[:, j]] - c[near[:, i]]) ** 2).sum(1) >= dist[:, j])
+        taken[:, j] = ok
+    return near, taken
+
+
 def _posted(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
-    """Rows of the lists: each vector in its nearest one and in near ones in other directions."""
+    """Rows of the lists: each vector in those that hold it."""
     c, _, longest = index.value
-    norm = (c * c).sum(1)
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
             part = batch.slice(lo, 1024)
-            x = _lifted(_matrix(part.column(1)), longest)
-            d = np.maximum(norm[None, :] + (x * x).sum(1)[:, None] - 2 * x @ c.T, 0)
-            few = min(2 * COPIES, len(c))
-            near = np.argpartition(d, few - 1, 1)[:, :few]
-            dist = np.take_along_axis(d, near, 1)
-            order = np.argsort(dist, 1, kind="stable")
-            near, dist = np.take_along_axis(near, order, 1), np.take_along_axis(dist, order, 1)
-            taken = np.zeros(near.shape, bool)
-            taken[:, 0] = True
-            for j in range(1, few):
-                ok = (dist[:, j] <= NEAR**2 * dist[:, 0]) & (taken.sum(1) < COPIES)
-                for i in range(j):  # not if a list already taken is nearer to this centroid than the vector is
-                    ok &= ~taken[:, i] | (((c[near[:, j]] - c[near[:, i]]) ** 2).sum(1) >= dist[:, j])
-                taken[:, j] = ok
+            near, taken = lists_of(_lifted(_matrix(part.column(1)), longest), c)
             row, col = np.nonzero(taken)
             yield pa.record_batch({"list": pa.array(near[row, col].astype(np.int32)), "vec_id": part.column(0).take(pa.array(row)), "vector": part.column(1).take(pa.array(row))})
 
 
-def _routed(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
+def _probed(batches: Iterator[pa.RecordBatch], index, probes, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best vectors of the task for each probe, with place and ratio of the nearest list that holds them."""
+    c, _, longest = index.value
+    keys, q = probes.value
+    d = _distances(np.column_stack((q, np.zeros(len(q)))), c)
+    place = np.argsort(np.argsort(d, 1, kind="stable"), 1, kind="stable")
+    ratio = np.sqrt(d / np.maximum(d.min(1), np.finfo(float).tiny)[:, None])
+    best = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * len(q)
+    edge = np.full(len(q), -np.inf)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 4096):
+            part = batch.slice(lo, 4096)
+            ids, x = part.column(0).to_numpy(), _matrix(part.column(1))
+            s = q @ x.T
+            s[keys[:, None] == ids[None, :]] = -np.inf
+            able = (s >= edge[:, None]) & (s > -np.inf)
+            used = np.flatnonzero(able.any(0))
+            at = np.zeros(len(ids), int)
+            at[used] = np.arange(len(used))
+            if len(used):
+                near, taken = lists_of(_lifted(x[used], longest), c)
+            for i in np.flatnonzero(able.any(1)):
+                col = np.flatnonzero(able[i])
+                col = col[np.lexsort((ids[col], -s[i, col]))][:k]
+                held, own = near[at[col]], taken[at[col]]
+                new = (s[i, col], ids[col], np.where(own, place[i][held], len(c)).min(1), np.where(own, ratio[i][held], np.inf).min(1))
+                score, key, *rest = (np.concatenate(y) for y in zip(best[i], new, strict=True))
+                order = np.lexsort((key, -score))[:k]
+                best[i] = (score[order], key[order], *(y[order] for y in rest))
+                if len(order) == k:
+                    edge[i] = best[i][0][-1]
+    columns = [np.concatenate(y) for y in zip(*best, strict=True)]
+    yield pa.record_batch({"query_id": np.repeat(keys, [len(b[0]) for b in best]), "vec_id": columns[1], "score": columns[0], "place": columns[2], "ratio": columns[3]})
+
+
+def _reach(place: np.ndarray, ratio: np.ndarray) -> tuple[float, int]:
+    """Least ratio of distances, and least number of lists within it, that reach the shares WITHIN and AIM of the neighbours."""
+    within = min(float(np.sort(ratio)[int(np.ceil(WITHIN * len(ratio))) - 1]) * (1 + 1e-9), 1e6)
+    found = np.sort(np.where(ratio <= within, place, np.iinfo(np.int64).max))
+    return within, int(found[int(np.ceil(AIM * len(found))) - 1]) + 1
+
+
+def reading(rows: DataFrame, asked: DataFrame, index, k: int) -> tuple[float, int]:
+    """Ratio and number of the lists to read, by the exact neighbours of a bounded number of the queries."""
+    taken = asked.orderBy(F.xxhash64("query_id", F.lit(11)), "query_id").limit(PROBES).toArrow().combine_chunks()
+    if not taken.num_rows:
+        return 1.0, LEAST_READ
+    probes = rows.sparkSession.sparkContext.broadcast((taken.column("query_id").to_numpy().astype(np.int64), _matrix(taken.column("query").combine_chunks())))
+    found = rows.mapInArrow(partial(_probed, index=index, probes=probes, k=k), "query_id long, vec_id long, score double, place long, ratio double")
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.distinct().withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("place", "ratio").toArrow()
+    if not found.num_rows:
+        return 1.0, LEAST_READ
+    return _reach(found.column("place").to_numpy(), found.column("ratio").to_numpy())
+
+
+def _routed(batches: Iterator[pa.RecordBatch], index, within: float, most: int) -> Iterator[pa.RecordBatch]:
     """The lists that each query reads."""
     c, graph, _ = index.value
+    most = max(most, LEAST_READ)
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             q = _matrix(part.column(1))
-            ids, d = graph_search(np.column_stack((q, np.zeros(len(q)))), c, graph)
-            read = d <= RATIO**2 * d[:, :1]
+            ids, d = graph_search(np.column_stack((q, np.zeros(len(q)))), c, graph, max(BEAM, most))
+            read = d <= within**2 * d[:, :1]
             read[:, :LEAST_READ] = True
-            read[:, MOST_READ:] = False
+            read[:, most:] = False
+            read &= ids >= 0
             row, col = np.nonzero(read)
             yield pa.record_batch({"list": pa.array(ids[row, col].astype(np.int32)), "place": pa.array(col.astype(np.int32)), "query_id": part.column(0).take(pa.array(row)), "query": part.column(1).take(pa.array(row))})
 
@@ -222,8 +293,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, sample: int
     c = balanced_cells(_lifted(_matrix(taken), longest), int(min(MOST_LISTS, max(1, n // aim))))
     index = spark.sparkContext.broadcast((c, neighbour_graph(c), longest))
     kind = vectors.schema["embedding"].dataType.simpleString()
+    within, most = reading(rows, asked, index, k)
     lists = store.stored(rows.mapInArrow(partial(_posted, index=index), f"list int, vec_id long, vector {kind}"), "lists")
-    routes = store.stored(asked.mapInArrow(partial(_routed, index=index), f"list int, place int, query_id long, query {queries.schema['embedding'].dataType.simpleString()}"), "routes")
+    routes = store.stored(asked.mapInArrow(partial(_routed, index=index, within=within, most=most), f"list int, place int, query_id long, query {queries.schema['embedding'].dataType.simpleString()}"), "routes")
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     # The nearest lists give each query a least score; from the others only vectors that reach it come.
     near = store.stored(_searched(routes.filter(F.col("place") < FIRST_READ).withColumn("least", F.lit(float("-inf"))), lists, sizes, k), "near")

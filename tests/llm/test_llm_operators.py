@@ -260,6 +260,21 @@ def test_nearest_of_few_rows(spark):
     assert ann.nearest(df.limit(0), df).count() == 0 and ann.nearest(df.limit(1), df.limit(1)).count() == 0
 
 
+def test_recall_with_hundreds_of_lists(spark):
+    x = np.random.default_rng(4).normal(size=(8000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), aim=20).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = []
+    for i in range(0, 8000, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits.append(len(got[i] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+
+
 def test_recall_and_balance():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16)) + 3 * rng.normal(size=(10, 16))[rng.integers(0, 10, 3000)]
