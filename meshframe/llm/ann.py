@@ -27,8 +27,9 @@ from meshframe.llm import store
 
 #: Vectors of the sample that fixes the cells, and the most cells; vectors of a list that cells aim at.
 SAMPLE, MOST_LISTS, LIST = 20_000, 8192, 500
-#: Lists of a vector at most, and the ratio of distances within which a boundary vector is replicated.
-COPIES, NEAR = 4, 1.15
+#: Lists of a vector at most, and the ratio of distances within which a boundary vector is replicated. Two centroids nearer to
+#: each other than this share of the vector's distance are in one direction; in many dimensions, vectors are far from all centroids.
+COPIES, NEAR, APART = 4, 1.15, 0.2
 #: Least beam of the graph search (it's as wide as the lists read) and neighbours of a centroid; lists read at least.
 BEAM, DEGREE = 64, 24
 LEAST_READ = 32
@@ -133,8 +134,8 @@ def lists_of(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     taken[:, 0] = True
     for j in range(1, few):
         ok = (dist[:, j] <= NEAR**2 * dist[:, 0]) & (taken.sum(1) < COPIES)
-        for i in range(j):  # not if a list already taken is nearer to this centroid than the vector is
-            ok &= ~taken[:, i] | (((c[near[:, j]] - c[near[:, i]]) ** 2).sum(1) >= dist[:, j])
+        for i in range(j):  # not if a list already taken is much nearer to this centroid than the vector is
+            ok &= ~taken[:, i] | (((c[near[:, j]] - c[near[:, i]]) ** 2).sum(1) >= APART**2 * dist[:, j])
         taken[:, j] = ok
     return near, taken
 

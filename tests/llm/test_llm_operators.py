@@ -275,6 +275,27 @@ def test_recall_with_hundreds_of_lists(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_boundary_vectors_have_copies_and_ratio_separates_lists():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(10000, 64))
+    x = ann._lifted(x / np.linalg.norm(x, axis=1, keepdims=True), 1.0)
+    c = ann.balanced_cells(x, 200)
+    near, taken = ann.lists_of(x, c)
+    assert taken[:, 0].all() and 2 < taken.sum(1).mean() <= ann.COPIES
+    # Clusters far from each other: no vector is replicated into another cluster.
+    far = 50 * np.eye(64)[:4]
+    y = np.repeat(far, 500, 0) + rng.normal(size=(2000, 64))
+    assert ann.lists_of(y, far)[1].sum() == len(y)
+    # The ratio and number of lists that hold the neighbours of queries leave out most lists.
+    d = ann._distances(x[:100], c)
+    ratio, place = np.sqrt(d / d.min(1)[:, None]), np.argsort(np.argsort(d, 1), 1)
+    s = x[:100, :64] @ x[:, :64].T
+    top = np.argsort(-s, 1)[:, 1:21]
+    held, at = taken[top], (np.arange(100)[:, None, None], near[top])
+    within, most = ann._reach(np.where(held, place[at], 200).min(2).ravel(), np.where(held, ratio[at], np.inf).min(2).ravel())
+    assert most < 100 and (ratio <= within).mean() < 0.75
+
+
 def test_recall_and_balance():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16)) + 3 * rng.normal(size=(10, 16))[rng.integers(0, 10, 3000)]
