@@ -3,7 +3,8 @@
 A page is read into blocks, each with its root-to-leaf path of block tags. Text length and punctuation are
 aggregated by path; a path's ratios are those sums over its number of blocks. The two ratios are fused, less the share of
 text in links, smoothed over neighbouring blocks in page order, and paths of at least a share of the page's mean are
-content: all their blocks, short ones too. Page furniture that names itself (by tag, role, class or id) has no part in the ratios.
+content: all their blocks, short ones too. Blocks of other paths (lists, tables, references) follow what they stand with: the
+article or main element of content, or, unless they are mostly links, the element that holds it. Page furniture that names itself (by tag, role, class or id) has no part in the ratios.
 """
 
 from __future__ import annotations
@@ -41,11 +42,12 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class _Reader:
-    """Collects blocks: path, text, characters in links."""
+    """Collects blocks: path, text, characters in links, element."""
 
     def __init__(self) -> None:
-        self.blocks: list[tuple[int, str, int]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # tag, furniture or hidden, path
+        self.blocks: list[tuple[int, str, int, int]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, furniture or hidden, path, block element
+        self.elements: list[tuple[str, int]] = [("", 0)]  # tag and parent of each block element; 0 is the root
         self.paths: dict[tuple[int, str], int] = {}  # a path's number by its parent's and its last tag; 0 is the root
         self.open: Counter[str] = Counter()
         self.out = 0  # open elements that are furniture or hidden
@@ -63,20 +65,22 @@ class _Reader:
             text = _SPACE.sub(" ", unescape("".join(self.parts))).replace("\xa0", " ")
             text = " ".join(text.split())
             if text:
-                self.blocks.append((self.stack[-1][2] if self.stack else 0, text, self.linked))
+                self.blocks.append((self.stack[-1][2] if self.stack else 0, text, self.linked, self.stack[-1][3] if self.stack else 0))
             self.parts, self.linked = [], 0
 
     def push(self, tag: str, bad: bool) -> None:
-        path = self.stack[-1][2] if self.stack else 0
+        path, element = self.stack[-1][2:] if self.stack else (0, 0)
         if tag in BLOCKS:
             path = self.paths.setdefault((path, tag), len(self.paths) + 1)
-        self.stack.append((tag, bad, path))
+            self.elements.append((tag, element))
+            element = len(self.elements) - 1
+        self.stack.append((tag, bad, path, element))
         self.open[tag] += 1
         self.out += bad
 
     def pop_to(self, at: int) -> None:
         while len(self.stack) > at:
-            tag, bad, _ = self.stack.pop()
+            tag, bad, *_ = self.stack.pop()
             self.open[tag] -= 1
             self.out -= bad
 
@@ -127,8 +131,8 @@ class _Reader:
                 break
 
 
-def read_blocks(html: str) -> list[tuple[int, str, int]]:
-    """(number of the path, text, characters in links) of the blocks with text in page order, without furniture, scripts and markup."""
+def read_blocks(html: str) -> tuple[list[tuple[int, str, int, int]], list[tuple[str, int]]]:
+    """(number of the path, text, characters in links, element) of the blocks with text in page order, without furniture, scripts and markup; tag and parent of the elements."""
     reader, at = _Reader(), 0
     low = None
     while True:
@@ -151,32 +155,55 @@ def read_blocks(html: str) -> list[tuple[int, str, int]]:
             reader.start(tag, attributes, attributes.endswith("/"))
     reader.text(html[at:])
     reader.flush()
-    return reader.blocks
+    return reader.blocks, reader.elements
 
 
-def content_paths(blocks: list[tuple[int, str, int]]) -> set[int]:
-    """The paths whose smoothed, fused ratio is a share of the page's mean at least."""
+def content_paths(blocks: list[tuple[int, str, int, int]]) -> tuple[set[int], set[int]]:
+    """The paths whose smoothed, fused ratio is a share of the page's mean at least, and the paths that are mostly links."""
     sums: dict[int, list[float]] = {}
-    for path, text, linked in blocks:
+    for path, text, linked, _ in blocks:
         own = sums.setdefault(path, [0.0, 0.0, 0.0, 0.0])
         own[0] += 1
         own[1] += len(text)
         own[2] += len(_MARKS.findall(text))
         own[3] += min(linked, len(text))
     fused = {p: ((c / n) * (1 + m / n)) ** 0.5 * (1 - l / c) for p, (n, c, m, l) in sums.items()}  # noqa: E741
-    row = [fused[p] for p, _, _ in blocks]
+    row = [fused[p] for p, *_ in blocks]
     smooth = [(row[max(i - 1, 0)] + 2 * row[i] + row[min(i + 1, len(row) - 1)]) / 4 for i in range(len(row))]
     mean = sum(s * len(b[1]) for s, b in zip(smooth, blocks, strict=True)) / max(1, sum(len(b[1]) for b in blocks))
     by: dict[int, list[float]] = {}
-    for s, (path, _, _) in zip(smooth, blocks, strict=True):
+    for s, (path, *_) in zip(smooth, blocks, strict=True):
         by.setdefault(path, []).append(s)
-    return {p for p, s in by.items() if sum(s) / len(s) >= LEAST * mean and sums[p][3] <= MOST_LINKED * sums[p][1]}
+    linked = {p for p in by if sums[p][3] > MOST_LINKED * sums[p][1]}
+    return {p for p, s in by.items() if sum(s) / len(s) >= LEAST * mean} - linked, linked
+
+
+def content_blocks(blocks: list[tuple[int, str, int, int]], elements: list[tuple[str, int]]) -> list[bool]:
+    """Which blocks are content: those of content paths, and those that stand with them."""
+    paths, linked = content_paths(blocks)
+    zone = [0] * len(elements)  # the nearest article or main element
+    for e in range(1, len(elements)):
+        tag, parent = elements[e]
+        zone[e] = e if tag in ("article", "main") else zone[parent]
+    sure = [i for i, b in enumerate(blocks) if b[0] in paths]
+    zones = {zone[blocks[i][3]] for i in sure} - {0}
+    # Elements that hold content, themselves or in a child. The body holds everything: there, only what is between counts.
+    holds = {h for i in sure for h in (blocks[i][3], elements[blocks[i][3]][1])}
+    top = [i for i in sure if elements[elements[blocks[i][3]][1]][0] in ("", "html", "body")]
+    under = [False] * len(elements)
+    for e in range(1, len(elements)):
+        tag, parent = elements[e]
+        under[e] = under[parent] or (e in holds and tag not in ("html", "body"))
+    out = []
+    for i, (path, _, _, e) in enumerate(blocks):
+        near = under[e] or (bool(top) and top[0] < i < top[-1])
+        out.append(path in paths or zone[e] in zones or (not zone[e] and path not in linked and near))
+    return out
 
 
 def main_text(html: str) -> str:
-    blocks = read_blocks(html)
-    keep = content_paths(blocks)
-    return "\n".join(text for path, text, _ in blocks if path in keep)
+    blocks, elements = read_blocks(html)
+    return "\n".join(b[1] for b, keep in zip(blocks, content_blocks(blocks, elements), strict=True) if keep)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:

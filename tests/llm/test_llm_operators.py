@@ -232,6 +232,27 @@ def test_page_text(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_lists_tables_and_links_of_an_article():
+    para = f"<p>{'Words of a long paragraph, ' * 22}to its end.</p>"
+    parts = {
+        "<ul>{}</ul>": [f"<li>item {i}</li>" for i in range(30)],
+        "<table>{}</table>": [f"<tr><td>{i}</td><td>{i * 7}</td></tr>" for i in range(30)],
+        "<h2>References</h2><ol>{}</ol>": [f"<li><a href='/{i}'>Reference {i}</a></li>" for i in range(12)],
+    }
+    lines = lambda x: [t for t in re.split("<[^>]*>", x) if t]
+    menu = f"<div><ul>{''.join(f'<li><a href=/{i}>Menu {i}</a></li>' for i in range(20))}</ul></div>"
+    for outer in ("article", "main", "div"):
+        for shape, rows in parts.items():
+            part = shape.format("".join(rows))
+            if outer == "div" and "href" in part:
+                continue  # without an article element, lists of links are taken for menus
+            for inside in (para * 5 + part + para * 4, para * 9 + part):
+                got = html.main_text(f"<html><body>{menu}<{outer}><h1>Title</h1>{inside}</{outer}>{menu}</body></html>")
+                assert got.split("\n") == ["Title", *lines(inside)]
+    between = para * 3 + "<ul><li>one</li><li>two</li></ul>" + para * 3
+    assert html.main_text(f"<body>{menu}{between}{menu}</body>").split("\n") == lines(between)
+
+
 # Nearest neighbours -------------------------------------------------------------------------------
 
 
