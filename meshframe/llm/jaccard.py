@@ -8,12 +8,17 @@ So a longer prefix may demand more matches:
    document in whose l-prefix fewer than l can is linked with nothing: it goes no further. Equal sets are one class.
 2. The classes left order their shingles by rarity, by estimates over all of them. Each picks the l of least
    cost: the classes that its prefix's shingles lead to, weighed up by 1 / l for those left to verify.
-3. Star rounds: each class is verified against pivots of the shingles it shares. Buckets of copies shrink to components
+3. A star round: each class is compared with pivots of the shingles it shares. Buckets of copies shrink to components
    without their pairs.
 4. What is left are shingles whose classes lie in different components. They are grouped by the least component of
-   each shingle; the classes outside the largest component of a group are verified against all others of the group, in
-   blocks of bounded size, by exact intersection sizes. Rows grow with the classes and not with their pairs, and no
-   two classes of different components that can link are left out, so no link between components is lost.
+   each shingle; the classes outside the largest component of a group are compared with all others of the group, in
+   blocks of bounded size. Rows grow with the classes and not with their pairs, and no two classes of different
+   components that can link are left out, so no link between components is lost.
+
+Comparisons go by signatures, one bit for each residue of the shingles' hashes: the parity of their number. Two sets differ in
+as many shingles at least as their signatures differ in bits, so a pair of signatures too far apart is no link; a
+signature has a thirtieth of its set's bytes. Of the pairs left, the nearest one for each class and component is verified by
+the exact intersection of its sets; where that one is no link, the sets of all members of the component are.
 
 Pairs inside one component need no check: the result is the components. Hashes have 64 bits.
 """
@@ -29,6 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from meshframe.llm import sketch, store
 from meshframe.llm.components import components
@@ -39,14 +45,16 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: The longest prefix has this share of the set's size as its l.
 DEEPEST = 8
-#: Sets in a block that one task verifies against, and the longest run of its probes.
-BLOCK = 1024
-#: Pivots of a shingle, and the most that a class is verified against, in each star round.
-STARS = ((2, 2), (8, 8))
+#: Sets in a block that one task verifies against, and the longest run of its probes. Signatures come in larger blocks.
+BLOCK, SIGNATURES = 1024, 8192
+#: Pivots of a shingle, and the most that a class is compared with.
+PIVOTS, COMPARED = 2, 4
+#: Classes that one copy of a pivot's set is verified against.
+SPOKES = 64
 #: The cost of a verification in units of a shingle looked up.
 VERIFY = 2
 #: Orders of the classes by which pivots are the first ones: keys are hashes, so flipping bits of them is an order of its own.
-_ORDERS = [0, *(int(x) for x in mix(np.arange(1, 64, dtype=np.uint64), 9).view(np.int64))]
+_ORDERS = [0, *(int(x) for x in mix(np.arange(1, 8, dtype=np.uint64), 9).view(np.int64))]
 #: Cells of a row of the shingles' frequency estimates.
 RARITY_BITS = 18
 
@@ -182,22 +190,119 @@ def _tokens(batches: Iterator[pa.RecordBatch], rarity, num: int, den: int) -> It
             depth, stop = options[best, np.arange(len(n))], stops[best, np.arange(len(n))]
             size = stop - begin[:-1]
             place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            level = np.maximum(1, place - np.repeat(n - least, size) + 1).astype(np.int32)
             take = pa.array(np.repeat(np.arange(len(n)), size))
             yield pa.record_batch({
                 "token": pa.array(values[np.repeat(begin[:-1], size) + place].view(np.int64)), "class_key": part.column(part.schema.get_field_index("class_key")).take(take),
-                "n": pa.array(np.repeat(n, size).astype(np.int32)), "level": pa.array(level), "depth": pa.array(np.repeat(depth, size).astype(np.int32)),
+                "depth": pa.array(np.repeat(depth, size).astype(np.int32)),
             })
 
 
+def _signature(values: np.ndarray) -> bytes:
+    """Parities of the hashes by residue: two bits or more a hash, a power of two of them."""
+    bits = 1 << max(6, int(2 * len(values) - 1).bit_length())
+    at = (mix(values, 7) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        blobs = [_signature(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column(2)]
+        yield pa.record_batch({"class_key": batch.column(0), "n": batch.column(1), "signature": pa.array(blobs, pa.binary())})
+
+
+def _folded(signature: np.ndarray, size: int) -> np.ndarray:
+    """Signatures (rows of bytes) in fewer bytes: parities of residues add up."""
+    while signature.shape[-1] > size:
+        half = signature.shape[-1] // 2
+        signature = signature[..., :half] ^ signature[..., half:]
+    return signature
+
+
+def _apart(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Bits in which each signature differs from that of the other side."""
+    size = min(own.shape[-1], others.shape[-1])
+    differ = np.ascontiguousarray(_folded(own, size) ^ _folded(others, size))
+    return np.bitwise_count(differ.view(np.uint64)).sum(-1, dtype=np.int64)
+
+
+class _Held:
+    """Signatures of several widths, each width in one array."""
+
+    def __init__(self, signatures: list[bytes]):
+        self.width = np.array([len(x) for x in signatures], np.int64)
+        self.place = np.zeros(len(signatures), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.rows[w] = np.frombuffer(b"".join(signatures[i] for i in at), np.uint8).reshape(len(at), w)
+
+    def apart(self, i: np.ndarray, other: _Held, j: np.ndarray) -> np.ndarray:
+        """Bits in which the i-th signatures of this side differ from the j-th ones of the other."""
+        out = np.zeros(len(i), np.int64)
+        both = self.width[i] << 32 | other.width[j]
+        for key in np.unique(both).tolist():
+            at = np.flatnonzero(both == key)
+            x, y = self.rows[key >> 32], other.rows[key & 0xFFFFFFFF]
+            step = max(1, (1 << 22) // max(x.shape[1], y.shape[1]))
+            for lo in range(0, len(at), step):
+                some = at[lo : lo + step]
+                out[some] = _apart(x[self.place[i[some]]], y[other.place[j[some]]])
+        return out
+
+
+def _may_link(n: int, others: np.ndarray, apart: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of n and others shingles can link if they differ in apart of them or more."""
+    both = n + others
+    return ((den + num) * (both - apart) >= 2 * num * both) & (den * np.minimum(n, others) >= num * np.maximum(n, others))
+
+
+def _pairs_near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) that may link, with the bits that they are apart."""
+    for batch in batches:
+        get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+        x, y = _Held(get("a_signature").to_pylist()), _Held(get("b_signature").to_pylist())
+        apart = x.apart(np.arange(batch.num_rows), y, np.arange(batch.num_rows))
+        near = _may_link(get("a_n").to_numpy(), get("b_n").to_numpy(), apart, num, den)
+        yield pa.record_batch({"a": get("a"), "b": get("b"), "apart": pa.array(apart)}).filter(pa.array(near, pa.bool_()))
+
+
+def _near(probes: pd.DataFrame, block: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """For each probe, the nearest of the set's members in the same place, for each other component that holds one which may link."""
+    names, found = ["target", "block", "run"], []
+    if len(probes) and len(block):
+        block = block.sort_values(names, kind="stable")
+        starts = block[names].drop_duplicates().assign(lo=lambda x: block.index.get_indexer(x.index))
+        starts["hi"] = np.append(starts["lo"].to_numpy()[1:], len(block))
+        probes = probes.merge(starts, on=names)
+        ours, theirs = _Held(probes["a_signature"].tolist()), _Held(block["b_signature"].tolist())
+        keys, roots, sizes = (block[c].to_numpy() for c in ("b", "b_root", "b_n"))
+        own_key, own_root, own_size, lo, many = probes["a"].to_numpy(), probes["a_root"].to_numpy(), probes["a_n"].to_numpy(), probes["lo"].to_numpy(), (probes["hi"] - probes["lo"]).to_numpy()
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(probes):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - many[at] + (1 << 18), side="right")))
+            i = np.repeat(np.arange(at, to), many[at:to])
+            j = np.arange(len(i)) + np.repeat(lo[at:to] - ends[at:to] + many[at:to] + (ends[at] - many[at]), many[at:to])
+            able = (roots[j] != own_root[i]) & (den * np.minimum(own_size[i], sizes[j]) >= num * np.maximum(own_size[i], sizes[j]))
+            i, j = i[able], j[able]
+            apart = ours.apart(i, theirs, j)
+            near = _may_link(own_size[i], sizes[j], apart, num, den)
+            part = pd.DataFrame({"a": own_key[i[near]], "a_root": own_root[i[near]], "b": keys[j[near]], "b_root": roots[j[near]], "apart": apart[near]})
+            found.append(part.sort_values(["apart", "b"]).drop_duplicates(["a", "b_root"]))
+            at = to
+    return pd.concat(found) if found else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "a_root", "b", "b_root", "apart")})
+
+
 def _pairs_linked(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a_set", "b_set")]
-        keep = []
+        linked = []
         for x, y in zip(*sets, strict=True):
             common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-            keep.append(den * common >= num * ((len(x) + len(y)) // 8 - common))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            linked.append(den * common >= num * ((len(x) + len(y)) // 8 - common))
+        names = [c for c in batch.schema.names if c not in ("a_set", "b_set", "run")]
+        yield batch.select(names).append_column("linked", pa.array(linked, pa.bool_()))
 
 
 def _verified(probes: pd.DataFrame, block: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
@@ -223,71 +328,95 @@ def _verified(probes: pd.DataFrame, block: pd.DataFrame, num: int, den: int) ->
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of the classes of pairs (target, a, a_root) with the members (target, b, b_root) of their targets that have another root.
+def _dealt(pairs: DataFrame, members: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Probes (target, a, a_root) and members (target, b, b_root) with block and run: members in blocks of about size, probes to every block of their target in runs of four times as many.
 
-    Members are dealt into blocks of about BLOCK sets, probes to every block of their target in runs of as many.
+    part is the group of small blocks, or part of a large one, that one call compares: about size rows of each side.
     """
-    blocks = members.groupBy("target").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    runs = pairs.groupBy("target").agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("runs"))
-    shape = blocks.join(runs, "target")
-    dealt = members.join(shape, "target").withColumn("block", F.pmod(F.xxhash64("b"), "blocks")).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)))
-    right = dealt.join(sets.select(F.col("class_key").alias("b"), F.col("shingles").alias("b_set")), "b").selectExpr("target as target", "block as block", "run as run", "b", "b_root", "b_set")
-    probes = pairs.join(shape, "target").withColumn("run", F.pmod(F.xxhash64("a"), "runs")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = probes.join(sets.select(F.col("class_key").alias("a"), F.col("shingles").alias("a_set")), "a").selectExpr("target as target", "block as block", "run as run", "a", "a_root", "a_set")
-    by = ("target", "block", "run")
-    check = lambda l, r: _verified(l, r, num, den)  # noqa: E731, E741
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(check, "a long, b long")
+    blocks = members.groupBy("target").agg(F.ceil(F.count("*") / size).alias("blocks"), F.count("*").alias("members"))
+    runs = pairs.groupBy("target").agg(F.ceil(F.count("*") / (4 * size)).alias("runs"))
+    shape = store.stored(blocks.join(runs, "target"), "shape")
+    rows = shape.agg(F.sum(F.col("members") * F.col("runs"))).first()[0] or 0
+    shape = store.side(shape.drop("members"))
+    right = members.join(shape, "target").withColumn("block", F.pmod(F.xxhash64("b"), "blocks")).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)))
+    left = pairs.join(shape, "target").withColumn("run", F.pmod(F.xxhash64("a"), "runs")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    part = F.pmod(F.xxhash64("target", "block", "run"), F.lit(rows // size + 1))
+    place = ("part as part", "target as target", "block as block", "run as run")  # new names for the cogroups
+    return left.withColumn("part", part).selectExpr(*place, "a", "a_root"), right.withColumn("part", part).selectExpr(*place, "b", "b_root")
+
+
+def _nearest(pairs: DataFrame, members: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, a_root, b, b_root, apart): for each probe and component of its targets that may link with it, the nearest member."""
+    left, right = _dealt(pairs, members, SIGNATURES)
+    side = lambda x: signatures.select(F.col("class_key").alias(x), F.col("n").alias(f"{x}_n"), F.col("signature").alias(f"{x}_signature"))
+    left, right = left.join(side("a"), "a"), right.join(side("b"), "b")
+    kind = "a long, a_root long, b long, b_root long, apart long"
+    found = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(lambda x, y: _near(x, y, num, den), kind)
+    return found.groupBy("a", "a_root", "b_root").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "a_root", "best.b", "b_root", "best.apart")
 
 
-def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, stars: tuple = STARS) -> DataFrame:
+def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of the classes of pairs (target, a, a_root) with the members (target, b, b_root) of their targets that have another root."""
+    left, right = _dealt(pairs, members, BLOCK)
+    left = left.join(sets.select(F.col("class_key").alias("a"), F.col("shingles").alias("a_set")), "a")
+    right = right.join(sets.select(F.col("class_key").alias("b"), F.col("shingles").alias("b_set")), "b")
+    by = ("target", "block", "run")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda x, y: _verified(x, y, num, den), "a long, b long")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The stored pairs (a, b, ...) with linked, by their sets. A pivot b of many pairs is copied for each SPOKES of them."""
+    runs = store.stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / SPOKES).alias("runs")), "pivots")
+    salted = pairs.join(store.side(runs), "b").withColumn("run", F.pmod(F.xxhash64("a"), "runs")).drop("runs")
+    ours = sets.select(F.col("class_key").alias("a"), F.col("shingles").alias("a_set")).join(store.side(store.stored(salted, "spokes")), "a")
+    theirs = sets.select(F.col("class_key").alias("b"), F.col("shingles").alias("b_set")).join(store.side(runs), "b").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1))).drop("runs")
+    kind = StructType([*(f for f in pairs.schema.fields), StructField("linked", BooleanType())])
+    out = ours.join(theirs.hint("shuffle_hash"), ["b", "run"]).select(*pairs.columns, "a_set", "b_set")
+    return out.mapInArrow(partial(_pairs_linked, num=num, den=den), kind)
+
+
+def _star(led: DataFrame, signatures: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of classes with one of the pivots of the shingles that they share."""
+    near = led.select("class_key", "depth", *(f"p{i}" for i in range(PIVOTS))).repartition("class_key")
+    near = near.select("class_key", "depth", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("pivot")).filter("class_key != pivot")
+    near = near.groupBy("class_key", "pivot").agg(F.count("*").alias("shared"), F.min("depth").alias("depth")).filter("2 * shared >= depth").drop("depth")
+    best = F.row_number().over(Window.partitionBy("class_key").orderBy(F.desc("shared"), "pivot"))
+    pairs = near.withColumn("best", best).filter(F.col("best") <= COMPARED).select(F.col("class_key").alias("a"), F.col("pivot").alias("b"))
+    side = lambda x: signatures.select(F.col("class_key").alias(x), F.col("n").alias(f"{x}_n"), F.col("signature").alias(f"{x}_signature"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(partial(_pairs_near, num=num, den=den), "a long, b long, apart long")
+    pairs = store.stored(pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b"), "pairs")
+    return _checked(pairs, sets, num, den).filter("linked").select("a", "b")
+
+
+def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
     component_id is the least doc_id that links reach. Links are pairs of shingle sets with
     den * intersection >= num * union. Null and empty texts, and texts without words, have no shingles and link with
     nothing, not even each other. Rows that repeat a doc_id are one document if their sets are equal; a doc_id with
     several texts connects the components of all of them only if they link. Rows without a doc_id keep a null
-    component_id, unless they link with one that has an id. An empty table gives an empty table.
+    component_id, unless they link with one that has an id. An empty table gives an empty table. doc_id may have any
+    type that has an order, structs too; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     expected = sketch.text_bytes(docs, "text") // 12
     seen = sketch.repeats(docs, "text", partial(_prefix_hashes, words=words, num=num, den=den), expected)
-    rows = docs.mapInArrow(partial(_sets, words=words, num=num, den=den, seen=seen), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SETS}")
+    kind = StructType([docs.schema["doc_id"], *StructType.fromDDL(_SETS).fields])
+    rows = docs.mapInArrow(partial(_sets, words=words, num=num, den=den, seen=seen), kind)
     rows = store.stored(rows.withColumn("row_no", F.monotonically_increasing_id()), "sets")
     first = store.stored(rows.filter("shingles is not null").groupBy("class_key").agg(F.min("row_no").alias("row_no")).select("row_no"), "classes")
     sets = rows.join(store.side(first), "row_no", "left_semi").select("class_key", F.col("n_shingles").cast("int").alias("n"), "shingles")
-    tokens = sets.mapInArrow(partial(_tokens, rarity=_rarity(sets), num=num, den=den), "token long, class_key long, n int, level int, depth int")
-
-    # Star rounds. roots is where each class stands: itself at first.
-    led, roots, edges = tokens.withColumn("root", F.col("class_key")), None, None
-    for star, (pivots, most) in enumerate(stars):
-        order = [F.lit(_ORDERS[star * 16 + i]).cast("long") for i in range(pivots)]
-        if roots is not None:  # pivots only of shingles that are still in several components
-            led = led.drop("root").join(store.side(roots), "class_key")
-            apart = led.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("depth").alias("least")).filter("lo < hi").drop("lo", "hi")
-            led = store.stored(led.join(apart, "token"), "open")
-            able = led.groupBy("class_key").agg(F.count("*").alias("found"), F.min(F.least("depth", "least")).alias("need")).filter("found >= need").select("class_key")
-            led = led.drop("least").join(store.side(store.stored(able, "able")), "class_key", "left_semi")
-        pick = [F.min(F.col("class_key").bitwiseXOR(o)).bitwiseXOR(o).alias(f"p{i}") for i, o in enumerate(order)]
-        hubs = led.groupBy("token").agg(*pick, F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").drop("lo", "hi")
-        led = store.stored(led.join(hubs, "token"), "prefixes")
-        near = led.select("class_key", "depth", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(pivots))))).alias("pivot")).filter("class_key != pivot")
-        led = led.drop(*(f"p{i}" for i in range(pivots)))
-        near = near.groupBy("class_key", "pivot").agg(F.count("*").alias("shared"), F.min("depth").alias("depth")).filter("2 * shared >= depth").drop("depth")
-        if roots is not None:
-            near = near.join(store.side(roots), "class_key").join(store.side(roots.select(F.col("class_key").alias("pivot"), F.col("root").alias("pivot_root"))), "pivot").filter("root != pivot_root")
-        best = F.row_number().over(Window.partitionBy("class_key").orderBy(F.desc("shared"), "pivot"))
-        pairs = store.stored(near.withColumn("best", best).filter(F.col("best") <= most).select(F.col("class_key").alias("a"), F.col("pivot").alias("b")), "pairs")
-        hub = store.stored(pairs.select("b").distinct(), "pivots")
-        ours = sets.select(F.col("class_key").alias("a"), F.col("shingles").alias("a_set")).join(store.side(pairs), "a")
-        theirs = sets.select(F.col("class_key").alias("b"), F.col("shingles").alias("b_set")).join(store.side(hub), "b", "left_semi")
-        new = ours.join(theirs.hint("shuffle_hash"), "b").mapInArrow(partial(_pairs_linked, num=num, den=den), "a long, b long")
-        edges = store.stored(new if edges is None else new.unionByName(edges), "links")
-        roots = _relabelled(sets, edges)
+    signatures = store.stored(sets.mapInArrow(_signatures, "class_key long, n int, signature binary"), "signatures")
+    tokens = sets.mapInArrow(partial(_tokens, rarity=_rarity(sets), num=num, den=den), "token long, class_key long, depth int")
+    pick = [F.min(F.col("class_key").bitwiseXOR(F.lit(o))).bitwiseXOR(F.lit(o)).alias(f"p{i}") for i, o in enumerate(_ORDERS[:PIVOTS])]
+    hubs = tokens.groupBy("token").agg(*pick, F.count("*").alias("classes")).filter("classes > 1").drop("classes")
+    led = store.stored(tokens.join(hubs, "token"), "prefixes")
+    edges = _star(led, signatures, sets, num, den)
+    roots = store.stored(components(edges), "roots")
 
     # The exact rest: shingles whose classes lie in different components. A shingle's least root is its key; two classes
     # that share shingles share their keys, and some key has at least its part of the matches that they need.
-    mine = led.drop("root").join(store.side(roots), "class_key")
+    mine = led.select("token", "class_key", "depth").join(store.side(roots).withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("root", F.coalesce("root", "class_key"))
     apart = mine.groupBy("token").agg(F.min("root").alias("target"), F.max("root").alias("hi"), F.min("depth").alias("least")).filter("target < hi").drop("hi")
     keyed = mine.join(apart, "token").groupBy("class_key", "root", "target").agg(F.count("*").alias("found"), F.min(F.least("depth", "least")).alias("need"))
     keyed = store.stored(keyed, "keyed")
@@ -295,21 +424,31 @@ def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERA
     keyed = store.stored(keyed.drop("need").join(store.side(needs), "class_key").filter("found * keys >= need").select("target", "class_key", "root"), "groups")
     sizes = keyed.groupBy("target", "root").agg(F.count("*").alias("members"))
     main = sizes.groupBy("target").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-    main = store.stored(main, "groups-main")
-    keyed = keyed.join(store.side(main), "target")
-    pairs = store.stored(keyed.filter("root != main").select("target", F.col("class_key").alias("a"), F.col("root").alias("a_root")), "probes")
+    keyed = keyed.join(store.side(store.stored(main, "groups-main")), "target")
+    pairs = keyed.filter("root != main").select("target", F.col("class_key").alias("a"), F.col("root").alias("a_root"))
     members = keyed.select("target", F.col("class_key").alias("b"), F.col("root").alias("b_root"))
-    edges = _links(pairs, members, sets, num, den).unionByName(edges)
-    roots = components(edges)
-
-    classes = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_key")).alias("class_key"))
-    joined = classes.join(roots.select(F.col("node").alias("class_key"), "root").hint("shuffle_hash"), "class_key", "left").withColumn("root", F.coalesce("root", "class_key"))
-    joined = store.stored(joined.select("doc_id", "n_shingles", "root"), "labelled")
-    first = joined.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    return joined.join(first.hint("shuffle_hash"), "root", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
-
-
-def _relabelled(sets: DataFrame, edges: DataFrame) -> DataFrame:
-    found = components(edges)
-    out = sets.select("class_key").join(found.withColumnRenamed("node", "class_key"), "class_key", "left")
-    return store.stored(out.select("class_key", F.coalesce("root", "class_key").alias("root")), "roots")
+    nearest = store.stored(_nearest(pairs, members, signatures, num, den), "nearest")
+    checked = store.stored(_checked(nearest, sets, num, den), "checked")
+    # Where the nearest member of a component is no link, another one may be.
+    open_ = checked.filter("not linked").select("a", "b_root").distinct()
+    again = keyed.join(store.side(store.stored(open_, "open")).withColumnRenamed("a", "class_key"), "class_key").select("target", F.col("class_key").alias("a"), F.col("root").alias("a_root"), "b_root").distinct()
+    held = store.stored(again.select("target", "b_root").distinct(), "held")
+    others = members.join(store.side(held), ["target", "b_root"], "left_semi")
+    late = _links(again.select("target", "a", "a_root").distinct(), others, sets, num, den)
+    edges = checked.filter("linked").select("a", "b").unionByName(late)
+    return _labelled(rows, roots, edges)
+
+
+def _labelled(rows: DataFrame, roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows with the least doc_id of their component: by roots, and by edges between classes of different roots."""
+    up = lambda x: store.side(roots).select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    joined = edges.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    above = store.stored(components(joined), "above")
+    classes = rows.filter("n_shingles > 0").groupBy("class_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    classes = classes.join(roots.withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("root", F.coalesce("root", "class_key"))
+    classes = classes.join(store.side(above).select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+    classes = store.stored(classes, "labels")
+    tops = classes.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("copies")).filter("copies > 1").select("root", "component_id")
+    labels = store.side(store.stored(classes.join(tops, "root").select("class_key", "component_id"), "components"))
+    keyed = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_key")).alias("class_key"))
+    return keyed.join(labels, "class_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -32,8 +32,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few numbers that are sent to all tasks, up to 32 MB; more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+#: Rows of a few numbers that are sent to all tasks, up to 4 MB; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def side(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
