@@ -375,20 +375,20 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return out.mapInArrow(partial(_pairs_linked, num=num, den=den), kind)
 
 
-def _star(led: DataFrame, signatures: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _star(led: DataFrame, signatures: DataFrame, sets: DataFrame, num: int, den: int, pivots: int, compared: int) -> DataFrame:
     """Links (a, b) of classes with one of the pivots of the shingles that they share."""
-    near = led.select("class_key", "depth", *(f"p{i}" for i in range(PIVOTS))).repartition("class_key")
-    near = near.select("class_key", "depth", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("pivot")).filter("class_key != pivot")
+    near = led.select("class_key", "depth", *(f"p{i}" for i in range(pivots))).repartition("class_key")
+    near = near.select("class_key", "depth", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(pivots))))).alias("pivot")).filter("class_key != pivot")
     near = near.groupBy("class_key", "pivot").agg(F.count("*").alias("shared"), F.min("depth").alias("depth")).filter("2 * shared >= depth").drop("depth")
     best = F.row_number().over(Window.partitionBy("class_key").orderBy(F.desc("shared"), "pivot"))
-    pairs = near.withColumn("best", best).filter(F.col("best") <= COMPARED).select(F.col("class_key").alias("a"), F.col("pivot").alias("b"))
+    pairs = near.withColumn("best", best).filter(F.col("best") <= compared).select(F.col("class_key").alias("a"), F.col("pivot").alias("b"))
     side = lambda x: signatures.select(F.col("class_key").alias(x), F.col("n").alias(f"{x}_n"), F.col("signature").alias(f"{x}_signature"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(partial(_pairs_near, num=num, den=den), "a long, b long, apart long")
     pairs = store.stored(pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b"), "pairs")
     return _checked(pairs, sets, num, den).filter("linked").select("a", "b")
 
 
-def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, pivots: int = PIVOTS, compared: int = COMPARED) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
     component_id is the least doc_id that links reach. Links are pairs of shingle sets with
@@ -408,10 +408,10 @@ def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERA
     sets = rows.join(store.side(first), "row_no", "left_semi").select("class_key", F.col("n_shingles").cast("int").alias("n"), "shingles")
     signatures = store.stored(sets.mapInArrow(_signatures, "class_key long, n int, signature binary"), "signatures")
     tokens = sets.mapInArrow(partial(_tokens, rarity=_rarity(sets), num=num, den=den), "token long, class_key long, depth int")
-    pick = [F.min(F.col("class_key").bitwiseXOR(F.lit(o))).bitwiseXOR(F.lit(o)).alias(f"p{i}") for i, o in enumerate(_ORDERS[:PIVOTS])]
+    pick = [F.min(F.col("class_key").bitwiseXOR(F.lit(o))).bitwiseXOR(F.lit(o)).alias(f"p{i}") for i, o in enumerate(_ORDERS[:pivots])]
     hubs = tokens.groupBy("token").agg(*pick, F.count("*").alias("classes")).filter("classes > 1").drop("classes")
     led = store.stored(tokens.join(hubs, "token"), "prefixes")
-    edges = _star(led, signatures, sets, num, den)
+    edges = _star(led, signatures, sets, num, den, pivots, compared)
     roots = store.stored(components(edges), "roots")
 
     # The exact rest: shingles whose classes lie in different components. A shingle's least root is its key; two classes

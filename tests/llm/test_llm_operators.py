@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from meshframe.llm import ann, bpe, chat, html, quality, sampling, toxicity, warc  # noqa: E402
+from meshframe.llm import ann, bpe, chat, html, jaccard, quality, sampling, toxicity, warc  # noqa: E402
 from meshframe.llm.components import components  # noqa: E402
 from meshframe.llm.decontaminate import find_leaks  # noqa: E402
 from meshframe.llm.jaccard import similar_components  # noqa: E402
@@ -106,13 +106,46 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert got == brute_components([r[:2] for r in corpus])
 
 
-def test_near_duplicates_without_stars(spark, corpus):
-    """The exact last step alone finds all links."""
+@pytest.mark.parametrize("size", [3, 8192])
+def test_near_duplicates_by_one_pivot_and_small_blocks(spark, corpus, monkeypatch, size):
+    """The exact last steps find all links that one pivot leaves, in many blocks, runs and copies of pivots too."""
+    monkeypatch.setattr(jaccard, "BLOCK", size)
+    monkeypatch.setattr(jaccard, "SIGNATURES", size)
+    monkeypatch.setattr(jaccard, "SPOKES", 2)
     some = corpus[50:]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_components(frame(spark, some), stars=((1, 1),)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_components(frame(spark, some), pivots=1, compared=1).collect()}
     assert got == brute_components([r[:2] for r in some])
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs on both sides of the similarity, chains, and a component whose nearest member is no link but another one is."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(30):
+        base = [f"t{k}w{i}" for i in range(60 + k)]
+        for j in range(6):
+            own = list(base)
+            at = rng.randrange(len(own) - 12)
+            own[at : at + 2 + j % 3] = [f"n{k}x{j}y{i}" for i in range(2 + j % 3)]
+            rows.append((len(rows), " ".join(own)))
+            rows.append((len(rows), " ".join(own[: len(own) - rng.randrange(14)])))
+    want = brute_components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_components(df).collect()} == want
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_components(df, pivots=1, compared=1).collect()} == want
+
+
+def test_signatures_never_exceed_differences():
+    """The bound that prunes pairs, by sets of several sizes and overlaps."""
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 31, 32, 33, 500, 3000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.concatenate((x[: int(len(x) * share)], rng.integers(0, 1 << 63, max(1, int(n * (1.3 - share)))).astype(np.uint64))))
+            own, other = (np.frombuffer(jaccard._signature(s), np.uint8)[None, :] for s in (x, y))
+            assert jaccard._apart(own, other)[0] <= len(np.setxor1d(x, y))
+
+
 def test_near_duplicates_of_short_texts_and_nulls(spark):
     rows = [(3, "a b"), (1, "A B"), (2, "a  b "), (None, "q r s"), (7, None), (8, ""), (5, "a b c")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
