@@ -13,9 +13,12 @@ import struct
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from meshframe.llm import store
+
 #: Byte b is the character of this number plus b: letters without white space, marks or normal forms that matter here.
 FIRST = 0x100
 _TO_CHARS = {b: FIRST + b for b in range(256)}
@@ -123,19 +126,19 @@ def broadcast_model(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast((model_proto(ranks), sorted(ranks.values())))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], model, pattern: str, names: list[str], digests: bool) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], model, pattern: str, names: list[str], ids: bool, digests: bool) -> Iterator[pa.RecordBatch]:
     codec = _codec(model, pattern)
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            ids = [codec.ids(t.as_py() or "") for t in part.column(part.schema.get_field_index("text"))]
+            found = [codec.ids(t.as_py() or "") for t in part.column(part.schema.get_field_index("text"))]
             out = {c: part.column(part.schema.get_field_index(c)) for c in names}
-            out["n_tokens"] = pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64())
+            out["n_tokens"] = pa.array([x.count(",") + 1 if x else 0 for x in found], pa.int64())
+            if ids:
+                out["ids"] = pa.array([np.fromstring(x, np.int32, sep=",") for x in found], pa.list_(pa.int32()))
             if digests:
-                out["ids_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids], pa.string())
-                out["decoded_sha256"] = pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids], pa.string())
-            else:
-                out["ids"] = pa.array([[int(i) for i in x.split(",")] if x else [] for x in ids], pa.list_(pa.int32()))
+                out["ids_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in found], pa.string())
+                out["decoded_sha256"] = pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in found], pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
 
@@ -150,29 +153,24 @@ def _decoded(batches: Iterator[pa.RecordBatch], model, pattern: str) -> Iterator
 _NEW = ("n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The columns of docs (with a string column text), then n_tokens and ids, an array of ranks.
 
     Null and empty texts have no ids. Columns of docs that clash with the new ones are replaced. Repeated rows
     stay; an empty table gives an empty table. A text of any length is encoded whole.
     """
-    names = [c for c in docs.columns if c not in _NEW]
-    docs = docs.select(*names)
-    return docs.mapInArrow(partial(_encoded, model=broadcast_model(docs, path), pattern=pattern, names=names, digests=False), f"{_schema(docs)}, n_tokens long, ids array<int>")
+    docs = store.without(docs, *_NEW)
+    return docs.mapInArrow(partial(_encoded, model=broadcast_model(docs, path), pattern=pattern, names=docs.columns, ids=True, digests=False), store.extended(docs, "n_tokens long, ids array<int>"))
 
 
 def decode(df: DataFrame, path: str, pattern: str = "") -> DataFrame:
     """The columns of df (with ids), then decoded, the bytes; null ids give no bytes. An id that is not in the vocabulary is an error."""
-    df = df.drop("decoded")
-    return df.mapInArrow(partial(_decoded, model=broadcast_model(df, path), pattern=pattern), f"{_schema(df)}, decoded binary")
+    df = store.without(df, "decoded")
+    return df.mapInArrow(partial(_decoded, model=broadcast_model(df, path), pattern=pattern), store.extended(df, "decoded binary"))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The columns of docs, then n_tokens, and SHA-256 of the ids and of what they decode to. Cases as in encode."""
-    names = [c for c in docs.columns if c not in _NEW]
-    docs = docs.select(*names)
-    return docs.mapInArrow(partial(_encoded, model=broadcast_model(docs, path), pattern=pattern, names=names, digests=True), f"{_schema(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def round_trip(docs: DataFrame, path: str, pattern: str, *, ids: bool = False) -> DataFrame:
+    """The columns of docs, then n_tokens, the ids if asked for, and SHA-256 of the ids and of what they decode to. Cases as in encode."""
+    docs = store.without(docs, *_NEW)
+    kind = f"n_tokens long, {'ids array<int>, ' if ids else ''}ids_sha256 string, decoded_sha256 string"
+    return docs.mapInArrow(partial(_encoded, model=broadcast_model(docs, path), pattern=pattern, names=docs.columns, ids=ids, digests=True), store.extended(docs, kind))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshframe.llm import store
 from meshframe.llm.words import ALNUM, chunks, grams, texts, word_hashes
 
 WINDOW = 10
@@ -152,14 +153,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, b
     empty string; items repeated under one id count once. Without items, or without documents, nothing is hit. Columns
     of docs that clash with the new ones are replaced.
     """
-    new = ("n_words", "n_hit", "items", "spans")
-    names = [c for c in docs.columns if c not in new]
-    docs = docs.select(*names)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    docs = store.without(docs, "n_words", "n_hit", "items", "spans")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
     spark, size = docs.sparkSession, items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // block_bytes + 1
     out = docs.selectExpr("*", "cast(array() as array<struct<start:long,stop:long>>) spans", "cast(array() as array<string>) items", "0L n_words")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = store.extended(docs, _FOUND)
     for i in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()  # about block_bytes
         block = Block([r[0] for r in rows], [r[1] for r in rows], window)
@@ -167,6 +166,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, b
         counted = docs.select("text").mapInArrow(partial(_token_counts, tokens=tokens), "size int, token int, n long")
         counts = {(r[0], r[1]): r[2] for r in counted.groupBy("size", "token").agg(F.sum("n")).collect()}
         probed = spark.sparkContext.broadcast((block.index(counts), block.words, block.items))
-        out = out.mapInArrow(partial(_probe, block=probed, names=names), f"{schema}, {_FOUND}")
+        out = out.mapInArrow(partial(_probe, block=probed, names=docs.columns), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
-    return out.select(*names, "n_words", hit.alias("n_hit"), "items", "spans")
+    return out.select(*map(store.column, docs.columns), "n_words", hit.alias("n_hit"), "items", "spans")

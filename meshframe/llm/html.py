@@ -18,6 +18,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from meshframe.llm import store
+
 #: HTML element names and the usual names of page furniture.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -211,7 +213,7 @@ def _extracted(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             texts = [main_text(x.as_py() or "") for x in part.column(part.schema.get_field_index("html"))]
-            yield pa.RecordBatch.from_pydict({**{c: part.column(part.schema.get_field_index(c)) for c in names if c != "html"}, "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+            yield pa.RecordBatch.from_pydict({**{c: part.column(part.schema.get_field_index(c)) for c in names}, "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -220,7 +222,6 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty pages, and pages without content, have an empty text. A page cut off in a tag loses that tag.
     Repeated rows stay; columns of pages that clash with the new ones are replaced; an empty table gives an empty table.
     """
-    names = [c for c in pages.columns if c not in ("text", "n_chars")]
-    pages = pages.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "html")
-    return pages.mapInArrow(partial(_extracted, names=names), f"{schema}, text string, n_chars long".lstrip(", "))
+    pages = store.without(pages, "text", "n_chars")
+    rest = store.without(pages, "html")
+    return pages.mapInArrow(partial(_extracted, names=rest.columns), store.extended(rest, "text string, n_chars long"))

@@ -6,6 +6,8 @@ So a longer prefix may demand more matches:
 
 1. In the order of hashes, a sketch of the longest prefixes of all documents tells which shingles can occur twice. A
    document in whose l-prefix fewer than l can is linked with nothing: it goes no further. Equal sets are one class.
+   Where the sketch, whose size is bounded, has fewer cells than tokens, prefixes of l = 1 are exchanged as well, and
+   classes that share no token with another one are left out exactly.
 2. The classes left order their shingles by rarity, by estimates over all of them. Each picks the l of least
    cost: the classes that its prefix's shingles lead to, weighed up by 1 / l for those left to verify.
 3. A star round: each class is compared with pivots of the shingles it shares. Buckets of copies shrink to components
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from meshframe.llm import sketch, store
+from meshframe.llm import shared, sketch, store
 from meshframe.llm.components import components
 from meshframe.llm.words import NOT_SPACE, binaries, chunks, grams, mix
 
@@ -101,27 +103,46 @@ def _prefix_hashes(batches: Iterator[pa.RecordBatch], words: int, num: int, den:
 _SETS = "n_shingles long, class_key long, shingles binary"
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, seen) -> Iterator[pa.RecordBatch]:
-    """Set sizes and class keys of all documents, and the sets of those that may link with others."""
+def _classed(h: np.ndarray, at: np.ndarray, words: int, num: int, den: int, seen) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles and where each set begins, class keys, and which sets may link with others by the sketch."""
+    values, begin = shingle_sets(h, at, words)
+    n = np.diff(begin)
+    size, rows = _deep(n, begin, num, den)
+    cut = np.concatenate(([0], np.cumsum(size)))
+    total = np.concatenate(([0], np.cumsum(seen.value.may_repeat(values[rows]))))
+    enough = n > 0
+    for depth in depths(n):
+        end = cut[:-1] + np.minimum(n, n - _least(n, num, den) + depth)
+        enough &= total[np.minimum(end, cut[1:])] - total[cut[:-1]] >= depth
+    keys = mix(np.add.reduceat(np.append(mix(values, 5), np.uint64(0)), np.minimum(begin[:-1], len(values))) + n.astype(np.uint64), 6)
+    return values, begin, np.where(n > 0, keys, np.uint64(0)).view(np.int64), enough
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, seen, whole: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Set sizes and class keys of all documents, and the sets of those that may link with others (empty ones if not whole)."""
     for part, h, at in chunks(batches, "text", NOT_SPACE, True):
-        values, begin = shingle_sets(h, at, words)
+        values, begin, keys, enough = _classed(h, at, words, num, den, seen)
         n = np.diff(begin)
-        size, rows = _deep(n, begin, num, den)
-        cut = np.concatenate(([0], np.cumsum(size)))
-        total = np.concatenate(([0], np.cumsum(seen.value.may_repeat(values[rows]))))
-        enough = n > 0
-        for depth in depths(n):
-            end = cut[:-1] + np.minimum(n, n - _least(n, num, den) + depth)
-            enough &= total[np.minimum(end, cut[1:])] - total[cut[:-1]] >= depth
-        keys = mix(np.add.reduceat(np.append(mix(values, 5), np.uint64(0)), np.minimum(begin[:-1], len(values))) + n.astype(np.uint64), 6)
-        keys = np.where(n > 0, keys, np.uint64(0))
-        blobs = binaries(values[np.repeat(enough, n)], np.concatenate(([0], np.cumsum(np.where(enough, n, 0)))))
+        some = enough & whole
+        blobs = binaries(values[np.repeat(some, n)], np.concatenate(([0], np.cumsum(np.where(some, n, 0)))))
         yield pa.RecordBatch.from_pydict({
-            "doc_id": part.column(part.schema.get_field_index("doc_id")), "n_shingles": pa.array(n.astype(np.int64)), "class_key": pa.array(keys.view(np.int64)),
+            **{c: part.column(part.schema.get_field_index(c)) for c in names}, "n_shingles": pa.array(n.astype(np.int64)), "class_key": pa.array(keys),
             "shingles": pa.compute.if_else(pa.array(enough), blobs, pa.scalar(None, pa.binary())),
         })
 
 
+def _first_tokens(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, seen) -> Iterator[shared.Triples]:
+    """(token, class, 0) of the prefixes of which linked sets share one token, for sets that may link by the sketch."""
+    for _, h, at in chunks(batches, "text", NOT_SPACE, True):
+        values, begin, keys, enough = _classed(h, at, words, num, den, seen)
+        n = np.diff(begin)
+        size = np.where(enough, np.minimum(n, n - _least(n, num, den) + 1), 0)
+        tokens = values[np.repeat(begin[:-1] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        own = np.repeat(keys, size)
+        may = seen.value.may_repeat(tokens)
+        yield tokens[may], own[may], np.zeros(int(may.sum()), np.int64)
+
+
 def depths(n: np.ndarray) -> list[np.ndarray]:
     """The values of l that a set of n shingles chooses from."""
     return [np.maximum(1, n // (DEEPEST * f)) if f else np.ones_like(n) for f in (0, 4, 2, 1)]
@@ -398,14 +419,24 @@ def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERA
     component_id, unless they link with one that has an id. An empty table gives an empty table. doc_id may have any
     type that has an order, structs too; other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     expected = sketch.text_bytes(docs, "text") // 12
     seen = sketch.repeats(docs, "text", partial(_prefix_hashes, words=words, num=num, den=den), expected)
-    kind = StructType([docs.schema["doc_id"], *StructType.fromDDL(_SETS).fields])
-    rows = docs.mapInArrow(partial(_sets, words=words, num=num, den=den, seen=seen), kind)
+    crowded = sketch.crowded(expected)
+    make = partial(_sets, words=words, num=num, den=den, seen=seen, whole=not crowded, names=["doc_id", "text_key"])
+    rows = docs.mapInArrow(make, StructType([docs.schema["doc_id"], docs.schema["text_key"], *StructType.fromDDL(_SETS).fields]))
     rows = store.stored(rows.withColumn("row_no", F.monotonically_increasing_id()), "sets")
-    first = store.stored(rows.filter("shingles is not null").groupBy("class_key").agg(F.min("row_no").alias("row_no")).select("row_no"), "classes")
-    sets = rows.join(store.side(first), "row_no", "left_semi").select("class_key", F.col("n_shingles").cast("int").alias("n"), "shingles")
+    able = rows.filter("shingles is not null")
+    if crowded:  # sets are made for the classes that share a token with another one, of one text each
+        known = shared.repeated(docs.select("text"), partial(_first_tokens, words=words, num=num, den=den, seen=seen), apart=True)
+        able = able.join(store.side(store.stored(known.select(F.col("owner").alias("class_key")), "sharing")), "class_key", "left_semi")
+        chosen = store.stored(able.groupBy("class_key").agg(F.min("text_key").alias("text_key")).select("text_key"), "chosen")
+        texts = docs.select("text", "text_key").join(store.side(chosen), "text_key", "left_semi").select("text")
+        made = texts.mapInArrow(partial(_sets, words=words, num=num, den=den, seen=seen, whole=True, names=[]), _SETS).filter("shingles is not null")
+        sets = store.stored(made.groupBy("class_key").agg(F.first("n_shingles").cast("int").alias("n"), F.first("shingles").alias("shingles")), "class-sets")
+    else:
+        first = store.stored(able.groupBy("class_key").agg(F.min("row_no").alias("row_no")).select("row_no"), "classes")
+        sets = rows.join(store.side(first), "row_no", "left_semi").select("class_key", F.col("n_shingles").cast("int").alias("n"), "shingles")
     signatures = store.stored(sets.mapInArrow(_signatures, "class_key long, n int, signature binary"), "signatures")
     tokens = sets.mapInArrow(partial(_tokens, rarity=_rarity(sets), num=num, den=den), "token long, class_key long, depth int")
     pick = [F.min(F.col("class_key").bitwiseXOR(F.lit(o))).bitwiseXOR(F.lit(o)).alias(f"p{i}") for i, o in enumerate(_ORDERS[:pivots])]

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshframe.llm import store
 from meshframe.llm.sampling import labelled_sample
 
 EACH, MOST_BYTES = 2000, 50_000
@@ -138,8 +139,7 @@ def score(docs: DataFrame, grades: DataFrame, *, levels: int = 3, each: int = EA
     blank texts have s = 0. Without grades nothing is learnt and all texts score alike. Repeated rows score alike.
     Columns of docs that clash with the new ones are replaced.
     """
-    names = [c for c in docs.columns if c not in ("expected_grade", "tails")]
-    docs = docs.select(*names)
+    docs = store.without(docs, "expected_grade", "tails")
     known = grades.select("doc_id", F.col("grade").cast("int").alias("grade")).filter((F.col("grade") >= 0) & (F.col("grade") < levels))
     sample = labelled_sample(docs.select("doc_id", "text"), known, each=each, most_bytes=most_bytes)
     got = sample.mapInArrow(_featured, "grade int, weight double, bags binary, tokens long").toArrow()
@@ -147,5 +147,4 @@ def score(docs: DataFrame, grades: DataFrame, *, levels: int = 3, each: int = EA
     thresholds, theta = fit_cumulative(bags, np.array(got.column("tokens").to_pylist(), int), np.array(got.column("grade").to_pylist(), int), np.array(got.column("weight").to_pylist(), float), levels)
     used = np.flatnonzero(theta)
     model = docs.sparkSession.sparkContext.broadcast((thresholds, used, theta[used]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(partial(_scored, model=model, names=names), f"{schema}, expected_grade double, tails array<double>")
+    return docs.mapInArrow(partial(_scored, model=model, names=docs.columns), store.extended(docs, "expected_grade double, tails array<double>"))

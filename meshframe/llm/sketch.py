@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from meshframe.llm.words import mix
 
 ROWS = 2
-#: Bits of a row: 8 for each hash that is expected, within these bounds. Beyond the upper one the filter lets more through.
+#: Bits of a row: 8 for each hash that is expected, within these bounds. Beyond the upper one the filter lets more through; see crowded.
 LEAST_BITS, MOST_BITS = 16, 27
 BLOCK_BITS = 18
 BUFFER = 1 << 20
@@ -29,6 +29,11 @@ def width_bits(expected: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, int(8 * max(1, expected)).bit_length()))
 
 
+def crowded(expected: int) -> bool:
+    """Whether a row has fewer cells than hashes: then most hashes look repeated, and an exact filter has to follow (see shared)."""
+    return expected > 1 << MOST_BITS
+
+
 def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return mix(h, 101 + row) >> np.uint64(64 - bits)
 

@@ -5,17 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir; one on this machine only where the session names none and runs here alone (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         jsc = spark.sparkContext._jsc.sc()
         known = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -45,3 +48,19 @@ def clear(spark: SparkSession) -> None:
     """Deletes the tables that this application has stored; call it when their results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def column(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns of these names, in any case of letters."""
+    taken = {n.lower() for n in names}
+    return df.select(*(column(c) for c in df.columns if c.lower() not in taken))
+
+
+def extended(df: DataFrame, new: str) -> StructType:
+    """The schema of df and new columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(new).fields])

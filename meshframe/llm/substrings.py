@@ -11,6 +11,9 @@ The second pass groups exactly the windows that both sketches let through (96 bi
 Groups of one are the sketches' false positives: they come with their text and start, and are few, so only they
 go back to the texts. Hot windows only ever meet in counts, and texts are shuffled only if the false positives are
 too many to send to all tasks.
+
+Sketches have a bounded size. Where the texts have more anchors than cells, the anchors' places go to an exact exchange instead of
+the second sketch: texts are joined with the places of their repeated anchors, and only windows of these are grouped.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.llm import sketch, store
+from meshframe.llm import shared, sketch, store
 from meshframe.llm.words import NOT_SPACE, chunks, grams
 
 WINDOW = 35
@@ -32,6 +35,8 @@ ANCHOR = 8
 #: Single windows that the sketches let through are sent to all tasks up to this number (16 MB), else joined.
 MOST_BROADCAST = 1_000_000
 _PLACE = np.uint64((1 << 26) - 1)
+#: Columns of our own beside those of the documents.
+KEY, ONCE, SPOTS = "__substrings_text_key", "__substrings_once", "__substrings_spots"
 
 
 def _anchors(h: np.ndarray, at: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,16 +77,40 @@ def _anchor_hashes(batches: Iterator[pa.RecordBatch], window: int, anchor: int)
                 yield g[place[_runs(place)[:-1]]]
 
 
-def _left(h: np.ndarray, at: np.ndarray, window: int, anchor: int, places) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows whose anchor may have two places."""
+def _left(h: np.ndarray, at: np.ndarray, window: int, anchor: int, places, spots: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows whose anchor may have two places: by the sketch, or by the places (spots) of each text's."""
     starts, place, g = _anchors(h, at, window, anchor)
     cuts = _runs(place)
     if len(cuts) < 2:
         return starts, np.zeros(0, np.uint64)
-    starts = starts[np.repeat(places.value.may_repeat(g[place[cuts[:-1]]]), np.diff(cuts))]
+    if spots is None:
+        known = places.value.may_repeat(g[place[cuts[:-1]]])
+    else:
+        marked = np.zeros(len(h) + 1, bool)
+        for i, own in enumerate(spots):
+            if own.is_valid:
+                marked[at[i] + own.values.to_numpy()] = True
+        known = marked[place[cuts[:-1]]]
+    starts = starts[np.repeat(known, np.diff(cuts))]
     return starts, grams(h, window)[starts] if len(starts) else np.zeros(0, np.uint64)
 
 
+def _spots(part: pa.RecordBatch) -> pa.Array | None:
+    at = part.schema.get_field_index(SPOTS)
+    return part.column(at) if at >= 0 else None
+
+
+def _anchor_places(batches: Iterator[pa.RecordBatch], window: int, anchor: int, places) -> Iterator[shared.Triples]:
+    """Hash, text and place in it of the anchors that the sketch lets through."""
+    for part, h, at in chunks(batches, "text", NOT_SPACE, False):
+        _, place, g = _anchors(h, at, window, anchor)
+        place = place[_runs(place)[:-1]]
+        place = place[places.value.may_repeat(g[place])] if len(place) else place
+        if len(place):
+            doc = np.searchsorted(at, place, side="right") - 1
+            yield g[place], part.column(part.schema.get_field_index(KEY)).to_numpy()[doc], place - at[doc]
+
+
 def _window_hashes(batches: Iterator[pa.RecordBatch], window: int, anchor: int, places) -> Iterator[np.ndarray]:
     for batch in batches:
         for _, h, at in chunks(iter([batch]), batch.schema.names[0], NOT_SPACE, False):
@@ -90,13 +119,13 @@ def _window_hashes(batches: Iterator[pa.RecordBatch], window: int, anchor: int,
 
 def _candidates(batches: Iterator[pa.RecordBatch], window: int, anchor: int, places, counts) -> Iterator[pa.RecordBatch]:
     for part, h, at in chunks(batches, "text", NOT_SPACE, False):
-        starts, a = _left(h, at, window, anchor, places)
-        keep = counts.value.may_repeat(a)
+        starts, a = _left(h, at, window, anchor, places, _spots(part))
+        keep = counts.value.may_repeat(a) if counts else np.ones(len(a), bool)
         if keep.any():
             starts = starts[keep]
             doc = np.searchsorted(at, starts, side="right") - 1
             b = (grams(h, window, 7)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield pa.record_batch({"text_key": part.column(0).take(pa.array(doc)), "start": pa.array(starts - at[doc]), "window_a": pa.array(a[keep].view(np.int64)), "window_b": pa.array(b)})
+            yield pa.record_batch({KEY: part.column(part.schema.get_field_index(KEY)).take(pa.array(doc)), "start": pa.array(starts - at[doc]), "window_a": pa.array(a[keep].view(np.int64)), "window_b": pa.array(b)})
 
 
 KEPT = "n_words long, n_removed long, kept string"
@@ -104,11 +133,11 @@ KEPT = "n_words long, n_removed long, kept string"
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, anchor: int, places, counts, names: list[str], digest: bool) -> Iterator[pa.RecordBatch]:
     for part, h, at in chunks(batches, "text", NOT_SPACE, False):
-        starts, a = _left(h, at, window, anchor, places)
-        starts = starts[counts.value.may_repeat(a)] if len(starts) else starts
+        starts, a = _left(h, at, window, anchor, places, _spots(part))
+        starts = starts[counts.value.may_repeat(a)] if counts and len(starts) else starts
         first = np.searchsorted(starts, at)
         n_words, n_removed, kept = np.diff(at), [], []
-        columns = part.column(part.schema.get_field_index("text")), part.column(part.schema.get_field_index("once"))
+        columns = part.column(part.schema.get_field_index("text")), part.column(part.schema.get_field_index(ONCE))
         for i, (text, once) in enumerate(zip(*columns, strict=True)):
             raw = (text.as_py() or "").encode()
             own = starts[first[i] : first[i + 1]] - at[i]
@@ -137,17 +166,23 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     nothing. Repeated rows are copies of each other: with a window or more of words, they go whole. Columns of
     docs that clash with the new ones are replaced. An empty table gives an empty table.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "text_key", "once")]
-    docs = docs.select(*names)
-    size = sketch.text_bytes(docs, "text")
-    places = sketch.repeats(docs, "text", partial(_anchor_hashes, window=window, anchor=anchor), size // (3 * (window - anchor + 2)))
-    counts = sketch.repeats(docs, "text", partial(_window_hashes, window=window, anchor=anchor, places=places), size // 24)
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    found = keyed.select("text_key", "text").mapInArrow(partial(_candidates, window=window, anchor=anchor, places=places, counts=counts), "text_key long, start long, window_a long, window_b int")
-    grouped = found.groupBy("window_a", "window_b").agg(F.count("*").alias("n"), F.min("text_key").alias("text_key"), F.min("start").alias("start"))
-    once = store.stored(grouped.filter("n = 1").groupBy("text_key").agg(F.collect_list("start").alias("once")), "once")
-    small = (once.agg(F.sum(F.size("once"))).first()[0] or 0) <= most_broadcast
-    marked = keyed.join(F.broadcast(once) if small else once.hint("shuffle_hash"), "text_key", "left").select(*names, "once")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    cut = partial(_cut, window=window, anchor=anchor, places=places, counts=counts, names=names, digest=digest)
-    return marked.mapInArrow(cut, f"{schema}, {KEPT}")
+    docs = store.without(docs, "n_words", "n_removed", "kept", KEY, ONCE, SPOTS)
+    size, key = sketch.text_bytes(docs, "text"), store.column(KEY)
+    anchors = size // (3 * (window - anchor + 2))
+    places = sketch.repeats(docs, "text", partial(_anchor_hashes, window=window, anchor=anchor), anchors)
+    keyed, counts = docs.withColumn(KEY, F.xxhash64("text")), None
+    if sketch.crowded(anchors):
+        found = shared.repeated(keyed.select(key, "text"), partial(_anchor_places, window=window, anchor=anchor, places=places))
+        spots = store.stored(found.groupBy(F.col("owner").alias(KEY)).agg(F.sort_array(F.collect_list("place")).alias(SPOTS)), "spots")
+        keyed = store.stored(keyed.join(store.side(spots, most_broadcast // 64), KEY, "left"), "anchored")
+    else:
+        counts = sketch.repeats(docs, "text", partial(_window_hashes, window=window, anchor=anchor, places=places), size // 24)
+    able = keyed.filter(store.column(SPOTS).isNotNull()) if SPOTS in keyed.columns else keyed
+    own = [store.column(c) for c in (KEY, SPOTS) if c in keyed.columns]
+    found = able.select(*own, "text").mapInArrow(partial(_candidates, window=window, anchor=anchor, places=places, counts=counts), f"`{KEY}` long, start long, window_a long, window_b int")
+    grouped = found.groupBy("window_a", "window_b").agg(F.count("*").alias("n"), F.min(key).alias(KEY), F.min("start").alias("start"))
+    once = store.stored(grouped.filter("n = 1").groupBy(key).agg(F.collect_list("start").alias(ONCE)), "once")
+    small = (once.agg(F.sum(F.size(store.column(ONCE)))).first()[0] or 0) <= most_broadcast
+    marked = keyed.join(F.broadcast(once) if small else once.hint("shuffle_hash"), KEY, "left").drop(key)
+    cut = partial(_cut, window=window, anchor=anchor, places=places, counts=counts, names=docs.columns, digest=digest)
+    return marked.mapInArrow(cut, store.extended(docs, KEPT))

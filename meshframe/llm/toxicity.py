@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshframe.llm import store
 from meshframe.llm.sampling import labelled_sample
 
 #: Labelled documents of each class in the fit, and the longest text of them.
@@ -182,10 +183,8 @@ def score(docs: DataFrame, labels: DataFrame, *, each: int = EACH, most_bytes: i
     character starts and stops. Without labels, or with one class, all scores are alike: near 0, or high if all are toxic.
     Repeated rows get the same score. Columns of docs that clash with the new ones are replaced.
     """
-    names = [c for c in docs.columns if c not in ("score", "offending")]
-    docs = docs.select(*names)
+    docs = store.without(docs, "score", "offending")
     bias, theta = fit(docs, labels, each=each, most_bytes=most_bytes)
     used = np.flatnonzero(theta)
     model = docs.sparkSession.sparkContext.broadcast((bias, used, theta[used]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(partial(_scored, model=model, names=names, threshold=threshold), f"{schema}, {_SCORED}")
+    return docs.mapInArrow(partial(_scored, model=model, names=docs.columns, threshold=threshold), store.extended(docs, _SCORED))

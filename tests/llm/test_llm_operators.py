@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from meshframe.llm import ann, bpe, chat, html, jaccard, quality, sampling, toxicity, warc  # noqa: E402
+from meshframe.llm import ann, bpe, chat, html, jaccard, quality, sampling, shared, sketch, toxicity, warc  # noqa: E402
 from meshframe.llm.components import components  # noqa: E402
 from meshframe.llm.decontaminate import find_leaks  # noqa: E402
 from meshframe.llm.jaccard import similar_components  # noqa: E402
@@ -62,8 +62,11 @@ def brute_removed(texts, window):
         yield [x for x, g in zip(w, gone, strict=True) if not g], len(w), sum(gone)
 
 
-@pytest.mark.parametrize(("window", "anchor"), [(35, 8), (12, 5), (3, 3)])
-def test_substrings_equal_brute_force(spark, corpus, window, anchor):
+@pytest.mark.parametrize(("window", "anchor", "bits"), [(35, 8, 27), (12, 5, 27), (3, 3, 27), (35, 8, 8), (12, 5, 4)])
+def test_substrings_equal_brute_force(spark, corpus, monkeypatch, window, anchor, bits):
+    """Also with sketches of 256 and 16 cells, which let nearly everything through."""
+    monkeypatch.setattr(sketch, "MOST_BITS", bits)
+    monkeypatch.setattr(sketch, "LEAST_BITS", min(bits, 16))
     df = frame(spark, corpus)
     got = {r["doc_id"]: r for r in remove_repeats(df, window=window, anchor=anchor, digest=True).collect()}
     for (i, *_), (kept, n, removed) in zip(corpus, brute_removed([r[1] for r in corpus], window), strict=True):
@@ -117,6 +120,30 @@ def test_near_duplicates_by_one_pivot_and_small_blocks(spark, corpus, monkeypatc
     assert got == brute_components([r[:2] for r in some])
 
 
+def test_near_duplicates_with_a_tiny_sketch(spark, corpus, monkeypatch):
+    monkeypatch.setattr(sketch, "MOST_BITS", 6)
+    monkeypatch.setattr(sketch, "LEAST_BITS", 6)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_components(frame(spark, corpus)).collect()}
+    assert got == brute_components([r[:2] for r in corpus])
+
+
+def test_shared_rows_equal_brute_force(spark, monkeypatch):
+    """What the exact filter lets through is what repeats, and nothing else, whatever the buffers: hot keys, copies of owners, single rows."""
+    rng = np.random.default_rng(4)
+    rows = [(int(k), int(o), int(p)) for k, o, p in zip(rng.integers(0, 400, 3000) ** 2, rng.integers(0, 60, 3000), rng.integers(0, 9, 3000), strict=True)] + [(7, o, 1) for o in range(500, 900)]
+    df = spark.createDataFrame(rows, "k long, o long, p long").repartition(6)
+
+    def triples(batches):
+        for b in batches:
+            yield b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()
+
+    by = collections.defaultdict(list)
+    for k, o, p in rows:
+        by[k].append((o, p))
+    assert {tuple(r) for r in shared.repeated(df, triples).collect()} == {x for v in by.values() if len(v) > 1 for x in v}
+    assert {tuple(r) for r in shared.repeated(df, triples, apart=True).collect()} == {(o, 0) for v in by.values() if len({o for o, _ in v}) > 1 for o, _ in v}
+
+
 def test_near_duplicates_at_the_threshold(spark):
     """Pairs on both sides of the similarity, chains, and a component whose nearest member is no link but another one is."""
     rng = random.Random(5)
