@@ -106,3 +106,44 @@ def test_pipeline_stages_equal_brute_force(spark):
     own, kept = encoding(), {r["doc_id"]: r["text"] or "" for r in before}
     assert {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in after} == {i: (len(own.encode_ordinary(t)), sha(t)) for i, t in kept.items()}
     assert pipeline.run(spark, SMALL).count() == len(after)
+
+
+ODD = ["score", "offending", "n_hit", "n_words", "items", "spans", "kept", "n_removed", "ids", "once", "text_key", "class_key", "root", "carried_0", "a`b", "c.d e", "gone"]
+
+
+def odd_rows():
+    """Repeated rows, one id with two texts, null ids and texts, blanks, a long text."""
+    prose = lambda k, n: " ".join(f"{k}word{i}" for i in range(n))
+    near = prose("a", 100) + " other end"
+    rows = [(1, prose("a", 100)), (1, prose("a", 100)), (1, prose("b", 80)), (2, near), (3, prose("c", 60)), (None, prose("c", 60)), (None, prose("d", 50)), (None, prose("d", 50)), (4, None), (4, None), (None, None), (5, ""), (5, ""), (6, "  "), (7, prose("e", 60_000)), (8, "short"), (8, "short"), (9, "SHORT")]
+    return [(i, t, *(f"{c}{k}" for c in ODD)) for k, (i, t) in enumerate(rows)]
+
+
+def test_pipeline_stages_on_odd_rows_and_names(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    kind = "doc_id long, text string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in ODD)
+    docs = spark.createDataFrame(odd_rows(), kind).repartition(3)
+    for name, stage in pipeline.STAGES:
+        before, source = docs.collect(), docs
+        got = stage(spark, docs, SMALL)
+        after = got.collect()
+        docs = spark.createDataFrame(after, got.schema)
+        if name == "ngram_jaccard":
+            words = lambda r: (r["text"] or "").split()
+            groups = collections.defaultdict(list)
+            roots = brute_components([(k, r["text"]) for k, r in enumerate(before)])
+            for k, r in enumerate(before):
+                groups[roots[k][1] if words(r) else -1 - k].append(r)
+            assert len(after) == len(groups)
+            left = collections.Counter((r["doc_id"], r["text"]) for r in after)
+            for rows in groups.values():
+                best = min(((r["doc_id"] is None, r["doc_id"] or 0) for r in rows))
+                assert sum(left[k] for k in {(r["doc_id"], r["text"]) for r in rows if (r["doc_id"] is None, r["doc_id"] or 0) == best}) >= 1
+            assert {(r["doc_id"], r["text"]) for r in after} >= {(1, odd_rows()[2][1]), (4, None), (5, "")}
+        elif name != "byte_bpe":
+            assert collections.Counter(after) == collections.Counter(before)  # no passage repeats once copies are gone
+        if name != "byte_bpe":
+            assert docs.columns == ["doc_id", "text", *ODD] and all(r[2 + i].startswith(c) and len({x[len(c):] for x, c in zip(r[2:], ODD)}) == 1 for r in after for i, c in enumerate(ODD))
+        if name != "toxicity":  # its fit would have no sample
+            assert stage(spark, source.limit(0), SMALL).count() == 0
+    assert all(r["n_tokens"] == len(r["ids"]) for r in after)
