@@ -20,20 +20,28 @@ def wide(attributes: DataFrame, names: list[str]) -> DataFrame:
 
 
 def converted(value: Column, dtype: Column, to: str) -> Column:
-    """The value as a double, long, string, or array of doubles; null if it can't be converted.
+    """The value as a double, long, ulong (a decimal of 20 places), string, or array of doubles, longs or strings; null if it can't be converted.
 
-    Numbers become each other; a string of one character its code and back; a scalar is an array of one;
-    an array of one stays an array. `array7` is an array of exactly seven doubles.
+    Numbers become each other, integers exactly; a string of one character its code and back; a scalar is an array of one;
+    an array of one stays an array. `array7` is an array of exactly seven doubles, `long_array` and `string_array` have integers and texts.
     """
     is_vector = dtype.startswith("VEC_") | dtype.startswith("ARR_")
     is_text = dtype.isin("STRING", "CHAR")
     text = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
     code = F.when(F.char_length(text) == 1, F.ascii(text))
-    if to in ("long", "double"):
-        own = F.when(dtype == "BOOL", text.cast("boolean").cast("int")).otherwise(text.try_cast("double"))
-        return F.when(is_vector, None).when(is_text, code).otherwise(own).cast("double").try_cast(to)
+    if to in ("long", "ulong", "double"):
+        kind = "decimal(20,0)" if to == "ulong" else to
+        own = text.try_cast("double")
+        if to != "double":  # whole numbers exactly; others lose their fraction
+            own = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast(kind)).otherwise(own.try_cast("long").cast(kind))
+        own = F.when(dtype == "BOOL", text.try_cast("boolean").cast("int").cast(kind)).otherwise(own)
+        return F.when(is_vector, None).when(is_text, code.cast(kind)).otherwise(own)
     if to == "string":
         return F.when(is_vector, None).when(is_text, text).when(text.try_cast("double").isNotNull(), F.char(text.try_cast("int")))
+    if to in ("long_array", "string_array"):
+        texts = F.when(is_vector, F.from_json(value, "array<string>")).otherwise(F.array(text))
+        own = F.transform(texts, lambda x: x.try_cast("long")) if to == "long_array" else texts
+        return F.when(~F.exists(own, lambda x: x.isNull()), own)
     array = F.when(is_vector, F.from_json(value, "array<double>")).otherwise(F.array(F.when(is_text, code).otherwise(text.try_cast("double")).cast("double")))
     array = F.when(~F.exists(array, lambda x: x.isNull()), array)
     return F.when(F.size(array) == 7, array) if to == "array7" else array
@@ -55,10 +63,11 @@ def deleted(attributes: DataFrame, gone: DataFrame) -> DataFrame:
     return attributes.join(gone.select("iteration", "path", "name"), ["iteration", "path", "name"], "left_anti")
 
 
-def copied(attributes: DataFrame, node_type: str = "node_type", version_attribute: str = "version") -> DataFrame:
-    """What a copy takes over: all but the attributes that the writer makes by itself, and the one that names the format's version."""
+def copied(attributes: DataFrame, version_attribute: str | None, node_type: str = "node_type") -> DataFrame:
+    """What a copy takes over: all but the attributes that the writer makes by itself, and the one of the series that names the format's version (None: there is no such one)."""
     own = reduce(lambda a, b: a | b, ((F.col(node_type) == t) & F.col("name").isin(*names) for t, names in WRITTEN.items()))
-    own = own | (F.col(node_type) == "series") & (F.col("name") == version_attribute)
+    if version_attribute is not None:
+        own = own | (F.col(node_type) == "series") & (F.col("name") == version_attribute)
     return attributes.filter(~F.coalesce(own, F.lit(False)))
 
 
@@ -87,6 +96,33 @@ def default_dimension(record: Column) -> Column:
     return F.when(record.isin("position", "positionOffset"), F.array(*map(F.lit, [1.0] + [0.0] * 6))).otherwise(F.array(*map(F.lit, [0.0] * 7)))
 
 
+#: Fixed values of the format: the attributes that each type of node must have, and what they convert to.
+REQUIRED = {
+    "series": {"basePath": "string", "iterationEncoding": "string", "iterationFormat": "string"},
+    "iteration": {"time": "double", "dt": "double", "timeUnitSI": "double"},
+    "mesh": {"geometry": "string", "dataOrder": "string", "axisLabels": "string_array", "gridSpacing": "array", "gridGlobalOffset": "array", "gridUnitSI": "double", "unitDimension": "array7", "timeOffset": "double"},
+    "record": {"unitDimension": "array7", "timeOffset": "double"},
+    "component": {"unitSI": "double"},
+    "mesh_component": {"unitSI": "double", "position": "array"},
+}
+
+
+def required_violations(nodes: DataFrame, attributes: DataFrame, required: dict[str, dict[str, str]] = REQUIRED) -> DataFrame:
+    """(iteration, path, node_type, name, problem): what nodes (iteration, path, node_type) lack or have in another type.
+
+    Nodes without any attribute count too; those of types that are not in required need nothing.
+    """
+    pairs = [F.struct(F.lit(t).alias("node_type"), F.lit(n).alias("name"), F.lit(to).alias("to")) for t, own in required.items() for n, to in own.items()]
+    wanted = nodes.select("iteration", "path", "node_type", F.explode(F.filter(F.array(*pairs), lambda x: x["node_type"] == F.col("node_type"))).alias("__w"))
+    wanted = wanted.select("iteration", "path", "node_type", "__w.name", "__w.to")
+    both = wanted.join(attributes.select("iteration", "path", "name", "dtype", "value"), ["iteration", "path", "name"], "left")
+    fits = F.lit(False)
+    for to in sorted({to for own in required.values() for to in own.values()}):
+        fits = fits | ((F.col("to") == to) & converted(F.col("value"), F.col("dtype"), to).isNotNull())
+    problem = F.when(F.col("value").isNull(), "missing").when(~fits, "type")
+    return both.select("iteration", "path", "node_type", "name", problem.alias("problem")).filter("problem is not null")
+
+
 def violations(attributes: DataFrame, required: dict[str, str]) -> DataFrame:
     """(iteration, path, name, problem): required attributes that are missing or not of their type, by node."""
     nodes = attributes.select("iteration", "path").distinct()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Region:
@@ -83,6 +86,14 @@ def split(n: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(start[:-1], start[1:], strict=True)]
 
 
+def split_rows(df: DataFrame, n: Column, parts: int) -> DataFrame:
+    """df with part, start and extent: a row for each of the balanced parts of n rows, as in split."""
+    whole, rest, r = F.floor(n / F.lit(parts)), n % F.lit(parts), F.col("part")
+    start = lambda k: (whole * k + F.ceil(rest * k / F.lit(parts))).cast("long")
+    found = df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return found.withColumns({"start": start(r), "extent": F.when(r == parts - 1, n).otherwise(start(r + 1)) - start(r)})
+
+
 def split_axis(shape: Sequence[int]) -> int:
     """The axis to split: the longest, the first of equal ones."""
     return max(range(len(shape)), key=lambda d: (shape[d], -d))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from meshframe.jobs import views as V
 from meshframe.operators import chunks, histograms, meshes, particles, patches, replay, summary
 from meshframe.operators.numbering import numbered
 from meshframe.sources import documents, files, series
+from meshframe.sources import scratch as shared
 from meshframe.streaming import steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,9 +34,8 @@ def query(sql: str | None = None):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for tables that a query writes and reads: in the cluster's shared folder, else in the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder for tables that a query writes and reads, in the cluster's shared folder."""
+    return shared.folder(spark, name)
 
 
 # Species ------------------------------------------------------------------------------------------
@@ -213,7 +212,7 @@ def c3_attribute_changes(spark, sf_dir):
 @query("SELECT p_partkey, p_type AS name, node_type FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN 'series' ELSE 'constant' END node_type FROM part) WHERE NOT (node_type = 'constant' AND p_size = 1)")
 def c4_copied_attributes(spark, sf_dir):
     part = V.table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("type"), F.when(F.col("p_size") % 2 == 0, "series").otherwise("constant").alias("node_type"), F.when(F.col("p_size") == 1, "shape").otherwise(F.col("p_type")).alias("name"))
-    return attrs.copied(part).select("p_partkey", F.col("type").alias("name"), "node_type")
+    return attrs.copied(part, None).select("p_partkey", F.col("type").alias("name"), "node_type")
 
 
 @query("SELECT p_partkey, [CAST(p_size AS DOUBLE), 2.0, 0.0, 0.0, 0.0, 0.0, 0.0] powers, p_type = 'cartesian' OR p_type LIKE 'other:%' known, CASE WHEN p_type = 'cartesian' OR p_type LIKE 'other:%' THEN p_type ELSE 'other:' || p_type END geometry, 'other' kind FROM part")
@@ -318,9 +317,7 @@ def f2_written_chunks(spark, sf_dir):
 
 @query("SELECT o_orderkey, CAST(r AS INTEGER) AS part, CAST(o_orderkey // 7 * r + ceil((o_orderkey % 7) * r / 7) AS BIGINT) AS start FROM orders, (SELECT unnest(range(7)) r)")
 def f6_balanced_split(spark, sf_dir):
-    n, r = F.col("o_orderkey"), F.col("part")
-    rows = V.table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("part"))
-    return rows.select("o_orderkey", "part", (F.floor(n / 7) * r + F.ceil((n % 7) * r / 7)).cast("long").alias("start"))
+    return slicing.split_rows(V.table(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey"), 7).drop("extent")
 
 
 @query("SELECT o_custkey cell, arg_max(o_totalprice, o_orderkey) AS value FROM orders GROUP BY 1")
@@ -481,10 +478,9 @@ def h3_extended(spark, sf_dir):
     orders = V.table(spark, sf_dir, "orders")
     lo, hi = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
     n = hi - lo + 1
-    (size,) = chunks.extended([n], [2 * n])
     old = orders.select((F.col("o_orderkey") - lo).alias("i0"), F.col("o_totalprice").alias("value"))
-    new = old.select((F.col("i0") + n).alias("i0"), F.lit(-1.0).alias("value")).filter(F.col("i0") < size)
-    return old.unionByName(new)
+    new = old.select((F.col("i0") + n).alias("i0"), F.lit(-1.0).alias("value"))
+    return chunks.extend(old, [n], [2 * n]).unionByName(new)
 
 
 @query("SELECT label iteration, vec_id block, CASE WHEN label % 3 = 1 AND vec_id % 10 = 1 THEN 2 ELSE 1 END copies FROM embeddings WHERE NOT (label % 3 = 1 AND vec_id % 10 = 0)")
@@ -509,10 +505,14 @@ def i1_i3_i8_stream(spark, sf_dir):
 def i4_i5_stream_running_max(spark, sf_dir):
     """The log as a stream whose state is each series' greatest iteration so far; steps in the order of writing."""
     source, out, state = (scratch(spark, n) for n in ("late-steps", "late", "late-state"))
-    V.log(spark, sf_dir).select("series", "write_seq", "iteration").repartitionByRange(4, "write_seq").write.parquet(source)
-    stream = steps.running_max_steps(steps.read_steps(spark, source, "series string, write_seq long, iteration long", 1000))
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("series string, write_seq long, iteration long").parquet(out)
+    log = V.log(spark, sf_dir).select("series", "write_seq", "iteration")
+    lo, hi = log.agg(F.min("write_seq"), F.max("write_seq")).first()
+    for k in range(4):  # a file for each quarter of the log, one after another: the stream takes one a batch
+        part = F.floor((F.col("write_seq") - lo) * 4 / (hi - lo + 1))
+        log.filter(part == k).coalesce(1).write.mode("append").parquet(source)
+    stream = steps.read_steps(spark, source, "series string, write_seq long, iteration long", 1)
+    steps.running_max_capture(stream, out, state).awaitTermination()
+    return spark.read.schema("series string, write_seq long, iteration long").parquet(f"{out}/steps").select("series", "write_seq", "iteration")
 
 
 @query("SELECT user_id iteration, event_type path FROM (SELECT DISTINCT user_id, event_type FROM events) e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = e.event_type AND x.value > 50)")
@@ -520,3 +520,158 @@ def d7_uncovered(spark, sf_dir):
     """Components of which no chunk was written: types of a user without a value over 50."""
     e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("iteration"), F.col("event_type").alias("path"), "value")
     return summary.uncovered(e.filter("value > 50"), e.select("iteration", "path").distinct())
+
+
+# Further parts: whole operators whose other queries only take a part of them ------------------------
+
+
+@query(f"WITH {V.CELLS} SELECT iteration, i0, i1, v AS value FROM e")
+def blocks_unfolded(spark, sf_dir):
+    """All cells of all blocks."""
+    return meshes.blocks_to_cells(V.blocks(spark, sf_dir), 2)
+
+
+@query("""WITH c AS (SELECT DISTINCT p_brand path, CAST(p_partkey // 3 AS BIGINT) i0 FROM part WHERE p_size > 10),
+r AS (SELECT path, i0, i0 - row_number() OVER (PARTITION BY path ORDER BY i0) run FROM c)
+SELECT path, min(i0) o0, count(*) e0 FROM r GROUP BY path, run""")
+def f2_written_runs(spark, sf_dir):
+    """The boxes themselves, of a dataset of one axis."""
+    part = V.table(spark, sf_dir, "part").filter("p_size > 10")
+    boxes = chunks.written_chunks(part.select(F.col("p_brand").alias("path"), F.floor(F.col("p_partkey") / 3).alias("i0")), 1)
+    return boxes.select("path", F.get("offset", 0).alias("o0"), F.get("extent", 0).alias("e0"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, CAST(r AS INTEGER) AS part, CAST(o_orderkey // 7 * r + ceil((o_orderkey % 7) * r / 7) AS BIGINT) AS start FROM orders, (SELECT unnest(range(7)) r))
+SELECT *, coalesce(lead(start) OVER (PARTITION BY o_orderkey ORDER BY part), o_orderkey) - start AS extent FROM s""")
+def f6_balanced_extents(spark, sf_dir):
+    return slicing.split_rows(V.table(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey"), 7)
+
+
+@query(f"""WITH {V.PARTICLES} SELECT iteration, species, CAST("row" // 500 AS BIGINT) chunk, count(*) n, CAST(sum(id) AS BIGINT) ids, max(momentum_z) top FROM p GROUP BY ALL""")
+def j2_chunk_function(spark, sf_dir):
+    """A pandas function over each chunk of a species."""
+
+    def summed(pdf):
+        head = pdf.iloc[:1][["iteration", "species"]]
+        return head.assign(chunk=int(pdf["row"].iloc[0]) // 500, n=len(pdf), ids=int(pdf["id"].sum()), top=float(pdf["momentum_z"].max()))
+
+    return particles.map_chunks(V.numbered_particles(spark, sf_dir), summed, "iteration long, species string, chunk long, n long, ids long, top double", 500)
+
+
+@query("SELECT event_type series, user_id iteration, event_id write_seq FROM events WHERE NOT coalesce(value > 5, FALSE)")
+def i7_defective_steps(spark, sf_dir):
+    """The log as a stream; steps that aren't as they should be go to a table of their own."""
+    path, check, source = (scratch(spark, n) for n in ("sorted-steps", "sorted-state", "mixed-steps"))
+    log = V.log(spark, sf_dir).select("series", "iteration", "write_seq", "value")
+    log.write.parquet(source)
+    stream = steps.read_steps(spark, source, log.schema)
+    steps.capture(stream, {"good": lambda b: steps.split_defective(b, F.col("value") > 5)[0], "defective": lambda b: steps.split_defective(b, F.col("value") > 5)[1]}, path, check).awaitTermination()
+    return spark.read.parquet(f"{path}/defective").select("series", "iteration", "write_seq")
+
+
+@query("SELECT DISTINCT user_id iteration, event_type series FROM events")
+def i2_first_writes_stream(spark, sf_dir):
+    """Repeated steps of a stream dropped as they come, each step for the iterations of its snapshot."""
+    source, out, state = (scratch(spark, n) for n in ("repeated-steps", "first-steps", "first-state"))
+    log = V.log(spark, sf_dir).select("series", F.array("iteration").alias("snapshot"))
+    log.write.parquet(source)
+    stream = steps.first_writes(steps.expanded(steps.read_steps(spark, source, log.schema)), ["series", "iteration"]).select("iteration", "series")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("iteration long, series string").parquet(out)
+
+
+@query("SELECT event_type series, user_id iteration, max(event_id) write_seq, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+def a9_variable_based(spark, sf_dir):
+    """A variable-based log written to storage and read back: snapshots resolved, the last write of an iteration counts."""
+    path = scratch(spark, "variable")
+    series.write(V.log(spark, sf_dir), path, "variableBased")
+    return series.read_variable(spark, path, ["series"]).select("series", "iteration", "write_seq", "value")
+
+
+@query("""SELECT year(l_shipdate) iteration, count(*) n, CAST(sum(CASE WHEN year(l_shipdate) = 1996 THEN -l_orderkey ELSE l_orderkey END) AS BIGINT) keys FROM lineitem GROUP BY 1""")
+def a12_overwritten_iteration(spark, sf_dir):
+    """One iteration of a stored series replaced; the others aren't touched."""
+    path, p = scratch(spark, "replaced"), V.particles(spark, sf_dir).select("iteration", "id")
+    series.write(p, path, "fileBased")
+    series.overwrite_iterations(p.filter("iteration = 1996").withColumn("id", -F.col("id")), path)
+    return series.read(spark, path).groupBy("iteration").agg(F.count("*").alias("n"), F.sum("id").alias("keys"))
+
+
+@query(f"""WITH {V.PARTICLES}, t AS (SELECT 'electrons' AS name, iteration, "row" place, 2 * position_z AS value FROM p WHERE species = 'A'
+UNION ALL SELECT 'field', CAST(label AS BIGINT), vec_id, CAST(embedding[1] AS DOUBLE) FROM embeddings
+UNION ALL SELECT 'attributes', event_id, NULL, NULL FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL)
+SELECT name, iteration, count(*) n, CAST(sum(place) AS BIGINT) places, max(value) top FROM t GROUP BY ALL""")
+def a16_whole_pipe(spark, sf_dir):
+    """A series with a species, a field and attributes, some of it written twice, copied: last writes, another layout, compression and encoding, read back."""
+    path = scratch(spark, "whole-pipe")
+    seq = lambda df, k: df.withColumn("write_seq", F.lit(k).cast("long"))
+    p = V.numbered_particles(spark, sf_dir).filter("species = 'A'").select("iteration", "row", F.col("position_z").alias("value"))
+    electrons = seq(p.filter("row % 3 = 0").withColumn("value", F.lit(-1.0)), 0).unionByName(seq(p, 1))
+    field = seq(V.vectors(spark, sf_dir).select("iteration", "i0", F.col("x").alias("value")), 0)
+    made = V.attributes(spark, sf_dir).filter("name = 'k'").withColumn("node_type", F.lit("series"))
+    own = made.withColumn("name", F.lit("version")).unionByName(made)
+    series.pipe({"electrons": electrons, "attributes": own}, path, "groupBased", "gzip", lambda df: df.withColumn("value", F.col("value") * 2), "version", files=4)
+    series.pipe({"field": field}, path, "fileBased", "zstd", files=4)
+    found = [series.read(spark, f"{path}/{n}").select(F.lit(n).alias("name"), "iteration", F.col(c).cast("long").alias("place"), F.col(v).alias("value")) for n, c, v in (("electrons", "row", "value"), ("field", "i0", "value"))]
+    found.append(spark.read.parquet(f"{path}/attributes").select(F.lit("attributes").alias("name"), "iteration", F.lit(None).cast("long").alias("place"), F.lit(None).cast("double").alias("value")))
+    both = found[0].unionByName(found[1]).unionByName(found[2])
+    return both.groupBy("name", "iteration").agg(F.count("*").alias("n"), F.sum("place").alias("places"), F.max("value").alias("top"))
+
+
+@query("""WITH n AS (SELECT p_partkey iteration, CASE p_size % 3 WHEN 0 THEN 'iteration' WHEN 1 THEN 'component' ELSE 'free' END node_type, p_size FROM part),
+w AS (SELECT *, unnest(CASE node_type WHEN 'iteration' THEN ['dt', 'time', 'timeUnitSI'] WHEN 'component' THEN ['unitSI'] ELSE [] END) AS name FROM n)
+SELECT iteration, '/' AS path, node_type, name, CASE WHEN name = 'time' OR p_size % 2 = 0 THEN 'missing' ELSE 'type' END problem FROM w WHERE NOT (name = 'dt' AND p_size % 2 = 1)""")
+def a8_required_by_type(spark, sf_dir):
+    """What nodes lack of the attributes that their type must have, or have in another type."""
+    pick = F.element_at(F.array(*map(F.lit, ("iteration", "component", "free"))), (F.col("p_size") % 3 + 1).cast("int"))
+    nodes = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("iteration"), F.lit("/").alias("path"), pick.alias("node_type"), "p_size")
+    have = nodes.filter("p_size % 2 = 1").select("iteration", "path", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("dt", "timeUnitSI", "unitSI"))), F.array(*map(F.lit, ("0.5", '"wrong"', "[1.0, 2.0]"))))).alias("name", "value"))
+    have = have.withColumn("dtype", F.when(F.col("name") == "dt", "DOUBLE").when(F.col("name") == "unitSI", "VEC_DOUBLE").otherwise("STRING"))
+    return attrs.required_violations(nodes, have)
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) + 9007199254740993 big, o_orderkey % 2 = 0 AS even FROM orders")
+def c2_exact_integers(spark, sf_dir):
+    """Integers beyond the 53 bits of doubles stay exact."""
+    rows = V.table(spark, sf_dir, "orders").select((F.col("o_orderkey") + F.lit(9007199254740993)).cast("string").alias("value"), F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("false").alias("flag"))
+    return rows.select(attrs.converted(F.col("value"), F.lit("LONG"), "long").alias("big"), (attrs.converted(F.col("flag"), F.lit("BOOL"), "long") == 1).alias("even"))
+
+
+@query("SELECT c_custkey AS file, CAST(c_nationkey AS BIGINT) AS iteration, 'LONG' AS dtype, c_custkey * 90071992547409 AS first FROM customer")
+def a4_toml_documents(spark, sf_dir):
+    """Customers as small TOML documents, decoded; integers are exact."""
+    c = V.table(spark, sf_dir, "customer")
+    body = F.format_string("[data.%d.meshes.n]\ndatatype = 'LONG'\ndata = [%d, 1]\n", F.col("c_nationkey").cast("long"), F.col("c_custkey") * F.lit(90071992547409))
+    found = documents.decode(c.select(F.col("c_custkey").cast("string").alias("path"), body.cast("binary").alias("content")), toml=True).filter("kind = 'dataset'")
+    return found.select(F.col("file").cast("long").alias("file"), "iteration", "dtype", F.get("exact", 0).cast("long").alias("first"))
+
+
+@query("SELECT o_custkey file, CASE WHEN o_custkey % 2 = 0 THEN '/data/0/meshes/n' ELSE '/data/0/meshes' END path, CASE WHEN o_custkey % 2 = 0 THEN 'dataset' ELSE 'group' END kind FROM (SELECT DISTINCT o_custkey FROM orders)")
+def a7_reported_errors(spark, sf_dir):
+    """Documents with a part that can't be read: the part is reported, and where it is."""
+    c = V.table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    bad = F.when(F.col("o_custkey") % 2 == 0, F.lit('{"n":{"datatype":"LONG","data":[1,null]},"m":{"datatype":"LONG","data":[7]}}')).otherwise(F.lit("3"))
+    body = F.concat(F.lit('{"data":{"0":{"meshes":'), bad, F.lit("}}}"))
+    found = documents.problems(documents.decode(c.select(F.col("o_custkey").cast("string").alias("path"), body.cast("binary").alias("content"))).withColumn("name", F.col("kind")))
+    return found.select(F.col("file").cast("long").alias("file"), "path", F.col("name").alias("kind"))
+
+
+@query("""SELECT CAST(s AS BIGINT) iteration, CAST(b AS BIGINT) block, CAST(i AS BIGINT) i, b + 0.01::DOUBLE * s + i * 0.0001::DOUBLE rho
+FROM (SELECT unnest(range(3)) s), (SELECT unnest(range((SELECT count(*) FROM supplier))) b), (SELECT unnest(range(10)) i)""")
+def k1_made_fields(spark, sf_dir):
+    """A made field with as many blocks as there are suppliers."""
+    return generate.fields(spark, V.table(spark, sf_dir, "supplier").count(), 10, 3)
+
+
+@query("""SELECT CAST(s AS BIGINT) iteration, CAST(b * 10 + i AS BIGINT) AS "row", 0.1::DOUBLE * s + 0.0001::DOUBLE * i charge, 1.0::DOUBLE * s + 0.0002::DOUBLE * i position_x
+FROM (SELECT unnest(range(3)) s), (SELECT unnest(range((SELECT count(*) FROM supplier))) b), (SELECT unnest(range(10)) i)""")
+def k2_made_particles(spark, sf_dir):
+    """Made particles with as many blocks as there are suppliers."""
+    return generate.particles(spark, V.table(spark, sf_dir, "supplier").count(), 10, 3).select("iteration", "row", "charge", "position_x")
+
+
+@query("SELECT n * 100 AS cells, n * 100 AS places, true AS inside FROM (SELECT count(*) n FROM supplier)")
+def k4_random_integers(spark, sf_dir):
+    """Random cells, 100 for each supplier: all places, values in their range."""
+    found = generate.random_integers(spark, [V.table(spark, sf_dir, "supplier").count(), 100])
+    return found.agg(F.count("*").alias("cells"), F.count_distinct("linear_index").alias("places"), (F.min("value").between(0, 200_000_000) & F.max("value").between(0, 200_000_000)).alias("inside"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshframe.functions.arrays import unravel
 from meshframe.operators.numbering import exclusive_sum
+from meshframe.sources import scratch
 
 
 def overlap(requests: DataFrame, chunks: DataFrame, rank: int, keys: Sequence[str] = ("path",), cell: int | None = None) -> DataFrame:
@@ -90,6 +91,26 @@ def extended(old_shape: Sequence[int], new_shape: Sequence[int], kind: str = "ar
     return list(new_shape)
 
 
+def extend(cells: DataFrame, old_shape: Sequence[int], new_shape: Sequence[int], kind: str = "array", new_kind: str | None = None, fill=None, value: str = "value") -> DataFrame:
+    """The cells (i0…, value) of a component after an extension, checked as in extended.
+
+    Old cells stay. A constant component (fill given) gets a cell for each new place, made by Spark as a difference of ranges; of an array, new places are left unwritten; an empty one
+    that becomes constant gets all its cells.
+    """
+    shape = extended(old_shape, new_shape, kind, new_kind)
+    if fill is None:
+        return cells
+    rank, n = len(shape), 1
+    for s in shape:
+        n *= s
+    index = unravel("id", shape)
+    new = cells.sparkSession.range(n).select(*(x.cast("long").alias(f"i{d}") for d, x in enumerate(index)))
+    inside = F.lit(kind != "empty")
+    for d in range(rank if kind != "empty" else 0):
+        inside = inside & (F.col(f"i{d}") < old_shape[d])
+    return cells.unionByName(new.filter(~inside).withColumn(value, F.lit(fill).cast(cells.schema[value].dataType)), allowMissingColumns=True)
+
+
 def _touching(a: tuple, b: tuple, rank: int) -> tuple | None:
     """The box of two boxes that agree in all axes but one, where the first ends as the second begins."""
     axis = None
@@ -130,7 +151,7 @@ def written_chunks(cells: DataFrame, rank: int, keys: Sequence[str] = ("path",))
     """(keys, offset, extent): the boxes that written cells make up.
 
     Runs on the innermost axis come first; then, axis by axis outwards, neighbouring slabs whose runs are the same
-    become one. The greedy merge takes what is left, a table of boxes far smaller than the cells, for one dataset at a time.
+    become one. What is left, a table of boxes far smaller than the cells, is merged as in merged_boxes.
     """
     axes = [f"i{d}" for d in range(rank)]
     line = Window.partitionBy(*keys, *axes[:-1]).orderBy(axes[-1])
@@ -144,11 +165,26 @@ def written_chunks(cells: DataFrame, rank: int, keys: Sequence[str] = ("path",))
         wide = slabs.groupBy(*keys, *axes[:d], "__boxes", "__run").agg(F.min(axes[d]).alias("__o"), F.count("*").alias("__e"))
         longer = F.transform("__boxes", lambda b: F.struct(F.concat(F.array("__o"), b["offset"]).alias("offset"), F.concat(F.array("__e"), b["extent"]).alias("extent")))
         boxes = wide.select(*keys, *axes[:d], longer.alias("__boxes"))
-    flat = boxes.select(*keys, F.inline("__boxes"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.select(*keys).schema.fields) + ", offset array<long>, extent array<long>"
+    return merged_boxes(boxes.select(*keys, F.inline("__boxes")), rank, keys)
+
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = greedy_merge([(tuple(map(int, o)), tuple(map(int, e))) for o, e in zip(pdf["offset"], pdf["extent"], strict=True)])
-        return pd.DataFrame([(*key, list(o), list(e)) for o, e in found], columns=[*keys, "offset", "extent"])
+def merged_boxes(boxes: DataFrame, rank: int, keys: Sequence[str] = ("path",), most_rounds: int = 64) -> DataFrame:
+    """Disjoint boxes (keys, offset, extent) joined axis by axis, innermost first, wherever runs of them touch in just one axis, until none does.
 
-    return flat.groupBy(*keys).applyInPandas(merge, schema)
+    Boxes that agree in all other axes are neighbours in order of this one: gaps and islands, by windows.
+    """
+    shape = [F.get("offset", d).cast("long").alias(f"__o{d}") for d in range(rank)] + [F.get("extent", d).cast("long").alias(f"__e{d}") for d in range(rank)]
+    found, count = boxes.select(*keys, *shape), None
+    for _ in range(most_rounds):
+        for d in range(rank - 1, -1, -1):
+            rest = [f"__{x}{i}" for i in range(rank) if i != d for x in "oe"]
+            order = Window.partitionBy(*keys, *rest).orderBy(f"__o{d}")
+            fresh = F.col(f"__o{d}") != F.lag(F.col(f"__o{d}") + F.col(f"__e{d}")).over(order)
+            found = found.withColumn("__run", F.sum(F.coalesce(fresh, F.lit(True)).cast("long")).over(order))
+            found = found.groupBy(*keys, *rest, "__run").agg(F.min(f"__o{d}").alias(f"__o{d}"), F.sum(f"__e{d}").alias(f"__e{d}")).drop("__run")
+        found = scratch.cut(found)  # rounds would grow the plan
+        now = found.count()
+        if now == count or rank == 1:
+            break
+        count = now
+    return found.select(*keys, F.array(*(f"__o{d}" for d in range(rank))).alias("offset"), F.array(*(f"__e{d}" for d in range(rank))).alias("extent"))

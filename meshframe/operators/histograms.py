@@ -58,6 +58,8 @@ def histogram_2d(df: DataFrame, x: tuple, y: tuple, weight: Column | None = None
 
 def _histogram(df: DataFrame, axes: dict, weight: Column | None, keys: list[str], exact: bool) -> DataFrame:
     weight = F.lit(1.0) if weight is None else weight
-    binned = df.select(*keys, *(bin_index(*a).alias(n) for n, a in axes.items()), weight.alias("__w")).dropna(subset=list(axes))
+    for value, lo, hi, _ in axes.values():  # reaches the scan; bins are then made once, and only for rows that have one
+        df = df.filter(value.isNotNull() & (value >= F.lit(lo)) & (value <= F.lit(hi)) & ~F.isnan(value.cast("double")))
+    binned = df.select(*keys, *(bin_index(*a).alias(n) for n, a in axes.items()), weight.alias("__w"))
     total = F.sum(F.col("__w").cast("decimal(18,6)")).cast("double") if exact else F.sum(F.col("__w").cast("double"))
     return _filled(binned.groupBy(*keys, *axes).agg(total.alias("weight")), keys, {n: a[3] for n, a in axes.items()})

@@ -130,9 +130,13 @@ def block_intensity(*arrays: str) -> Column:
 
 
 def field_max(cells: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = ("iteration",)) -> DataFrame:
-    """The greatest value and its cell, the first of equal ones by the order columns; partial results only are shuffled."""
-    first = F.min_by(F.struct(*order), F.struct((-F.col(value)).alias("v"), *order))
-    return cells.groupBy(*keys).agg(F.max(value).alias(value), first.alias("__at")).select(*keys, value, *(F.col(f"__at.{c}").alias(c) for c in order))
+    """The greatest value and its cell, the first of equal ones by the order columns; partial results only are shuffled.
+
+    Null and NaN cells don't count; keys without any other cell have no row.
+    """
+    known = cells.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    first = F.min_by(F.struct(value, *order), F.struct((-F.col(value)).alias("v"), *order))
+    return known.groupBy(*keys).agg(first.alias("__at")).select(*keys, *(F.col(f"__at.{c}").alias(c) for c in (value, *order)))
 
 
 def with_positions(cells: DataFrame, mesh_meta: DataFrame, rank: int, keys: Sequence[str] = ("iteration",), factor: float = 1.0) -> DataFrame:

@@ -1,21 +1,30 @@
 """Row numbers, running sums and running maxima in order, without a window over everything in one task.
 
-Rows are dealt into buckets by ranges of an integer order column. A small table holds one figure for each bucket; its
-prefix is joined back, and only the rows of one bucket are ordered together.
+Rows are dealt into buckets by quantiles of a numeric order column, so that a long tail or an outlier makes no large bucket. A
+small table holds one figure for each bucket; its prefix is joined back, and only the rows of one bucket are ordered together.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+#: The most buckets, and the rows that one of fewer buckets aims at.
+BUCKETS, ROWS = 1024, 100_000
 
 
 def _bucketed(df: DataFrame, order: str, buckets: int) -> DataFrame:
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, ((hi or 0) - (lo or 0) + buckets) // buckets)
-    return df.withColumn("__bucket", F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)).cast("long"))
+    """df with __bucket: the number of quantiles at or below the order column; null before all."""
+    shares = [i / buckets for i in range(1, buckets)]
+    n, cuts = df.agg(F.count("*"), F.percentile_approx(F.col(order).cast("double"), shares or [0.5], 10_000)).first()
+    step = max(1, buckets * ROWS // max(n, 1))  # every so many of the quantiles
+    splits = sorted(set((cuts or [])[step - 1 :: step])) if buckets > 1 else []
+    key = F.col(order).cast("double")
+    if not splits:
+        return df.withColumn("__bucket", F.when(key.isNotNull(), F.lit(0)).cast("long"))
+    found = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="__key", outputCol="__at", handleInvalid="keep").transform(df.withColumn("__key", key))
+    return found.withColumn("__bucket", F.when(key.isNotNull(), F.col("__at")).cast("long")).drop("__key", "__at")
 
 
 def _with_prefix(df: DataFrame, keys: list[str], order: str, value: Column, combine, buckets: int) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +66,12 @@ def column_stats(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
         clean = F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
         aggs += [F.avg(clean).alias(f"{c}_mean"), F.min(clean).alias(f"{c}_min"), F.max(clean).alias(f"{c}_max")]
     return df.groupBy(*by).agg(*aggs)
+
+
+def map_chunks(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 100_000, keys: tuple[str, ...] = ("iteration", "species")) -> DataFrame:
+    """What function makes of each chunk of rows of a species, a pandas frame sorted by row; a chunk never holds more than rows of them.
+
+    df has the keys and row, its place. Chunks are independent: the results are one table.
+    """
+    dealt = df.withColumn("__chunk", F.floor(F.col("row") / rows))
+    return dealt.groupBy(*keys, "__chunk").applyInPandas(lambda pdf: function(pdf.drop(columns="__chunk").sort_values("row", kind="stable")), schema)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.functions.attributes import copied
+from meshframe.operators.replay import replay, snapshots
 
 ENCODINGS = ("fileBased", "groupBased", "variableBased")
 
@@ -69,10 +70,24 @@ def sql(df: DataFrame, name: str, query: str) -> DataFrame:
     return df.sparkSession.sql(query)
 
 
-def pipe(tables: dict[str, DataFrame], path: str, encoding: str = "fileBased", codec: str = "zstd", transform=None) -> None:
-    """Copies a series' tables into another layout; attributes without what a writer makes, data through transform."""
+def read_variable(spark: SparkSession, path: str, keys: Sequence[str] = (), policy: str = "last", order: str = "write_seq") -> DataFrame:
+    """A variable-based series as a reader sees it: each step counts for the iterations of its snapshot, repeated ones are resolved by the policy of replay."""
+    return replay(snapshots(spark.read.parquet(path)), policy, keys, order)
+
+
+def pipe(tables: dict[str, DataFrame], path: str, encoding: str = "fileBased", codec: str = "zstd", transform=None, version_attribute: str | None = None, files: int | None = None) -> None:
+    """Copies a series' tables into another layout; attributes without what a writer makes, data through transform.
+
+    Tables with steps that were written more than once (a column write_seq, and row, i0… or patch_id as their place) come
+    as their last writes. With files, data is laid out anew in as many ranges of iteration and place. version_attribute is as in copied.
+    """
     for name, df in tables.items():
         if name == "attributes":
-            copied(df).write.mode("overwrite").option("compression", codec).parquet(f"{path}/{name}")
+            copied(df, version_attribute).write.mode("overwrite").option("compression", codec).parquet(f"{path}/{name}")
         else:
-            write(transform(df) if transform else df, f"{path}/{name}", encoding, "overwrite", codec)
+            place = [c for c in df.columns if c in ("row", "patch_id", "linear_index") or c[:1] == "i" and c[1:].isdigit()]
+            if "write_seq" in df.columns and place:
+                others = [c for c in df.columns if c not in ("iteration", *place)]
+                df = df.groupBy("iteration", *place).agg(F.max_by(F.struct(*others), "write_seq").alias("__last")).select("iteration", *place, *(F.col(f"__last.{c}").alias(c) for c in others))
+            df = transform(df) if transform else df
+            write(defragmented(df, files, ("iteration", *place)) if files else df, f"{path}/{name}", encoding, "overwrite", codec)

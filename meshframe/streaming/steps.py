@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from meshframe.operators.numbering import earlier_max
+from meshframe.operators.replay import snapshots
+
 
 def read_steps(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int = 16) -> DataFrame:
     """A stream of the Parquet files that are put into a folder; a file becomes visible whole."""
@@ -18,7 +21,7 @@ def read_steps(spark: SparkSession, path: str, schema: str | T.StructType, files
 
 def expanded(stream: DataFrame) -> DataFrame:
     """A row for each iteration of a step: its snapshots, or iteration 0 without any."""
-    return stream.withColumn("iteration", F.explode(F.coalesce("snapshot", F.array(F.lit(0).cast("long")))))
+    return snapshots(stream)
 
 
 def first_writes(stream: DataFrame, keys: list[str], ingest: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -42,18 +45,43 @@ def running_max_steps(stream: DataFrame, key: str = "series") -> DataFrame:
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         most = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["write_seq", "iteration"])
-        kept = []
-        for seq, it in zip(rows["write_seq"], rows["iteration"], strict=True):
-            if most is None or it > most:
-                most = int(it)
-                kept.append((k[0], int(seq), most))
-        state.update((most,))
-        yield pd.DataFrame(kept, columns=[key, "write_seq", "iteration"])
+        rows = pd.concat(list(frames)).dropna().sort_values(["write_seq", "iteration"])
+        seen = rows["iteration"].cummax().shift()
+        floor = seen if most is None else seen.fillna(most).clip(lower=most)
+        kept = rows[floor.isna() | (rows["iteration"] > floor)]
+        if len(rows):
+            state.update((max(int(rows["iteration"].max()), most if most is not None else int(rows["iteration"].max())),))
+        yield kept.assign(**{key: k[0]})[[key, "write_seq", "iteration"]]
 
     return stream.select(key, "write_seq", "iteration").groupBy(key).applyInPandasWithState(step, schema, "most long", "append", GroupStateTimeout.NoTimeout)
 
 
+def running_max_capture(stream: DataFrame, path: str, checkpoint: str, key: str = "series"):
+    """Starts a query that writes the steps of running_max_steps to path/steps, batch by batch, and ends when all is read.
+
+    A batch is compared by ranges of write_seq, so that a series with most of the log is many tasks; the state is one row for each series, a
+    table for each batch, and a batch that runs again writes the same.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.select(key, "write_seq", "iteration").filter("iteration is not null").persist()
+        spark = batch.sparkSession
+        found = earlier_max(batch, [key], ["write_seq"], "iteration", "__seen")
+        state = batch.groupBy(key).agg(F.max("iteration").alias("__most"))
+        if number:
+            before = spark.read.schema(state.schema).parquet(f"{path}/state/batch={number - 1}")
+            found = found.join(before, key, "left")
+            state = state.unionByName(before).groupBy(key).agg(F.max("__most").alias("__most"))
+        else:
+            found = found.withColumn("__most", F.lit(None).cast("long"))
+        floor = F.greatest("__seen", "__most")
+        found.filter(floor.isNull() | (F.col("iteration") > floor)).drop("__seen", "__most").write.mode("overwrite").parquet(f"{path}/steps/batch={number}")
+        state.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def capture(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], path: str, checkpoint: str, order: str | None = None):
     """Starts a query that writes each batch to one or more folders under path, each after its own function, and ends when all is read."""
 

@@ -162,3 +162,62 @@ def test_generators(spark):
     assert rows.count() == 12 and abs(rows.filter("iteration = 1 and block = 1 and i = 2").first()["rho"] - 1.0102) < 1e-12
     assert generate.particles(spark, 2, 5, 3).count() == 30 and generate.random_integers(spark, (4, 5)).filter("value between 0 and 200000000").count() == 20
     assert generate.unbalanced(spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0)], "iteration long, block long")).count() == 4
+
+
+def test_field_max_leaves_out_nulls_and_nan(spark):
+    cells = spark.createDataFrame([(1, 0, 2.0), (1, 1, None), (1, 2, 5.0), (1, 3, float("nan")), (2, 0, None)], "iteration long, i0 long, v double")
+    assert {tuple(r) for r in meshes.field_max(cells, "v", ["i0"]).collect()} == {(1, 5.0, 2)}
+
+
+def test_conversions_are_exact(spark):
+    from meshframe.functions.attributes import converted
+
+    rows = [("9007199254740993", "LONG"), ("18446744073709551615", "ULONG"), ("1.9", "DOUBLE"), ("-1.9", "DOUBLE"), ("true", "BOOL"), ('"a"', "STRING"), ("[9007199254740993, 2]", "VEC_LONG"), ('["a", "b"]', "VEC_STRING"), ("1e3", "DOUBLE")]
+    df = spark.createDataFrame(rows, "value string, dtype string").coalesce(1)
+    got = df.select(*(converted(F.col("value"), F.col("dtype"), t).alias(t) for t in ("long", "ulong", "double", "long_array", "string_array"))).collect()
+    assert [r["long"] for r in got] == [9007199254740993, None, 1, -1, 1, 97, None, None, 1000]
+    assert int(got[1]["ulong"]) == 18446744073709551615 and got[0]["double"] == 9007199254740992.0
+    assert got[6]["long_array"] == [9007199254740993, 2] and got[7]["string_array"] == ["a", "b"] and got[7]["long_array"] is None
+
+
+def test_numbers_of_long_tails(spark):
+    from meshframe.operators import numbering
+
+    df = spark.range(5000).select((F.col("id") % 7).alias("k"), F.when(F.col("id") == 9, F.lit(10**15)).otherwise(F.col("id")).alias("x")).unionByName(spark.createDataFrame([(1, None)], "k long, x long"))
+    old, numbering.ROWS = numbering.ROWS, 50
+    try:
+        buckets = numbering._bucketed(df, "x", 64).groupBy("__bucket").count().collect()
+        got = sorted((r["k"], r["row"], -1 if r["x"] is None else r["x"]) for r in numbering.numbered(df, ["k"], ["x"]).collect())
+    finally:
+        numbering.ROWS = old
+    assert len(buckets) > 40 and max(r["count"] for r in buckets) < 300
+    assert all(a[0] != b[0] or (a[1] + 1 == b[1] and a[2] <= b[2]) for a, b in zip(got[:-1], got[1:]))
+
+
+def test_merged_boxes_are_maximal(spark):
+    import random
+
+    rng = random.Random(1)
+    cells = {(rng.randrange(12), rng.randrange(9)) for _ in range(70)}
+    boxes = [(tuple(r["offset"]), tuple(r["extent"])) for r in chunks.written_chunks(spark.createDataFrame([("p", *c) for c in cells], "path string, i0 long, i1 long"), 2).collect()]
+    covered = [(i, j) for (a, b), (n, m) in boxes for i in range(a, a + n) for j in range(b, b + m)]
+    assert len(covered) == len(set(covered)) and set(covered) == cells
+    for (a, b), (n, m) in boxes:
+        assert ((a + n, b) not in {o for o, e in boxes if e[1] == m}) and ((a, b + m) not in {o for o, e in boxes if e[0] == n})
+
+
+def test_extended_component(spark):
+    df = spark.createDataFrame([(0, 0, 1.0), (1, 1, 2.0)], "i0 long, i1 long, value double")
+    assert chunks.extend(df, [2, 2], [3, 4]).count() == 2
+    got = {(r["i0"], r["i1"]): r["value"] for r in chunks.extend(df, [2, 2], [3, 3], "constant", fill=7).collect()}
+    assert got == {(0, 0): 1.0, (1, 1): 2.0, **{(i, j): 7.0 for i in range(3) for j in range(3) if i == 2 or j == 2}}
+    assert chunks.extend(df.limit(0), [], [2, 2], "empty", "constant", fill=3).count() == 4
+    with pytest.raises(ValueError):
+        chunks.extend(df, [2, 2], [1, 4])
+
+
+def test_exact_documents(spark):
+    body = b'{"data":{"3":{"meshes":{"a":{"datatype":"ULONG","data":[[18446744073709551615,1]]},"s":{"datatype":"STRING","data":["x","y"]},"z":{"datatype":"LONG","data":[1,null]}}}}}'
+    found = {r["path"].split("/")[-1]: r for r in documents.decode(spark.createDataFrame([("f", bytearray(body))], "path string, content binary")).collect()}
+    assert found["a"]["exact"] == ["18446744073709551615", "1"] and found["a"]["shape"] == [1, 2]
+    assert found["s"]["exact"] == ["x", "y"] and found["s"]["data"] is None and "null" in found["z"]["error"]
