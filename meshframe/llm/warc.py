@@ -1,11 +1,13 @@
 """Legacy archive conversion: ARC files of versions 1 and 2 into WARC, and WARC reading.
 
 An ARC file opens with a filedesc record, whose body names the version and the fields of the header lines that follow.
-Each record is a header line and as many bytes as it declares. The converter takes the fields by the version, and makes
-of each record the identifier, timestamp, type and digests that a WARC record has. Records with equal payloads become
-revisits of the one with the smallest page_id; only digests and ids meet for that.
+Each record is a header line and as many bytes as it declares. The reader takes ARC files from storage, plain or gzipped (with a
+member for each record or for all), as rows; the converter takes the fields by the version, and makes of each record the
+identifier, timestamp, type and digests that a WARC record has. Records with equal payloads become revisits of the one with the
+smallest page_id; only digests and ids meet for that.
 
-Archives are written by Spark as gzipped files of a bounded number of records, each a valid WARC file.
+Archives are written by Spark as gzipped files of a bounded number of bytes, each a valid file that opens with its filedesc or
+warcinfo record. Payloads may be any bytes. A file is one gzip member, as Spark's writer makes it; readers take many.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from functools import partial
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.llm import store
@@ -30,8 +32,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 LEAST_PAYLOAD = 100
-#: Records of an archive, pages of an ARC file made in memory, and duplicated digests that are sent to all tasks.
-RECORDS, PAGES, MOST_BROADCAST = 5000, 64, 100_000
+#: Bytes of payload that an archive aims at and the records that it has at most, records handled together, and duplicated digests that are sent to all tasks.
+FILE_BYTES, RECORDS, TOGETHER, MOST_BROADCAST = 32 << 20, 5000, 64, 100_000
+#: The protocol header under which pages keep their id in an archive; of a null id it is -.
+PAGE = b"X-Page: "
 
 
 class Record(NamedTuple):
@@ -44,6 +48,25 @@ class Record(NamedTuple):
     payload: bytes
 
 
+def unpacked(raw: bytes) -> bytes:
+    """The bytes of a plain or gzipped file, of all its members."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    out, at, member, whole = [], 0, zlib.decompressobj(31), True
+    while at < len(raw):
+        part = raw[at : at + (1 << 16)]
+        out.append(member.decompress(part))
+        at, whole = at + len(part), False
+        if member.eof:
+            at -= len(member.unused_data)
+            while at < len(raw) and raw[at] == 0:  # padding
+                at += 1
+            member, whole = zlib.decompressobj(31), True
+    if not whole:
+        raise ValueError("a gzip member cut short")
+    return b"".join(out)
+
+
 def arc_file(version: int, records: list[tuple[str, str, str, str, bytes]], origin: str = "crawl") -> bytes:
     """An ARC file of (url, ip, 14-digit date, content type, body) records."""
     body = f"{version} 0 {origin}\n{FIELDS[version]}\n\n".encode()
@@ -135,95 +158,164 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
-def _converted(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[tuple[list, list, list[Record]]]:
-    """Pages as ARC files of both versions, and what the converter reads of them."""
-    version = 1
-    for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "html")]
-        for lo in range(0, batch.num_rows, PAGES):
-            ids, urls, bodies = (c.slice(lo, PAGES).to_pylist() for c in columns)
-            rows = []
-            for url, html in zip(urls, bodies, strict=True):
-                raw = (html or "").encode()
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(raw)}\r\n\r\n".encode()
-                rows.append((re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "urn:none"), "0.0.0.0", date, "text/html", head + raw))
-            found = [r for r in read_arc(arc_file(version, rows)) if r.kind != "warcinfo"]
-            yield ids, [hashlib.sha256(r.payload).hexdigest() for r in found], found
-            version = 3 - version
-
-
-def _digests(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
-    for ids, digests, records in _converted(batches, date):
-        yield pa.record_batch({"page_id": pa.array(ids, pa.int64()), "digest": pa.array(digests), "n": pa.array([len(r.payload) for r in records], pa.int64())})
-
+def _page_id(record: Record) -> tuple[bool, int | None]:
+    """Whether the record names its page, and which."""
+    at = record.head.find(b"\r\n" + PAGE)
+    if at < 0:
+        return False, None
+    value = record.head[at + 2 + len(PAGE) : record.head.index(b"\r\n", at + 2)]
+    return True, None if value == b"-" else int(value)
 
-def _fields(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
-    """The converted records as rows: what a WARC record needs."""
-    for ids, digests, records in _converted(batches, date):
-        yield pa.record_batch({
-            "page_id": pa.array(ids, pa.int64()), "digest": pa.array(digests), **{c: pa.array([getattr(r, c) for r in records], pa.string()) for c in ("url", "ip", "date", "kind", "content_type")},
-            "head": pa.array([r.head for r in records], pa.binary()), "payload": pa.array([r.payload for r in records], pa.binary()),
-        })
 
-
-def _serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _arc_rows(batches: Iterator[pa.RecordBatch], date: str, records: int) -> Iterator[pa.RecordBatch]:
+    """The parts of ARC files, a record each, without the line end after it; versions take turns by file."""
+    n, version, at = 0, 2, 0
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "html")]
+        for lo in range(0, batch.num_rows, TOGETHER):
+            out = []
+            for page, url, html in zip(*(c.slice(lo, TOGETHER).to_pylist() for c in columns), strict=True):
+                if n % records == 0:
+                    version, at = 3 - version, 0
+                    opening = f"{version} 0 crawl\n{FIELDS[version]}\n\n".encode()
+                    out.append(_arc_line(version, "filedesc://made.arc", "0.0.0.0", date, "text/plain", opening, 0) + opening)
+                    n, at = n + 1, at + len(out[-1]) + 1
+                raw = html.encode() if isinstance(html, str) else html or b""
+                own = b"".join((b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n", PAGE, b"-" if page is None else str(page).encode(), b"\r\nContent-Length: ", str(len(raw)).encode(), b"\r\n\r\n", raw))
+                name = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "urn:none")
+                out.append(_arc_line(version, name, "0.0.0.0", date, "text/html", own, at) + own)
+                n, at = n + 1, at + len(out[-1]) + 1
+            yield pa.record_batch({"value": pa.array(out, pa.binary())})
+
+
+_RECORDS = "file string, place long, named boolean, page_id long, url string, ip string, date string, kind string, content_type string, head binary, payload binary"
+
+
+def _arc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), *[pa.string()] * 5, pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in _RECORDS.split(", ")]
+    for batch in batches:
+        for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows: list[tuple] = []
+            for place, r in enumerate(read_arc(unpacked(content.as_py()))):
+                rows.append((file, place, *_page_id(r), r.url, r.ip, r.date, r.kind, r.content_type, r.head, r.payload))
+                if len(rows) == TOGETHER:
+                    yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+
+
+def _opening(date: str) -> bytes:
+    body = b"software: arc converter\r\nformat: WARC File Format 1.1\r\n"
+    digest = hashlib.sha256(body).hexdigest()
+    head = {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(date, "warcinfo", digest), "WARC-Date": date, "WARC-Block-Digest": f"sha256:{digest}", "Content-Type": "application/warc-fields", "Content-Length": str(len(body))}
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + body + b"\r\n"
+
+
+def _serialised(batches: Iterator[pa.RecordBatch], records: int) -> Iterator[pa.RecordBatch]:
+    """WARC records without their last line end; each run of as many as a file holds opens with a warcinfo record."""
+    done = 0
     for batch in batches:
-        for lo in range(0, batch.num_rows, PAGES):
+        for lo in range(0, batch.num_rows, TOGETHER):
             out = []
-            for row in batch.slice(lo, PAGES).to_pylist():
+            for row in batch.slice(lo, TOGETHER).to_pylist():
                 record = Record(*(row[c] for c in Record._fields))
+                if done % records == 0:
+                    out.append(_opening(record.date))
+                    done += 1
+                done += 1
                 first, n = row["first_page"], len(record.payload)
                 key = "" if row["page_id"] is None else str(row["page_id"])
                 again = n >= LEAST_PAYLOAD and first is not None and first != row["page_id"]
                 of = record_id(record.date, str(first), row["digest"]) if again else None
-                out.append(warc_record(record, row["digest"], key, of, first if again else None).decode())
-            yield pa.record_batch({"value": pa.array(out, pa.string())})
+                out.append(warc_record(record, row["digest"], key, of, first if again else None))
+            yield pa.record_batch({"value": pa.array(out, pa.binary())})
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string"
 
 
 def _archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _READ.split(", ")]
+    kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in _READ.split(", ")]
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for head, block in read_warc(zlib.decompress(content.as_buffer(), 31)):
-                kind, digest, length = head["WARC-Type"], head["WARC-Payload-Digest"].split(":", 1)[1], int(head["X-Payload-Length"])
-                if kind == "response":
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
+            for head, block in read_warc(unpacked(content.as_py())):
+                kind = head["WARC-Type"]
+                if kind == "warcinfo":
+                    continue
+                digest, length = head["WARC-Payload-Digest"].split(":", 1)[1], int(head["X-Payload-Length"])
+                if kind in ("response", "resource"):
+                    payload = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else block
                     if hashlib.sha256(payload).hexdigest() != digest or len(payload) != length:
                         raise ValueError(f"the payload of {head['WARC-Record-ID']} isn't the one that was written")
                 rows.append((int(head["X-Page"]) if "X-Page" in head else None, length, digest, kind, int(head["X-Refers-To-Page"]) if "X-Refers-To-Page" in head else None, head["WARC-Record-ID"], head["WARC-Target-URI"]))
-            names = [x.split()[0] for x in _READ.split(", ")]
-            kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in _READ.split(", ")]
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
-def read_archives(spark, path: str) -> DataFrame:
-    """A row for each record of the gzipped WARC files under path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_archived, _READ)
+def _files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    files = spark.read.format("binaryFile")
+    return (files.option("pathGlobFilter", glob) if glob else files).load(path).select("path", "content")
 
 
-def write_archives(pages: DataFrame, path: str, *, date: str = "20240101000000", records: int = RECORDS) -> None:
-    """A WARC record for each row of pages (page_id, url, html), through ARC files of both versions, in gzipped files under path.
+def read_arcs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """A row for each record of the ARC files under path, of either version, plain or gzipped: where it is and its parts.
 
-    Null html is an empty payload, a null url urn:none. Of equal payloads of LEAST_PAYLOAD bytes or more the
-    rows with the least page_id are responses and the others revisits of it; a null page_id is never the least if there is
-    another. Repeated rows of the least page_id are all responses. An empty table makes no records.
+    page_id is the id that write_arcs has put into the record (named tells whether there is one). Records of the file itself have
+    the kind warcinfo. A file that breaks off, or whose lengths don't hold, is an error. Empty files have no records.
+    """
+    return _files(spark, path, glob).mapInArrow(_arc_records, _RECORDS)
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each record but warcinfo of the gzipped WARC files under path; files may have many gzip members."""
+    return _files(spark, path, "*.gz").select("content").mapInArrow(_archived, _READ)
+
+
+def _written(rows: DataFrame, path: str, line_end: str, records: int) -> None:
+    """Binary values as gzipped files: the text writer puts out the bytes of a string as they are."""
+    rows.select(F.col("value").cast("string")).write.option("compression", "gzip").option("lineSep", line_end).option("maxRecordsPerFile", records).text(path)
+
+
+def _records_of_file(mean: float | None) -> int:
+    return max(2, min(RECORDS, int(FILE_BYTES // max(mean or 1, 1))))
+
+
+def write_arcs(pages: DataFrame, path: str, *, date: str = "20240101000000", records: int | None = None) -> None:
+    """The rows of pages (page_id, url, html as text or bytes) as records of gzipped ARC files of both versions under path.
+
+    Null html is an empty payload, a null url urn:none. An empty table makes no records.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    digests = pages.mapInArrow(partial(_digests, date=date), "page_id long, digest string, n long")
-    first = digests.filter(F.col("n") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("places")).filter("places > 1 and first_page is not null").drop("places")
+    records = records or _records_of_file(pages.agg(F.avg(F.octet_length("html"))).first()[0])
+    _written(pages.mapInArrow(partial(_arc_rows, date=date, records=records), "value binary"), path, "\n", records)
+
+
+def convert_arcs(spark: SparkSession, arcs: str, path: str, *, glob: str | None = None, records: int | None = None) -> None:
+    """WARC files under path from the ARC files under arcs, a record for each but the files' own.
+
+    Of equal payloads of LEAST_PAYLOAD bytes or more the records with the least page_id are as they were and the others revisits
+    of it; a null page_id is never the least if there is another. Repeated records of the least page_id all stay. Records of files
+    that weren't made by write_arcs get an id by file and place.
+    """
+    found = read_arcs(spark, arcs, glob).filter("kind != 'warcinfo'")
+    own = F.when(F.col("named"), F.col("page_id")).otherwise(F.shiftrightunsigned(F.xxhash64("file", "place"), 1))
+    found = found.select(own.alias("page_id"), F.sha2("payload", 256).alias("digest"), *Record._fields)
+    small = found.select("page_id", "digest", F.length("payload").alias("n"))
+    first = small.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("places"), F.max("n").alias("n"))
     first = store.stored(first, "payloads")
-    rows = pages.mapInArrow(partial(_fields, date=date), "page_id long, digest string, url string, ip string, date string, kind string, content_type string, head binary, payload binary")
-    small = first.count() <= MOST_BROADCAST  # of about 100 bytes each
-    joined = rows.join(F.broadcast(first) if small else first.hint("shuffle_hash"), "digest", "left")
-    joined.mapInArrow(_serialised, "value string").write.option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", records).text(path)
+    records = records or _records_of_file(first.agg(F.sum(F.col("n") * F.col("places")) / F.sum("places")).first()[0])
+    again = first.filter(F.col("n") >= LEAST_PAYLOAD).filter("places > 1 and first_page is not null").select("digest", "first_page")
+    joined = found.join(store.side(again, MOST_BROADCAST), "digest", "left")
+    _written(joined.mapInArrow(partial(_serialised, records=records), "value binary"), path, "\r\n", records)
 
 
 def archived(pages: DataFrame, **options) -> DataFrame:
-    """What reading the archives of pages back gives; they are written to the shared folder."""
-    path = store.place(pages.sparkSession, "warc")
-    write_archives(pages, path, **options)
-    return read_archives(pages.sparkSession, path)
+    """What reading the archives of pages back gives: pages are written as ARC files to the shared folder, and converted from there."""
+    spark = pages.sparkSession
+    arcs, path = store.place(spark, "arc"), store.place(spark, "warc")
+    write_arcs(pages, arcs, **options)
+    convert_arcs(spark, arcs, path, records=options.get("records"))
+    return read_archives(spark, path)

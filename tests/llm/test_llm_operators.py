@@ -273,6 +273,38 @@ def test_archives_round_trip(spark):
     assert len(by[2]) == 2 and warc.archived(df.limit(0)).count() == 0
 
 
+def test_legacy_files_from_storage(spark, tmp_path):
+    """Files as others wrote them: plain, gzipped as a whole and by record, both versions; binary payloads, records without HTTP, equal payloads."""
+    import gzip
+
+    blob = bytes(range(256)) * 3
+    http = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n"
+    one = warc.arc_file(1, [("http://a/1", "1.2.3.4", "19991231235959", "image/png", http + blob), ("dns:a", "1.2.3.4", "19991231", "text/dns", b"a 1.2.3.4")])
+    two = warc.arc_file(2, [("http://b/2", "1.2.3.4", "20050607080910", "image/png", http + blob), ("http://b/3", "1.2.3.4", "20050607080911", "text/html", http)])
+    cut = two.index(b"http://b/2")
+    (tmp_path / "arcs").mkdir()
+    (tmp_path / "arcs" / "one.arc").write_bytes(one)
+    (tmp_path / "arcs" / "two.arc.gz").write_bytes(gzip.compress(two[:cut]) + gzip.compress(two[cut:]) + b"\0" * 9)
+    (tmp_path / "arcs" / "none.arc").write_bytes(b"")
+    assert warc.unpacked(gzip.compress(one) + gzip.compress(two)) == one + two
+    with pytest.raises(ValueError):
+        warc.unpacked(gzip.compress(one)[:-9])
+    got = {r["url"]: r for r in warc.read_arcs(spark, str(tmp_path / "arcs")).filter("kind != 'warcinfo'").collect()}
+    assert got["http://a/1"]["payload"] == blob and got["http://b/2"]["date"] == "2005-06-07T08:09:10Z" and got["dns:a"]["kind"] == "resource" and got["http://b/3"]["payload"] == b""
+    warc.convert_arcs(spark, str(tmp_path / "arcs"), str(tmp_path / "warcs"))
+    rows = {r["target_uri"]: r for r in warc.read_archives(spark, str(tmp_path / "warcs")).collect()}
+    kinds = sorted(rows[u]["record_type"] for u in ("http://a/1", "http://b/2"))
+    assert kinds == ["response", "revisit"] and rows["dns:a"]["record_type"] == "resource" and all(rows[u]["payload_digest"] == hashlib.sha256(blob).hexdigest() for u in ("http://a/1", "http://b/2"))
+    for f in (tmp_path / "warcs").glob("*.gz"):
+        records = list(warc.read_warc(gzip.decompress(f.read_bytes())))
+        assert not records or records[0][0]["WARC-Type"] == "warcinfo"
+    # a file of two members, as others write WARC
+    raw = b"".join(gzip.compress(x) for x in (warc._opening("2020-01-01T00:00:00Z") + b"\r\n", warc.warc_record(warc.Record("http://c", "0.0.0.0", "2020-01-01T00:00:00Z", "response", "application/http; msgtype=response", http, blob), hashlib.sha256(blob).hexdigest(), "4") + b"\r\n"))
+    (tmp_path / "members").mkdir()
+    (tmp_path / "members" / "x.warc.gz").write_bytes(raw)
+    assert [(r["page_id"], r["payload_bytes"]) for r in warc.read_archives(spark, str(tmp_path / "members")).collect()] == [(4, len(blob))]
+
+
 # Pages --------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
