@@ -153,24 +153,29 @@ def _decoded(batches: Iterator[pa.RecordBatch], model, pattern: str) -> Iterator
 _NEW = ("n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
+def _with_tokens(docs: DataFrame, path: str, pattern: str, ids: bool, digests: bool, new: str) -> DataFrame:
+    docs = store.without(docs, *_NEW)
+    names, docs = docs.columns, store.plain(docs)
+    make = partial(_encoded, model=broadcast_model(docs, path), pattern=pattern, names=docs.columns, ids=ids, digests=digests)
+    return store.named(docs.mapInArrow(make, store.extended(docs, new)), names)
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The columns of docs (with a string column text), then n_tokens and ids, an array of ranks.
 
     Null and empty texts have no ids. Columns of docs that clash with the new ones are replaced. Repeated rows
     stay; an empty table gives an empty table. A text of any length is encoded whole.
     """
-    docs = store.without(docs, *_NEW)
-    return docs.mapInArrow(partial(_encoded, model=broadcast_model(docs, path), pattern=pattern, names=docs.columns, ids=True, digests=False), store.extended(docs, "n_tokens long, ids array<int>"))
+    return _with_tokens(docs, path, pattern, True, False, "n_tokens long, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, pattern: str = "") -> DataFrame:
     """The columns of df (with ids), then decoded, the bytes; null ids give no bytes. An id that is not in the vocabulary is an error."""
     df = store.without(df, "decoded")
-    return df.mapInArrow(partial(_decoded, model=broadcast_model(df, path), pattern=pattern), store.extended(df, "decoded binary"))
+    names, df = df.columns, store.plain(df)
+    return store.named(df.mapInArrow(partial(_decoded, model=broadcast_model(df, path), pattern=pattern), store.extended(df, "decoded binary")), names)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, *, ids: bool = False) -> DataFrame:
     """The columns of docs, then n_tokens, the ids if asked for, and SHA-256 of the ids and of what they decode to. Cases as in encode."""
-    docs = store.without(docs, *_NEW)
-    kind = f"n_tokens long, {'ids array<int>, ' if ids else ''}ids_sha256 string, decoded_sha256 string"
-    return docs.mapInArrow(partial(_encoded, model=broadcast_model(docs, path), pattern=pattern, names=docs.columns, ids=ids, digests=True), store.extended(docs, kind))
+    return _with_tokens(docs, path, pattern, ids, True, f"n_tokens long, {'ids array<int>, ' if ids else ''}ids_sha256 string, decoded_sha256 string")

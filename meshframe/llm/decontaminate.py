@@ -154,6 +154,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, b
     of docs that clash with the new ones are replaced.
     """
     docs = store.without(docs, "n_words", "n_hit", "items", "spans")
+    names, docs = docs.columns, store.plain(docs)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
     spark, size = docs.sparkSession, items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // block_bytes + 1
@@ -168,4 +169,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, b
         probed = spark.sparkContext.broadcast((block.index(counts), block.words, block.items))
         out = out.mapInArrow(partial(_probe, block=probed, names=docs.columns), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
-    return out.select(*map(store.column, docs.columns), "n_words", hit.alias("n_hit"), "items", "spans")
+    return store.named(out.select(*docs.columns, "n_words", hit.alias("n_hit"), "items", "spans"), names)

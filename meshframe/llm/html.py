@@ -4,7 +4,8 @@ A page is read into blocks, each with its root-to-leaf path of block tags. Text
 aggregated by path; a path's ratios are those sums over its number of blocks. The two ratios are fused, less the share of
 text in links, smoothed over neighbouring blocks in page order, and paths of at least a share of the page's mean are
 content: all their blocks, short ones too. Blocks of other paths (lists, tables, references) follow what they stand with: the
-article or main element of content, or, unless they are mostly links, the element that holds it. Page furniture that names itself (by tag, role, class or id) has no part in the ratios.
+article or main element of content, or, unless they are mostly links, the element that holds it. Page furniture that names itself (by tag, role, or a
+whole class or id that says nothing else) has no part in the ratios; inside an article only elements that hold others do so.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ NAMES = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs masthead footer sidebar sidenav widget widgets "
     "cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus reply replies respond pagination pager toolbar copyright".split()
 )
+#: Parts that a name of furniture may have beside those, and the elements that hold other ones.
+FILLERS = set("bar box list block links link button buttons wrapper wrap container section area item items post posts article articles content inner outer icon icons media top bottom left right main site page primary secondary text message panel slot unit zone google global col row group info law header form".split())
+HOLDERS = set("div section ul ol dl table aside nav form footer header details figure".split())
 #: What an opening tag closes if it is open and nothing of the second set is between.
 CLOSES = {**dict.fromkeys(BLOCKS - {"td", "th", "tr", "li", "dd", "dt"}, ({"p"}, {"table", "td", "th"})), "li": ({"li", "p"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt", "p"}, {"dl"}), "dt": ({"dd", "dt", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"table", "tr"}), "th": ({"td", "th", "p"}, {"table", "tr"})}
 #: The least share of the mean score that makes a path content, and the most of its text in links.
@@ -43,6 +47,13 @@ _MARKS = re.compile(r"[.,;:!?…、。！，？]")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+def _furniture(name: str, header: bool) -> bool:
+    """Whether a class or id names furniture and nothing else: share-buttons does, share-price doesn't."""
+    parts = {x for x in _PART.split(name) if x and not x.isdigit()}
+    own = parts & NAMES or (header and "header" in parts)
+    return bool(own) and parts <= NAMES | FILLERS
+
+
 class _Reader:
     """Collects blocks: path, text, characters in links, element."""
 
@@ -114,10 +125,12 @@ class _Reader:
         if "=" not in attributes or tag in ("html", "body", "article", "main"):
             return False
         for name, a, b, c in _NAMED.findall(attributes):
-            value = (a or b or c).lower()
-            words = set(_PART.split(value))
-            if (name.lower() == "role" and words & ROLES) or words & NAMES or ("header" in words and not inside):
-                return True
+            for value in (a or b or c).lower().split():
+                if name.lower() == "role":
+                    if value in ROLES:
+                        return True
+                elif (not inside or tag in HOLDERS) and _furniture(value, not inside):
+                    return True
         return False
 
     def end(self, tag: str) -> None:
@@ -223,5 +236,6 @@ def extract(pages: DataFrame) -> DataFrame:
     Repeated rows stay; columns of pages that clash with the new ones are replaced; an empty table gives an empty table.
     """
     pages = store.without(pages, "text", "n_chars")
+    names, pages = [c for c in pages.columns if c.lower() != "html"], store.plain(pages)
     rest = store.without(pages, "html")
-    return pages.mapInArrow(partial(_extracted, names=rest.columns), store.extended(rest, "text string, n_chars long"))
+    return store.named(pages.mapInArrow(partial(_extracted, names=rest.columns), store.extended(rest, "text string, n_chars long")), names)

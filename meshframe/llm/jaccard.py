@@ -6,8 +6,8 @@ So a longer prefix may demand more matches:
 
 1. In the order of hashes, a sketch of the longest prefixes of all documents tells which shingles can occur twice. A
    document in whose l-prefix fewer than l can is linked with nothing: it goes no further. Equal sets are one class.
-   Where the sketch, whose size is bounded, has fewer cells than tokens, prefixes of l = 1 are exchanged as well, and
-   classes that share no token with another one are left out exactly.
+   Where the sketch, whose size is bounded, has fewer cells than tokens, these prefixes are exchanged as well, and the same test is
+   made exactly.
 2. The classes left order their shingles by rarity, by estimates over all of them. Each picks the l of least
    cost: the classes that its prefix's shingles lead to, weighed up by 1 / l for those left to verify.
 3. A star round: each class is compared with pivots of the shingles it shares. Buckets of copies shrink to components
@@ -131,16 +131,28 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, see
         })
 
 
-def _first_tokens(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, seen) -> Iterator[shared.Triples]:
-    """(token, class, 0) of the prefixes of which linked sets share one token, for sets that may link by the sketch."""
+def _deep_tokens(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, seen) -> Iterator[shared.Triples]:
+    """(token, class, size of the set and place of the token) of the deepest prefixes of sets that may link by the sketch."""
     for _, h, at in chunks(batches, "text", NOT_SPACE, True):
         values, begin, keys, enough = _classed(h, at, words, num, den, seen)
         n = np.diff(begin)
-        size = np.where(enough, np.minimum(n, n - _least(n, num, den) + 1), 0)
-        tokens = values[np.repeat(begin[:-1] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
-        own = np.repeat(keys, size)
+        size = np.where(enough, _deep(n, begin, num, den)[0], 0)
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        tokens = values[np.repeat(begin[:-1], size) + place]
         may = seen.value.may_repeat(tokens)
-        yield tokens[may], own[may], np.zeros(int(may.sum()), np.int64)
+        yield tokens[may], np.repeat(keys, size)[may], (np.repeat(n, size).astype(np.int64) << 32 | place)[may]
+
+
+def _sharing(found: DataFrame, num: int, den: int) -> DataFrame:
+    """The classes (owner, place as in _deep_tokens) that share as many tokens as a link needs, at every depth."""
+    rows = found.selectExpr("owner class_key", "place >> 32 n", "place & 4294967295L pos")
+    depth = {f: F.expr(f"greatest(1L, n div {DEEPEST * f})") if f else F.lit(1).cast("long") for f in (0, 4, 2, 1)}
+    short = F.expr(f"n - ({num} * n + {den - 1}) div {den}")
+    shares = rows.groupBy("class_key", "n").agg(*(F.sum((F.col("pos") < short + d).cast("long")).alias(f"d{f}") for f, d in depth.items()))
+    able = F.lit(True)
+    for f, d in depth.items():
+        able = able & (F.col(f"d{f}") >= d)
+    return shares.filter(able).select("class_key")
 
 
 def depths(n: np.ndarray) -> list[np.ndarray]:
@@ -427,9 +439,9 @@ def similar_components(docs: DataFrame, *, words: int = WORDS, num: int = NUMERA
     rows = docs.mapInArrow(make, StructType([docs.schema["doc_id"], docs.schema["text_key"], *StructType.fromDDL(_SETS).fields]))
     rows = store.stored(rows.withColumn("row_no", F.monotonically_increasing_id()), "sets")
     able = rows.filter("shingles is not null")
-    if crowded:  # sets are made for the classes that share a token with another one, of one text each
-        known = shared.repeated(docs.select("text"), partial(_first_tokens, words=words, num=num, den=den, seen=seen), apart=True)
-        able = able.join(store.side(store.stored(known.select(F.col("owner").alias("class_key")), "sharing")), "class_key", "left_semi")
+    if crowded:  # sets are made for the classes that share tokens enough with others, of one text each
+        known = shared.repeated(docs.select("text"), partial(_deep_tokens, words=words, num=num, den=den, seen=seen), apart=True)
+        able = able.join(store.side(store.stored(_sharing(known, num, den), "sharing")), "class_key", "left_semi")
         chosen = store.stored(able.groupBy("class_key").agg(F.min("text_key").alias("text_key")).select("text_key"), "chosen")
         texts = docs.select("text", "text_key").join(store.side(chosen), "text_key", "left_semi").select("text")
         made = texts.mapInArrow(partial(_sets, words=words, num=num, den=den, seen=seen, whole=True, names=[]), _SETS).filter("shingles is not null")

@@ -132,6 +132,15 @@ def _scored(batches: Iterator[pa.RecordBatch], model, names: list[str]) -> Itera
             yield pa.RecordBatch.from_pydict({**{c: part.column(part.schema.get_field_index(c)) for c in names}, "expected_grade": pa.array(tails.sum(1)), "tails": pa.array(tails.tolist(), pa.list_(pa.float64()))})
 
 
+def fit(docs: DataFrame, grades: DataFrame, *, levels: int = 3, each: int = EACH, most_bytes: int = MOST_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Thresholds and weights from a sample of at most `each` documents a grade; grades has doc_id and grade."""
+    known = grades.select("doc_id", F.col("grade").cast("int").alias("grade")).filter((F.col("grade") >= 0) & (F.col("grade") < levels))
+    sample = labelled_sample(docs.select("doc_id", "text"), known, each=each, most_bytes=most_bytes)
+    got = sample.mapInArrow(_featured, "grade int, weight double, bags binary, tokens long").toArrow()
+    bags = [np.frombuffer(x, np.int32) for x in got.column("bags").to_pylist()]
+    return fit_cumulative(bags, np.array(got.column("tokens").to_pylist(), int), np.array(got.column("grade").to_pylist(), int), np.array(got.column("weight").to_pylist(), float), levels)
+
+
 def score(docs: DataFrame, grades: DataFrame, *, levels: int = 3, each: int = EACH, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The columns of docs (doc_id, text), then expected_grade and tails, P(grade >= 1), P(grade >= 2) and so on.
 
@@ -140,11 +149,8 @@ def score(docs: DataFrame, grades: DataFrame, *, levels: int = 3, each: int = EA
     Columns of docs that clash with the new ones are replaced.
     """
     docs = store.without(docs, "expected_grade", "tails")
-    known = grades.select("doc_id", F.col("grade").cast("int").alias("grade")).filter((F.col("grade") >= 0) & (F.col("grade") < levels))
-    sample = labelled_sample(docs.select("doc_id", "text"), known, each=each, most_bytes=most_bytes)
-    got = sample.mapInArrow(_featured, "grade int, weight double, bags binary, tokens long").toArrow()
-    bags = [np.frombuffer(x, np.int32) for x in got.column("bags").to_pylist()]
-    thresholds, theta = fit_cumulative(bags, np.array(got.column("tokens").to_pylist(), int), np.array(got.column("grade").to_pylist(), int), np.array(got.column("weight").to_pylist(), float), levels)
+    names, docs = docs.columns, store.plain(docs)
+    thresholds, theta = fit(docs, grades, levels=levels, each=each, most_bytes=most_bytes)
     used = np.flatnonzero(theta)
     model = docs.sparkSession.sparkContext.broadcast((thresholds, used, theta[used]))
-    return docs.mapInArrow(partial(_scored, model=model, names=docs.columns), store.extended(docs, "expected_grade double, tails array<double>"))
+    return store.named(docs.mapInArrow(partial(_scored, model=model, names=docs.columns), store.extended(docs, "expected_grade double, tails array<double>")), names)

@@ -36,10 +36,10 @@ def _folded(parts: list[Triples], apart: bool) -> Iterator[pa.RecordBatch]:
     yield _batch(key[first], owner[first], place[first], False)
     size = np.diff(np.append(first, len(key)))
     again = np.repeat(size > 1, size)
-    owner, place = owner[again], np.zeros(int(again.sum()), np.int64) if apart else place[again]
+    owner, place = owner[again], place[again]
     if len(owner):
         both = np.unique(np.stack((owner, place)), axis=1)
-        yield _batch(mix(both[0].view(np.uint64), 3) + both[1].view(np.uint64), both[0], both[1], True)
+        yield _batch(mix(mix(both[0].view(np.uint64), 3) + both[1].view(np.uint64), 4), both[0], both[1], True)
 
 
 def _sent(batches: Iterator[pa.RecordBatch], triples: Callable[[Iterator[pa.RecordBatch]], Iterator[Triples]], apart: bool) -> Iterator[pa.RecordBatch]:
@@ -69,10 +69,10 @@ def _met(batches: Iterator[pa.RecordBatch], apart: bool) -> Iterator[pa.RecordBa
         hit[1:] |= same
         hit[:-1] |= same
         last = joined.slice(joined.num_rows - 1)  # it meets the next batch too
-        yield pa.record_batch({"owner": pa.array(owner[hit]), "place": pa.array(np.zeros(int(hit.sum()), np.int64) if apart else place[hit])})
+        yield pa.record_batch({"owner": pa.array(owner[hit]), "place": pa.array(place[hit])})
 
 
 def repeated(df: DataFrame, triples: Callable[[Iterator[pa.RecordBatch]], Iterator[Triples]], *, apart: bool = False) -> DataFrame:
-    """Distinct (owner, place) of the (key, owner, place) that `triples` makes of df's batches and whose key comes again; with apart, under another owner, and all places are 0."""
+    """Distinct (owner, place) of the (key, owner, place) that `triples` makes of df's batches and whose key comes again; with apart, under another owner (an owner has each key once, or at any of its places)."""
     sent = df.mapInArrow(partial(_sent, triples=triples, apart=apart), SCHEMA)
     return sent.repartition("key").sortWithinPartitions("key", "owner").mapInArrow(partial(_met, apart=apart), "owner long, place long").distinct()

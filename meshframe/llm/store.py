@@ -64,3 +64,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def extended(df: DataFrame, new: str) -> StructType:
     """The schema of df and new columns."""
     return StructType([*df.schema.fields, *StructType.fromDDL(new).fields])
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with names that Arrow functions can be given: those with dots, backticks or blanks are replaced. See named."""
+    return df.toDF(*(c if c.isidentifier() else f"__column_{i}" for i, c in enumerate(df.columns)))
+
+
+def named(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with these names for its first columns."""
+    return df.toDF(*names, *df.columns[len(names) :])

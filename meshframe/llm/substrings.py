@@ -167,6 +167,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     docs that clash with the new ones are replaced. An empty table gives an empty table.
     """
     docs = store.without(docs, "n_words", "n_removed", "kept", KEY, ONCE, SPOTS)
+    names, docs = docs.columns, store.plain(docs)
     size, key = sketch.text_bytes(docs, "text"), store.column(KEY)
     anchors = size // (3 * (window - anchor + 2))
     places = sketch.repeats(docs, "text", partial(_anchor_hashes, window=window, anchor=anchor), anchors)
@@ -185,4 +186,4 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     small = (once.agg(F.sum(F.size(store.column(ONCE)))).first()[0] or 0) <= most_broadcast
     marked = keyed.join(F.broadcast(once) if small else once.hint("shuffle_hash"), KEY, "left").drop(key)
     cut = partial(_cut, window=window, anchor=anchor, places=places, counts=counts, names=docs.columns, digest=digest)
-    return marked.mapInArrow(cut, store.extended(docs, KEPT))
+    return store.named(marked.mapInArrow(cut, store.extended(docs, KEPT)), names)

@@ -184,7 +184,8 @@ def score(docs: DataFrame, labels: DataFrame, *, each: int = EACH, most_bytes: i
     Repeated rows get the same score. Columns of docs that clash with the new ones are replaced.
     """
     docs = store.without(docs, "score", "offending")
+    names, docs = docs.columns, store.plain(docs)
     bias, theta = fit(docs, labels, each=each, most_bytes=most_bytes)
     used = np.flatnonzero(theta)
     model = docs.sparkSession.sparkContext.broadcast((bias, used, theta[used]))
-    return docs.mapInArrow(partial(_scored, model=model, names=docs.columns, threshold=threshold), store.extended(docs, _SCORED))
+    return store.named(docs.mapInArrow(partial(_scored, model=model, names=docs.columns, threshold=threshold), store.extended(docs, _SCORED)), names)

@@ -141,7 +141,10 @@ def test_shared_rows_equal_brute_force(spark, monkeypatch):
     for k, o, p in rows:
         by[k].append((o, p))
     assert {tuple(r) for r in shared.repeated(df, triples).collect()} == {x for v in by.values() if len(v) > 1 for x in v}
-    assert {tuple(r) for r in shared.repeated(df, triples, apart=True).collect()} == {(o, 0) for v in by.values() if len({o for o, _ in v}) > 1 for o, _ in v}
+    by = {k: [(o, k % 5) for o, _ in v] for k, v in by.items()}  # an owner has a key at one place
+    rows = [(k, *x) for k, v in by.items() for x in v]
+    df = spark.createDataFrame(rows, "k long, o long, p long").repartition(6)
+    assert {tuple(r) for r in shared.repeated(df, triples, apart=True).collect()} == {(o, min(p for x, p in v if x == o)) for v in by.values() if len({o for o, _ in v}) > 1 for o, _ in v}
 
 
 def test_near_duplicates_at_the_threshold(spark):
@@ -322,6 +325,33 @@ def test_page_text(spark):
     got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old"))).collect()}
     assert [got[i]["text"] for i in range(1, 8)] == [want, "", "", "cut off, here is text", "plain & simple", "", "deep, text"]
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    odd = spark.createDataFrame([(PAGE, "a", 1)], "html string, `n_chars` string, `x``y.z` int")
+    assert html.extract(odd).columns == ["x`y.z", "text", "n_chars"] and html.extract(odd.limit(0)).count() == 0
+
+
+def test_names_that_only_contain_furniture_words():
+    """Inside an article, whole names of furniture on elements that hold others go; paragraphs, and names that say more, stay."""
+    para = f"<p>{'Words of a long paragraph, ' * 22}to its end.</p>"
+    kept = [("p", "notice"), ("div", "share-price"), ("section", "related-work"), ("div", "comment-on-policy"), ("h2", "banner-of-war"), ("ul", "menu-of-the-day"), ("span", "login"), ("p", "widget"), ("div", "story-with-sidebar")]
+    gone = [("div", "share-buttons"), ("section", "related-posts"), ("div", "sidebar left"), ("ul", "social-links"), ("div", "ad-slot-2"), ("div", "cookie-notice"), ("ol", "comment-list"), ("div", "newsletter")]
+    for outer in ("article", "main"):
+        for tags, there in ((kept, True), (gone, False)):
+            for tag, name in tags:
+                inside = f"<li>Kept or gone, here.</li>" if tag in ("ul", "ol") else "Kept or gone, here."
+                for attribute in ("class", "id"):
+                    page = f"<html><body class='has-sidebar'><{outer}>{para * 3}<{tag} {attribute}='{name}'>{inside}</{tag}>{para * 3}</{outer}></body></html>"
+                    assert ("Kept or gone, here." in html.main_text(page).split("\n")) == there, (tag, name)
+    page = f"<body><div class='content-with-sidebar'>{para * 4}</div><div class='sidebar'><p>Beside it, all the time.</p></div><p class='copyright'>Ours, 2020.</p></body>"
+    assert html.main_text(page).split("\n") == [t for t in re.split("<[^>]*>", para * 4) if t]
+
+
+def test_ratios_decide_without_names():
+    """Menus, notices and footers without any name or telling tag."""
+    para = f"<p>{'Words of a long paragraph, with marks; ' * 14}to its end.</p>"
+    links = f"<div><ul>{''.join(f'<li><a href=/{i}>Go to {i}</a></li>' for i in range(25))}</ul></div>"
+    small = "<div><span>We use cookies</span></div>"
+    for body in (f"{small}{links}<div><div>{para * 6}</div></div>{links}{small}", f"{small}<table><tr><td>{links}</td><td><div>{para * 6}</div></td></tr></table>"):
+        assert html.main_text(f"<html><body>{body}</body></html>").split("\n") == [t for t in re.split("<[^>]*>", para * 6) if t]
 
 
 def test_lists_tables_and_links_of_an_article():
@@ -522,3 +552,59 @@ def test_stored_tables_can_be_cleared(spark):
     assert os.path.exists(path)
     store.clear(spark)
     assert not os.path.exists(path)
+
+
+# All operators ------------------------------------------------------------------------------------
+
+
+def test_columns_of_any_name_are_carried(spark):
+    """Dots, backticks, blanks, struct fields with blanks, and names that clash; repeated rows, nulls, an empty table."""
+    from pyspark.sql import types as T
+
+    kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("a`b.c d", T.IntegerType()), T.StructField("s", T.StructType([T.StructField("x y", T.StringType())])), *(T.StructField(c, T.StringType()) for c in ("Score", "kept", "items", "ids", "once", "text_key", "tails"))])
+    text = "one two three four five six. " * 9
+    docs = spark.createDataFrame([(1, text, 7, ("v",), *"abcdefg"), (1, text, 7, ("v",), *"abcdefg"), (2, None, None, None, *[None] * 7), (None, "", 1, (None,), *"abcdefg")], kind)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([("i", "one two three")], "item_id string, text string")
+    grades = labels.withColumnRenamed("toxic", "grade")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    for make in (lambda d: toxicity.score(d, labels), lambda d: quality.score(d, grades), lambda d: find_leaks(d, bench), lambda d: remove_repeats(d), lambda d: bpe.encode(d, path, public_tokenizers.PATTERN)):
+        got = make(docs)
+        rows = got.collect()
+        assert len(rows) == 4 and {"a`b.c d", "s"} <= set(got.columns) and len({c.lower() for c in got.columns}) == len(got.columns)
+        assert sorted((r["a`b.c d"] or 0, r["s"] and r["s"]["x y"]) for r in rows)[-1] == (7, "v")
+        assert make(docs.limit(0)).count() == 0
+
+
+def test_scores_equal_brute_force(spark):
+    """Noisy-or and tails recomputed in plain Python from the fitted weights."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["vile", "nice", "tree", "lake", "Moon"]) + rng.choice(["", ".", "!", "\n"]) for _ in range(rng.randrange(1, 60)))) for i in range(80)] + [(80, None), (81, ""), (82, "..."), (83, "tree " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.coalesce(F.col("text").contains("vile").cast("int"), F.lit(0)).alias("toxic"))
+    bias, theta = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    for i, text in rows:
+        clean, bad = 1.0, 0
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            words = re.findall(r"[^\W\d_]+", sentence.lower())
+            for k in range(0, len(words), toxicity.LONGEST):
+                z = bias + sum(theta[f] for w in words[k : k + toxicity.LONGEST] for f in toxicity.features(w))
+                p = 1 / (1 + np.exp(-z))
+                clean *= 1 - p
+                bad += p >= toxicity.THRESHOLD
+        assert abs(got[i]["score"] - (1 - clean)) < 1e-6 and len(got[i]["offending"]) == bad
+
+
+def test_tails_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["poor", "fair", "good", "tree!!", "7"]) for _ in range(rng.randrange(1, 50)))) for i in range(90)] + [(90, None), (91, ""), (92, "good " * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grades = docs.select("doc_id", F.when(F.col("text").contains("poor"), 0).when(F.col("text").contains("fair"), 1).otherwise(2).alias("grade"))
+    thresholds, theta = quality.fit(docs, grades)
+    assert list(thresholds) == sorted(thresholds)
+    for r in quality.score(docs, grades).collect():
+        tokens = (r["text"] or "").split()
+        z = sum(theta[f] for t in tokens for f in quality.features(t)) + theta[quality._AGAIN] * sum(a == b for a, b in zip(tokens, tokens[1:]))
+        tails = [1 / (1 + np.exp(c - z / max(1, len(tokens)))) for c in thresholds]
+        assert np.allclose(r["tails"], tails, atol=1e-9) and abs(r["expected_grade"] - sum(tails)) < 1e-9
