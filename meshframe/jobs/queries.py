@@ -676,3 +676,29 @@ def k4_random_integers(spark, sf_dir):
     """Random cells, 100 for each supplier: all places, values in their range."""
     found = generate.random_integers(spark, [V.table(spark, sf_dir, "supplier").count(), 100])
     return found.agg(F.count("*").alias("cells"), F.count_distinct("linear_index").alias("places"), (F.min("value").between(0, 200_000_000) & F.max("value").between(0, 200_000_000)).alias("inside"))
+
+
+@query("SELECT CAST(label AS BIGINT) iteration, vec_id i0, CAST(embedding[1] AS DOUBLE) AS value, 'double' AS kind FROM embeddings")
+def b14_empty_component(spark, sf_dir):
+    """An empty component, typed, whose rows are written later: all columns and their types are those it was made with."""
+    made = meshes.empty(spark, "double", 1)
+    found = made.unionByName(V.vectors(spark, sf_dir).select("iteration", "i0", F.col("x").alias("value")), allowMissingColumns=True)
+    return found.select("iteration", "i0", "value", F.lit(dict(made.dtypes)["value"]).alias("kind"))
+
+
+@query("SELECT vec_id i0, CAST(embedding[1] AS DOUBLE) * CAST(embedding[1] AS DOUBLE) + CAST(embedding[len(embedding)] AS DOUBLE) * CAST(embedding[len(embedding)] AS DOUBLE) AS first, CAST(len(embedding) AS INTEGER) n FROM embeddings")
+def b16_block_intensity(spark, sf_dir):
+    """Sums of squares of two arrays, block by block: the values of each block and the same in reverse."""
+    both = V.blocks(spark, sf_dir).select(F.get("offset", 0).alias("i0"), "values", F.reverse("values").alias("reversed"))
+    both = both.select("i0", meshes.block_intensity("values", "reversed").alias("intensity"))
+    return both.select("i0", F.get("intensity", 0).alias("first"), F.size("intensity").alias("n"))
+
+
+@query(f"WITH {V.PARTICLES} SELECT iteration, species, count(*) n, true AS contiguous FROM p GROUP BY ALL")
+def a17_chunks_of_files(spark, sf_dir):
+    """A species laid out anew: what a file has of an iteration and species is one run of rows."""
+    path = scratch(spark, "runs")
+    p = V.numbered_particles(spark, sf_dir).select("iteration", "species", "row", "position_z")
+    series.write(series.defragmented(p, 8, ("iteration", "species", "row")), path, "groupBased")
+    runs = series.read(spark, path).groupBy(F.col("_metadata.file_path").alias("file"), "iteration", "species").agg(F.count("*").alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi"))
+    return runs.groupBy("iteration", "species").agg(F.sum("n").alias("n"), F.bool_and(F.col("hi") - F.col("lo") + 1 == F.col("n")).alias("contiguous"))

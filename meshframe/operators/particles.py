@@ -49,14 +49,21 @@ def union_iterations(parts: list[DataFrame], renumber: list[str] | None = None)
 def align(components: dict[str, DataFrame], keys: list[str], value: str = "value") -> DataFrame:
     """Components of one record side by side, by position; ValueError if they differ in length.
 
-    The long rows are shuffled once: a grouping by position, not a chain of joins.
+    The long rows are shuffled once: a grouping by position, not a chain of joins. A position that a component lacks or has
+    more than once is an error when the result is read; null values are values.
     """
     names = list(components)
     long = reduce(DataFrame.unionByName, (df.select(*keys, F.lit(n).alias("__name"), F.col(value).alias("__value")) for n, df in components.items()))
     counts = {r[0]: r[1] for r in long.groupBy("__name").count().collect()}
     if len({counts.get(n, 0) for n in names}) > 1:
         raise ValueError(f"components of different lengths: {counts}")
-    return long.groupBy(*keys).pivot("__name", names).agg(F.first("__value"))
+    own = [F.col("__name") == n for n in names]
+    parts = [F.first(F.when(c, F.col("__value")), ignorenulls=True).alias(f"__v{i}") for i, c in enumerate(own)]
+    times = [F.count_if(c).alias(f"__n{i}") for i, c in enumerate(own)]
+    found = long.groupBy(*keys).agg(*parts, *times)
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("not just one value of each component at"), *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys)))
+    once = F.forall(F.array(*(f"__n{i}" for i in range(len(names)))), lambda n: n == 1)
+    return found.select(*keys, *(F.when(once, F.col(f"__v{i}")).otherwise(wrong).alias(n) for i, n in enumerate(names)))
 
 
 def column_stats(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,25 @@ def test_exact_documents(spark):
     found = {r["path"].split("/")[-1]: r for r in documents.decode(spark.createDataFrame([("f", bytearray(body))], "path string, content binary")).collect()}
     assert found["a"]["exact"] == ["18446744073709551615", "1"] and found["a"]["shape"] == [1, 2]
     assert found["s"]["exact"] == ["x", "y"] and found["s"]["data"] is None and "null" in found["z"]["error"]
+
+
+def test_aligned_components_have_the_same_places(spark):
+    a = spark.createDataFrame([(0, 1.0), (1, None)], "row long, value double")
+    assert sorted(tuple(r) for r in particles.align({"x": a, "y": a}, ["row"]).collect()) == [(0, 1.0, 1.0), (1, None, None)]
+    for other in ([(0, 1.0), (2, 2.0)], [(0, 1.0), (0, 2.0)]):
+        b = spark.createDataFrame(other, "row long, value double")
+        with pytest.raises(Exception, match="just one value"):
+            particles.align({"x": a, "y": b}, ["row"]).collect()
+
+
+def test_codec_of_written_files(spark, tmp_path):
+    for codec in ("gzip", "zstd", "snappy"):
+        path = tmp_path / codec
+        series.write(spark.range(10).select(F.lit(0).alias("iteration"), "id"), str(path), "groupBased", codec=codec)
+        found = {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in path.glob("*.parquet")}
+        assert found == {codec.upper()}
+
+
+def test_block_intensity_is_that_of_the_cells(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [3.0, None])], "a array<double>, b array<double>")
+    assert df.select(meshes.block_intensity("a", "b").alias("i")).first()["i"] == [10.0, None]
