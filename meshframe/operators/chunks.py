@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshframe.functions.arrays import unravel
-from meshframe.operators.numbering import exclusive_sum
+from meshframe.operators.numbering import earlier_max, exclusive_sum
 from meshframe.sources import scratch
 
 
@@ -147,6 +147,10 @@ def greedy_merge(boxes: list[tuple[tuple[int, ...], tuple[int, ...]]]) -> list[t
     return boxes
 
 
+#: Cells of a range that the cells of a single axis are dealt into.
+RANGE = 65_536
+
+
 def written_chunks(cells: DataFrame, rank: int, keys: Sequence[str] = ("path",)) -> DataFrame:
     """(keys, offset, extent): the boxes that written cells make up.
 
@@ -154,9 +158,12 @@ def written_chunks(cells: DataFrame, rank: int, keys: Sequence[str] = ("path",))
     become one. What is left, a table of boxes far smaller than the cells, is merged as in merged_boxes.
     """
     axes = [f"i{d}" for d in range(rank)]
-    line = Window.partitionBy(*keys, *axes[:-1]).orderBy(axes[-1])
-    rows = cells.select(*keys, *axes).distinct().withColumn("__run", F.col(axes[-1]) - F.row_number().over(line))
-    boxes = rows.groupBy(*keys, *axes[:-1], "__run").agg(F.min(axes[-1]).alias("__o"), F.count("*").alias("__e"))
+    # In a single axis runs are cut at ranges, which merged_boxes joins again.
+    part = F.floor(F.col(axes[-1]) / RANGE) if rank == 1 else F.lit(0)
+    rows = cells.select(*keys, *axes).distinct().withColumn("__range", part)
+    line = Window.partitionBy(*keys, *axes[:-1], "__range").orderBy(axes[-1])
+    rows = rows.withColumn("__run", F.col(axes[-1]) - F.row_number().over(line))
+    boxes = rows.groupBy(*keys, *axes[:-1], "__range", "__run").agg(F.min(axes[-1]).alias("__o"), F.count("*").alias("__e"))
     boxes = boxes.select(*keys, *axes[:-1], F.array(F.struct(F.array("__o").alias("offset"), F.array("__e").alias("extent"))).alias("__boxes"))
     for d in range(rank - 2, -1, -1):
         slabs = boxes.groupBy(*keys, *axes[: d + 1]).agg(F.sort_array(F.flatten(F.collect_list("__boxes"))).alias("__boxes"))
@@ -168,13 +175,30 @@ def written_chunks(cells: DataFrame, rank: int, keys: Sequence[str] = ("path",))
     return merged_boxes(boxes.select(*keys, F.inline("__boxes")), rank, keys)
 
 
+def _line(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Disjoint boxes of one axis (keys, __o0, __e0), joined where one ends as the next begins.
+
+    The ends rise with the offsets, so the greatest earlier end is that of the box before, and the greatest earlier start of
+    a run is the own one: two running maxima by buckets of the axis, so that a path with most of the boxes is many tasks.
+    """
+    found = earlier_max(boxes.withColumn("__end", F.col("__o0") + F.col("__e0")), list(keys), ["__o0"], "__end", "__last")
+    fresh = F.when(~F.col("__o0").eqNullSafe(F.col("__last")), F.col("__o0"))
+    found = scratch.cut(found.select(*keys, "__o0", "__e0", fresh.alias("__start")))
+    found = earlier_max(found, list(keys), ["__o0"], "__start", "__run")
+    found = found.groupBy(*keys, F.coalesce("__start", "__run").alias("__run")).agg(F.min("__o0").alias("__o0"), F.sum("__e0").alias("__e0"))
+    return found.drop("__run")
+
+
 def merged_boxes(boxes: DataFrame, rank: int, keys: Sequence[str] = ("path",), most_rounds: int = 64) -> DataFrame:
     """Disjoint boxes (keys, offset, extent) joined axis by axis, innermost first, wherever runs of them touch in just one axis, until none does.
 
-    Boxes that agree in all other axes are neighbours in order of this one: gaps and islands, by windows.
+    Boxes that agree in all other axes are neighbours in order of this one: gaps and islands, by windows. With one axis
+    nothing else divides the boxes of a path: see _line.
     """
     shape = [F.get("offset", d).cast("long").alias(f"__o{d}") for d in range(rank)] + [F.get("extent", d).cast("long").alias(f"__e{d}") for d in range(rank)]
     found, count = boxes.select(*keys, *shape), None
+    if rank == 1:
+        return _line(scratch.cut(found), keys).select(*keys, F.array("__o0").alias("offset"), F.array("__e0").alias("extent"))
     for _ in range(most_rounds):
         for d in range(rank - 1, -1, -1):
             rest = [f"__{x}{i}" for i in range(rank) if i != d for x in "oe"]
@@ -184,7 +208,7 @@ def merged_boxes(boxes: DataFrame, rank: int, keys: Sequence[str] = ("path",), m
             found = found.groupBy(*keys, *rest, "__run").agg(F.min(f"__o{d}").alias(f"__o{d}"), F.sum(f"__e{d}").alias(f"__e{d}")).drop("__run")
         found = scratch.cut(found)  # rounds would grow the plan
         now = found.count()
-        if now == count or rank == 1:
+        if now == count:
             break
         count = now
     return found.select(*keys, F.array(*(f"__o{d}" for d in range(rank))).alias("offset"), F.array(*(f"__e{d}" for d in range(rank))).alias("extent"))

@@ -10,17 +10,24 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The most buckets, and the rows that one of fewer buckets aims at.
-BUCKETS, ROWS = 1024, 100_000
+#: The rows that a bucket aims at, the most buckets, and the sampled rows a bucket that place its ends.
+ROWS, BUCKETS, SAMPLED = 100_000, 16_384, 100
 
 
 def _bucketed(df: DataFrame, order: str, buckets: int) -> DataFrame:
-    """df with __bucket: the number of quantiles at or below the order column; null before all."""
-    shares = [i / buckets for i in range(1, buckets)]
-    n, cuts = df.agg(F.count("*"), F.percentile_approx(F.col(order).cast("double"), shares or [0.5], 10_000)).first()
-    step = max(1, buckets * ROWS // max(n, 1))  # every so many of the quantiles
-    splits = sorted(set((cuts or [])[step - 1 :: step])) if buckets > 1 else []
+    """df with __bucket: the number of quantiles at or below the order column; null before all.
+
+    Their number follows from the count of rows, and a sample places them: they divide the work and decide about no result.
+    """
     key = F.col(order).cast("double")
+    n = df.select(order).count()
+    buckets = min(buckets, n // ROWS + 1)
+    splits = []
+    if buckets > 1:
+        keys, share = df.select(key.alias("__key")), SAMPLED * buckets / n
+        keys = (keys if share >= 1 else keys.sample(share, seed=0)).filter(F.abs("__key") < float("inf"))  # NaN is greater
+        cuts = keys.agg(F.percentile_approx("__key", [i / buckets for i in range(1, buckets)], max(10_000, 10 * buckets))).first()[0]
+        splits = sorted(set(cuts or []))
     if not splits:
         return df.withColumn("__bucket", F.when(key.isNotNull(), F.lit(0)).cast("long"))
     found = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="__key", outputCol="__at", handleInvalid="keep").transform(df.withColumn("__key", key))

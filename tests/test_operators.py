@@ -195,6 +195,38 @@ def test_numbers_of_long_tails(spark):
     assert all(a[0] != b[0] or (a[1] + 1 == b[1] and a[2] <= b[2]) for a, b in zip(got[:-1], got[1:]))
 
 
+def test_numbers_by_sampled_quantiles(spark):
+    from meshframe.operators import numbering
+
+    odd = [(float("nan"),), (float("inf"),), (float("-inf"),), (None,)]
+    df = spark.range(4000).select((F.col("id") * 37 % 4001).cast("double").alias("x")).unionByName(spark.createDataFrame(odd, "x double"))
+    old, (numbering.ROWS, numbering.SAMPLED) = (numbering.ROWS, numbering.SAMPLED), (100, 10)
+    try:
+        buckets = numbering._bucketed(df, "x", 64).groupBy("__bucket").count().collect()
+        got = [r["x"] for r in sorted(numbering.numbered(df, [], ["x"]).collect(), key=lambda r: r["row"])]
+    finally:
+        numbering.ROWS, numbering.SAMPLED = old
+    assert len(buckets) > 30 and max(r["count"] for r in buckets) < 500
+    assert got[:2] == [None, float("-inf")] and got[2:-2] == sorted(got[2:-2]) and got[-2] == float("inf") and got[-1] != got[-1] and len(got) == 4004
+
+
+def test_runs_of_one_axis(spark):
+    from meshframe.operators import numbering
+
+    cells = {(p, i) for p in ("a", None) for i in range(900) if i % 97 and (p or not 300 < i < 500)}
+    want, ordered = {}, sorted(cells, key=lambda c: (c[0] or "", c[1]))
+    for p, i in ordered:
+        start = next(j for j in range(i, -2, -1) if (p, j - 1) not in cells)
+        want[p, start] = want.get((p, start), 0) + 1
+    old, (numbering.ROWS, chunks.RANGE) = (numbering.ROWS, chunks.RANGE), (20, 16)
+    try:
+        found = chunks.written_chunks(spark.createDataFrame([*ordered, *ordered[:50]], "path string, i0 long"), 1).collect()
+        none = chunks.written_chunks(spark.createDataFrame([], "path string, i0 long"), 1).count()
+    finally:
+        numbering.ROWS, chunks.RANGE = old
+    assert {(r["path"], r["offset"][0]): r["extent"][0] for r in found} == want and len(found) == len(want) and none == 0
+
+
 def test_merged_boxes_are_maximal(spark):
     import random
 
