@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.llm import bpe, chat, quality, toxicity, warc
+from meshframe.llm import bpe, chat, equal_average, ns_clustering, quality, store, token_files, toxicity, warc
 from meshframe.llm.ann import nearest
 from meshframe.llm.decontaminate import find_leaks
 from meshframe.llm.html import extract
@@ -75,6 +75,29 @@ def op10_balanced_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.filter("vec_id % 20 = 0"))
 
 
+def op11_equal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = equal_average.train(rows)
+    coded = equal_average.summed(equal_average.encode(rows, books).drop("embedding"), "label")
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(equal_average.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_ns_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = ns_clustering.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    found = store.stored(found.drop("embedding"), "clustered")
+    sums = {r[0]: r[1] for r in found.groupBy("cluster").agg(F.sum("distance")).collect()}
+    inertia = [sums.get(j, 0) for j in range(len(centroids))]
+    return found.select("vec_id", "cluster", "distance", ns_clustering.picked(inertia, "cluster").cast("long").alias("cluster_inertia"), F.lit(sum(inertia)).cast("long").alias("inertia"), ns_clustering.picked(ns_clustering.digests(centroids), "cluster").cast("string").alias("centroid_sha256"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    path = store.place(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(vocabulary), path, end=2)
+    return token_files.read(spark, path, raw=True).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -86,6 +109,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_text": op9_html_text,
     "op10_balanced_lists": op10_balanced_lists,
+    "op11_equal_average": op11_equal_average,
+    "op12_ns_clustering": op12_ns_clustering,
+    "op13_token_files": op13_token_files,
 }
 
 #: Words of a text with A-Z lower-cased, in SQL.
@@ -144,3 +170,57 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n, 0) n_removed,
               ELSE (SELECT string_agg(w[j], ' ' ORDER BY j) FROM (SELECT unnest(range(1, len(w) + 1)) j) WHERE NOT list_contains(js, j)) END, '')) kept_sha256
 FROM d LEFT JOIN x ON d.doc_id = x.doc_id""",
 }
+
+#: Usable vectors as doubles that hold integers; their products are exact.
+_FIXED = "[floor(1024 * CAST(x AS DOUBLE)) for x in embedding]"
+_FINITE = "embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"
+
+
+def _mean(rows: str, by: str, length: str) -> str:
+    """The floor of the mean of each component of e in rows, by `by`."""
+    return f"""(SELECT {by}, list((s - ((s % c) + c) % c) // c ORDER BY i) m FROM (SELECT {by}, i, sum(CAST(e[i] AS BIGINT)) s, count(*) c
+  FROM (SELECT {by}, e, unnest(range(1, {length} + 1)) i FROM {rows}) GROUP BY {by}, i) GROUP BY {by})"""
+
+
+_SQUARED = "CAST(list_inner_product(a.e, a.e) - 2 * list_inner_product(a.e, b.e) + list_inner_product(b.e, b.e) AS BIGINT)"
+
+
+def _codebook_rounds(rounds: int) -> str:
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT r, a.part, any_value(a.e) e, min({_SQUARED} * 256 + k) m FROM p a JOIN b{i} b ON a.part = b.part GROUP BY r, a.part)""")
+        if i < rounds:
+            out.append(f"""b{i + 1} AS MATERIALIZED (SELECT b.part, b.k, CASE WHEN m IS NULL THEN e ELSE [CAST(x AS DOUBLE) for x in m] END e
+  FROM b{i} b LEFT JOIN {_mean(f"(SELECT part, m % 256 k, e FROM a{i})", "part, k", "len(e)")} n ON b.part = n.part AND b.k = n.k)""")
+    return ",\n".join(out)
+
+
+def _centroid_rounds(rounds: int) -> str:
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT r, any_value(a.e) e, min({_SQUARED} * 8 + k) m FROM v a, b{i} b GROUP BY r)""")
+        if i < rounds:
+            out.append(f"""b{i + 1} AS MATERIALIZED (SELECT b.k, CASE WHEN m IS NULL THEN e ELSE [CAST(x AS DOUBLE) for x in m] END e
+  FROM b{i} b LEFT JOIN {_mean(f"(SELECT m % 8 k, e FROM a{i})", "k", "len(e)")} n ON b.k = n.k)""")
+    return ",\n".join(out)
+
+
+_DECIMAL = "array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) for x in e], ',')"
+
+ORACLE["op11_equal_average"] = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 r, vec_id, label, {_FIXED} e FROM embeddings WHERE {_FINITE}),
+p AS MATERIALIZED (SELECT r, part, e[part * (len(e) // 4) + 1 : (part + 1) * (len(e) // 4)] e FROM (SELECT r, e, unnest(range(4)) part FROM v)),
+b0 AS MATERIALIZED (SELECT part, r k, e FROM p WHERE r < 256),
+{_codebook_rounds(4)},
+c AS (SELECT r, string_agg(format('{{:02x}}', m % 256), '' ORDER BY part) code, CAST(sum(m // 256) AS BIGINT) error FROM a4 GROUP BY r),
+s AS (SELECT sha256(string_agg({_DECIMAL}, ',' ORDER BY part, k)) s FROM b4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) label_error, s codebooks_sha256 FROM v JOIN c USING (r), s"""
+
+ORACLE["op12_ns_clustering"] = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 r, vec_id, {_FIXED} e FROM embeddings WHERE {_FINITE} AND len(embedding) = 64),
+b0 AS MATERIALIZED (SELECT r k, e FROM v WHERE r < 8),
+{_centroid_rounds(10)},
+f AS (SELECT r, CAST(m % 8 AS INTEGER) cluster, m // 8 distance FROM a10)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) inertia,
+       sha256({_DECIMAL.replace(" in e]", " in b10.e]")}) centroid_sha256
+FROM v JOIN f USING (r) JOIN b10 ON b10.k = cluster"""

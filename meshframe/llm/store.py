@@ -50,6 +50,14 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a table that `stored` has made, when nothing reads it any more."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    if folder is not None:
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def column(name: str) -> Column:
     """The column of just this name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
