@@ -97,14 +97,14 @@ class _Writer(DataSourceArrowWriter):
         for batch in iterator:
             part, key, ids = (batch.column(batch.schema.get_field_index(c)) for c in ("part", "doc_id", "ids"))
             numbers = part.to_numpy()
-            for own in np.unique(numbers):  # rows of a part lie together
+            for own in map(int, np.unique(numbers)):  # rows of a part lie together
                 lo, hi = np.searchsorted(numbers, own), np.searchsorted(numbers, own, "right")
                 while lo < hi:
                     if now and (now.part != own or now.documents >= self.most):
                         files.append(now.close())
                         now = None
                     if not now:
-                        now = _File(system, folder, int(own), sum(f["part"] == own for f in files), self.width)
+                        now = _File(system, folder, own, sum(f["part"] == own for f in files), self.width)
                     step = min(hi - lo, self.most - now.documents)
                     now.add(key.slice(lo, step), ids.slice(lo, step))
                     lo += step
