@@ -2,42 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.functions import attributes as attrs
 from meshframe.functions import dtypes, slicing, units
 from meshframe.jobs import generate
 from meshframe.jobs import views as V
+from meshframe.jobs.registry import ORACLE, QUERIES, query, scratch  # noqa: F401
 from meshframe.operators import chunks, histograms, meshes, particles, patches, replay, summary
 from meshframe.operators.numbering import numbered
 from meshframe.sources import documents, files, series
-from meshframe.sources import scratch as shared
 from meshframe.streaming import steps
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for tables that a query writes and reads, in the cluster's shared folder."""
-    return shared.folder(spark, name)
-
-
 # Species ------------------------------------------------------------------------------------------
 
 
@@ -276,7 +252,7 @@ def d4_overlap(spark, sf_dir):
     one = lambda x: F.array(x.cast("long"))
     have = part.select(F.col("p_brand").alias("path"), one(F.col("p_partkey") * 4).alias("offset"), one(F.col("p_size")).alias("extent"))
     want = part.select(F.col("p_brand").alias("path"), one(F.col("p_partkey") * 4 - 6).alias("offset"), one(F.lit(20)).alias("extent"))
-    return chunks.overlap(want, have, 1, cell=256).select("path", F.get("r_offset", 0).alias("r0"), F.get("c_offset", 0).alias("c0"), F.get("offset", 0).alias("o0"), F.get("extent", 0).alias("e0"))
+    return chunks.overlap(want, have, 1).select("path", F.get("r_offset", 0).alias("r0"), F.get("c_offset", 0).alias("c0"), F.get("offset", 0).alias("o0"), F.get("extent", 0).alias("e0"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE s_nationkey END source_id, n_name host FROM supplier LEFT JOIN nation ON n_nationkey = CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE s_nationkey END")

@@ -34,6 +34,17 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("iteration"), F.col("vec_id"), F.array("vec_id", F.lit(0).cast("long")).alias("offset"), F.array(F.lit(1).cast("long"), n).alias("extent"), F.col("embedding").alias("values"))
 
 
+def blocks_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as blocks of 4 x 4 x 4 cells of a field that is 16 wide along axes 1 and 2; iteration is the label."""
+    at = F.array(F.floor(F.col("vec_id") / 16) * 4, F.floor(F.col("vec_id") / 4) % 4 * 4, F.col("vec_id") % 4 * 4)
+    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("iteration"), at.cast("array<long>").alias("offset"), F.array(*(F.lit(4).cast("long"),) * 3).alias("extent"), F.col("embedding").alias("values"))
+
+
+def length_3d(spark: SparkSession, sf_dir: str) -> int:
+    """The extent of that field along axis 0."""
+    return (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] // 16 + 1) * 4
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three numbers of each embedding as components x, y, z of a field."""
     return table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("iteration"), F.col("vec_id").alias("i0"), *(F.get("embedding", i).cast("double").alias(c) for i, c in enumerate("xyz")))
@@ -64,3 +75,5 @@ PATCHES = """c AS (SELECT iteration, species, l_orderkey // 1000 patch_id, count
 q AS (SELECT *, CAST(coalesce(sum(num_particles) OVER (PARTITION BY iteration, species ORDER BY patch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) num_particles_offset FROM c)"""
 LOG = "g AS (SELECT event_type series, event_id write_seq, user_id iteration, value FROM events)"
 CELLS = "e AS (SELECT CAST(label AS BIGINT) iteration, vec_id i0, unnest(range(len(embedding))) i1, unnest(embedding) v FROM embeddings)"
+CELLS_3D = "e AS (SELECT CAST(label AS BIGINT) iteration, vec_id // 16 * 4 + k // 16 i0, vec_id // 4 % 4 * 4 + k // 4 % 4 i1, vec_id % 4 * 4 + k % 4 i2, embedding[k + 1] v FROM (SELECT *, unnest(range(64)) k FROM embeddings))"
+BLOCKS_3D = "b AS (SELECT CAST(label AS BIGINT) iteration, vec_id // 16 * 4 o0, vec_id // 4 % 4 * 4 o1, vec_id % 4 * 4 o2 FROM embeddings)"

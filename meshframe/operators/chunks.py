@@ -9,30 +9,22 @@ from pyspark.sql import functions as F
 
 from meshframe.functions.arrays import unravel
 from meshframe.operators.numbering import earlier_max, exclusive_sum
+from meshframe.operators.spatial import meeting
 from meshframe.sources import scratch
 
 
-def overlap(requests: DataFrame, chunks: DataFrame, rank: int, keys: Sequence[str] = ("path",), cell: int | None = None) -> DataFrame:
-    """The intersections of requested boxes with chunks: offset and extent of each, with r_offset and c_offset.
+def overlap(requests: DataFrame, chunks: DataFrame, rank: int, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """The intersections of requested boxes with chunks, each pair once: offset and extent of each, with r_offset and c_offset.
 
-    An equi-join on the keys, and with `cell` also on ranges of that width of axis 0, which both sides
-    are dealt into; a pair is kept in the range where its intersection begins, so it comes once.
+    Both sides are dealt into cells of all axes: see spatial.meeting. Further columns of the chunks come with the prefix c_.
     """
     r = requests.select(*keys, *(c for c in requests.columns if c not in (*keys, "offset", "extent")), F.col("offset").alias("r_offset"), F.col("extent").alias("r_extent"))
     c = chunks.select(*keys, F.col("offset").alias("c_offset"), F.col("extent").alias("c_extent"), *(F.col(x).alias(f"c_{x}") for x in chunks.columns if x not in (*keys, "offset", "extent")))
-    on = list(keys)
-    if cell:
-        ranges = lambda o, e: F.explode(F.sequence(F.floor(F.get(o, 0) / cell), F.floor((F.get(o, 0) + F.greatest(F.get(e, 0), F.lit(1)) - 1) / cell)))
-        r, c = r.withColumn("__range", ranges("r_offset", "r_extent")), c.withColumn("__range", ranges("c_offset", "c_extent"))
-        on.append("__range")
-    both = r.join(c, on)
-    for d in range(rank):
-        both = both.filter((F.get("r_offset", d) < F.get("c_offset", d) + F.get("c_extent", d)) & (F.get("c_offset", d) < F.get("r_offset", d) + F.get("r_extent", d)))
-    start = [F.greatest(F.get("r_offset", d), F.get("c_offset", d)) for d in range(rank)]
-    stop = [F.least(F.get("r_offset", d) + F.get("r_extent", d), F.get("c_offset", d) + F.get("c_extent", d)) for d in range(rank)]
-    if cell:
-        both = both.filter(F.floor(start[0] / cell) == F.col("__range")).drop("__range")
-    return both.withColumns({"offset": F.array(*start), "extent": F.array(*(b - a for a, b in zip(start, stop, strict=True)))})
+    stop = lambda side: F.zip_with(f"{side}_offset", f"{side}_extent", lambda o, e: o + e)
+    both = meeting(r.withColumns({"l_lo": F.col("r_offset"), "l_hi": stop("r")}), c.withColumns({"r_lo": F.col("c_offset"), "r_hi": stop("c")}), rank, keys)
+    start = [F.greatest(F.get("l_lo", d), F.get("r_lo", d)) for d in range(rank)]
+    end = [F.least(F.get("l_hi", d), F.get("r_hi", d)) for d in range(rank)]
+    return both.withColumns({"offset": F.array(*start), "extent": F.array(*(b - a for a, b in zip(start, end, strict=True)))}).drop("l_lo", "l_hi", "r_lo", "r_hi")
 
 
 def provenance(chunks: DataFrame, rank_table: DataFrame) -> DataFrame:
@@ -111,68 +103,32 @@ def extend(cells: DataFrame, old_shape: Sequence[int], new_shape: Sequence[int],
     return cells.unionByName(new.filter(~inside).withColumn(value, F.lit(fill).cast(cells.schema[value].dataType)), allowMissingColumns=True)
 
 
-def _touching(a: tuple, b: tuple, rank: int) -> tuple | None:
-    """The box of two boxes that agree in all axes but one, where the first ends as the second begins."""
-    axis = None
-    for d in range(rank):
-        if a[0][d] == b[0][d] and a[1][d] == b[1][d]:
-            continue
-        if axis is not None or a[0][d] + a[1][d] != b[0][d]:
-            return None
-        axis = d
-    if axis is None:
-        return None
-    return a[0], tuple(e + (b[1][d] if d == axis else 0) for d, e in enumerate(a[1]))
-
-
-def greedy_merge(boxes: list[tuple[tuple[int, ...], tuple[int, ...]]]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
-    """Boxes joined with the first one they touch in exactly one axis, until none does; starts sorted."""
-    boxes = sorted(boxes)
-    rank = len(boxes[0][0]) if boxes else 0
-    again = True
-    while again:
-        again, ends = False, {}
-        for i, b in enumerate(boxes):
-            for d in range(rank):
-                ends.setdefault((d, *(b[0][x] for x in range(rank) if x != d), *(b[1][x] for x in range(rank) if x != d), b[0][d]), i)
-        for i, a in enumerate(boxes):
-            for d in range(rank):
-                j = ends.get((d, *(a[0][x] for x in range(rank) if x != d), *(a[1][x] for x in range(rank) if x != d), a[0][d] + a[1][d]))
-                if j is not None and j != i and (box := _touching(a, boxes[j], rank)):
-                    boxes = sorted([x for k, x in enumerate(boxes) if k not in (i, j)] + [box])
-                    again = True
-                    break
-            if again:
-                break
-    return boxes
-
-
 #: Cells of a range that the cells of a single axis are dealt into.
 RANGE = 65_536
 
 
 def written_chunks(cells: DataFrame, rank: int, keys: Sequence[str] = ("path",)) -> DataFrame:
-    """(keys, offset, extent): the boxes that written cells make up.
+    """(keys, offset, extent): the boxes that written cells make up, of which no two can be joined along an axis.
 
-    Runs on the innermost axis come first; then, axis by axis outwards, neighbouring slabs whose runs are the same
-    become one. What is left, a table of boxes far smaller than the cells, is merged as in merged_boxes.
+    Runs on the innermost axis come first; then, axis by axis outwards, boxes that are the same in all other axes and follow one another
+    become one. The runs of an axis are maximal, so what an outer axis joins opens nothing for an inner one: a pass an axis is enough. Each is one
+    exchange by the other axes and a window along this one; no slab or path is ever one row or one group. A single axis: see _line.
     """
     axes = [f"i{d}" for d in range(rank)]
-    # In a single axis runs are cut at ranges, which merged_boxes joins again.
-    part = F.floor(F.col(axes[-1]) / RANGE) if rank == 1 else F.lit(0)
-    rows = cells.select(*keys, *axes).distinct().withColumn("__range", part)
-    line = Window.partitionBy(*keys, *axes[:-1], "__range").orderBy(axes[-1])
-    rows = rows.withColumn("__run", F.col(axes[-1]) - F.row_number().over(line))
-    boxes = rows.groupBy(*keys, *axes[:-1], "__range", "__run").agg(F.min(axes[-1]).alias("__o"), F.count("*").alias("__e"))
-    boxes = boxes.select(*keys, *axes[:-1], F.array(F.struct(F.array("__o").alias("offset"), F.array("__e").alias("extent"))).alias("__boxes"))
-    for d in range(rank - 2, -1, -1):
-        slabs = boxes.groupBy(*keys, *axes[: d + 1]).agg(F.sort_array(F.flatten(F.collect_list("__boxes"))).alias("__boxes"))
-        same = Window.partitionBy(*keys, *axes[:d], "__boxes").orderBy(axes[d])
-        slabs = slabs.withColumn("__run", F.col(axes[d]) - F.row_number().over(same))
-        wide = slabs.groupBy(*keys, *axes[:d], "__boxes", "__run").agg(F.min(axes[d]).alias("__o"), F.count("*").alias("__e"))
-        longer = F.transform("__boxes", lambda b: F.struct(F.concat(F.array("__o"), b["offset"]).alias("offset"), F.concat(F.array("__e"), b["extent"]).alias("extent")))
-        boxes = wide.select(*keys, *axes[:d], longer.alias("__boxes"))
-    return merged_boxes(boxes.select(*keys, F.inline("__boxes")), rank, keys)
+    rows = cells.select(*keys, *axes).distinct()
+    if rank == 1:
+        # Runs are cut at ranges, which _line joins again.
+        rows = rows.withColumn("__range", F.floor(F.col("i0") / RANGE))
+        run = F.col("i0") - F.row_number().over(Window.partitionBy(*keys, "__range").orderBy("i0"))
+        runs = rows.withColumn("__run", run).groupBy(*keys, "__range", "__run").agg(F.min("i0").alias("__o0"), F.count("*").alias("__e0"))
+        return merged_boxes(runs.select(*keys, F.array("__o0").alias("offset"), F.array("__e0").alias("extent")), 1, keys)
+    done: list[str] = []
+    for d in range(rank - 1, -1, -1):
+        rest = [*keys, *axes[:d], *done]
+        run = F.col(axes[d]) - F.row_number().over(Window.partitionBy(*rest).orderBy(axes[d]))
+        rows = rows.withColumn("__run", run).groupBy(*rest, "__run").agg(F.min(axes[d]).alias(f"__o{d}"), F.count("*").alias(f"__e{d}")).drop("__run")
+        done += [f"__o{d}", f"__e{d}"]
+    return rows.select(*keys, F.array(*(f"__o{d}" for d in range(rank))).alias("offset"), F.array(*(f"__e{d}" for d in range(rank))).alias("extent"))
 
 
 def _line(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:

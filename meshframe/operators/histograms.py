@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 from meshframe.functions.arrays import ravel, unravel
 
 
-def bin_index(value: Column, lo: Column | float, hi: Column | float, bins: int) -> Column:
-    """The bin of a value on [lo, hi]: half-open bins, the last one closed; null outside and for NaN.
+def _guess(value: Column, lo: float, hi: float, bins: int) -> Column:
+    """The bin by division, which rounding may set one beside the right one."""
+    found = F.width_bucket(value.cast("double"), F.lit(float(lo)), F.lit(float(hi)), F.lit(bins)) - 1
+    return F.least(F.greatest(F.coalesce(found, F.lit(0).cast("long")), F.lit(0)), F.lit(bins - 1)).cast("int")
 
-    The quotient's floor is set right against the bins' edges, lo + k * ((hi - lo) / bins).
-    """
-    lo, hi = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lo, hi))
-    value = value.cast("double")
-    width = (hi - lo) / F.lit(float(bins))
-    edge = lambda k: F.when(k >= bins, hi).otherwise(lo + k * width)
-    guess = F.least(F.greatest(F.floor((value - lo) / width), F.lit(0)), F.lit(bins - 1))
-    down = F.when((guess > 0) & (value < edge(guess)), guess - 1).otherwise(guess)
-    up = F.when((down < bins - 1) & (value >= edge(down + 1)), down + 1).otherwise(down)
-    return F.when(~F.isnan(value) & (value >= lo) & (value <= hi), up.cast("int"))
+
+def _settled(value: Column, guess: Column, lo: float, hi: float, bins: int) -> Column:
+    """The guess set right against the edges, lo + k * ((hi - lo) / bins), which are one constant array; null outside and for NaN."""
+    lo, hi, value = float(lo), float(hi), value.cast("double")
+    edges = F.array(*(F.lit(lo + k * ((hi - lo) / bins)) for k in range(bins)), F.lit(hi))
+    found = F.when(value < F.get(edges, guess), guess - 1).when((guess < bins - 1) & (value >= F.get(edges, guess + 1)), guess + 1).otherwise(guess)
+    return F.when(~F.isnan(value) & (value >= lo) & (value <= hi), found)
+
+
+def bin_index(value: Column, lo: float, hi: float, bins: int) -> Column:
+    """The bin of a value on [lo, hi]: half-open bins, the last one closed; null outside and for NaN."""
+    return _settled(value, _guess(value, lo, hi, bins), lo, hi, bins)
 
 
 def _filled(found: DataFrame, keys: list[str], axes: dict[str, int]) -> DataFrame:
@@ -60,6 +64,8 @@ def _histogram(df: DataFrame, axes: dict, weight: Column | None, keys: list[str]
     weight = F.lit(1.0) if weight is None else weight
     for value, lo, hi, _ in axes.values():  # reaches the scan; bins are then made once, and only for rows that have one
         df = df.filter(value.isNotNull() & (value >= F.lit(lo)) & (value <= F.lit(hi)) & ~F.isnan(value.cast("double")))
-    binned = df.select(*keys, *(bin_index(*a).alias(n) for n, a in axes.items()), weight.alias("__w"))
+    # The guesses are columns of their own, so that setting them right doesn't make them twice.
+    guessed = df.select(*keys, *(a[0].alias(f"__v_{n}") for n, a in axes.items()), *(_guess(*a).alias(f"__g_{n}") for n, a in axes.items()), weight.alias("__w"))
+    binned = guessed.select(*keys, *(_settled(F.col(f"__v_{n}"), F.col(f"__g_{n}"), *a[1:]).alias(n) for n, a in axes.items()), "__w")
     total = F.sum(F.col("__w").cast("decimal(18,6)")).cast("double") if exact else F.sum(F.col("__w").cast("double"))
     return _filled(binned.groupBy(*keys, *axes).agg(total.alias("weight")), keys, {n: a[3] for n, a in axes.items()})

@@ -25,15 +25,39 @@ def _local(position: Column, extent: Column, rank: int, axis: int) -> Column:
 
 
 def blocks_to_cells(blocks: DataFrame, rank: int, value: str = "values", out: str = "value", keep: Sequence[str] = ("iteration",), box: Region | None = None) -> DataFrame:
-    """A row for each value of each block, with global indices. With a box, blocks that miss it are never exploded."""
+    """A row for each value of each block, with global indices. With a box, only its values ever become rows: see _boxed."""
     if box is not None:
-        for d in range(rank):
-            o, e = box.offset[d], box.extent[d]
-            blocks = blocks.filter((F.get("offset", d) < o + e) & (F.get("offset", d) + F.get("extent", d) > o))
+        return _boxed(blocks, rank, value, out, keep, box)
     cells = blocks.select(*keep, "offset", "extent", F.posexplode(value).alias("__at", out))
     index = {f"i{d}": (F.get("offset", d) + _local(F.col("__at").cast("long"), F.col("extent"), rank, d)).cast("long") for d in range(rank)}
-    cells = cells.select(*keep, *(c.alias(n) for n, c in index.items()), out)
-    return cells if box is None else in_box(cells, box)
+    return cells.select(*keep, *(c.alias(n) for n, c in index.items()), out)
+
+
+def _boxed(blocks: DataFrame, rank: int, value: str, out: str, keep: Sequence[str], box: Region) -> DataFrame:
+    """The values of a box, sliced inside the arrays: blocks that miss the box are left out, and of the others the positions in the box are
+    made by strides before any row is. A plane of a block of n**3 cells makes n**2 rows."""
+    if 0 in box.extent:
+        blocks = blocks.limit(0)
+    for d, (o, e) in enumerate(zip(box.offset, box.extent, strict=True)):
+        blocks = blocks.filter((F.get("offset", d) < o + e) & (F.get("offset", d) + F.get("extent", d) > o))
+    start = {f"__s{d}": F.greatest(F.get("offset", d), F.lit(o)).cast("long") for d, o in enumerate(box.offset)}
+    stop = [F.least(F.get("offset", d) + F.get("extent", d), F.lit(o + e)).cast("long") for d, (o, e) in enumerate(zip(box.offset, box.extent, strict=True))]
+    cut = blocks.filter(F.col(value).isNotNull()).withColumns(start | {f"__n{d}": s - start[f"__s{d}"] for d, s in enumerate(stop)})
+
+    def cell(k: Column) -> Column:
+        index: list[Column] = []
+        for d in range(rank - 1, -1, -1):
+            index.insert(0, F.col(f"__s{d}") + k % F.col(f"__n{d}"))
+            k = F.call_function("div", k, F.col(f"__n{d}"))
+        at = F.lit(0).cast("long")
+        for d, i in enumerate(index):
+            at = at * F.get("extent", d) + (i - F.get("offset", d))
+        return F.struct(*(i.alias(f"i{d}") for d, i in enumerate(index)), F.get(value, at.cast("int")).alias(out))
+
+    count = F.lit(1).cast("long")
+    for d in range(rank):
+        count = count * F.col(f"__n{d}")
+    return cut.select(*keep, F.inline(F.transform(F.sequence(F.lit(0).cast("long"), count - 1), cell)))
 
 
 def cells_to_blocks(cells: DataFrame, widths: Sequence[int], shape: Sequence[int], value: str = "value", keys: Sequence[str] = ("iteration",), out: str = "values") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshframe.operators.spatial import meeting
+
 
 def in_patch(particles: DataFrame, patches: DataFrame, keys: Sequence[str] = ("iteration", "species"), width: int = 1 << 16, how: str = "inner") -> DataFrame:
     """Particles with the patch of their row: rows [num_particles_offset, num_particles_offset + num_particles).
@@ -38,6 +40,18 @@ def violators(particles: DataFrame, patches: DataFrame, positions: Sequence[str]
     return in_patch(particles, patches, **options).filter(~F.coalesce(inside(positions, axes), F.lit(False)))
 
 
+def at_position(particles: DataFrame, patches: DataFrame, positions: Sequence[str], axes: Sequence[str], keys: Sequence[str] = ("iteration", "species")) -> DataFrame:
+    """Particles with each patch whose box holds their position, offset <= position < offset + extent on every axis; null positions are in none.
+
+    Found by position alone, in any number of axes and whatever patch a particle's row belongs to: see spatial.meeting. Columns of the patches that
+    particles have too, but for the keys, must be renamed before.
+    """
+    low = F.array(*(F.col(f"offset_{a}").cast("double") for a in axes))
+    high = F.array(*((F.col(f"offset_{a}") + F.col(f"extent_{a}")).cast("double") for a in axes))
+    points = particles.withColumn("l_lo", F.array(*(F.col(p).cast("double") for p in positions)))
+    return meeting(points, patches.withColumns({"r_lo": low, "r_hi": high}), len(axes), keys, points=True).drop("l_lo", "r_lo", "r_hi")
+
+
 def pruned(patches: DataFrame, box: dict[str, tuple[float, float]]) -> DataFrame:
     """Patches that meet a box of (low, high) by axis."""
     for a, (lo, hi) in box.items():

@@ -64,12 +64,12 @@ def test_extension_rules():
             chunks.extended(old, new, kind, to)
 
 
-def test_overlap_once_in_any_grid(spark):
-    want = spark.createDataFrame([("p", [3], [40]), ("p", [90], [5])], "path string, offset array<long>, extent array<long>")
+def test_overlap_once(spark):
+    want = spark.createDataFrame([("p", [3], [40]), ("p", [90], [5]), ("p", [5], [0]), ("q", [3], [40])], "path string, offset array<long>, extent array<long>")
     have = spark.createDataFrame([("p", [10 * i], [10]) for i in range(10)], "path string, offset array<long>, extent array<long>")
-    for cell in (None, 7, 1000):
-        got = sorted((r["offset"][0], r["extent"][0]) for r in chunks.overlap(want, have, 1, cell=cell).collect())
-        assert got == [(3, 7), (10, 10), (20, 10), (30, 10), (40, 3), (90, 5)]
+    got = sorted((r["offset"][0], r["extent"][0]) for r in chunks.overlap(want, have, 1).collect())
+    assert got == [(3, 7), (10, 10), (20, 10), (30, 10), (40, 3), (90, 5)]
+    assert chunks.overlap(want.limit(0), have, 1).count() == 0 == chunks.overlap(want, have.limit(0), 1).count()
 
 
 def test_numbering_and_prefixes(spark):
