@@ -11,7 +11,6 @@ whole class or id that says nothing else) has no part in the ratios; inside an a
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from html import unescape
@@ -25,7 +24,7 @@ from meshframe.llm import store
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp noembed noframes".split())
-HIDDEN = set("head noscript template svg math iframe object canvas audio video map button select datalist label".split())
+HIDDEN = set("head noscript template iframe object canvas audio video desc metadata annotation annotation-xml button select datalist".split())
 FURNITURE = set("nav footer aside form dialog menu".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = set(
@@ -38,7 +37,7 @@ HOLDERS = set("div section ul ol dl table aside nav form footer header details f
 #: What an opening tag closes if it is open and nothing of the second set is between.
 CLOSES = {**dict.fromkeys(BLOCKS - {"td", "th", "tr", "li", "dd", "dt"}, ({"p"}, {"table", "td", "th"})), "li": ({"li", "p"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt", "p"}, {"dl"}), "dt": ({"dd", "dt", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"table", "tr"}), "th": ({"td", "th", "p"}, {"table", "tr"})}
 #: The least share of the mean score that makes a path content, and the most of its text in links.
-LEAST, MOST_LINKED = 0.1, 0.6
+LEAST, MOST_LINKED = 0.3, 0.6
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -62,7 +61,8 @@ class _Reader:
         self.stack: list[tuple[str, bool, int, int]] = []  # tag, furniture or hidden, path, block element
         self.elements: list[tuple[str, int]] = [("", 0)]  # tag and parent of each block element; 0 is the root
         self.paths: dict[tuple[int, str], int] = {}  # a path's number by its parent's and its last tag; 0 is the root
-        self.open: Counter[str] = Counter()
+        self.open: dict[str, list[int]] = {}  # places on the stack of each open tag
+        self.open_blocks: list[int] = []
         self.out = 0  # open elements that are furniture or hidden
         self.parts: list[str] = []
         self.linked, self.in_link = 0, 0
@@ -87,14 +87,17 @@ class _Reader:
             path = self.paths.setdefault((path, tag), len(self.paths) + 1)
             self.elements.append((tag, element))
             element = len(self.elements) - 1
+            self.open_blocks.append(len(self.stack))
+        self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, bad, path, element))
-        self.open[tag] += 1
         self.out += bad
 
     def pop_to(self, at: int) -> None:
         while len(self.stack) > at:
             tag, bad, *_ = self.stack.pop()
-            self.open[tag] -= 1
+            self.open[tag].pop()
+            if tag in BLOCKS:
+                self.open_blocks.pop()
             self.out -= bad
 
     def start(self, tag: str, attributes: str, closed: bool) -> None:
@@ -106,11 +109,11 @@ class _Reader:
             self.flush()
             self.in_link = 0
             closes, keep = CLOSES.get(tag, (set(), set()))
-            for at in range(len(self.stack) - 1, -1, -1):
-                if self.stack[at][0] in closes:
-                    self.pop_to(at)
-                elif self.stack[at][0] in keep or self.stack[at][0] in BLOCKS - closes:
-                    break
+            at = len(self.open_blocks)
+            while at and self.stack[self.open_blocks[at - 1]][0] in closes - keep:
+                at -= 1
+            if at < len(self.open_blocks):
+                self.pop_to(self.open_blocks[at])
         if tag in VOID or closed and tag not in BLOCKS:
             return
         if tag in BLOCKS or tag in HIDDEN:
@@ -119,7 +122,7 @@ class _Reader:
             self.push(tag, True)
 
     def named(self, tag: str, attributes: str) -> bool:
-        inside = self.open["article"] + self.open["main"] > 0
+        inside = bool(self.open.get("article") or self.open.get("main"))
         if tag == "header" and not inside:
             return True
         if "=" not in attributes or tag in ("html", "body", "article", "main"):
@@ -138,18 +141,17 @@ class _Reader:
             self.in_link = 0
         if tag in BLOCKS:
             self.flush()
-        for at in range(len(self.stack) - 1 if self.open[tag] else -1, -1, -1):
-            if self.stack[at][0] == tag:
-                self.pop_to(at)
-                break
-            if tag not in BLOCKS and self.stack[at][0] in BLOCKS:
-                break
+        if self.open.get(tag) and (tag in BLOCKS or not self.open_blocks or self.open[tag][-1] > self.open_blocks[-1]):
+            self.pop_to(self.open[tag][-1])
+
+
+#: Where the text of a raw element ends; letters of other alphabets have other lengths in lower case, so the page is searched as it is.
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 
 
 def read_blocks(html: str) -> tuple[list[tuple[int, str, int, int]], list[tuple[str, int]]]:
     """(number of the path, text, characters in links, element) of the blocks with text in page order, without furniture, scripts and markup; tag and parent of the elements."""
     reader, at = _Reader(), 0
-    low = None
     while True:
         m = _TOKEN.search(html, at)
         if not m:
@@ -163,9 +165,8 @@ def read_blocks(html: str) -> tuple[list[tuple[int, str, int, int]], list[tuple[
         if close:
             reader.end(tag)
         elif tag in RAW:
-            low = low or html.lower()
-            to = low.find(f"</{tag}", at)
-            at = len(html) if to < 0 else (html.find(">", to) + 1 or len(html))
+            end = _RAW_END[tag].search(html, at)
+            at = (html.find(">", end.start()) + 1 or len(html)) if end else len(html)
         else:
             reader.start(tag, attributes, attributes.endswith("/"))
     reader.text(html[at:])
