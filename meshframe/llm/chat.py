@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshframe.llm import store
+
 #: How a turn is written: its head, its text, its end.
 HEAD, END = "<|{}|>\n", "<|end|>\n"
 
@@ -27,18 +29,31 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(_head(t), _body(t))), "")
 
 
-def trained_spans(turns: Column) -> Column:
-    """Starts and stops, in characters of the rendered turns, of what the assistant says."""
-    kind = "array<struct<start:int,stop:int>>"
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
+_SPANS = "array<struct<start:int,stop:int>>"
 
+
+def _spans_from(turns: Column, start: Column) -> Column:
     def step(state: Column, turn: Column) -> Column:
-        start = state["at"] + F.char_length(_head(turn))
-        stop = start + F.char_length(_body(turn))
-        own = F.when(turn["role"] == "assistant", F.array(F.struct(start.alias("start"), stop.alias("stop")))).otherwise(F.array().cast(kind))
+        first = state["at"] + F.char_length(_head(turn))
+        stop = first + F.char_length(_body(turn))
+        own = F.when(turn["role"] == "assistant", F.array(F.struct(first.alias("start"), stop.alias("stop")))).otherwise(F.array().cast(_SPANS))
         return F.struct(stop.alias("at"), F.concat(state["spans"], own).alias("spans"))
 
-    return F.aggregate(turns, none, step)["spans"]
+    return F.aggregate(turns, F.struct(start.alias("at"), F.array().cast(_SPANS).alias("spans")), step)["spans"]
+
+
+def trained_spans(turns: Column) -> Column:
+    """Starts and stops, in characters of the rendered turns, of what the assistant says.
+
+    A fold copies the list that it has at each turn; so turns are taken in about sqrt(n) runs of sqrt(n), whose starts come first, and no list that is copied is longer.
+    """
+    length = F.greatest(F.ceil(F.sqrt(F.size(turns))).cast("int"), F.lit(1))
+    last = F.greatest(F.ceil(F.size(turns) / length).cast("int") - 1, F.lit(0))
+    runs = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(turns, k * length + 1, length))
+    size = lambda run: F.aggregate(run, F.lit(0), lambda n, t: n + F.char_length(_head(t)) + F.char_length(_body(t)))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(runs, begin, lambda s, run: F.struct((s["at"] + size(run)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
+    return F.flatten(F.zip_with(runs, starts, _spans_from))
 
 
 def common_turns(chosen: Column, rejected: Column) -> Column:
@@ -54,16 +69,18 @@ def preference_pairs(pairs: DataFrame) -> DataFrame:
 
     pairs has chosen and rejected, arrays of (role, text) in the order of turns. Null arrays are empty, a null role is
     written unknown, a null text is empty. Equal conversations are all prompt, with two empty completions; if nothing is
-    common, the prompt is empty. Clashing columns are replaced; repeated rows stay; an empty table gives an empty table.
+    common, the prompt is empty. Columns that clash, in any case of letters, are replaced; other names may have any characters; repeated rows stay; an empty table gives an empty table.
     """
     new = ("prompt_turns", "prompt", "chosen", "rejected", "chosen_spans", "rejected_spans")
-    rest = [c for c in pairs.columns if c not in new]
+    rest = [c for c in pairs.columns if c.lower() not in new]
+    carried = [F.col(f"carried_{i}") for i in range(len(rest))]  # under names of our own, so that none clashes
     turns = "array<struct<role:string,text:string>>"
-    some = pairs.select(*rest, *(F.coalesce(F.col(c).cast(turns), F.array().cast(turns)).alias(c) for c in ("chosen", "rejected")))
+    some = pairs.select(*(store.column(c).alias(f"carried_{i}") for i, c in enumerate(rest)), *(F.coalesce(F.col(c).cast(turns), F.array().cast(turns)).alias(c) for c in ("chosen", "rejected")))
     some = some.withColumn("prompt_turns", common_turns(F.col("chosen"), F.col("rejected")))
     after = lambda c: F.slice(c, F.col("prompt_turns") + 1, F.greatest(F.size(c) - F.col("prompt_turns"), F.lit(0)))
-    some = some.select(*rest, "prompt_turns", F.slice("chosen", 1, F.col("prompt_turns")).alias("shared"), after("chosen").alias("chosen"), after("rejected").alias("rejected"))
-    return some.select(*rest, "prompt_turns", render(F.col("shared")).alias("prompt"), render(F.col("chosen")).alias("chosen"), render(F.col("rejected")).alias("rejected"), trained_spans(F.col("chosen")).alias("chosen_spans"), trained_spans(F.col("rejected")).alias("rejected_spans"))
+    some = some.select(*carried, "prompt_turns", F.slice("chosen", 1, F.col("prompt_turns")).alias("shared"), after("chosen").alias("chosen"), after("rejected").alias("rejected"))
+    made = [render(F.col("shared")).alias("prompt"), render(F.col("chosen")).alias("chosen"), render(F.col("rejected")).alias("rejected"), trained_spans(F.col("chosen")).alias("chosen_spans"), trained_spans(F.col("rejected")).alias("rejected_spans")]
+    return some.select(*(c.alias(name) for c, name in zip(carried, rest, strict=True)), "prompt_turns", *made)
 
 
 def stale_answers(conversations: DataFrame) -> DataFrame:
