@@ -78,9 +78,9 @@ def preference_pairs(pairs: DataFrame) -> DataFrame:
     some = pairs.select(*(store.column(c).alias(f"carried_{i}") for i, c in enumerate(rest)), *(F.coalesce(F.col(c).cast(turns), F.array().cast(turns)).alias(c) for c in ("chosen", "rejected")))
     some = some.withColumn("prompt_turns", common_turns(F.col("chosen"), F.col("rejected")))
     after = lambda c: F.slice(c, F.col("prompt_turns") + 1, F.greatest(F.size(c) - F.col("prompt_turns"), F.lit(0)))
-    some = some.select(*carried, "prompt_turns", F.slice("chosen", 1, F.col("prompt_turns")).alias("shared"), after("chosen").alias("chosen"), after("rejected").alias("rejected"))
-    made = [render(F.col("shared")).alias("prompt"), render(F.col("chosen")).alias("chosen"), render(F.col("rejected")).alias("rejected"), trained_spans(F.col("chosen")).alias("chosen_spans"), trained_spans(F.col("rejected")).alias("rejected_spans")]
-    return some.select(*(c.alias(name) for c, name in zip(carried, rest, strict=True)), "prompt_turns", *made)
+    some = some.select(*carried, "prompt_turns", F.slice("chosen", 1, F.col("prompt_turns")).alias("shared"), after("chosen").alias("left_chosen"), after("rejected").alias("left_rejected"))
+    made = [render(F.col(f"left_{c}")).alias(c) for c in ("chosen", "rejected")] + [trained_spans(F.col(f"left_{c}")).alias(f"{c}_spans") for c in ("chosen", "rejected")]
+    return some.select(*(c.alias(name) for c, name in zip(carried, rest, strict=True)), "prompt_turns", render(F.col("shared")).alias("prompt"), *made)
 
 
 def stale_answers(conversations: DataFrame) -> DataFrame:
