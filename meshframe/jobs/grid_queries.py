@@ -11,6 +11,7 @@ from meshframe.jobs import views as V
 from meshframe.jobs.registry import query, scratch
 from meshframe.operators import chunks, meshes, patches
 from meshframe.sources import components, layout, series, tolerant
+from meshframe.streaming import steps
 
 # Slices ---------------------------------------------------------------------------------------------
 
@@ -120,6 +121,30 @@ def f2_boxes_3d(spark, sf_dir):
     return boxes.select("path", *(F.get(c, d).alias(f"{c[0]}{d}") for c in ("offset", "extent") for d in range(3)))
 
 
+# Steps ----------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {V.LOG}, d AS (SELECT series, iteration, min(write_seq) write_seq, count(*) - 1 reopened FROM g GROUP BY ALL),
+s AS (SELECT series, count(DISTINCT r) intervals FROM (SELECT series, iteration - row_number() OVER (PARTITION BY series ORDER BY iteration) r FROM d) GROUP BY series)
+SELECT series, iteration, write_seq, reopened, intervals FROM d JOIN s USING (series)""")
+def i2_i3_closed_steps(spark, sf_dir):
+    """The log as a stream of four batches: each iteration of a series written once, steps that open it again put aside, and the intervals of closed ones, which are all the state."""
+    source, out, check = (scratch(spark, n) for n in ("growing", "closed-steps", "closed-check"))
+    log = V.log(spark, sf_dir).select("series", "iteration", "write_seq")
+    lo, hi = log.agg(F.min("write_seq"), F.max("write_seq")).first()
+    for k in range(4):  # a folder for each quarter of the log, one after another, and as many files as Spark makes of it
+        own = log.filter(F.floor((F.col("write_seq") - lo) * 4 / (hi - lo + 1)) == k)
+        own.write.parquet(f"{source}/{k}")
+        stream = steps.read_steps(spark, f"{source}/*", log.schema, 1 << 20)
+        steps.closed_capture(stream, out, check).awaitTermination()
+    kind = "series string, iteration long, write_seq long"
+    read = lambda name: spark.read.schema(kind).parquet(f"{out}/{name}").select("series", "iteration", "write_seq")
+    again = read("reopened").groupBy("series", "iteration").agg(F.count("*").alias("reopened"))
+    spans = steps.closed_iterations(spark, out, "series string, lo long, hi long").groupBy("series").agg(F.count("*").alias("intervals"))
+    found = read("steps").join(again, ["series", "iteration"], "left").join(spans, "series")
+    return found.select("series", "iteration", "write_seq", F.coalesce("reopened", F.lit(0).cast("long")).alias("reopened"), "intervals")
+
+
 # Storage --------------------------------------------------------------------------------------------
 
 

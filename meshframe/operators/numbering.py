@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: The rows that a bucket aims at, the most buckets, and the sampled rows a bucket that place its ends.
 ROWS, BUCKETS, SAMPLED = 100_000, 16_384, 100
@@ -55,10 +56,12 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "row",
 
 
 def exclusive_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
-    """df with the sum of value over the earlier rows of the keys."""
+    """df with the sum of value over the earlier rows of the keys: a long of integers, else of the type of the sum."""
     found = _with_prefix(df, keys, order[0], F.col(value), F.sum, buckets)
     local = F.sum(value).over(Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return found.withColumn(out, (F.coalesce("__before", F.lit(0)) + F.coalesce(local, F.lit(0))).cast("long")).drop("__bucket", "__before")
+    kind = df.schema[value].dataType
+    total = F.coalesce("__before", F.lit(0)) + F.coalesce(local, F.lit(0))
+    return found.withColumn(out, total.cast("long") if isinstance(kind, IntegralType) else total).drop("__bucket", "__before")
 
 
 def earlier_max(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, buckets: int = BUCKETS) -> DataFrame:

@@ -79,10 +79,13 @@ def pipe(tables: dict[str, DataFrame], path: str, encoding: str = "fileBased", c
     """Copies a series' tables into another layout; attributes without what a writer makes, data through transform.
 
     Tables with steps that were written more than once (a column write_seq, and row, i0… or patch_id as their place) come
-    as their last writes. With files, data is laid out anew in as many ranges of iteration and place. version_attribute is as in copied.
+    as their last writes. With files, data is laid out anew in as many ranges of iteration and place. version_attribute is as in copied;
+    with a table of attributes it must be named.
     """
     for name, df in tables.items():
         if name == "attributes":
+            if version_attribute is None:
+                raise ValueError("name the attribute that holds the format's version: it isn't copied")
             copied(df, version_attribute).write.mode("overwrite").option("compression", codec).parquet(f"{path}/{name}")
         else:
             place = [c for c in df.columns if c in ("row", "patch_id", "linear_index") or c[:1] == "i" and c[1:].isdigit()]

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from meshframe.operators.chunks import merged_boxes
 from meshframe.operators.numbering import earlier_max
 from meshframe.operators.replay import snapshots
+from meshframe.operators.spatial import meeting
 
 
 def read_steps(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int = 16) -> DataFrame:
@@ -36,31 +36,11 @@ def split_defective(stream: DataFrame, good) -> tuple[DataFrame, DataFrame]:
     return stream.filter(F.coalesce(good, F.lit(False))), stream.filter(~F.coalesce(good, F.lit(False)))
 
 
-def running_max_steps(stream: DataFrame, key: str = "series") -> DataFrame:
-    """(key, write_seq, iteration) of steps whose iteration is greater than all earlier ones of their series.
-
-    Inside a batch steps are taken in the order of write_seq; the state of a series is one number.
-    """
-    schema = f"{key} {stream.schema[key].dataType.simpleString()}, write_seq long, iteration long"
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        most = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).dropna().sort_values(["write_seq", "iteration"])
-        seen = rows["iteration"].cummax().shift()
-        floor = seen if most is None else seen.fillna(most).clip(lower=most)
-        kept = rows[floor.isna() | (rows["iteration"] > floor)]
-        if len(rows):
-            state.update((max(int(rows["iteration"].max()), most if most is not None else int(rows["iteration"].max())),))
-        yield kept.assign(**{key: k[0]})[[key, "write_seq", "iteration"]]
-
-    return stream.select(key, "write_seq", "iteration").groupBy(key).applyInPandasWithState(step, schema, "most long", "append", GroupStateTimeout.NoTimeout)
-
-
 def running_max_capture(stream: DataFrame, path: str, checkpoint: str, key: str = "series"):
-    """Starts a query that writes the steps of running_max_steps to path/steps, batch by batch, and ends when all is read.
+    """Starts a query that writes the steps (key, write_seq, iteration) whose iteration is greater than all earlier ones of their series to path/steps, batch by batch, and ends when all is read.
 
     A batch is compared by ranges of write_seq, so that a series with most of the log is many tasks; the state is one row for each series, a
-    table for each batch, and a batch that runs again writes the same.
+    table for each batch, of which the last two are kept; a batch that runs again writes the same.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -77,11 +57,89 @@ def running_max_capture(stream: DataFrame, path: str, checkpoint: str, key: str
         floor = F.greatest("__seen", "__most")
         found.filter(floor.isNull() | (F.col("iteration") > floor)).drop("__seen", "__most").write.mode("overwrite").parquet(f"{path}/steps/batch={number}")
         state.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        _remove(spark, f"{path}/state/batch={number - 2}")
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Parts of the table of closed iterations; a batch writes those anew whose series it has.
+STATE_PARTS = 64
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _versions(spark: SparkSession, path: str, before: int) -> dict[int, list[int]]:
+    """The batches before this one that wrote each part of the state, oldest first; from folder names."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    for batch in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part=*/batch=*")) or []:
+        part, number = (int(n.split("=")[1]) for n in batch.getPath().toString().split("/")[-2:])
+        if number < before:
+            found.setdefault(part, []).append(number)
+    return {p: sorted(v) for p, v in found.items()}
+
+
+def closed_capture(stream: DataFrame, path: str, checkpoint: str, key: str = "series", horizon: int | None = None):
+    """Starts a query that writes each iteration of a series once, and steps that open a closed one again aside; it ends when all is read.
+
+    stream has key, iteration, write_seq and other columns. path/steps has the first write of each (key, iteration), path/reopened the other
+    steps, both by batch; an iteration is closed when its first step is written, for good. The closed iterations are kept as intervals (key, lo, hi) in
+    path/closed: a series without gaps is one row, however long. With a horizon, iterations that lie more than it below the greatest one of their
+    series count as closed, written or not, and their intervals as one; a series then has at most horizon + 2. Steps without a key or an
+    iteration can't be told apart and are left out: put them aside with split_defective.
+
+    A batch reads and writes only the parts of the intervals that its series are in. The version before is kept until the next one is written,
+    so a batch that runs again does the same. Intervals are found by cells and merged by ranges of the axis: no series is one task.
+    """
+    lowest = -(1 << 62)
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.filter(F.col(key).isNotNull() & F.col("iteration").isNotNull()).withColumn("__row", F.struct(*batch.columns)).persist()
+        part = F.pmod(F.xxhash64(key), F.lit(STATE_PARTS)).cast("int").alias("part")
+        versions, touched = _versions(spark, f"{path}/closed", number), sorted(r[0] for r in batch.select(part).distinct().collect())
+        known = [f"{path}/closed/part={p}/batch={versions[p][-1]}" for p in touched if p in versions]
+        schema = f"{key} {batch.schema[key].dataType.simpleString()}, lo long, hi long"
+        closed = spark.read.schema(schema).parquet(*known) if known else spark.createDataFrame([], schema)
+        first = batch.groupBy(key, "iteration").agg(F.min_by("__row", "write_seq").alias("__row"))
+        points = first.withColumn("l_lo", F.array(F.col("iteration").cast("long")))
+        again = meeting(points, closed.select(key, F.array("lo").alias("r_lo"), F.array(F.col("hi") + 1).alias("r_hi")), 1, [key], points=True).select(key, "iteration")
+        fresh = first.join(again, [key, "iteration"], "left_anti").persist()
+        fresh.select("__row.*").write.mode("overwrite").parquet(f"{path}/steps/batch={number}")
+        # All rows but the first of a new iteration: of these one goes, however often it is repeated.
+        counted = batch.groupBy("__row").agg(F.count("*").alias("__n")).join(fresh.select("__row", F.lit(1).alias("__one")), "__row", "left")
+        repeats = counted.withColumn("__n", F.col("__n") - F.coalesce("__one", F.lit(0))).filter("__n > 0")
+        repeats.select(F.explode(F.sequence(F.lit(1), F.col("__n"))), "__row").select("__row.*").write.mode("overwrite").parquet(f"{path}/reopened/batch={number}")
+        new = fresh.select(key, F.array(F.col("iteration").cast("long")).alias("offset"), F.array(F.lit(1).cast("long")).alias("extent"))
+        old = closed.select(key, F.array("lo").alias("offset"), F.array(F.col("hi") - F.col("lo") + 1).alias("extent"))
+        state = merged_boxes(old.unionByName(new), 1, [key]).select(key, F.get("offset", 0).alias("lo"), (F.get("offset", 0) + F.get("extent", 0) - 1).alias("hi"))
+        if horizon is not None:
+            floor = state.groupBy(key).agg((F.max("hi") - horizon).alias("__floor"))
+            state = state.join(floor, key)
+            above = state.filter("hi >= __floor").select(key, F.greatest("lo", "__floor").alias("lo"), "hi")
+            state = above.unionByName(floor.select(key, F.lit(lowest).alias("lo"), (F.col("__floor") - 1).alias("hi")))
+        state = state.select(part, F.lit(number).alias("batch"), key, "lo", "hi")
+        state.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(f"{path}/closed")
+        for p in touched:
+            for v in versions.get(p, [])[:-1]:
+                _remove(spark, f"{path}/closed/part={p}/batch={v}")
+        fresh.unpersist()
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def closed_iterations(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The intervals (key, lo, hi) of closed iterations that closed_capture has reached; schema is that of the three columns."""
+    latest = [f"{path}/closed/part={p}/batch={v[-1]}" for p, v in _versions(spark, f"{path}/closed", 1 << 62).items()]
+    return spark.read.schema(schema).parquet(*latest) if latest else spark.createDataFrame([], schema)
+
+
 def capture(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], path: str, checkpoint: str, order: str | None = None):
     """Starts a query that writes each batch to one or more folders under path, each after its own function, and ends when all is read."""
 

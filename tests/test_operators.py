@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pyarrow.parquet as pq
@@ -153,9 +154,10 @@ def test_streaming_running_max(spark, tmp_path):
     source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     for n, part in enumerate(([0, 1], [3, 2], [4, 3, 10], [7, 1, 11])):
         spark.createDataFrame([("s", n * 10 + i, it) for i, it in enumerate(part)], "series string, write_seq long, iteration long").coalesce(1).write.mode("append").parquet(source)
-    stream = steps.running_max_steps(steps.read_steps(spark, source, "series string, write_seq long, iteration long", 1))
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination(120)
-    assert sorted(r["iteration"] for r in spark.read.parquet(out).collect()) == [0, 1, 3, 4, 10, 11]
+    stream = steps.read_steps(spark, source, "series string, write_seq long, iteration long", 1)
+    steps.running_max_capture(stream, out, state).awaitTermination(120)
+    assert sorted(r["iteration"] for r in spark.read.parquet(f"{out}/steps").collect()) == [0, 1, 3, 4, 10, 11]
+    assert sum(f.startswith("batch=") for f in os.listdir(f"{out}/state")) == 2
 
 
 def test_generators(spark):
