@@ -19,12 +19,44 @@ def wide(attributes: DataFrame, names: list[str]) -> DataFrame:
     return attributes.groupBy("iteration", "path").pivot("name", names).agg(F.first("value"))
 
 
+#: The bounds of narrow integers.
+NARROW = {"byte": 7, "ubyte": 8, "short": 15, "ushort": 16, "int": 31, "uint": 32}
+
+
+def _complex(pair: Column) -> Column:
+    """(re, im) of an array of two numbers; null for others."""
+    return F.when((F.size(pair) == 2) & ~F.exists(pair, lambda x: x.isNull()), F.struct(F.get(pair, 0).alias("re"), F.get(pair, 1).alias("im")))
+
+
 def converted(value: Column, dtype: Column, to: str) -> Column:
     """The value as a double, long, ulong (a decimal of 20 places), string, or array of doubles, longs or strings; null if it can't be converted.
 
     Numbers become each other, integers exactly; a string of one character its code and back; a scalar is an array of one;
-    an array of one stays an array. `array7` is an array of exactly seven doubles, `long_array` and `string_array` have integers and texts.
+    an array of one stays an array. `array7` is an array of exactly seven doubles, `long_array` and `string_array` have integers and texts. `byte`, `ubyte`, `short`,
+    `ushort`, `int` and `uint` are longs that fit, else null; `bool` is whether a number isn't 0; `char` is a text of one character, or that of a code;
+    `complex` is (re, im) of a complex or a real number, `complex_array` an array of them, `bool_array` one of truth values. Complex numbers become nothing else.
     """
+    if to in NARROW:
+        low = 0 if to[0] == "u" else -(1 << NARROW[to])
+        own = converted(value, dtype, "long")
+        return F.when(own.between(low, (1 << NARROW[to]) - 1), own)
+    if to == "bool":
+        return converted(value, dtype, "double") != 0
+    if to == "char":
+        own = F.when(dtype.isin("STRING", "CHAR"), converted(value, dtype, "string")).otherwise(F.char(converted(value, dtype, "ubyte")))
+        return F.when(F.char_length(own) == 1, own)
+    if to == "complex":
+        real = converted(value, dtype, "double")
+        return F.when(dtype.isin("CFLOAT", "CDOUBLE", "CLONG_DOUBLE"), _complex(F.from_json(value, "array<double>"))).when(real.isNotNull(), F.struct(real.alias("re"), F.lit(0.0).alias("im")))
+    if to == "complex_array":
+        pairs = F.transform(F.from_json(value, "array<array<double>>"), _complex)
+        reals = F.transform(converted(value, dtype, "array"), lambda x: F.struct(x.alias("re"), F.lit(0.0).alias("im")))
+        one = converted(value, dtype, "complex")
+        own = F.when(dtype.isin("VEC_CFLOAT", "VEC_CDOUBLE", "VEC_CLONG_DOUBLE"), pairs).when(dtype.startswith("VEC_") | dtype.startswith("ARR_"), reals).when(one.isNotNull(), F.array(one))
+        return F.when(~F.exists(own, lambda x: x.isNull()), own)
+    if to == "bool_array":
+        flags = F.when(dtype == "VEC_BOOL", F.from_json(value, "array<boolean>")).when(dtype == "BOOL", F.array(converted(value, dtype, "bool"))).otherwise(F.transform(converted(value, dtype, "array"), lambda x: x != 0))
+        return F.when(~F.exists(flags, lambda x: x.isNull()), flags)
     is_vector = dtype.startswith("VEC_") | dtype.startswith("ARR_")
     is_text = dtype.isin("STRING", "CHAR")
     text = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
@@ -100,7 +132,7 @@ def default_dimension(record: Column) -> Column:
 REQUIRED = {
     "series": {"basePath": "string", "iterationEncoding": "string", "iterationFormat": "string"},
     "iteration": {"time": "double", "dt": "double", "timeUnitSI": "double"},
-    "mesh": {"geometry": "string", "dataOrder": "string", "axisLabels": "string_array", "gridSpacing": "array", "gridGlobalOffset": "array", "gridUnitSI": "double", "unitDimension": "array7", "timeOffset": "double"},
+    "mesh": {"geometry": "string", "dataOrder": "char", "axisLabels": "string_array", "gridSpacing": "array", "gridGlobalOffset": "array", "gridUnitSI": "double", "unitDimension": "array7", "timeOffset": "double"},
     "record": {"unitDimension": "array7", "timeOffset": "double"},
     "component": {"unitSI": "double"},
     "mesh_component": {"unitSI": "double", "position": "array"},
@@ -123,6 +155,19 @@ def required_violations(nodes: DataFrame, attributes: DataFrame, required: dict[
     return both.select("iteration", "path", "node_type", "name", problem.alias("problem")).filter("problem is not null")
 
 
+#: Fixed values of the format: the children that each type of node must have.
+REQUIRED_CHILDREN = {"species": ("position", "positionOffset"), "patches": ("numParticles", "numParticlesOffset", "offset", "extent")}
+
+
+def missing_children(nodes: DataFrame, required: dict[str, tuple[str, ...]] = REQUIRED_CHILDREN) -> DataFrame:
+    """(iteration, path, node_type, name): records that species and patches must have and don't; nodes has (iteration, path, node_type), a row for each node."""
+    pairs = [F.struct(F.lit(t).alias("node_type"), F.lit(n).alias("name")) for t, own in required.items() for n in own]
+    wanted = nodes.select("iteration", "path", "node_type", F.explode(F.filter(F.array(*pairs), lambda x: x["node_type"] == F.col("node_type"))["name"]).alias("name"))
+    child = F.concat(F.rtrim(F.col("path"), F.lit("/")), F.lit("/"), "name")
+    have = nodes.select("iteration", F.col("path").alias("__child")).distinct()
+    return wanted.withColumn("__child", child).join(have, ["iteration", "__child"], "left_anti").select("iteration", "path", "node_type", "name")
+
+
 def violations(attributes: DataFrame, required: dict[str, str]) -> DataFrame:
     """(iteration, path, name, problem): required attributes that are missing or not of their type, by node."""
     nodes = attributes.select("iteration", "path").distinct()

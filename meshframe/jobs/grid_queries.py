@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from meshframe.functions import attributes as attrs
 from meshframe.functions import slicing
+from meshframe.jobs import generate
 from meshframe.jobs import views as V
 from meshframe.jobs.registry import query, scratch
 from meshframe.operators import chunks, meshes, patches
@@ -50,6 +52,25 @@ def b10_blocks_3d(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("""WITH x AS (SELECT vec_id i0, embedding e, list_reverse(embedding) r, unnest([0, 24, 48]) o1 FROM embeddings)
+SELECT i0, o1, CAST(1 AS BIGINT) e0, CASE WHEN o1 = 48 THEN 16 ELSE 24 END e1, CAST(CASE WHEN o1 = 48 THEN 16 ELSE 24 END AS INTEGER) n,
+       CAST(e[o1 + 1] AS DOUBLE) * CAST(e[o1 + 1] AS DOUBLE) + CAST(r[o1 + 1] AS DOUBLE) * CAST(r[o1 + 1] AS DOUBLE) AS first,
+       CAST(e[o1 + CASE WHEN o1 = 48 THEN 16 ELSE 24 END] AS DOUBLE) * CAST(e[o1 + CASE WHEN o1 = 48 THEN 16 ELSE 24 END] AS DOUBLE) + CAST(r[o1 + CASE WHEN o1 = 48 THEN 16 ELSE 24 END] AS DOUBLE) * CAST(r[o1 + CASE WHEN o1 = 48 THEN 16 ELSE 24 END] AS DOUBLE) AS last FROM x""")
+def d1_b16_two_grids(spark, sf_dir):
+    """The intensity of two components of one field, of which one has chunks of single rows and the other of two rows and 24 columns."""
+    e = V.table(spark, sf_dir, "embeddings")
+    zero = F.lit(0).cast("long")
+    x = e.select(zero.alias("iteration"), F.array("vec_id", zero).alias("offset"), F.array(F.lit(1).cast("long"), F.lit(64).cast("long")).alias("extent"), F.col("embedding").alias("values"))
+    pair = e.groupBy(F.floor(F.col("vec_id") / 2).alias("pair")).agg(F.sort_array(F.collect_list(F.struct("vec_id", F.reverse("embedding").alias("r")))).alias("rows"))
+    columns = F.explode(F.array(*(F.struct(F.lit(o).cast("long").alias("o"), F.lit(w).cast("long").alias("w")) for o, w in ((0, 24), (24, 24), (48, 16))))).alias("c")
+    y = pair.select("pair", "rows", columns).select(
+        zero.alias("iteration"), F.array(F.col("rows")[0]["vec_id"], F.col("c.o")).alias("offset"), F.array(F.size("rows").cast("long"), F.col("c.w")).alias("extent"),
+        F.flatten(F.transform("rows", lambda r: F.slice(r["r"], (F.col("c.o") + 1).cast("int"), F.col("c.w").cast("int")))).alias("values"),
+    )
+    found = meshes.aligned_blocks({"x": x, "y": y}, 2).withColumn("i", meshes.block_intensity("x", "y"))
+    return found.select(F.get("offset", 0).alias("i0"), F.get("offset", 1).alias("o1"), F.get("extent", 0).alias("e0"), F.get("extent", 1).alias("e1"), F.size("i").alias("n"), F.get("i", 0).alias("first"), F.element_at("i", -1).alias("last"))
+
+
 # Files and boxes ------------------------------------------------------------------------------------
 
 
@@ -121,6 +142,69 @@ def f2_boxes_3d(spark, sf_dir):
     return boxes.select("path", *(F.get(c, d).alias(f"{c[0]}{d}") for c in ("offset", "extent") for d in range(3)))
 
 
+# Made series ------------------------------------------------------------------------------------------
+
+
+def _extents(spark, sf_dir):
+    """Blocks as large as the sizes of parts, one for each part."""
+    return V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("block"), F.col("p_size").cast("long").alias("cells"))
+
+
+@query("""SELECT CAST(s AS BIGINT) iteration, p_partkey block, CAST(p_size AS BIGINT) cells, p_partkey + 0.01::DOUBLE * s first, p_partkey + 0.01::DOUBLE * s + (p_size - 1) * 0.0001::DOUBLE AS last FROM part, (SELECT unnest(range(2)) s) WHERE p_size > 0""")
+def k1_fields_of_extents(spark, sf_dir):
+    """A made field with a block for each part, as large as its size."""
+    made = generate.fields_of(_extents(spark, sf_dir), 2)
+    return made.groupBy("iteration", "block").agg(F.count("*").alias("cells"), F.min("rho").alias("first"), F.max("rho").alias("last"))
+
+
+@query("""WITH e AS (SELECT p_partkey block, p_size n, CAST(sum(p_size) OVER (ORDER BY p_partkey) AS BIGINT) - p_size before FROM part)
+SELECT CAST(s AS BIGINT) iteration, block, before AS first, before + n - 1 AS last, 0.1::DOUBLE * s + 0.0001::DOUBLE * (n - 1) charge, 1.0::DOUBLE * s + 0.0002::DOUBLE * (n - 1) position_x FROM e, (SELECT unnest(range(2)) s) WHERE n > 0""")
+def k2_particles_of_extents(spark, sf_dir):
+    """Made particles, as many of each part as its size, numbered through all parts."""
+    made = generate.particles_of(_extents(spark, sf_dir), 2)
+    return made.groupBy("iteration", "block").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.max("charge").alias("charge"), F.max("position_x").alias("position_x"))
+
+
+@query("SELECT p_partkey block, CAST(p_size AS BIGINT) cells, CAST(p_size AS BIGINT) places, true AS inside FROM part WHERE p_size > 0")
+def k4_random_of_extents(spark, sf_dir):
+    """Random cells of a block for each part: all places, values in their range, and the same when they are made again."""
+    made, again = (generate.random_integers_of(_extents(spark, sf_dir)) for _ in range(2))
+    both = made.join(again.withColumnRenamed("value", "same"), ["block", "i"])
+    return both.groupBy("block").agg(F.count("*").alias("cells"), F.count_distinct("i").alias("places"), F.bool_and(F.col("value").between(0, 200_000_000) & (F.col("value") == F.col("same"))).alias("inside"))
+
+
+# Attributes -------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size BETWEEN -128 AND 127 THEN p_size END AS narrow, CASE WHEN p_partkey * 100 <= 65535 THEN p_partkey * 100 ELSE -1 END AS wider, p_size % 5 != 0 AS truth,
+chr(CAST(65 + p_size % 26 AS INTEGER)) AS letter, CAST(p_size AS DOUBLE) re, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS DOUBLE) ELSE 0.0 END im, [p_size % 2 = 1, false] AS flags FROM part""")
+def c2_further_types(spark, sf_dir):
+    """Narrow integers, truth values, characters, complex numbers and lists of truth values."""
+    k, s, to = F.col("p_partkey"), F.col("p_size"), attrs.converted
+    text = lambda c: c.cast("string")
+    number = F.when(k % 2 == 0, F.format_string("[%d.0, %d.0]", s.cast("long"), k.cast("long"))).otherwise(text(s))
+    z = to(number, F.when(k % 2 == 0, "CDOUBLE").otherwise("INT"), "complex")
+    return V.table(spark, sf_dir, "part").select(
+        "p_partkey", to(text(s), F.lit("INT"), "byte").alias("narrow"), F.coalesce(to(text(k * 100), F.lit("LONG"), "ushort"), F.lit(-1).cast("long")).alias("wider"), to(text(s % 5), F.lit("UINT"), "bool").alias("truth"),
+        to(text(65 + s % 26), F.lit("UCHAR"), "char").alias("letter"), z["re"].alias("re"), z["im"].alias("im"), to(F.format_string("[%d, 0]", (s % 2).cast("long")), F.lit("VEC_INT"), "bool_array").alias("flags"),
+    )
+
+
+@query("""WITH n AS (SELECT p_partkey iteration, '/particles/e' AS path, 'species' node_type, ['position', 'positionOffset'] w FROM part UNION ALL SELECT p_partkey, '/particles/e/patches', 'patches', ['numParticles', 'numParticlesOffset', 'offset', 'extent'] FROM part WHERE p_size % 2 = 0),
+w AS (SELECT iteration, path, node_type, unnest(w) AS name FROM n)
+SELECT w.* FROM w JOIN part ON iteration = p_partkey WHERE NOT ((node_type = 'species' AND (name = 'position' OR p_size % 3 = 0)) OR (node_type = 'patches' AND (name IN ('numParticles', 'offset') OR p_size % 4 = 0)))""")
+def a8_required_records(spark, sf_dir):
+    """Records that species and their patches lack."""
+    part = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("iteration"), "p_size")
+    node = lambda path, kind: F.struct(F.lit(path).alias("path"), F.lit(kind).alias("node_type"))
+    have = [F.array(node("/particles/e", "species"), node("/particles/e/position", "record")), F.when(F.col("p_size") % 3 == 0, F.array(node("/particles/e/positionOffset", "record")))]
+    own = [node(f"/particles/e/patches/{n}", "record") for n in ("numParticles", "offset")]
+    have.append(F.when(F.col("p_size") % 2 == 0, F.array(node("/particles/e/patches", "patches"), *own)))
+    have.append(F.when(F.col("p_size") % 4 == 0, F.array(*(node(f"/particles/e/patches/{n}", "record") for n in ("numParticlesOffset", "extent")))))
+    nodes = part.select("iteration", F.explode(F.flatten(F.filter(F.array(*have), lambda x: x.isNotNull()))).alias("n")).select("iteration", "n.*")
+    return attrs.missing_children(nodes)
+
+
 # Steps ----------------------------------------------------------------------------------------------
 
 

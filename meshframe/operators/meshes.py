@@ -153,6 +153,60 @@ def block_intensity(*arrays: str) -> Column:
     return out
 
 
+def _cut(blocks: DataFrame, cuts: DataFrame, rank: int, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """The blocks cut at the places of cuts (keys, at: an array for each axis): (keys, offset, extent, out), each value once.
+
+    Pieces are sliced inside the arrays, in the generator, so that no piece carries the block it is of.
+    """
+    found = blocks.filter(F.col(value).isNotNull()).join(cuts, list(keys))
+    pieces = F.array(F.struct(F.array().cast("array<bigint>").alias("o"), F.array().cast("array<bigint>").alias("e")))
+    for d in range(rank):
+        low, high = F.get("offset", d), F.get("offset", d) + F.get("extent", d)
+        inner = F.filter(F.get("at", d), lambda c: (c > low) & (c < high))  # noqa: B023
+        edges = F.array_sort(F.array_distinct(F.concat(F.array(low, high), inner)))
+        spans = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.struct(a.alias("o"), (b - a).alias("e")))
+        pieces = F.flatten(F.transform(pieces, lambda p: F.transform(spans, lambda s: F.struct(F.concat(p["o"], F.array(s["o"])).alias("o"), F.concat(p["e"], F.array(s["e"])).alias("e")))))  # noqa: B023
+
+    def sliced(p: Column) -> Column:
+        def place(k: Column) -> Column:
+            index: list[Column] = []
+            for d in range(rank - 1, -1, -1):
+                index.insert(0, F.get(p["o"], d) + k % F.get(p["e"], d))
+                k = F.call_function("div", k, F.get(p["e"], d))
+            at = F.lit(0).cast("long")
+            for d, i in enumerate(index):
+                at = at * F.get("extent", d) + (i - F.get("offset", d))
+            return F.get(value, at.cast("int"))
+
+        count = F.aggregate(p["e"], F.lit(1).cast("long"), lambda n, e: n * e)
+        return F.struct(p["o"].alias("offset"), p["e"].alias("extent"), F.transform(F.sequence(F.lit(0).cast("long"), count - 1), place).alias(out))
+
+    return found.select(*keys, F.inline(F.transform(pieces, sliced)))
+
+
+def aligned_blocks(components: dict[str, DataFrame], rank: int, keys: Sequence[str] = ("iteration",), value: str = "values") -> DataFrame:
+    """(keys, offset, extent, an array for each component) of components that are chunked in other ways, block by block: no row is a cell.
+
+    All are cut at the edges that the chunks of any of them have along an axis, their common refinement, and joined by the offsets of
+    the pieces; each value is shuffled once. The edges are a list for each axis and key, far smaller than the data. Where one component has no value for a
+    piece of another, that is an error, as arrays of other lengths are.
+    """
+    edges = [b.filter(F.col(value).isNotNull()).select(*keys, F.explode(F.array(*(F.struct(F.lit(d).alias("axis"), p.alias("at")) for d in range(rank) for p in (F.get("offset", d), F.get("offset", d) + F.get("extent", d))))).alias("__e")) for b in components.values()]
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.unionByName(e)
+    every = every.select(*keys, "__e.axis", "__e.at").distinct()
+    cuts = every.groupBy(*keys).agg(F.array(*(F.sort_array(F.collect_list(F.when(F.col("axis") == d, F.col("at")))) for d in range(rank))).alias("at"))
+    out, on = None, [*keys, "offset", "extent"]
+    for name, blocks in components.items():
+        own = _cut(blocks, cuts, rank, keys, value, name)
+        out = own if out is None else out.join(own, on, "full")
+    lacking = F.lit(False)
+    for name in components:
+        lacking = lacking | F.col(name).isNull()
+    return out.select(*on, *(F.when(lacking, F.raise_error(F.concat(F.lit("a component has no values at "), F.to_json(F.struct("offset", "extent")))).cast(out.schema[n].dataType)).otherwise(F.col(n)).alias(n) for n in components))
+
+
 def field_max(cells: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = ("iteration",)) -> DataFrame:
     """The greatest value and its cell, the first of equal ones by the order columns; partial results only are shuffled.
 
