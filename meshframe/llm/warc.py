@@ -4,21 +4,26 @@ An ARC file opens with a filedesc record, whose body names the version and the f
 Each record is a header line and as many bytes as it declares. The reader takes ARC files from storage, plain or gzipped (with a
 member for each record or for all), as rows; the converter takes the fields by the version, and makes of each record the
 identifier, timestamp, type and digests that a WARC record has. Records with equal payloads become revisits of the one with the
-smallest page_id; only digests and ids meet for that.
+smallest page_id; only digests and ids meet for that. Readers hold one record at a time, not a file unpacked. A file that breaks off
+is an error, or is put aside: its whole records count, and a table names the place of the break.
 
-Archives are written by Spark as gzipped files of a bounded number of bytes, each a valid file that opens with its filedesc or
-warcinfo record. Payloads may be any bytes. A file is one gzip member, as Spark's writer makes it; readers take many.
+Archives are written by Spark as gzipped files, each a valid file that opens with its filedesc or warcinfo record. A file is closed before
+the record that would take it above a number of bytes, so only a record that is larger by itself makes a larger one. Payloads may be any
+bytes, of a record up to 1 GB. A file is one gzip member, as Spark's writer makes it; readers take many.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
+import itertools
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
-from typing import NamedTuple
+from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +37,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 LEAST_PAYLOAD = 100
-#: Bytes of payload that an archive aims at and the records that it has at most, records handled together, and duplicated digests that are sent to all tasks.
-FILE_BYTES, RECORDS, TOGETHER, MOST_BROADCAST = 32 << 20, 5000, 64, 100_000
+#: Bytes of a written archive before it is compressed, records handled together, and duplicated digests that are sent to all tasks.
+FILE_BYTES, TOGETHER, MOST_BROADCAST = 32 << 20, 64, 100_000
+#: Files up to this are read by Spark; a task opens larger ones itself and reads them as they come. Bytes of a read, and of a header line at most.
+IN_MEMORY, READ_BYTES, LINE_BYTES = 64 << 20, 1 << 20, 1 << 20
 #: The protocol header under which pages keep their id in an archive; of a null id it is -.
 PAGE = b"X-Page: "
 
@@ -48,23 +55,39 @@ class Record(NamedTuple):
     payload: bytes
 
 
+#: What reading a damaged file raises.
+DAMAGES = (ValueError, EOFError, zlib.error, gzip.BadGzipFile)
+
+
+def contents(source: BinaryIO) -> BinaryIO:
+    """The bytes of a plain or gzipped file, of all its members, as they are read."""
+    gzipped = source.read(2) == b"\x1f\x8b"
+    source.seek(0)
+    return gzip.GzipFile(fileobj=source) if gzipped else io.BufferedReader(source, READ_BYTES)
+
+
 def unpacked(raw: bytes) -> bytes:
-    """The bytes of a plain or gzipped file, of all its members."""
-    if raw[:2] != b"\x1f\x8b":
-        return raw
-    out, at, member, whole = [], 0, zlib.decompressobj(31), True
-    while at < len(raw):
-        part = raw[at : at + (1 << 16)]
-        out.append(member.decompress(part))
-        at, whole = at + len(part), False
-        if member.eof:
-            at -= len(member.unused_data)
-            while at < len(raw) and raw[at] == 0:  # padding
-                at += 1
-            member, whole = zlib.decompressobj(31), True
-    if not whole:
-        raise ValueError("a gzip member cut short")
-    return b"".join(out)
+    """The bytes of a plain or gzipped file, of all its members, at once."""
+    try:
+        return contents(io.BytesIO(raw)).read()
+    except DAMAGES as e:
+        raise ValueError(f"a gzip member that is damaged or cut short: {e}") from e
+
+
+def _taken(source: BinaryIO, size: int) -> bytes:
+    """The next bytes, as many as there are; a declared length that isn't true asks for no memory."""
+    parts = []
+    while size > 0 and (part := source.read(min(size, READ_BYTES))):
+        parts.append(part)
+        size -= len(part)
+    return parts[0] if len(parts) == 1 else b"".join(parts)
+
+
+def _line(source: BinaryIO, at: int) -> bytes:
+    line = source.readline(LINE_BYTES)
+    if line.strip(b"\r\n") and not line.endswith(b"\n"):
+        raise ValueError(f"a header line without an end at byte {at}")
+    return line
 
 
 def arc_file(version: int, records: list[tuple[str, str, str, str, bytes]], origin: str = "crawl") -> bytes:
@@ -84,34 +107,45 @@ def _arc_line(version: int, url: str, ip: str, date: str, kind: str, body: bytes
     return " ".join([url, *rest, str(len(body))]).encode() + b"\n"
 
 
-def read_arc(data: bytes) -> Iterator[Record]:
+def _length(text: str, at: int) -> int:
+    if not text.isdecimal():
+        raise ValueError(f"an ARC record of length {text} at byte {at}")
+    return int(text)
+
+
+def _body(source: BinaryIO, length: int, at: int) -> bytes:
+    body = _taken(source, length)
+    if len(body) != length:
+        raise ValueError(f"an ARC record cut short at byte {at}")
+    return body
+
+
+def read_arc(data: bytes | BinaryIO) -> Iterator[Record]:
     """The records of an ARC file by its version's header lines and the declared lengths; filedesc comes as warcinfo."""
+    source = io.BytesIO(data) if isinstance(data, bytes) else data
     at, fields = 0, FIELDS[1].split()
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
+    while raw := _line(source, at):
+        own, at = at, at + len(raw)
+        line = raw.strip(b"\r\n").decode("utf-8", "replace")
+        if not line:
             continue
-        stop = data.find(b"\n", at)
-        if stop < 0:
-            raise ValueError(f"an ARC header line without an end at byte {at}")
-        line = data[at:stop].decode("utf-8", "replace").rstrip("\r")
-        opening = line.startswith("filedesc://")
+        opening, body = line.startswith("filedesc://"), b""
         if opening:  # its own line has the fields of version 1 or 2; the declared length is last in both
-            length = int(line.rsplit(" ", 1)[1])
-            head = data[stop + 1 : stop + 1 + length].decode("utf-8", "replace").splitlines()
-            version = int(head[0].split()[0])
+            body = _body(source, _length(line.rsplit(" ", 1)[-1], own), own)
+            head = body.decode("utf-8", "replace").splitlines()
+            version = _length(" ".join(head[:1]).partition(" ")[0], own)
             if version not in FIELDS:
                 raise ValueError(f"ARC version {version}")
             fields = head[1].split() if len(head) > 1 and head[1].strip() else FIELDS[version].split()
+            if not {"URL", "IP-address", "Archive-date", "Content-type", "Archive-length"} <= {*fields}:
+                raise ValueError(f"an ARC file with the fields {fields}")
         parts = line.rsplit(" ", len(fields) - 1)  # the URL may hold spaces
         if len(parts) != len(fields):
-            raise ValueError(f"an ARC header line of {len(parts)} fields at byte {at}")
+            raise ValueError(f"an ARC header line of {len(parts)} fields at byte {own}")
         named = dict(zip(fields, parts, strict=True))
-        length = int(named["Archive-length"])
-        body = data[stop + 1 : stop + 1 + length]
-        if len(body) != length:
-            raise ValueError(f"an ARC record cut short at byte {at}")
-        at = stop + 1 + length
+        length = _length(named["Archive-length"], own)
+        body = body if opening else _body(source, length, own)
+        at += length
         d = named["Archive-date"].ljust(14, "0")
         date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
         url = named["URL"]
@@ -141,21 +175,24 @@ def warc_record(record: Record, digest: str, key: str, refers_to: str | None = N
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n"
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def read_warc(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record, by the declared lengths."""
-    at = 0
-    while at < len(data):
-        stop = data.find(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
-        if stop < 0 or not lines[0].startswith("WARC/"):
+    source, at = io.BytesIO(data) if isinstance(data, bytes) else data, 0
+    while raw := source.readline(LINE_BYTES):
+        if not raw.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        head = dict(line.split(": ", 1) for line in lines[1:])
+        own, at, head = at, at + len(raw), {}
+        while (raw := _line(source, at)) != b"\r\n":
+            name, colon, value = raw.decode("utf-8", "replace").strip("\r\n").partition(": ")
+            if not colon:
+                raise ValueError(f"a WARC record whose head breaks off at byte {at}")
+            head[name], at = value, at + len(raw)
         n = int(head["Content-Length"])
-        yield head, data[stop + 4 : stop + 4 + n]
-        at = stop + 4 + n
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"a WARC record of another length than it declares before byte {at}")
-        at += 4
+        block = _taken(source, n)
+        at += 2 + n + 4
+        if len(block) != n or source.read(4) != b"\r\n\r\n":
+            raise ValueError(f"a WARC record of another length than it declares at byte {own}")
+        yield head, block
 
 
 def _page_id(record: Record) -> tuple[bool, int | None]:
@@ -167,43 +204,91 @@ def _page_id(record: Record) -> tuple[bool, int | None]:
     return True, None if value == b"-" else int(value)
 
 
-def _arc_rows(batches: Iterator[pa.RecordBatch], date: str, records: int) -> Iterator[pa.RecordBatch]:
-    """The parts of ARC files, a record each, without the line end after it; versions take turns by file."""
-    n, version, at = 0, 2, 0
+class _Contents:
+    """The contents of the files of a task, each closed before the record that would make it larger than `most` bytes or `records` records."""
+
+    def __init__(self, line_end: bytes, most: int, records: int | None):
+        self.line_end, self.most, self.records = line_end, most, records
+        self.held: list[bytes] = []
+        self.size = 0
+
+    def full(self, size: int) -> bool:
+        """Whether a record of this size needs a new file; one that has but its opening record takes any."""
+        return not self.held or (len(self.held) > 1 and (self.size + size + len(self.line_end) > self.most or len(self.held) == self.records))
+
+    def add(self, record: bytes) -> None:
+        self.held.append(record)
+        self.size += len(record) + len(self.line_end)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """The file as one value, without its last line end."""
+        if self.held:
+            value = self.line_end.join(self.held)
+            self.held, self.size = [], 0
+            yield pa.record_batch({"value": pa.array([value], pa.binary())})
+
+
+def _arc_rows(batches: Iterator[pa.RecordBatch], date: str, file_bytes: int, records: int | None) -> Iterator[pa.RecordBatch]:
+    """ARC files, a row each; versions take turns by file."""
+    files, version = _Contents(b"\n", file_bytes, records), 2
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "html")]
         for lo in range(0, batch.num_rows, TOGETHER):
-            out = []
             for page, url, html in zip(*(c.slice(lo, TOGETHER).to_pylist() for c in columns), strict=True):
-                if n % records == 0:
-                    version, at = 3 - version, 0
-                    opening = f"{version} 0 crawl\n{FIELDS[version]}\n\n".encode()
-                    out.append(_arc_line(version, "filedesc://made.arc", "0.0.0.0", date, "text/plain", opening, 0) + opening)
-                    n, at = n + 1, at + len(out[-1]) + 1
                 raw = html.encode() if isinstance(html, str) else html or b""
                 own = b"".join((b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n", PAGE, b"-" if page is None else str(page).encode(), b"\r\nContent-Length: ", str(len(raw)).encode(), b"\r\n\r\n", raw))
                 name = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "urn:none")
-                out.append(_arc_line(version, name, "0.0.0.0", date, "text/html", own, at) + own)
-                n, at = n + 1, at + len(out[-1]) + 1
-            yield pa.record_batch({"value": pa.array(out, pa.binary())})
+                line = partial(_arc_line, ip="0.0.0.0", date=date, kind="text/html", body=own)
+                if files.full(len(own) + len(line(version, name, at=files.size))):
+                    yield from files.close()
+                    version = 3 - version
+                    opening = f"{version} 0 crawl\n{FIELDS[version]}\n\n".encode()
+                    files.add(_arc_line(version, "filedesc://made.arc", "0.0.0.0", date, "text/plain", opening, 0) + opening)
+                files.add(line(version, name, at=files.size) + own)
+    yield from files.close()
 
 
 _RECORDS = "file string, place long, named boolean, page_id long, url string, ip string, date string, kind string, content_type string, head binary, payload binary"
+#: The kind of the row that tells where a file breaks off.
+BROKEN = "broken"
+
+
+def _open(uri: str) -> BinaryIO:
+    from pyarrow import fs
 
+    system, path = (fs.LocalFileSystem(), re.sub("^file:/+", "/", uri)) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)
 
-def _arc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _found(file: str, content: bytes | None, aside: bool) -> Iterator[tuple]:
+    """The rows of an ARC file. With aside, the last one of a damaged file has the kind broken and says why."""
+    place = 0
+    try:
+        with contents(_open(file) if content is None else io.BytesIO(content)) as source:
+            for r in read_arc(source):
+                yield file, place, *_page_id(r), r.url, r.ip, r.date, r.kind, r.content_type, r.head, r.payload
+                place += 1
+    except DAMAGES as e:
+        if not aside:
+            raise ValueError(f"{file}: {e}") from e
+        yield file, place, False, None, None, None, None, BROKEN, str(e), None, None
+
+
+def _arc_records(batches: Iterator[pa.RecordBatch], aside: bool) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), *[pa.string()] * 5, pa.binary(), pa.binary()]
     names = [x.split()[0] for x in _RECORDS.split(", ")]
+    made = lambda rows: pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
     for batch in batches:
-        for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows: list[tuple] = []
-            for place, r in enumerate(read_arc(unpacked(content.as_py()))):
-                rows.append((file, place, *_page_id(r), r.url, r.ip, r.date, r.kind, r.content_type, r.head, r.payload))
-                if len(rows) == TOGETHER:
-                    yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
-                    rows = []
+        for file, content in zip(batch.column(0), batch.column(1), strict=True):
+            rows, size = [], 0
+            for row in _found(file.as_py(), content.as_py(), aside):
+                rows.append(row)
+                size += len(row[-1] or b"")
+                if len(rows) == TOGETHER or size > FILE_BYTES:
+                    yield made(rows)
+                    rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+                yield made(rows)
 
 
 def _opening(date: str) -> bytes:
@@ -213,103 +298,112 @@ def _opening(date: str) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + body + b"\r\n"
 
 
-def _serialised(batches: Iterator[pa.RecordBatch], records: int) -> Iterator[pa.RecordBatch]:
-    """WARC records without their last line end; each run of as many as a file holds opens with a warcinfo record."""
-    done = 0
+def _serialised(batches: Iterator[pa.RecordBatch], file_bytes: int, records: int | None) -> Iterator[pa.RecordBatch]:
+    """WARC files, a row each."""
+    files = _Contents(b"\r\n", file_bytes, records)
     for batch in batches:
         for lo in range(0, batch.num_rows, TOGETHER):
-            out = []
             for row in batch.slice(lo, TOGETHER).to_pylist():
                 record = Record(*(row[c] for c in Record._fields))
-                if done % records == 0:
-                    out.append(_opening(record.date))
-                    done += 1
-                done += 1
                 first, n = row["first_page"], len(record.payload)
                 key = "" if row["page_id"] is None else str(row["page_id"])
                 again = n >= LEAST_PAYLOAD and first is not None and first != row["page_id"]
                 of = record_id(record.date, str(first), row["digest"]) if again else None
-                out.append(warc_record(record, row["digest"], key, of, first if again else None))
-            yield pa.record_batch({"value": pa.array(out, pa.binary())})
+                made = warc_record(record, row["digest"], key, of, first if again else None)
+                if files.full(len(made)):
+                    yield from files.close()
+                    files.add(_opening(record.date))
+                files.add(made)
+    yield from files.close()
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string"
 
 
+def _of_archive(file: str, content: bytes | None) -> Iterator[tuple]:
+    with contents(_open(file) if content is None else io.BytesIO(content)) as source:
+        for head, block in read_warc(source):
+            kind = head["WARC-Type"]
+            if kind == "warcinfo":
+                continue
+            digest, length = head["WARC-Payload-Digest"].split(":", 1)[1], int(head["X-Payload-Length"])
+            if kind in ("response", "resource"):
+                payload = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else block
+                if hashlib.sha256(payload).hexdigest() != digest or len(payload) != length:
+                    raise ValueError(f"the payload of {head['WARC-Record-ID']} isn't the one that was written")
+            yield int(head["X-Page"]) if "X-Page" in head else None, length, digest, kind, int(head["X-Refers-To-Page"]) if "X-Refers-To-Page" in head else None, head["WARC-Record-ID"], head["WARC-Target-URI"]
+
+
 def _archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _READ.split(", ")]
     kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in _READ.split(", ")]
     for batch in batches:
-        for content in batch.column(0):
-            rows = []
-            for head, block in read_warc(unpacked(content.as_py())):
-                kind = head["WARC-Type"]
-                if kind == "warcinfo":
-                    continue
-                digest, length = head["WARC-Payload-Digest"].split(":", 1)[1], int(head["X-Payload-Length"])
-                if kind in ("response", "resource"):
-                    payload = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else block
-                    if hashlib.sha256(payload).hexdigest() != digest or len(payload) != length:
-                        raise ValueError(f"the payload of {head['WARC-Record-ID']} isn't the one that was written")
-                rows.append((int(head["X-Page"]) if "X-Page" in head else None, length, digest, kind, int(head["X-Refers-To-Page"]) if "X-Refers-To-Page" in head else None, head["WARC-Record-ID"], head["WARC-Target-URI"]))
-            yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+        for file, content in zip(batch.column(0), batch.column(1), strict=True):
+            found = _of_archive(file.as_py(), content.as_py())
+            while rows := list(itertools.islice(found, 4096)):
+                yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
 def _files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    """(path, content) of the files; content is null for those that tasks open themselves."""
     files = spark.read.format("binaryFile")
-    return (files.option("pathGlobFilter", glob) if glob else files).load(path).select("path", "content")
+    files = (files.option("pathGlobFilter", glob) if glob else files).load(path)
+    large = files.filter(F.col("length") > IN_MEMORY).select("path", F.lit(None).cast("binary").alias("content"))
+    return files.filter(F.col("length") <= IN_MEMORY).select("path", "content").union(large)
 
 
-def read_arcs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def read_arcs(spark: SparkSession, path: str, glob: str | None = None, *, aside: bool = False) -> DataFrame:
     """A row for each record of the ARC files under path, of either version, plain or gzipped: where it is and its parts.
 
     page_id is the id that write_arcs has put into the record (named tells whether there is one). Records of the file itself have
-    the kind warcinfo. A file that breaks off, or whose lengths don't hold, is an error. Empty files have no records.
+    the kind warcinfo. A file that breaks off, or whose lengths don't hold, is an error; with aside, the records before the break
+    are there and a row of the kind broken has the reason as content_type. Empty files have no records.
     """
-    return _files(spark, path, glob).mapInArrow(_arc_records, _RECORDS)
+    return _files(spark, path, glob).mapInArrow(partial(_arc_records, aside=aside), _RECORDS)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record but warcinfo of the gzipped WARC files under path; files may have many gzip members."""
-    return _files(spark, path, "*.gz").select("content").mapInArrow(_archived, _READ)
-
-
-def _written(rows: DataFrame, path: str, line_end: str, records: int) -> None:
-    """Binary values as gzipped files: the text writer puts out the bytes of a string as they are."""
-    rows.select(F.col("value").cast("string")).write.option("compression", "gzip").option("lineSep", line_end).option("maxRecordsPerFile", records).text(path)
+    return _files(spark, path, "*.gz").mapInArrow(_archived, _READ)
 
 
-def _records_of_file(mean: float | None) -> int:
-    return max(2, min(RECORDS, int(FILE_BYTES // max(mean or 1, 1))))
+def _written(files: DataFrame, path: str, line_end: str) -> None:
+    """A gzipped file for each binary value: the text writer puts out the bytes of a string as they are."""
+    files.select(F.col("value").cast("string")).write.option("compression", "gzip").option("lineSep", line_end).option("maxRecordsPerFile", 1).text(path)
 
 
-def write_arcs(pages: DataFrame, path: str, *, date: str = "20240101000000", records: int | None = None) -> None:
+def write_arcs(pages: DataFrame, path: str, *, date: str = "20240101000000", file_bytes: int = FILE_BYTES, records: int | None = None) -> None:
     """The rows of pages (page_id, url, html as text or bytes) as records of gzipped ARC files of both versions under path.
 
-    Null html is an empty payload, a null url urn:none. An empty table makes no records.
+    A file has at most file_bytes bytes before it is compressed, or one record, and at most `records` records, its own counted. Null html is an
+    empty payload, a null url urn:none. An empty table makes no records.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    records = records or _records_of_file(pages.agg(F.avg(F.octet_length("html"))).first()[0])
-    _written(pages.mapInArrow(partial(_arc_rows, date=date, records=records), "value binary"), path, "\n", records)
+    _written(pages.mapInArrow(partial(_arc_rows, date=date, file_bytes=file_bytes, records=records), "value binary"), path, "\n")
 
 
-def convert_arcs(spark: SparkSession, arcs: str, path: str, *, glob: str | None = None, records: int | None = None) -> None:
-    """WARC files under path from the ARC files under arcs, a record for each but the files' own.
+def convert_arcs(spark: SparkSession, arcs: str, path: str, *, glob: str | None = None, broken: str | None = None, file_bytes: int = FILE_BYTES, records: int | None = None) -> None:
+    """WARC files under path from the ARC files under arcs, a record for each but the files' own; their sizes as in write_arcs.
 
     Of equal payloads of LEAST_PAYLOAD bytes or more the records with the least page_id are as they were and the others revisits
     of it; a null page_id is never the least if there is another. Repeated records of the least page_id all stay. Records of files
-    that weren't made by write_arcs get an id by file and place.
+    that weren't made by write_arcs get an id by file and place. A damaged file fails the job; with the folder `broken`, its records before
+    the damage are converted, and (file, records, error) of each such file, records as many as were whole, its own counted, is written there as Parquet; without any, a table without rows.
     """
-    found = read_arcs(spark, arcs, glob).filter("kind != 'warcinfo'")
+    found = read_arcs(spark, arcs, glob, aside=broken is not None).filter("kind != 'warcinfo'")
     own = F.when(F.col("named"), F.col("page_id")).otherwise(F.shiftrightunsigned(F.xxhash64("file", "place"), 1))
-    found = found.select(own.alias("page_id"), F.sha2("payload", 256).alias("digest"), *Record._fields)
-    small = found.select("page_id", "digest", F.length("payload").alias("n"))
-    first = small.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("places"), F.max("n").alias("n"))
+    damaged = F.col("kind") == BROKEN
+    found = found.select("file", "place", own.alias("page_id"), F.sha2("payload", 256).alias("digest"), *Record._fields)
+    # A row for each payload, and one for each damaged file, in one pass.
+    failed = F.when(damaged, F.struct("file", "place", F.col("content_type").alias("error"))).alias("failed")
+    small = found.select("page_id", "digest", failed, F.length("payload").alias("n"))
+    first = small.groupBy("digest", "failed").agg(F.min("page_id").alias("first_page"), F.count("*").alias("places"), F.max("n").alias("n"))
     first = store.stored(first, "payloads")
-    records = records or _records_of_file(first.agg(F.sum(F.col("n") * F.col("places")) / F.sum("places")).first()[0])
+    if broken is not None:
+        first.filter("failed is not null").select("failed.file", F.col("failed.place").alias("records"), "failed.error").write.parquet(broken)
     again = first.filter(F.col("n") >= LEAST_PAYLOAD).filter("places > 1 and first_page is not null").select("digest", "first_page")
-    joined = found.join(store.side(again, MOST_BROADCAST), "digest", "left")
-    _written(joined.mapInArrow(partial(_serialised, records=records), "value binary"), path, "\r\n", records)
+    joined = found.filter(~damaged).drop("file", "place").join(store.side(again, MOST_BROADCAST), "digest", "left")
+    _written(joined.mapInArrow(partial(_serialised, file_bytes=file_bytes, records=records), "value binary"), path, "\r\n")
 
 
 def archived(pages: DataFrame, **options) -> DataFrame:
@@ -317,5 +411,5 @@ def archived(pages: DataFrame, **options) -> DataFrame:
     spark = pages.sparkSession
     arcs, path = store.place(spark, "arc"), store.place(spark, "warc")
     write_arcs(pages, arcs, **options)
-    convert_arcs(spark, arcs, path, records=options.get("records"))
+    convert_arcs(spark, arcs, path, **{k: v for k, v in options.items() if k in ("file_bytes", "records")})
     return read_archives(spark, path)
