@@ -41,6 +41,8 @@ LEAST_PAYLOAD = 100
 FILE_BYTES, TOGETHER, MOST_BROADCAST = 32 << 20, 64, 100_000
 #: Files up to this are read by Spark; a task opens larger ones itself and reads them as they come. Bytes of a read, and of a header line at most.
 IN_MEMORY, READ_BYTES, LINE_BYTES = 64 << 20, 1 << 20, 1 << 20
+#: How hard archives are compressed.
+LEVEL = "DEFAULT_COMPRESSION"
 #: The protocol header under which pages keep their id in an archive; of a null id it is -.
 PAGE = b"X-Page: "
 
@@ -367,22 +369,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "*.gz").mapInArrow(_archived, _READ)
 
 
-def _written(files: DataFrame, path: str, line_end: str) -> None:
+def _written(files: DataFrame, path: str, line_end: str, level: str) -> None:
     """A gzipped file for each binary value: the text writer puts out the bytes of a string as they are."""
-    files.select(F.col("value").cast("string")).write.option("compression", "gzip").option("lineSep", line_end).option("maxRecordsPerFile", 1).text(path)
+    files.select(F.col("value").cast("string")).write.options(compression="gzip", lineSep=line_end, maxRecordsPerFile=1).option("zlib.compress.level", level).text(path)
 
 
-def write_arcs(pages: DataFrame, path: str, *, date: str = "20240101000000", file_bytes: int = FILE_BYTES, records: int | None = None) -> None:
+def write_arcs(pages: DataFrame, path: str, *, date: str = "20240101000000", file_bytes: int = FILE_BYTES, records: int | None = None, level: str = LEVEL) -> None:
     """The rows of pages (page_id, url, html as text or bytes) as records of gzipped ARC files of both versions under path.
 
-    A file has at most file_bytes bytes before it is compressed, or one record, and at most `records` records, its own counted. Null html is an
-    empty payload, a null url urn:none. An empty table makes no records.
+    A file has at most file_bytes bytes before it is compressed, or one record, and at most `records` records, its own counted; level is
+    that of Hadoop's codec. Null html is an empty payload, a null url urn:none. An empty table makes no records.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    _written(pages.mapInArrow(partial(_arc_rows, date=date, file_bytes=file_bytes, records=records), "value binary"), path, "\n")
+    _written(pages.mapInArrow(partial(_arc_rows, date=date, file_bytes=file_bytes, records=records), "value binary"), path, "\n", level)
 
 
-def convert_arcs(spark: SparkSession, arcs: str, path: str, *, glob: str | None = None, broken: str | None = None, file_bytes: int = FILE_BYTES, records: int | None = None) -> None:
+def convert_arcs(spark: SparkSession, arcs: str, path: str, *, glob: str | None = None, broken: str | None = None, file_bytes: int = FILE_BYTES, records: int | None = None, level: str = LEVEL) -> None:
     """WARC files under path from the ARC files under arcs, a record for each but the files' own; their sizes as in write_arcs.
 
     Of equal payloads of LEAST_PAYLOAD bytes or more the records with the least page_id are as they were and the others revisits
@@ -403,13 +405,13 @@ def convert_arcs(spark: SparkSession, arcs: str, path: str, *, glob: str | None
         first.filter("failed is not null").select("failed.file", F.col("failed.place").alias("records"), "failed.error").write.parquet(broken)
     again = first.filter(F.col("n") >= LEAST_PAYLOAD).filter("places > 1 and first_page is not null").select("digest", "first_page")
     joined = found.filter(~damaged).drop("file", "place").join(store.side(again, MOST_BROADCAST), "digest", "left")
-    _written(joined.mapInArrow(partial(_serialised, file_bytes=file_bytes, records=records), "value binary"), path, "\r\n")
+    _written(joined.mapInArrow(partial(_serialised, file_bytes=file_bytes, records=records), "value binary"), path, "\r\n", level)
 
 
 def archived(pages: DataFrame, **options) -> DataFrame:
     """What reading the archives of pages back gives: pages are written as ARC files to the shared folder, and converted from there."""
     spark = pages.sparkSession
     arcs, path = store.place(spark, "arc"), store.place(spark, "warc")
-    write_arcs(pages, arcs, **options)
+    write_arcs(pages, arcs, level="BEST_SPEED", **options)  # they are read twice and no more
     convert_arcs(spark, arcs, path, **{k: v for k, v in options.items() if k in ("file_bytes", "records")})
     return read_archives(spark, path)
