@@ -50,8 +50,8 @@ def b1_b2_b13_to_df(spark, sf_dir):
 
 @query(f'WITH {V.PARTICLES} SELECT iteration, species, "row", id, position_z FROM p WHERE "row" >= 10 AND "row" < 110 AND iteration IN (1995, 1996)')
 def b3_b4_row_range(spark, sf_dir):
-    p = particles.iterations(V.numbered_particles(spark, sf_dir), 1995, 1996)
-    return particles.rows_between(p, 10, 110).select("iteration", "species", "row", "id", "position_z")
+    p = V.numbered_particles(spark, sf_dir, 1995, 1996)
+    return particles.rows_between(particles.iterations(p, 1995, 1996), 10, 110).select("iteration", "species", "row", "id", "position_z")
 
 
 @query(f'WITH {V.PARTICLES}, n AS (SELECT *, count(*) OVER (PARTITION BY iteration, species) n FROM p) SELECT iteration, species, "row", id FROM n WHERE "row" < n // 40')
@@ -484,11 +484,11 @@ def i4_i5_stream_running_max(spark, sf_dir):
     source, out, state = (scratch(spark, n) for n in ("late-steps", "late", "late-state"))
     log = V.log(spark, sf_dir).select("series", "write_seq", "iteration")
     lo, hi = log.agg(F.min("write_seq"), F.max("write_seq")).first()
-    for k in range(4):  # a file for each quarter of the log, one after another: the stream takes one a batch
+    for k in range(4):  # a folder for each quarter of the log, one after another, and as many files as Spark makes of it
         part = F.floor((F.col("write_seq") - lo) * 4 / (hi - lo + 1))
-        log.filter(part == k).coalesce(1).write.mode("append").parquet(source)
-    stream = steps.read_steps(spark, source, "series string, write_seq long, iteration long", 1)
-    steps.running_max_capture(stream, out, state).awaitTermination()
+        log.filter(part == k).write.parquet(f"{source}/{k}")
+        stream = steps.read_steps(spark, f"{source}/*", "series string, write_seq long, iteration long", 1 << 20)
+        steps.running_max_capture(stream, out, state).awaitTermination()
     return spark.read.schema("series string, write_seq long, iteration long").parquet(f"{out}/steps").select("series", "write_seq", "iteration")
 
 

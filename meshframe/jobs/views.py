@@ -23,8 +23,10 @@ def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def numbered_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = numbered(particles(spark, sf_dir), ["iteration", "species"], _ALL)
+def numbered_particles(spark: SparkSession, sf_dir: str, *iterations: int) -> DataFrame:
+    """Particles with their row in the species of their iteration; of these iterations only, if any are named, as others don't count for the numbers."""
+    own = particles(spark, sf_dir)
+    found = numbered(own.filter(F.col("iteration").isin(*iterations)) if iterations else own, ["iteration", "species"], _ALL)
     return found.select("iteration", "species", "row", "id", "position_z", "momentum_z", "weighting", "charge")
 
 

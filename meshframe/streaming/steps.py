@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,35 +36,12 @@ def split_defective(stream: DataFrame, good) -> tuple[DataFrame, DataFrame]:
     return stream.filter(F.coalesce(good, F.lit(False))), stream.filter(~F.coalesce(good, F.lit(False)))
 
 
-def running_max_capture(stream: DataFrame, path: str, checkpoint: str, key: str = "series"):
-    """Starts a query that writes the steps (key, write_seq, iteration) whose iteration is greater than all earlier ones of their series to path/steps, batch by batch, and ends when all is read.
-
-    A batch is compared by ranges of write_seq, so that a series with most of the log is many tasks; the state is one row for each series, a
-    table for each batch, of which the last two are kept; a batch that runs again writes the same.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch = batch.select(key, "write_seq", "iteration").filter("iteration is not null").persist()
-        spark = batch.sparkSession
-        found = earlier_max(batch, [key], ["write_seq"], "iteration", "__seen")
-        state = batch.groupBy(key).agg(F.max("iteration").alias("__most"))
-        if number:
-            before = spark.read.schema(state.schema).parquet(f"{path}/state/batch={number - 1}")
-            found = found.join(before, key, "left")
-            state = state.unionByName(before).groupBy(key).agg(F.max("__most").alias("__most"))
-        else:
-            found = found.withColumn("__most", F.lit(None).cast("long"))
-        floor = F.greatest("__seen", "__most")
-        found.filter(floor.isNull() | (F.col("iteration") > floor)).drop("__seen", "__most").write.mode("overwrite").parquet(f"{path}/steps/batch={number}")
-        state.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
-        _remove(spark, f"{path}/state/batch={number - 2}")
-        batch.unpersist()
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+#: Parts of the state of a capture; a batch writes those anew whose series it has.
+STATE_PARTS = 64
 
 
-#: Parts of the table of closed iterations; a batch writes those anew whose series it has.
-STATE_PARTS = 64
+def _part(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(STATE_PARTS)).cast("int").alias("part")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -72,18 +49,70 @@ def _remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def _versions(spark: SparkSession, path: str, before: int) -> dict[int, list[int]]:
+def _versions(spark: SparkSession, path: str, before: int, levels: tuple[str, str] = ("part", "batch")) -> dict[int, list[int]]:
     """The batches before this one that wrote each part of the state, oldest first; from folder names."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = root.getFileSystem(spark._jsc.hadoopConfiguration())
     found: dict[int, list[int]] = {}
-    for batch in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part=*/batch=*")) or []:
-        part, number = (int(n.split("=")[1]) for n in batch.getPath().toString().split("/")[-2:])
-        if number < before:
-            found.setdefault(part, []).append(number)
+    for folder in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path("/".join((path, *(f"{level}=*" for level in levels))))) or []:
+        own = {k: int(v) for k, v in (n.split("=") for n in folder.getPath().toString().split("/")[-2:])}
+        if own["batch"] < before:
+            found.setdefault(own["part"], []).append(own["batch"])
     return {p: sorted(v) for p, v in found.items()}
 
 
+class _State:
+    """The parts of a state on storage that the series of a batch are in. The version before is kept until the next one is written."""
+
+    def __init__(self, batch: DataFrame, path: str, number: int, key: str, columns: str, levels: tuple[str, str] = ("part", "batch")):
+        self.spark, self.path, self.number, self.key, self.levels = batch.sparkSession, path, number, key, levels
+        self.schema = f"{key} {batch.schema[key].dataType.simpleString()}, {columns}"
+        self.versions = _versions(self.spark, path, number, levels)
+        self.touched = sorted(r[0] for r in batch.select(_part(key)).distinct().collect())  # at most STATE_PARTS
+
+    def _folder(self, part: int, batch: int) -> str:
+        return "/".join((self.path, *(f"{level}={dict(part=part, batch=batch)[level]}" for level in self.levels)))
+
+    def before(self) -> DataFrame:
+        known = [self._folder(p, self.versions[p][-1]) for p in self.touched if p in self.versions]
+        return self.spark.read.schema(self.schema).parquet(*known) if known else self.spark.createDataFrame([], self.schema)
+
+    def replace(self, state: DataFrame) -> None:
+        """Writes the parts anew, each as one file, and removes the versions before the last."""
+        state = state.select(_part(self.key), F.lit(self.number).alias("batch"), *state.columns)
+        state.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.levels).parquet(self.path)
+        old = [(p, v) for p in self.touched for v in self.versions.get(p, [])[:-1]]
+        for p, v in old:
+            _remove(self.spark, self._folder(p, v))
+        if self.levels[0] == "batch":
+            left = {v for versions in _versions(self.spark, self.path, self.number + 1, self.levels).values() for v in versions}
+            for v in {v for _, v in old} - left:
+                _remove(self.spark, f"{self.path}/batch={v}")
+
+
+def running_max_capture(stream: DataFrame, path: str, checkpoint: str, key: str = "series"):
+    """Starts a query that writes the steps (key, write_seq, iteration) whose iteration is greater than all earlier ones of their series to path/steps, batch by batch, and ends when all is read.
+
+    A batch is compared by ranges of write_seq, so that a series with most of the log is many tasks. The state is the greatest iteration of each series, in
+    parts of which a batch reads and writes only those that its series are in; a batch that runs again does the same. Steps without a
+    series are one series; those without an iteration are left out.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.select(key, "write_seq", "iteration").filter("iteration is not null").persist()
+        state = _State(batch, f"{path}/state", number, key, "most long", ("batch", "part"))
+        before = state.before()
+        found = earlier_max(batch, [key], ["write_seq"], "iteration", "__seen")
+        found = found.join(before.select(F.col(key).alias("__key"), "most"), F.col(key).eqNullSafe(F.col("__key")), "left")
+        floor = F.greatest("__seen", "most")
+        found.filter(floor.isNull() | (F.col("iteration") > floor)).drop("__seen", "__key", "most").write.mode("overwrite").parquet(f"{path}/steps/batch={number}")
+        new = batch.groupBy(key).agg(F.max("iteration").cast("long").alias("most"))
+        state.replace(before.unionByName(new).groupBy(key).agg(F.max("most").alias("most")))
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def closed_capture(stream: DataFrame, path: str, checkpoint: str, key: str = "series", horizon: int | None = None):
     """Starts a query that writes each iteration of a series once, and steps that open a closed one again aside; it ends when all is read.
 
@@ -99,13 +128,9 @@ def closed_capture(stream: DataFrame, path: str, checkpoint: str, key: str = "se
     lowest = -(1 << 62)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         batch = batch.filter(F.col(key).isNotNull() & F.col("iteration").isNotNull()).withColumn("__row", F.struct(*batch.columns)).persist()
-        part = F.pmod(F.xxhash64(key), F.lit(STATE_PARTS)).cast("int").alias("part")
-        versions, touched = _versions(spark, f"{path}/closed", number), sorted(r[0] for r in batch.select(part).distinct().collect())
-        known = [f"{path}/closed/part={p}/batch={versions[p][-1]}" for p in touched if p in versions]
-        schema = f"{key} {batch.schema[key].dataType.simpleString()}, lo long, hi long"
-        closed = spark.read.schema(schema).parquet(*known) if known else spark.createDataFrame([], schema)
+        parts = _State(batch, f"{path}/closed", number, key, "lo long, hi long")
+        closed = parts.before()
         first = batch.groupBy(key, "iteration").agg(F.min_by("__row", "write_seq").alias("__row"))
         points = first.withColumn("l_lo", F.array(F.col("iteration").cast("long")))
         again = meeting(points, closed.select(key, F.array("lo").alias("r_lo"), F.array(F.col("hi") + 1).alias("r_hi")), 1, [key], points=True).select(key, "iteration")
@@ -123,11 +148,7 @@ def closed_capture(stream: DataFrame, path: str, checkpoint: str, key: str = "se
             state = state.join(floor, key)
             above = state.filter("hi >= __floor").select(key, F.greatest("lo", "__floor").alias("lo"), "hi")
             state = above.unionByName(floor.select(key, F.lit(lowest).alias("lo"), (F.col("__floor") - 1).alias("hi")))
-        state = state.select(part, F.lit(number).alias("batch"), key, "lo", "hi")
-        state.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(f"{path}/closed")
-        for p in touched:
-            for v in versions.get(p, [])[:-1]:
-                _remove(spark, f"{path}/closed/part={p}/batch={v}")
+        parts.replace(state.select(key, "lo", "hi"))
         fresh.unpersist()
         batch.unpersist()
 

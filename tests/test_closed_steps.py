@@ -74,3 +74,27 @@ def test_sums_of_fractions_stay(spark):
 def test_a_pipe_of_attributes_names_the_version(spark, tmp_path):
     with pytest.raises(ValueError):
         series.pipe({"attributes": spark.createDataFrame([], "iteration long, path string, node_type string, name string, dtype string, value string")}, str(tmp_path))
+
+
+def test_the_running_maximum_rewrites_only_the_series_of_a_batch(spark, tmp_path):
+    """Series that a batch doesn't have keep their files; steps without a series are one series, over batches too."""
+    rng, source, out, check = random.Random(4), *(str(tmp_path / x) for x in ("in", "out", "check"))
+    rows, names = [], [None, *(f"s{i}" for i in range(12))]
+    for k in range(5):
+        own = names if k < 2 else names[k : k + 2]
+        batch = [(rng.choice(own), k * 100 + i, rng.choice([None, *range(k * 5, k * 5 + 30)])) for i in range(60)]
+        rows += batch
+        spark.createDataFrame(batch, "series string, write_seq long, iteration long").write.parquet(f"{source}/{k}")
+        before = {d: os.stat(d).st_mtime_ns for d, _, files in os.walk(f"{out}/state") if files and "part=" in d}
+        steps.running_max_capture(steps.read_steps(spark, f"{source}/*", "series string, write_seq long, iteration long", 99), out, check).awaitTermination()
+        after = {d: os.stat(d).st_mtime_ns for d, _, files in os.walk(f"{out}/state") if files and "part=" in d}
+        assert all(after[d] == t for d, t in before.items() if d in after) and len([d for d in after if f"batch={k}/" in d]) <= len(own)
+        versions = collections.Counter(d.split("part=")[1] for d in after)
+        assert max(versions.values()) <= 2 and len(versions) >= len(versions.keys() & {d.split("part=")[1] for d in before})
+    most, want = {}, []
+    for s, seq, i in rows:
+        if i is not None and (s not in most or i > most[s]):
+            most[s] = i
+            want.append((s, seq, i))
+    got = [tuple(r) for r in spark.read.parquet(f"{out}/steps").select("series", "write_seq", "iteration").collect()]
+    assert sorted(got, key=lambda r: r[1]) == want
