@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one on this machine only where the session names none and runs here alone (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        jsc = spark.sparkContext._jsc.sc()
-        known = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
-    if not known:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        known = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
+from meshframe.sources.scratch import folder, shared_dir
 
 
 def place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder of this application in the shared one."""
+    return folder(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
