@@ -5,7 +5,8 @@ tokens are. Tokens are ordered by rarity, counted over all documents, so the rar
 only its places in the documents are looked at. A token's offset in the window and its place bound where the
 window can start (it must lie inside the text), and the words there are compared one by one.
 
-Items are taken in blocks of bounded size, each broadcast; documents are never shuffled.
+Items are taken in blocks of bounded size, each broadcast; documents are never shuffled. A benchmark of more than a few blocks
+is joined by tables instead, with the same rows (leak_join): passes over the documents don't grow with it.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.llm import store
+from meshframe.llm import leak_join, store
 from meshframe.llm.words import ALNUM, chunks, grams, texts, word_hashes
 
 WINDOW = 10
 SHINGLE = 5
 #: Bytes of item texts of a block; its index takes about 40 times that.
 BLOCK_BYTES = 2_000_000
+#: Blocks that are broadcast, each for two passes over the documents; a benchmark of more is joined.
+MOST_BLOCKS = 2
 _BITS = 20
 
 
@@ -145,7 +148,7 @@ def _probe(batches: Iterator[pa.RecordBatch], block, names: list[str]) -> Iterat
         yield pa.RecordBatch.from_pydict({**{c: part.column(part.schema.get_field_index(c)) for c in names}, "spans": pa.array([x or [] for x in spans], kind), "items": pa.array([x or [] for x in named], pa.list_(pa.string())), "n_words": pa.array(np.diff(at))})
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """The columns of docs (with text), then n_words, n_hit, items (the ids as sorted strings) and spans of hit words.
 
     benchmark has item_id and text. Windows are runs of `window` words of an item, or all its words if it has
@@ -158,6 +161,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, b
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
     spark, size = docs.sparkSession, items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // block_bytes + 1
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    if n > most_blocks:
+        out = leak_join.with_leaks(docs, leak_join.leaking_texts(docs, items, window=window, shingle=SHINGLE))
+        return store.named(out.select(*docs.columns, "n_words", hit.alias("n_hit"), "items", "spans"), names)
     out = docs.selectExpr("*", "cast(array() as array<struct<start:long,stop:long>>) spans", "cast(array() as array<string>) items", "0L n_words")
     schema = store.extended(docs, _FOUND)
     for i in range(n):
@@ -168,5 +175,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, b
         counts = {(r[0], r[1]): r[2] for r in counted.groupBy("size", "token").agg(F.sum("n")).collect()}
         probed = spark.sparkContext.broadcast((block.index(counts), block.words, block.items))
         out = out.mapInArrow(partial(_probe, block=probed, names=docs.columns), schema)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
     return store.named(out.select(*docs.columns, "n_words", hit.alias("n_hit"), "items", "spans"), names)

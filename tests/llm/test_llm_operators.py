@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from meshframe.llm import ann, bpe, chat, html, jaccard, quality, sampling, shared, sketch, toxicity, warc  # noqa: E402
+from meshframe.llm import ann, bpe, chat, html, jaccard, leak_join, quality, sampling, shared, sketch, toxicity, warc  # noqa: E402
 from meshframe.llm.components import components  # noqa: E402
 from meshframe.llm.decontaminate import find_leaks  # noqa: E402
 from meshframe.llm.jaccard import similar_components  # noqa: E402
@@ -200,8 +200,10 @@ def test_leaks_equal_brute_force(spark):
     words = lambda t: ALNUM.findall((t or "").translate(LOWER))
     df = spark.createDataFrame([(i, t, -1) for i, t in enumerate(docs)], "doc_id long, text string, n_hit int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block_bytes in (2_000_000, 300):
-        got = {r["doc_id"]: r for r in find_leaks(df, bench, block_bytes=block_bytes).collect()}
+    for block_bytes, most_blocks in ((2_000_000, 1), (300, 1000), (300, 1)):
+        rows = find_leaks(df, bench, block_bytes=block_bytes, most_blocks=most_blocks).collect()
+        got = {r["doc_id"]: r for r in rows}
+        assert len(rows) == len(docs)
         for i, t in enumerate(docs):
             w, hit, named = words(t), set(), set()
             for k, body in items:
@@ -212,8 +214,23 @@ def test_leaks_equal_brute_force(spark):
                     if tuple(w[s : s + n]) in windows:
                         hit.update(range(s, s + n))
                         named.add("" if k is None else str(k))
-            assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (len(w), len(hit), sorted(named)), (i, block_bytes)
+            assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (len(w), len(hit), sorted(named)), (i, block_bytes, most_blocks)
+            assert {x for a, b in got[i]["spans"] for x in range(a, b)} == hit and all(a[1] < b[0] for a, b in zip(got[i]["spans"], got[i]["spans"][1:]))
     assert find_leaks(df, bench.limit(0)).filter("n_hit > 0").count() == 0 and find_leaks(df.limit(0), bench).count() == 0
+    assert find_leaks(df, bench.limit(0), most_blocks=0).filter("n_hit > 0").count() == 0 and find_leaks(df.limit(0), bench, most_blocks=0).count() == 0
+
+
+def test_leaks_of_hot_tokens_and_names(spark, monkeypatch):
+    """The joined way with tokens in more places than one task takes, copies, items that share windows, and odd names; both ways give the same rows."""
+    monkeypatch.setattr(leak_join, "SPOKES", 3)
+    rng = random.Random(12)
+    passage = prose(rng, 14)
+    docs = [(f"{passage} {prose(rng, 5)}", "k")] * 9 + [(f"{prose(rng, 7)} {passage}, {passage}", "k") for _ in range(12)] + [("tick " * 40, "k"), (passage.upper(), "k"), (None, None), ("", "")]
+    df = spark.createDataFrame(docs, "text string, `a.b c` string").withColumn("text_key", F.lit("mine")).repartition(4)
+    bench = spark.createDataFrame([("x", passage), ("y", f"{prose(rng, 3)} {passage}"), ("z", "tick tick"), ("x", "tick " * 12), ("w", prose(rng, 400))], "item_id string, text string")
+    ways = [sorted((r["text"] or "", r["n_words"], r["n_hit"], r["items"], [tuple(x) for x in r["spans"]]) for r in find_leaks(df, bench, most_blocks=n).collect()) for n in (0, 1)]
+    assert ways[0] == ways[1] and len(ways[0]) == len(docs) and sum(r[2] > 0 for r in ways[0]) == 23
+    assert {"a.b c", "text_key"} <= set(find_leaks(df, bench, most_blocks=0).columns)
 
 
 # Byte-level BPE -----------------------------------------------------------------------------------
