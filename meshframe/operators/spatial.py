@@ -3,7 +3,8 @@
 Along each axis a box has a level: the least power of two (times a step) that its extent fits in. A pair of boxes meets in the grid whose cells
 have, along each axis, the larger of the two levels: there each of them lies in two cells an axis at most, however large or thin it is. So every box is dealt
 into a few cells for each combination of levels on the other side, both sides join on equality, and a pair is kept in the cell
-of the lower corner of its intersection, which is just one. Nothing is broadcast and no side is held whole.
+of the lower corner of its intersection, which is just one. Nothing is broadcast and no side is held whole: the join asks for a sorted merge, as
+Spark's guess of a dealt side is that of the file it comes from, before its rows are dealt.
 """
 
 from __future__ import annotations
@@ -34,15 +35,20 @@ def _levels(df: DataFrame, side: str, rank: int) -> tuple[list[tuple[int, ...]],
         step *= 2
 
 
-def _dealt(df: DataFrame, side: str, rank: int, step: int | None, others: list[tuple[int, ...]]) -> DataFrame:
-    """A row for each cell and each combination of levels of the other side; step None: points."""
+def _dealt(df: DataFrame, side: str, rank: int, step: int | None, mine: list[tuple[int, ...]], others: list[tuple[int, ...]]) -> DataFrame:
+    """A row for each cell and each combination of levels of the other side, with the number of the pair of combinations; step None: points."""
+    level = lambda o: F.array(*map(F.lit, o))
     own = [F.lit(POINT) if step is None else _level(F.get(f"{side}_lo", d), F.get(f"{side}_hi", d), step) for d in range(rank)]
-    other = F.explode(F.array(*(F.array(*map(F.lit, o)) for o in others)))
-    df = df.withColumn(f"{side}_own", F.array(*own)).withColumn(f"{side}_other", other)
+    df = df.withColumn(f"{side}_own", F.array(*own)).withColumn("__at", (F.array_position(F.array(*map(level, mine)), F.col(f"{side}_own")) - 1).cast("int"))
+    pair = lambda n: F.col("__at") * len(others) + n if side == "l" else F.col("__at") + n * len(mine)
+    df = df.withColumn("__other", F.explode(F.array(*(F.struct(level(o).alias("own"), pair(n).alias("pair")) for n, o in enumerate(others)))))
+    df = df.withColumns({f"{side}_other": F.col("__other.own"), f"{side}_pair": F.col("__other.pair")}).drop("__other", "__at")
     for d in range(rank):
         width = F.pow(F.lit(2.0), F.greatest(F.get(f"{side}_own", d), F.get(f"{side}_other", d)))
-        cell = lambda edge: F.floor(F.get(edge, d).cast("double") / width)  # noqa: B023, E731
-        df = df.withColumn(f"{side}_cell{d}", cell(f"{side}_lo") if step is None else F.explode(F.sequence(cell(f"{side}_lo"), cell(f"{side}_hi"))))
+        first = F.floor(F.get(f"{side}_lo", d).cast("double") / width)
+        # a box that ends where a cell begins isn't in that cell
+        last = F.greatest(first, F.ceil(F.get(f"{side}_hi", d).cast("double") / width) - 1)
+        df = df.withColumn(f"{side}_cell{d}", first if step is None else F.explode(F.sequence(first, last)))
     return df
 
 
@@ -61,18 +67,18 @@ def meeting(left: DataFrame, right: DataFrame, rank: int, keys: Sequence[str] =
     r_levels, r_step = _levels(sides["r"], "r", rank)
     l_levels, l_step = ([(POINT,) * rank], None) if points else _levels(sides["l"], "l", rank)
     none = [(0,) * rank]
-    l = _dealt(sides["l"], "l", rank, l_step, r_levels or none)  # noqa: E741
-    r = _dealt(sides["r"], "r", rank, r_step, l_levels or none)
+    l = _dealt(sides["l"], "l", rank, l_step, l_levels or none, r_levels or none)  # noqa: E741
+    r = _dealt(sides["r"], "r", rank, r_step, r_levels or none, l_levels or none).drop("r_own", "r_other")
     r = r.select(*(F.col(k).alias(f"__r_{k}") for k in keys), *(c for c in r.columns if c not in keys))
-    on = (F.col("l_own") == F.col("r_other")) & (F.col("l_other") == F.col("r_own"))
+    on = F.col("l_pair") == F.col("r_pair")
     for d in range(rank):
         on = on & (F.col(f"l_cell{d}") == F.col(f"r_cell{d}"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__r_{k}"))
-    both = l.join(r, on)
+    both = l.join(r.hint("merge"), on)
     for d in range(rank):
         lo, hi = F.get("l_lo", d), F.get("l_lo" if points else "l_hi", d)
         both = both.filter((lo < F.get("r_hi", d)) & (F.get("r_lo", d) <= hi if points else F.get("r_lo", d) < hi))
         corner = F.floor(F.greatest(lo, F.get("r_lo", d)).cast("double") / F.pow(F.lit(2.0), F.greatest(F.get("l_own", d), F.get("l_other", d))))
         both = both.filter(corner == F.col(f"l_cell{d}"))
-    return both.drop(*(f"{s}_{c}" for s in "lr" for c in ("own", "other", *(f"cell{d}" for d in range(rank)))), *(f"__r_{k}" for k in keys))
+    return both.drop(*(f"{s}_{c}" for s in "lr" for c in ("own", "other", "pair", *(f"cell{d}" for d in range(rank)))), *(f"__r_{k}" for k in keys))

@@ -181,3 +181,16 @@ def test_damaged_files_are_reported(spark, tmp_path):
         shutil.rmtree(f"{path}/iteration={k}")
     with pytest.raises(ValueError):
         tolerant.read(spark, path, deep=True)
+
+
+def broadcasts(df):
+    """Whether the plan of df, as it was chosen, holds a side whole."""
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() or "BroadcastNestedLoopJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boxes_meet_without_a_broadcast(spark):
+    side = lambda s: spark.range(50).select(F.lit("a").alias("key"), F.array("id").alias(f"{s}_lo"), F.array(F.col("id") + 4).alias(f"{s}_hi"))
+    found = spatial.meeting(side("l"), side("r"), 1, ["key"])
+    assert not broadcasts(found) and found.count() == 50 * 7 - 12
+    dealt = spatial._dealt(side("l").filter("l_lo[0] % 4 = 0"), "l", 1, 1, [(2,)], [(2,)])
+    assert [r["l_cell0"] for r in dealt.orderBy("l_cell0").collect()] == list(range(12 + 1))  # 0 to 48: each is in a single cell
