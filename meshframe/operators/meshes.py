@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from meshframe.functions.arrays import ravel
 from meshframe.functions.slicing import Region
+from meshframe.operators.spatial import meeting
+from meshframe.sources import scratch
 
 
 def index_columns(rank: int) -> list[str]:
@@ -153,17 +155,39 @@ def block_intensity(*arrays: str) -> Column:
     return out
 
 
+def _edges_inside(components: dict[str, DataFrame], rank: int, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, offset, extent, at): for each box of a block, a list for each axis of the edges of any chunk that are inside it, null for none.
+
+    The spans that blocks have along an axis are joined with the edges by cells that fit the spans, so that a block meets just the edges it is cut at.
+    """
+    boxes = None
+    for blocks in components.values():
+        own = blocks.filter(F.col(value).isNotNull()).select(*keys, F.col("offset").cast("array<bigint>").alias("offset"), F.col("extent").cast("array<bigint>").alias("extent"))
+        boxes = own if boxes is None else boxes.unionByName(own)
+    boxes = scratch.cut(boxes.dropna(subset=list(keys)).distinct())  # read for the levels, the edges and the spans
+    span = F.explode(F.array(*(F.struct(F.lit(d).alias("axis"), F.get("offset", d).alias("lo"), (F.get("offset", d) + F.get("extent", d)).alias("hi")) for d in range(rank))))
+    spans = boxes.select(*keys, span.alias("__s")).select(*keys, "__s.*").distinct()
+    edges = spans.select(*keys, "axis", F.explode(F.array("lo", "hi")).alias("at")).distinct().withColumn("l_lo", F.array("at"))
+    inner = meeting(edges, spans.withColumns({"r_lo": F.array(F.col("lo") + 1), "r_hi": F.array("hi")}), 1, [*keys, "axis"], points=True)
+    lists = scratch.cut(inner.groupBy(*keys, "axis", "lo", "hi").agg(F.sort_array(F.collect_list("at")).alias("at")))
+    for d in range(rank):
+        own = lists.filter(F.col("axis") == d).select(*keys, F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("at").alias(f"__at{d}"))
+        found = boxes.withColumns({"__lo": F.get("offset", d), "__hi": F.get("offset", d) + F.get("extent", d)})
+        boxes = found.join(own, [*keys, "__lo", "__hi"], "left").drop("__lo", "__hi")
+    return boxes.select(*keys, "offset", "extent", F.array(*(f"__at{d}" for d in range(rank))).alias("at"))
+
+
 def _cut(blocks: DataFrame, cuts: DataFrame, rank: int, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """The blocks cut at the places of cuts (keys, at: an array for each axis): (keys, offset, extent, out), each value once.
+    """The blocks cut at the places of cuts (keys, offset, extent, at: an array for each axis): (keys, offset, extent, out), each value once.
 
     Pieces are sliced inside the arrays, in the generator, so that no piece carries the block it is of.
     """
-    found = blocks.filter(F.col(value).isNotNull()).join(cuts, list(keys))
+    found = blocks.filter(F.col(value).isNotNull()).withColumns({c: F.col(c).cast("array<bigint>") for c in ("offset", "extent")}).join(cuts, [*keys, "offset", "extent"])
     pieces = F.array(F.struct(F.array().cast("array<bigint>").alias("o"), F.array().cast("array<bigint>").alias("e")))
     for d in range(rank):
         low, high = F.get("offset", d), F.get("offset", d) + F.get("extent", d)
-        inner = F.filter(F.get("at", d), lambda c: (c > low) & (c < high))  # noqa: B023
-        edges = F.array_sort(F.array_distinct(F.concat(F.array(low, high), inner)))
+        inner = F.coalesce(F.get("at", d), F.array().cast("array<bigint>"))
+        edges = F.array_distinct(F.concat(F.array(low), inner, F.array(high)))
         spans = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.struct(a.alias("o"), (b - a).alias("e")))
         pieces = F.flatten(F.transform(pieces, lambda p: F.transform(spans, lambda s: F.struct(F.concat(p["o"], F.array(s["o"])).alias("o"), F.concat(p["e"], F.array(s["e"])).alias("e")))))  # noqa: B023
 
@@ -188,15 +212,10 @@ def aligned_blocks(components: dict[str, DataFrame], rank: int, keys: Sequence[s
     """(keys, offset, extent, an array for each component) of components that are chunked in other ways, block by block: no row is a cell.
 
     All are cut at the edges that the chunks of any of them have along an axis, their common refinement, and joined by the offsets of
-    the pieces; each value is shuffled once. The edges are a list for each axis and key, far smaller than the data. Where one component has no value for a
+    the pieces; each value is shuffled twice, to meet the edges inside its block and to meet the other components. Where one component has no value for a
     piece of another, that is an error, as arrays of other lengths are.
     """
-    edges = [b.filter(F.col(value).isNotNull()).select(*keys, F.explode(F.array(*(F.struct(F.lit(d).alias("axis"), p.alias("at")) for d in range(rank) for p in (F.get("offset", d), F.get("offset", d) + F.get("extent", d))))).alias("__e")) for b in components.values()]
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.unionByName(e)
-    every = every.select(*keys, "__e.axis", "__e.at").distinct()
-    cuts = every.groupBy(*keys).agg(F.array(*(F.sort_array(F.collect_list(F.when(F.col("axis") == d, F.col("at")))) for d in range(rank))).alias("at"))
+    cuts = _edges_inside(components, rank, keys, value)
     out, on = None, [*keys, "offset", "extent"]
     for name, blocks in components.items():
         own = _cut(blocks, cuts, rank, keys, value, name)

@@ -33,6 +33,15 @@ def test_components_of_other_chunks_meet_block_by_block(spark):
         meshes.aligned_blocks({"x": tables["x"], "y": tables["y"].filter("offset[0] = 0")}, 3).collect()
 
 
+def test_blocks_meet_just_the_edges_inside_them(spark):
+    rows = lambda n, h: spark.createDataFrame([(0, [i, 0], [h, 2], [float(i + j // 2) for j in range(2 * h)]) for i in range(0, n, h)], BLOCK)
+    tables = {"x": rows(60, 1), "y": rows(60, 4), "z": rows(60, 60)}
+    cuts = meshes._edges_inside(tables, 2, ["iteration"], "values").collect()
+    assert sorted((r["extent"][0], len(r["at"][0] or ())) for r in cuts) == [(1, 0)] * 60 + [(4, 3)] * 15 + [(60, 59)]
+    got = meshes.aligned_blocks(tables, 2).collect()
+    assert len(got) == 60 and all(r["x"] == r["y"] == r["z"] == [float(r["offset"][0])] * 2 for r in got)
+
+
 def test_types_that_attributes_become(spark):
     rows = [("1", "INT"), ("300", "UINT"), ("-1", "LONG"), ('"c"', "CHAR"), ('"word"', "STRING"), ("true", "BOOL"), ("[1.5, -2.0]", "CDOUBLE"), ("[[1, 2], [3, 4]]", "VEC_CFLOAT"), ("[0, 7]", "VEC_INT"), ("[true, false]", "VEC_BOOL"), ("0.0", "DOUBLE"), (None, "INT"), ("[[1]]", "VEC_CDOUBLE")]
     df = spark.createDataFrame(rows, "value string, dtype string")
