@@ -168,8 +168,11 @@ def k2_particles_of_extents(spark, sf_dir):
 @query("SELECT p_partkey block, CAST(p_size AS BIGINT) cells, CAST(p_size AS BIGINT) places, true AS inside FROM part WHERE p_size > 0")
 def k4_random_of_extents(spark, sf_dir):
     """Random cells of a block for each part: all places, values in their range, and the same when they are made again."""
-    made, again = (generate.random_integers_of(_extents(spark, sf_dir)) for _ in range(2))
-    both = made.join(again.withColumnRenamed("value", "same"), ["block", "i"])
+    extents = _extents(spark, sf_dir)
+    # Spark's guess of the made cells is the file of their extents: it would broadcast them, or sort them in few tasks
+    parts = (extents.agg(F.sum("cells")).first()[0] or 0) // 500_000 + 1
+    made, again = (generate.random_integers_of(extents).repartition(parts, "block", "i") for _ in range(2))
+    both = made.join(again.withColumnRenamed("value", "same").hint("merge"), ["block", "i"])
     return both.groupBy("block").agg(F.count("*").alias("cells"), F.count_distinct("i").alias("places"), F.bool_and(F.col("value").between(0, 200_000_000) & (F.col("value") == F.col("same"))).alias("inside"))
 
 

@@ -25,3 +25,9 @@ def test_boxes_of_a_grid_are_dealt_once(spark):
     assert spatial._dealt(box("r"), "r", 3, 1, [(2, 2, 2)], [(1, 2, 0)]).count() == 8
     found = spatial.meeting(box("l"), box("r"), 3)
     assert found.count() == 8 and "Broadcast" not in plan(found)
+
+
+def test_made_cells_are_not_broadcast(spark, tmp_path):
+    found = grid_queries.k4_random_of_extents(spark, part(tmp_path, [(k, k % 4) for k in range(9)]))
+    assert "Broadcast" not in plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(k, k % 4, k % 4, True) for k in range(9) if k % 4]
