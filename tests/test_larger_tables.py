@@ -31,3 +31,9 @@ def test_made_cells_are_not_broadcast(spark, tmp_path):
     found = grid_queries.k4_random_of_extents(spark, part(tmp_path, [(k, k % 4) for k in range(9)]))
     assert "Broadcast" not in plan(found)
     assert sorted(tuple(r) for r in found.collect()) == [(k, k % 4, k % 4, True) for k in range(9) if k % 4]
+
+
+def test_chunks_are_sorted_by_size_whatever_their_keys(spark, tmp_path):
+    rows = [(3_000_000, 1), (5, 2), (2_999_999, 2), (-7, 1), (6, 1)]
+    found = queries.g5_sorted_chunks(spark, part(tmp_path, rows)).orderBy("n").collect()
+    assert [(r["o0"], r["path"], r["n"]) for r in found] == [(s, k, n + 1) for n, (s, k) in enumerate(sorted((s, k) for k, s in rows))]
