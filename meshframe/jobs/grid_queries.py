@@ -116,8 +116,8 @@ def d3_particles_in_boxes(spark, sf_dir):
     p = line.select(F.year("l_shipdate").cast("long").alias("iteration"), F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_tax") * 100).alias("z"))
     own = {"offset_x": k * 7 % 45, "offset_y": k % 9, "offset_z": k * 3 % 7, "extent_x": 2 + F.col("s_nationkey") % 5, "extent_y": 1 + k % 3, "extent_z": 1 + k % 4}
     boxes = V.table(spark, sf_dir, "supplier").select("s_suppkey", (1992 + k % 7).cast("long").alias("iteration"), *(c.cast("double").alias(n) for n, c in own.items()))
-    found = patches.at_position(p, boxes, ["x", "y", "z"], ["x", "y", "z"], ["iteration"])
-    return found.groupBy("s_suppkey", "iteration").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    found = patches.totals_at_position(p, boxes, ["x", "y", "z"], ["x", "y", "z"], {"ids": "id"}, ["iteration"])
+    return found.groupBy("s_suppkey", "iteration").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
 
 
 @query("""WITH c AS (SELECT DISTINCT p_brand path, p_partkey // 20 i0, p_partkey % 20 i1 FROM part WHERE p_size > 10),

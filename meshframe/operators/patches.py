@@ -52,6 +52,17 @@ def at_position(particles: DataFrame, patches: DataFrame, positions: Sequence[st
     return meeting(points, patches.withColumns({"r_lo": low, "r_hi": high}), len(axes), keys, points=True).drop("l_lo", "r_lo", "r_hi")
 
 
+def totals_at_position(particles: DataFrame, patches: DataFrame, positions: Sequence[str], axes: Sequence[str], sums: dict[str, str], keys: Sequence[str] = ("iteration", "species")) -> DataFrame:
+    """The patches that hold any particle by position, with n, their particles, and sums of columns of these (new name: column).
+
+    Particles of one position and patches of one box are met once, so the pairs grow with the positions and boxes that differ, not with rows times patches.
+    """
+    box = [*keys, *(f"{c}_{a}" for a in axes for c in ("offset", "extent"))]
+    places = particles.groupBy(*keys, *positions).agg(F.count("*").alias("__n"), *(F.sum(c).alias(f"__{s}") for s, c in sums.items()))
+    met = at_position(places, patches.select(*box).distinct(), positions, axes, keys)
+    return patches.join(met.groupBy(*box).agg(*(F.sum(f"__{s}").alias(s) for s in ("n", *sums))), box)
+
+
 def pruned(patches: DataFrame, box: dict[str, tuple[float, float]]) -> DataFrame:
     """Patches that meet a box of (low, high) by axis."""
     for a, (lo, hi) in box.items():

@@ -37,3 +37,14 @@ def test_chunks_are_sorted_by_size_whatever_their_keys(spark, tmp_path):
     rows = [(3_000_000, 1), (5, 2), (2_999_999, 2), (-7, 1), (6, 1)]
     found = queries.g5_sorted_chunks(spark, part(tmp_path, rows)).orderBy("n").collect()
     assert [(r["o0"], r["path"], r["n"]) for r in found] == [(s, k, n + 1) for n, (s, k) in enumerate(sorted((s, k) for k, s in rows))]
+
+
+def test_particles_of_one_place_and_boxes_of_one_shape_meet_once(spark, monkeypatch):
+    particles = spark.range(3000).selectExpr("cast(1 as bigint) iteration", "id", "cast(id % 3 as double) x")
+    boxes = spark.range(200).selectExpr("cast(1 as bigint) iteration", "id patch_id", "cast(id % 2 as double) offset_x", "2.0D extent_x").unionByName(spark.sql("SELECT 1L iteration, 200L patch_id, 50.0D offset_x, 1.0D extent_x"))
+    pairs, at_position = [], patches.at_position
+    monkeypatch.setattr(patches, "at_position", lambda *a: pairs.append(at_position(*a)) or pairs[0])
+    got = patches.totals_at_position(particles, boxes, ["x"], ["x"], {"ids": "id"}, ["iteration"]).collect()
+    ids = lambda lo: sum(i for i in range(3000) if lo <= i % 3 < lo + 2)
+    assert sorted((r["patch_id"], r["n"], r["ids"]) for r in got) == [(k, 2000, ids(k % 2)) for k in range(200)]
+    assert pairs[0].count() == 4
