@@ -164,7 +164,9 @@ def missing_children(nodes: DataFrame, required: dict[str, tuple[str, ...]] = RE
     pairs = [F.struct(F.lit(t).alias("node_type"), F.lit(n).alias("name")) for t, own in required.items() for n in own]
     wanted = nodes.select("iteration", "path", "node_type", F.explode(F.filter(F.array(*pairs), lambda x: x["node_type"] == F.col("node_type"))["name"]).alias("name"))
     child = F.concat(F.rtrim(F.col("path"), F.lit("/")), F.lit("/"), "name")
-    have = nodes.select("iteration", F.col("path").alias("__child")).distinct()
+    # only nodes of such names count; not made distinct, as a scan's task would hold all of them, and merged, as Spark may take the side for a small one
+    named = F.substring_index("path", "/", -1).isin(*sorted({n for own in required.values() for n in own}))
+    have = nodes.filter(named).select("iteration", F.col("path").alias("__child")).hint("merge")
     return wanted.withColumn("__child", child).join(have, ["iteration", "__child"], "left_anti").select("iteration", "path", "node_type", "name")
 
 

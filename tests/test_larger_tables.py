@@ -48,3 +48,10 @@ def test_particles_of_one_place_and_boxes_of_one_shape_meet_once(spark, monkeypa
     ids = lambda lo: sum(i for i in range(3000) if lo <= i % 3 < lo + 2)
     assert sorted((r["patch_id"], r["n"], r["ids"]) for r in got) == [(k, 2000, ids(k % 2)) for k in range(200)]
     assert pairs[0].count() == 4
+
+
+def test_lacking_records_hold_no_side(spark):
+    rows = [(1, "/particles/e", "species"), (1, "/particles/e/position", "record"), (1, "/particles/e/position", "record"), (2, "/particles/e/", "species"), (2, "/particles/e/positionOffset", "record")]
+    found = attrs.missing_children(spark.createDataFrame(rows, "iteration long, path string, node_type string"))
+    assert "Broadcast" not in plan(found) and "HashAggregate" not in plan(found)
+    assert sorted((r["iteration"], r["name"]) for r in found.collect()) == [(1, "positionOffset"), (2, "position")]
