@@ -55,3 +55,18 @@ def test_lacking_records_hold_no_side(spark):
     found = attrs.missing_children(spark.createDataFrame(rows, "iteration long, path string, node_type string"))
     assert "Broadcast" not in plan(found) and "HashAggregate" not in plan(found)
     assert sorted((r["iteration"], r["name"]) for r in found.collect()) == [(1, "positionOffset"), (2, "position")]
+
+
+def test_many_documents_are_one_batch():
+    n = 3 * documents.ROWS
+    body = b'{"data":{"0":{"meshes":{"rho":{"datatype":"DOUBLE","data":[1.5,null]}}}}}'
+    files = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array([body] * n, pa.binary())], ["path", "content"])
+    batches = list(documents._decode(iter([files.slice(0, 5), files.slice(5)]), False))
+    assert [b.num_rows for b in batches] == [documents.ROWS] * 3
+    assert [f for b in batches for f in b.column(0).to_pylist()] == [str(i) for i in range(n)]
+
+
+def test_numbers_beyond_doubles_are_a_reported_part(spark):
+    body = '{"data":{"0":{"meshes":{"n":{"datatype":"LONG","data":[1' + "0" * 400 + ']},"x":{"datatype":"DOUBLE","data":[2.5,null]}}}}}'
+    found = {r["path"]: r for r in documents.decode(spark.createDataFrame([("f", bytearray(body.encode()))], "path string, content binary")).collect()}
+    assert found["/data/0/meshes/n"]["error"] and found["/data/0/meshes/x"]["data"][0] == 2.5 and found["/data/0/meshes/x"]["data"][1] != found["/data/0/meshes/x"]["data"][1]
