@@ -89,7 +89,7 @@ def a5_d4_files_of_planes(spark, sf_dir):
         box = slicing.plane(shape, axis, at)
         blocks = layout.read(spark, path, box)
         cells = meshes.blocks_to_cells(blocks, 3, box=box)
-        found.append(cells.agg(F.count("*").alias("cells"), F.min("value").alias("least"), F.max("value").alias("most")).select(F.lit(axis).alias("axis"), F.lit(len(blocks.inputFiles())).cast("long").alias("files"), F.lit(every).alias("all_files"), "*"))
+        found.append(cells.agg(F.count("*").alias("cells"), F.min("value").alias("least"), F.max("value").alias("most")).select(F.lit(axis).alias("axis"), F.lit(layout.crossing(spark, path, box).count()).cast("long").alias("files"), F.lit(every).alias("all_files"), "*"))
     return reduce(lambda a, b: a.unionByName(b), found)
 
 

@@ -4,9 +4,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from meshframe.functions import attributes as attrs
+from meshframe.functions.slicing import Region
 from meshframe.jobs import grid_queries, queries
 from meshframe.operators import patches, spatial
-from meshframe.sources import documents
+from meshframe.sources import documents, layout
 
 
 def plan(df):
@@ -70,3 +71,15 @@ def test_numbers_beyond_doubles_are_a_reported_part(spark):
     body = '{"data":{"0":{"meshes":{"n":{"datatype":"LONG","data":[1' + "0" * 400 + ']},"x":{"datatype":"DOUBLE","data":[2.5,null]}}}}}'
     found = {r["path"]: r for r in documents.decode(spark.createDataFrame([("f", bytearray(body.encode()))], "path string, content binary")).collect()}
     assert found["/data/0/meshes/n"]["error"] and found["/data/0/meshes/x"]["data"][0] == 2.5 and found["/data/0/meshes/x"]["data"][1] != found["/data/0/meshes/x"]["data"][1]
+
+
+def test_many_files_are_opened_by_tasks(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "laid")
+    blocks = spark.range(64).select((F.col("id") % 2).alias("iteration"), F.array(F.col("id") * 2, F.lit(0).cast("long")).alias("offset"), F.array(*(F.lit(2).cast("long"),) * 2).alias("extent"), F.array(*(F.col("id").cast("float"),) * 4).alias("values"))
+    layout.write(blocks, path, (2, 2), side=1)
+    box = Region((0, 0), (100, 1))
+    rows = lambda: sorted(map(tuple, layout.read(spark, path, box).select("iteration", "offset", "extent", "values").collect()))
+    named, files = rows(), layout.crossing(spark, path, box).count()
+    monkeypatch.setattr(layout, "NAMED", 5)
+    assert rows() == named and "MapInArrow" in plan(layout.read(spark, path, box)) and len(named) >= 50 and files == 50
+    assert layout.read(spark, path, Region((0, 0), (0, 1))).count() == 0
