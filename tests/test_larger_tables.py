@@ -28,6 +28,24 @@ def test_boxes_of_a_grid_are_dealt_once(spark):
     assert found.count() == 8 and "Broadcast" not in plan(found)
 
 
+def test_boxes_of_parts_meet_chunks_without_a_broadcast(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    keys, vectors = range(60), 40
+    at, n = part(tmp_path, [(k, k % 50) for k in keys]), ((vectors - 1) // 16 + 1) * 4
+    pq.write_table(pa.table({"vec_id": pa.array(range(vectors), pa.int64()), "label": pa.array([k % 3 for k in range(vectors)], pa.int32()), "embedding": pa.array([[0.5]] * vectors, pa.list_(pa.float32()))}), f"{at}/embeddings.parquet")
+    found = grid_queries.d4_overlap_3d(spark, at)
+    assert "Broadcast" not in plan(found) and "SortMergeJoin" in plan(found)
+    want = []
+    for k in keys:
+        box = list(zip((k * 3 % n, k * 7 % 14, k * 5 % 15), (1 + k % 50 % 9, 1 + k % 7, 1 + k % 50 % 3), strict=True))
+        for v in range(vectors):
+            both = [(max(o, b), min(o + e, b + 4)) for (o, e), b in zip(box, (v // 16 * 4, v // 4 % 4 * 4, v % 4 * 4), strict=True)]
+            if all(lo < hi for lo, hi in both):
+                want.append((k, v % 3, *(lo for lo, _ in both), *(hi - lo for lo, hi in both)))
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 100
+
+
 def test_made_cells_are_not_broadcast(spark, tmp_path):
     found = grid_queries.k4_random_of_extents(spark, part(tmp_path, [(k, k % 4) for k in range(9)]))
     assert "Broadcast" not in plan(found)
